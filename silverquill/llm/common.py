@@ -84,6 +84,11 @@ def running_total(df: DataFrame, group: str, key: list[str], value: str, out: st
     )
 
 
+def bucket_count(rows: int) -> int:
+    """Buckets for ``running_total``: about the square root of a large table's rows in each, 1000 at least."""
+    return max(1, rows // max(1000, int(rows**0.5)))
+
+
 def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> DataFrame:
     """Connected components of undirected ``edges`` (a, b): one row (node, component) per node that has
     an edge to another node; the component is its smallest node.

@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .media import op1_matroska
+from .mixing import op6_mixing
 from .packing import op3_best_fit_packing
+from .quality import op8_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op3_best_fit_packing)}
+    return {f.__name__: f for f in (op1_matroska, op3_best_fit_packing, op6_mixing, op8_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
