@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licences import op9_licences, op9_sql
 from .media import op1_matroska
 from .mixing import op6_mixing
 from .packing import op3_best_fit_packing
@@ -15,8 +16,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op3_best_fit_packing, op6_mixing, op8_quality)}
+    return {f.__name__: f for f in (op1_matroska, op3_best_fit_packing, op6_mixing, op8_quality, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_licences": op9_sql()}
