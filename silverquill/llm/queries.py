@@ -11,13 +11,14 @@ from .media import op1_matroska
 from .mixing import op6_mixing
 from .packing import op3_best_fit_packing
 from .quality import op8_quality
+from .urls import op2_sql, op2_url_filters
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op3_best_fit_packing, op6_mixing, op8_quality, op9_licences)}
+    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op6_mixing, op8_quality, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_licences": op9_sql()}
+    return {"op2_url_filters": op2_sql(), "op9_licences": op9_sql()}
