@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .licences import op9_licences, op9_sql
+from .lines import op4_line_dedup, op4_sql
 from .media import op1_matroska
 from .mixing import op6_mixing
 from .packing import op3_best_fit_packing
@@ -17,8 +18,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op6_mixing, op8_quality, op9_licences)}
+    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op6_mixing, op8_quality, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": op2_sql(), "op9_licences": op9_sql()}
+    return {"op2_url_filters": op2_sql(), "op4_line_dedup": op4_sql(), "op9_licences": op9_sql()}
