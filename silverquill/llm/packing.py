@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces_of, running_total, table
+from .common import bucket_count, materialize, pieces_of, running_total, table
 from .tokens import word_encoder
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
@@ -197,7 +197,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     return documents.select("doc_id", "text").mapInArrow(cut, schema)
 
 
-def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_in_bucket: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset to ``pieces`` (doc_id, piece, length, ...).
 
     The histogram (at most ``capacity`` rows) is all that reaches the driver. Pieces of one length are
@@ -209,7 +209,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rows_in_bucket: int = 20_0
     pieces = pieces.drop("sequence_id", "offset")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}
     plan = spark.sparkContext.broadcast(plan_packing(histogram, capacity))
-    buckets = max(1, sum(histogram.values()) // rows_in_bucket)
+    buckets = bucket_count(sum(histogram.values()))
     numbered = running_total(pieces.withColumn("_one", F.lit(1)), "length", ["doc_id", "piece"], "_one", "_number", buckets).drop("_one")
     at = numbered.columns.index("length"), numbered.columns.index("_number")
     kept = list(pieces.columns)
