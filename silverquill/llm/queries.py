@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .licences import op9_licences, op9_sql
 from .lines import op4_line_dedup, op4_sql
+from .lm import op7_lm_score
 from .media import op1_matroska
 from .mixing import op6_mixing
 from .near import op5_near_dedup
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op8_quality, op9_licences)}
+    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op7_lm_score, op8_quality, op9_licences)}
 
 
 def oracle_sql() -> dict[str, str]:
