@@ -9,10 +9,17 @@ Overlapping windows cover the union of their lines, so a repeated passage of any
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, pieces_of, table
+from .shingles import constants, mix
 
 WINDOW = 3
 LEAST_CHARS = 40
@@ -21,51 +28,65 @@ LEAST_CHARS = 40
 
 def line_array(text: Column) -> Column:
     """The text's lines with what ends them; joined they are the text again (U+0001 ends a line too, and goes)."""
-    return F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"(\n|[.!?] )", "$1\u0001"), "\u0001")
-
-
-def _content(lines: Column) -> Column:
-    """Places (from 0) and trimmed text of the lines that aren't blank."""
-    return F.filter(F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.trim(F.translate(x, "\n", " ")).alias("t"))), lambda s: s["t"] != "")
+    return F.split(F.regexp_replace(text, r"(\n|[.!?] )", "$1\u0001"), "\u0001")
 
 
 def windows(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
-    """(doc_id, key, first, last, hash, mark): every window; ``mark`` orders them by document and place.
+    """(doc_id, key, first, last, hash, again): every window of every document.
 
-    ``key`` tells rows with the same doc_id apart; first and last are places in ``line_array``. A document
-    of fewer lines than ``width`` is one window.
+    ``key`` tells rows with the same doc_id apart; first and last are places in ``line_array``; again marks
+    a window that stands earlier in its document. A document of fewer lines than ``width`` is one window.
     """
-    rows = documents.select("doc_id", F.crc32(F.col("text").cast("binary")).alias("key"), _content(line_array(F.col("text"))).alias("c"))
-    rows = rows.where(F.size("c") > 0).select("doc_id", "key", "c", F.explode(F.sequence(F.lit(1), F.greatest(F.size("c") - width + 1, F.lit(1)))).alias("at"))
-    rows = rows.select("doc_id", "key", F.slice("c", F.col("at"), width).alias("w"))
-    rows = rows.select("doc_id", "key", F.element_at("w", 1)["i"].alias("first"), F.element_at("w", -1)["i"].alias("last"), F.array_join(F.col("w.t"), "\n").alias("body")).where(F.length("body") >= least + width - 1)
-    mark = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(-(1 << 63)).cast("decimal(20,0)")) * F.lit(1 << 32).cast("decimal(11,0)") + F.col("first")
-    return rows.select("doc_id", "key", "first", "last", F.xxhash64("body").alias("hash"), mark.cast("decimal(32,0)").alias("mark"))
-
-
-def dedup(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
-    """``documents`` with the columns n_lines, n_removed and kept_text added (replaced if there).
-
-    n_lines counts lines that aren't blank, n_removed those of them that go. Order is by doc_id (null
-    first), then by place; windows of rows with one doc_id at one place count as one occurrence, so
-    repeated rows are kept each. Blank lines go where the lines around them go. Null text has no lines and
-    stays null; a text all of whose lines go is left empty. The first occurrence is a partial minimum per
-    hash, and the window table joins the repeated hashes, where skew-join splitting spreads a very common
-    window; only documents with something to remove bring places to the join with the texts.
-    """
-    made = {"n_lines", "n_removed", "kept_text"}
-    documents = documents.select(*(c for c in documents.columns if c not in made))
-    every = windows(documents, width, least)
-    repeated = every.groupBy("hash").agg(F.min("mark").alias("_w"), F.max("mark").alias("_z")).where("_w <> _z").drop("_z")
-    later = every.join(repeated.hint("merge"), "hash").where("mark <> _w")
-    gone = later.groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("_spans"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), _union(F.col("_spans")).alias("_spans"))
-    lines = line_array(F.col("text"))
-    covered = lambda i: F.exists("_spans", lambda s: (s["first"] <= i) & (s["last"] >= i))
-    left = F.filter(F.transform(lines, lambda x, i: F.when(~covered(i), x)), lambda x: x.isNotNull())
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.col("text").cast("binary")) == F.col("_k")), "left")
-    joined = joined.withColumns({"_all": F.size(_content(lines)).cast("long"), "_left": F.when(F.col("_spans").isNotNull(), left)})
-    return joined.select(*documents.columns, F.col("_all").alias("n_lines"), F.coalesce(F.col("_all") - F.when(F.col("_left").isNotNull(), F.size(_content(F.col("_left")))), F.lit(0)).cast("long").alias("n_removed"), F.when(F.col("_left").isNull(), F.col("text")).otherwise(F.array_join("_left", "")).alias("kept_text"))
+    odd = constants(width, 3)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for whole in batches:
+            for b in pieces_of(whole):
+                texts = pc.fill_null(b.column(1), "")
+                split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\n|[.!?] )", "\\1\u0001"), "\u0001")
+                trimmed = pc.utf8_trim(split.flatten(), " \n")
+                offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
+                chars = pc.utf8_length(trimmed).to_numpy()
+                coded = pc.dictionary_encode(trimmed)
+                own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+                doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
+                place = np.arange(len(doc)) - offsets[doc]
+                full = chars > 0
+                doc, place, chars, hashes = doc[full], place[full].astype(np.int32), chars[full].astype(np.int64), own[coded.indices.to_numpy()[full]]
+                lines = np.bincount(doc, minlength=b.num_rows)
+                ends = np.cumsum(lines)
+                start = np.arange(len(doc))
+                start = start[(start + width <= ends[doc]) | (start == (ends - lines)[doc])]
+                stop = np.minimum(start + width, ends[doc[start]])
+                total, size = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+                for k in range(width):
+                    at = start + k
+                    inside = at < stop
+                    total[inside] += hashes[at[inside]] * odd[k]
+                    size[inside] += chars[at[inside]]
+                long = size >= least
+                start, stop, value = start[long], stop[long], mix(total[long] + (stop - start)[long].astype(np.uint64))
+                row = doc[start]
+                first = np.unique(mix(value + (row.astype(np.uint64) + np.uint64(1)) * odd[0]), return_index=True)[1]
+                again = np.ones(len(row), bool)
+                again[first] = False
+                keys = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()), np.int64, b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(place[start]), pa.array(place[stop - 1]), pa.array(value.view(np.int64)), pa.array(again)], ["doc_id", "key", "first", "last", "hash", "again"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, key long, first int, last int, hash long, again boolean")
+
+
+def spans_to_remove(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
+    """(doc_id, key, spans): disjoint, sorted places (first, last) of the lines that go, for documents that lose any."""
+    every = materialize(windows(documents, width, least), "windows")
+    ids = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
+    repeated = every.withColumn("_i", ids).groupBy("hash").agg(F.min("_i").alias("_w"), F.max("_i").alias("_z")).where("_w <> _z").drop("_z")
+    later = every.where("not again").join(repeated.hint("merge"), "hash").where(ids > F.col("_w")).select("doc_id", "key", "first", "last")
+    gone = later.unionByName(every.where("again").select("doc_id", "key", "first", "last")).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    return gone.select("doc_id", "key", _union(F.col("spans")).alias("spans"))
 
 
 def _union(spans: Column) -> Column:
@@ -73,15 +94,36 @@ def _union(spans: Column) -> Column:
     empty = F.array().cast("array<struct<first:int,last:int>>")
 
     def add(merged: Column, s: Column) -> Column:
-        top = F.element_at(merged, -1)
+        top = F.try_element_at(merged, F.lit(-1))
         joined = F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))))
-        return F.when((F.size(merged) > 0) & (s["first"] <= F.try_element_at(merged, F.lit(-1))["last"] + 1), joined).otherwise(F.concat(merged, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
+        return F.when((F.size(merged) > 0) & (s["first"] <= top["last"] + 1), joined).otherwise(F.concat(merged, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
 
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
+def dedup(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
+    """``documents`` with the columns n_removed and kept_text added (replaced if there).
+
+    n_removed counts lines with text that go. Order is by doc_id (null first), then by place; windows of rows with one
+    doc_id don't count against one another, so repeated rows are kept each. Blank lines
+    go where the lines around them go. Null text has no lines and stays null; a text all of whose lines go
+    is left empty. The first occurrence is a partial minimum per hash, and the window table joins the
+    repeated hashes, where skew-join splitting spreads a very common window; only documents with something
+    to remove bring places to the join with the texts, and only their texts are cut again.
+    """
+    made = {"n_removed", "kept_text"}
+    documents = documents.select(*(c for c in documents.columns if c not in made))
+    gone = spans_to_remove(documents, width, least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
+    lines = F.transform(line_array(F.col("text")), lambda x, i: F.struct(F.exists("_spans", lambda s: (s["first"] <= i) & (s["last"] >= i)).alias("gone"), x.alias("x")))
+    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_k")), "left")
+    joined = joined.withColumn("_lines", F.when(F.col("_spans").isNotNull(), lines))
+    removed = F.size(F.filter("_lines", lambda s: s["gone"] & (F.trim(F.translate(s["x"], "\n", " ")) != "")))
+    kept = F.array_join(F.transform(F.filter("_lines", lambda s: ~s["gone"]), lambda s: s["x"]), "")
+    return joined.select(*documents.columns, F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"), F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "kept_text")
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "kept_text")
 
 
 def op4_sql() -> str:
@@ -89,10 +131,10 @@ def op4_sql() -> str:
 WITH l AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS lines FROM documents),
 c AS (SELECT rid, doc_id, i - 1 AS i, trim(translate(lines[i], chr(10), ' ')) AS t FROM l, unnest(range(1, len(lines) + 1)) AS r(i)),
 d AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS n, count(*) OVER (PARTITION BY rid) AS m FROM c WHERE t <> ''),
-w AS (SELECT rid, doc_id, n, m, i AS first, max(i) OVER a AS last, string_agg(t, chr(10)) OVER a AS body FROM d WINDOW a AS (PARTITION BY rid ORDER BY n ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-later AS (SELECT rid, first, last FROM w WHERE n <= greatest(m - {WINDOW - 1}, 1) AND length(body) >= {LEAST_CHARS + WINDOW - 1} QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1),
+w AS (SELECT rid, doc_id, n, m, i AS first, max(i) OVER a AS last, string_agg(t, chr(10)) OVER a AS body, sum(length(t)) OVER a AS chars FROM d WINDOW a AS (PARTITION BY rid ORDER BY n ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+later AS (SELECT rid, first, last FROM w WHERE n <= greatest(m - {WINDOW - 1}, 1) AND chars >= {LEAST_CHARS} QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1),
 gone AS (SELECT rid, list(DISTINCT i) AS g FROM later, unnest(range(first, last + 1)) AS r(i) GROUP BY rid),
-counted AS (SELECT rid, count(*) AS n_lines FROM d GROUP BY rid), lost AS (SELECT d.rid, count(*) AS n_removed FROM d JOIN gone USING (rid) WHERE list_contains(g, d.i) GROUP BY d.rid)
-SELECT doc_id, coalesce(n_lines, 0)::bigint AS n_lines, coalesce(n_removed, 0)::bigint AS n_removed, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(g, i - 1)), '') END AS kept_text
-FROM l LEFT JOIN gone USING (rid) LEFT JOIN counted USING (rid) LEFT JOIN lost USING (rid)
+lost AS (SELECT d.rid, count(*) AS n_removed FROM d JOIN gone USING (rid) WHERE list_contains(g, d.i) GROUP BY d.rid)
+SELECT doc_id, coalesce(n_removed, 0)::bigint AS n_removed, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(g, i - 1)), '') END AS kept_text
+FROM l LEFT JOIN gone USING (rid) LEFT JOIN lost USING (rid)
 """
