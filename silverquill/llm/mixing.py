@@ -18,6 +18,7 @@ from .common import bucket_count, materialize, running_total, table, word_count
 WEIGHTS, MOST, BLOCK, SHARD_SLOTS, SEED, ROUNDS = (5, 2, 1), 3, 256, 4096, 20_240_607, 20
 CHUNK = 4096
 """Slots that one row of the slot table's first step stands for."""
+TASK_SLOTS = 50_000
 
 
 def permuted(x: Column, n: Column, *key: Column, inverse: bool = False) -> Column:
@@ -56,13 +57,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
 def mix_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """The mix: (sid, slot, shard, place, epoch, block, take): slot ``place`` of ``shard`` takes the first
     ``take`` words of that block of that source. Only the last slots of a source take part of a block."""
+    tasks = max(1, (targets.agg(F.sum("source_size")).first()[0] or 0) // (block * TASK_SLOTS) + 1)
     s = targets.where("source_size > 0").withColumns({"_n": F.ceil(F.col("source_size") / block).cast("long"), "_t": F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * MOST).cast("long")})
     s = s.withColumns({"_epochs": F.expr("_t div source_size"), "_rest": F.expr("_t % source_size"), "_last": F.expr(f"source_size - (_n - 1) * {block}")})
     s = s.withColumn("_short", permuted(F.expr("_n - 1"), F.col("_n"), F.col("sid"), F.col("_epochs"), inverse=True))
     s = s.withColumn("_slots", F.expr(f"_epochs * _n + least(_n, _rest div {block} + 3)"))
     before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("_first", F.coalesce(F.sum("_slots").over(before), F.lit(0))).withColumn("_all", F.sum("_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chunks = s.where("_slots > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition("sid", "_chunk")
+    chunks = s.where("_slots > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition(tasks, "sid", "_chunk")
     slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_slots, (_chunk + 1) * {CHUNK}) - 1)")))
     slots = slots.withColumns({"epoch": F.expr("slot div _n"), "_j": F.expr("slot % _n")})
     slots = slots.withColumn("block", permuted(F.col("_j"), F.col("_n"), F.col("sid"), F.col("epoch")))
@@ -89,7 +91,7 @@ def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
     parts = parts.withColumns({"_lo": F.expr(f"greatest(_from - block * {block}, 0)"), "_hi": F.expr(f"least(_from + size - block * {block}, {block})")})
     drawn = mix_slots(targets, block).groupBy("sid", "block").agg(F.count_if("whole").alias("_times"), F.coalesce(F.max(F.when(~F.col("whole"), F.col("take"))), F.lit(0)).alias("_part"))
     words = F.coalesce(F.expr("(_hi - _lo) * _times + greatest(least(_hi, _part) - _lo, 0)"), F.lit(0))
-    took = parts.join(drawn, ["sid", "block"], "left").groupBy("sid", "_from", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
+    took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "_from", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
     return took.select(columns).unionByName(keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
