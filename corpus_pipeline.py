@@ -1,18 +1,61 @@
-"""The corpus pipeline: stages from documents to packed sequences, each applied to all that the one before kept."""
+"""The corpus pipeline: five stages from documents to packed sequences.
+
+Each stage takes all that its predecessor kept and calls one operator of ``silverquill.llm``; all but the
+last return the columns of ``documents``. Rows with equal doc_id and text are kept or dropped together by
+the first two stages, and the third keeps one of them. An empty table passes through.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from silverquill.llm.common import materialize, table
+from silverquill.llm.lines import dedup
+from silverquill.llm.mixing import mix
+from silverquill.llm.near import near_duplicates
 from silverquill.llm.packing import pack_documents
+from silverquill.llm.quality import classify
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    judged = classify(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(judged.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that later occurrences of a window cover go from the texts; a document that loses all its lines goes."""
+    cut = dedup(docs)
+    cut = cut.where(~((F.col("n_removed") > 0) & (F.trim(F.translate("kept_text", "\n\t\r", "   ")) == "")))
+    return cut.select(*(F.col("kept_text").alias("text") if c == "text" else F.coalesce(F.length("kept_text"), F.lit(0)).cast("long").alias("n_chars") if c == "n_chars" else F.col(c) for c in docs.columns))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the least doc_id stays, once."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    hashed = docs.withColumn("_own", F.xxhash64("text"))
+    alone = hashed.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash")), "left_semi")
+    return alone.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document stands as many times in the mix as the mix takes it: its words taken by its size, rounded,
+    where the fraction is a draw by the document's hash. Documents without words stay once."""
+    taken = mix(docs).select(F.col("doc_id").alias("_id"), "size", "taken").dropDuplicates(["_id"])
+    whole = F.expr("taken div size")
+    draw = F.pmod(F.xxhash64("_id", F.lit("mix")), F.col("size")) < F.expr("taken % size")
+    times = taken.select("_id", F.when(F.col("size") > 0, whole + draw.cast("long")).otherwise(1).cast("int").alias("_times")).where("_times > 0")
+    mixed = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id")))
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens; a document that the mix repeats is packed once for each copy."""
     return pack_documents(docs)
 
 
-STAGES = [("best-fit packing", packing)]
+STAGES = [("quality classifier", quality), ("line dedup", line_dedup), ("near-dedup", near_dedup), ("mixing", mixing), ("best-fit packing", packing)]
 ORACLE_SQL = None
 
 
