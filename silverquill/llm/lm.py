@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, pieces_of, table
 
-CHUNK, RANGE_TOKENS, FOLDS, TEST, DELETED, BUCKETS = 2_000_000, 2_000_000, 7, 2, 3, 24
+CHUNK, RANGE_TOKENS, FOLDS, TEST, DELETED, BUCKETS = 500_000, 1_000_000, 7, 2, 3, 24
 END = np.uint64(0x7F4A7C15F39CC060)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TRAIN_PART, DELETED_PART, TEST_PART = 0, 1, 2
@@ -133,8 +133,9 @@ def make_chunks(documents: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([part], pa.int32()), pa.array([len(stream)], pa.int64()), pa.array([payload], pa.binary())], ["chunk", "part", "n", "payload"])
 
         for whole in batches:
-            for b in pieces_of(whole):
+            for b in pieces_of(whole, most_bytes=2 << 20):
                 stream, sizes = tokens(b.column(1))
+                pa.default_memory_pool().release_unused()
                 for doc_id, n, own in zip(b.column(0).to_pylist(), sizes.tolist(), np.split(stream, np.cumsum(sizes)[:-1]), strict=True):
                     part = part_of(doc_id)
                     held[part][0].append(doc_id)
