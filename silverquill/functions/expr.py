@@ -282,7 +282,7 @@ def monthly_cost(stored: Column, egress: Column, per_gb: float = 0.004, free_gb:
 
 
 def format_bytes(n: Column) -> Column:
-    power = F.when(n > 0, F.least(F.floor(F.log(F.lit(1024.0), n.cast("double")) + 1e-12), F.lit(4))).otherwise(0).cast("int")
+    power = F.when(n > 0, F.least(F.floor(F.log(1024.0, n.cast("double")) + 1e-12), F.lit(4))).otherwise(0).cast("int")
     number = F.regexp_replace(F.format_string("%.2f", n / F.pow(F.lit(1024.0), power)), r"\.?0+$", "")
     return F.concat(number, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power + 1))
 

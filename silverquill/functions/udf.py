@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
     def one(text: str | None) -> str | None:
         if text is None or text.isascii():
@@ -24,7 +25,7 @@ def _fold(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
 
@@ -42,13 +43,13 @@ def tokens(text: Column, cjk_split: bool = False) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     """A packed vector: 1024 bytes are 512 half-precision numbers, any other size single-precision ones."""
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, "<f2" if len(b) == 1024 else "<f4").astype(np.float32))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode_float16(vectors: pd.Series) -> pd.Series:
     """Half precision, rounded to the nearest."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype("<f2").tobytes())
@@ -68,7 +69,7 @@ def random_matrix(rows: int, columns: int, seed: int = 1) -> np.ndarray:
 def project(vector: Column, matrix: np.ndarray) -> Column:
     """Product with ``matrix``, at unit length where its length is over 1e-12."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def multiply(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
             return pd.Series([], dtype=object)
@@ -119,6 +120,6 @@ def read_exif(data: bytes) -> tuple[str | None, str | None]:
     return found.get(0x9003) or None, found.get(0x9011) or None
 
 
-@F.pandas_udf("date_time_original string, offset_time_original string")
+@F.pandas_udf(T.StructType().add("date_time_original", T.StringType()).add("offset_time_original", T.StringType()))
 def exif_fields(contents: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([read_exif(b or b"") for b in contents], columns=["date_time_original", "offset_time_original"])
