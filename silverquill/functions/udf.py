@@ -8,6 +8,8 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,12 +19,8 @@ CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 
 @F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
-    def one(text: str | None) -> str | None:
-        if text is None or text.isascii():
-            return text
-        return "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.category(c).startswith("M"))
-
-    return texts.map(one)
+    apart = pc.utf8_normalize(pa.array(texts, pa.string(), from_pandas=True), form="NFD")
+    return pc.replace_substring_regex(apart, r"\p{M}+", "").to_pandas()
 
 
 @F.pandas_udf(T.StringType())

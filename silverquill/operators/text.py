@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,17 +77,38 @@ def bm25(index: DataFrame, lengths: DataFrame, key: str, atoms: list[Atom], limi
     hits = index.where(wanted).select(key, F.explode(F.array_compact(kinds)).alias("atom"), "tf").groupBy(key, "atom").agg(F.sum("tf").alias("tf"))
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("token_count"), F.lit(0.0)), F.lit(1.0)).alias("average"))
     held = hits.groupBy("atom").agg(F.count("*").alias("df"))  # a row per atom
-    raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = held.join(F.broadcast(corpus)).select("atom", "average", F.when(raw <= 0, LEAST_IDF).otherwise(raw).alias("idf"))
+    weights = held.join(F.broadcast(corpus)).select("atom", "average", _idf(F.col("n"), F.col("df")).alias("idf"))
     scored = hits.join(F.broadcast(weights), "atom").join(lengths, key)
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / F.col("average")))
     out = scored.withColumn("_p", part).groupBy(key).agg(F.count("*").alias("_n"), (-F.sum("_p")).alias("score")).where(F.col("_n") == len(atoms)).select(key, "score")
     return out.orderBy("score", key).limit(limit) if limit else out
 
 
+def _idf(n: Column, df: Column) -> Column:
+    raw = F.log((n - df + 0.5) / (df + 0.5))
+    return F.when(raw <= 0, LEAST_IDF).otherwise(raw)
+
+
 def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False) -> DataFrame:
-    """BM25 over unindexed documents."""
-    return bm25(postings(docs, key, text, cjk_split), document_lengths(docs, key, text, cjk_split), key, parse_query(query, prefixes, cjk_split), limit)
+    """BM25 over unindexed documents: one pass for the corpus's sums, one for the scores, no exchange of rows.
+
+    Term frequencies are counted in each row; what meets is one row of sums, and the best ``limit`` rows.
+    """
+    atoms = parse_query(query, prefixes, cjk_split)
+    if not atoms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    counted = docs.select(key, tokens(F.col(text), cjk_split).alias("_t")).where(F.size("_t") > 0)
+    times = F.array(*(F.size(F.filter("_t", partial(_matches, a))) for a in atoms))
+    counted = counted.select(key, F.size("_t").alias("_len"), times.alias("_tf"))
+    held = [F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(atoms))]
+    corpus = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_av"), *held)
+    rows = counted.where(F.forall("_tf", lambda t: t > 0)).join(F.broadcast(corpus))
+    part = lambda i: _idf(F.col("_n"), F.col(f"_df{i}")) * (F.col("_tf")[i] * (K1 + 1)) / (F.col("_tf")[i] + K1 * (1 - B + B * F.col("_len") / F.col("_av")))
+    total = part(0)
+    for i in range(1, len(atoms)):
+        total = total + part(i)
+    out = rows.select(key, (-total).alias("score"))
+    return out.orderBy("score", key).limit(limit) if limit else out
 
 
 def index_upsert(index: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

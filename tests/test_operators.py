@@ -80,6 +80,14 @@ def test_tokens_and_search(spark):
     assert find("4417") == ["d1"] and find("") == [] and find("nothing here") == []
 
 
+def test_indexed_and_unindexed_search_agree(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    index, lengths = text.postings(docs, "doc_id", "text").cache(), text.document_lengths(docs, "doc_id", "text")
+    for q in ("the of", "th* and", "de"):
+        a, b = (df.select("doc_id", F.round("score", 9)).collect() for df in (text.bm25(index, lengths, "doc_id", text.parse_query(q)), text.search(docs, "doc_id", "text", q, prefixes=True)))
+        assert a == b and a
+
+
 def test_index_upsert_keeps_blank(spark):
     index = text.postings(spark.createDataFrame([("a", "one two"), ("b", "three")], "h string, t string"), "h", "t")
     after = text.index_upsert(index, spark.createDataFrame([("a", "four"), ("b", " ")], "h string, t string"), "h", "t")
