@@ -314,6 +314,33 @@ def text_score(tokens: Sequence[str], query: str, ocr: Column, tags: Column, fil
     return F.struct(text.alias("text_score"), (tagged + hit(filename, query.lower()) * 30 + hit(place, query.lower()) * 40).alias("metadata_score"))
 
 
+def concept_score(tokens: Sequence[str], synonyms: dict[str, Sequence[str]], tags: Column, ocr: Column, filename: Column, place: Column, camera: Column) -> Column:
+    """15 for each tag and concept one of which holds the other (concepts: the tokens and their synonyms), and for each token
+    25 in the text, 10 in the file name, 20 in the place and 15 in the camera's name."""
+    words = [t.lower() for t in tokens]
+    concepts = list(dict.fromkeys([*words, *(s for w in words for s in synonyms.get(w, ()))]))
+    hit = lambda column, word: F.coalesce(F.lower(column).contains(word), F.lit(False)).cast("int")
+    tagged = F.aggregate(F.coalesce(tags, F.array().cast("array<string>")), F.lit(0), lambda s, t: s + sum(((F.lower(t).contains(c) | F.contains(F.lit(c), F.lower(t))).cast("int") * 15 for c in concepts), F.lit(0)))
+    return tagged + sum((hit(ocr, w) * 25 + hit(filename, w) * 10 + hit(place, w) * 20 + hit(camera, w) * 15 for w in words), F.lit(0))
+
+
+def hard_filter(kind: Column | None = None, camera: tuple[Column, str] | None = None, album: tuple[Column, str] | None = None, at: Column | None = None, since: int | None = None, until: int | None = None, ocr: Column | None = None) -> Column:
+    """The web's filter: a kind or favourite condition, part of a camera's name, an album, days from ``since`` to
+    ``until`` whole, and text."""
+    holds = F.lit(True) if kind is None else kind
+    if camera:
+        holds = holds & F.coalesce(F.lower(camera[0]).contains(camera[1].lower()), F.lit(False))
+    if album:
+        holds = holds & F.coalesce(F.array_contains(album[0], album[1]), F.lit(False))
+    if since is not None:
+        holds = holds & (at >= since)
+    if until is not None:
+        holds = holds & (at <= until + 86_400_000)
+    if ocr is not None:
+        holds = holds & (F.length(F.trim(F.coalesce(ocr, F.lit("")))) > 0)
+    return holds
+
+
 def keyword_filter(terms: Sequence[str], filename: Column, is_video: Column, created: Column, backed_up: Column) -> Column:
     """Whether every term holds: words for kinds and places of storage are predicates, any other is a part of
     the file name, extension, date or status."""

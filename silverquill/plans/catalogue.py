@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr
 from ..functions.udf import projection_matrix, tokens
-from ..operators import catalog, fusion, jobs, lifecycle, relational, resolve, sync, text, vector
+from ..operators import catalog, fusion, ingest, jobs, lifecycle, relational, resolve, sync, text, vector
 from ..session import table
 from . import fixtures as fx
 
@@ -603,3 +603,44 @@ def vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("slot"))
     live = vector.live_slots(v, v.where("slot % 10 = 3"))
     return vector.shard_rows(live, per_shard=128).groupBy("shard").agg(F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
+
+
+@query("""SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(source), 'src1') AND list_contains([source, lang], 'src1') AND doc_id * 1000 >= 50000 AND doc_id * 1000 <= 500000 + 86400000 AND length(trim(text)) > 0""")
+def web_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.col("doc_id") * 1000
+    holds = expr.hard_filter(F.col("lang") == "en", (F.col("source"), "SRC1"), (F.array("source", "lang"), "src1"), at, 50_000, 500_000, F.col("text"))
+    return table(spark, sf_dir, "documents").where(holds).select("doc_id")
+
+
+@query("""SELECT p_partkey, 15 * list_sum(list_transform(['steel', 'brass', 'nickel'], lambda c: (contains(lower(p_type), c) OR contains(c, lower(p_type)))::int)) + 10 * contains(lower(p_name), 'steel')::int + 15 * contains(lower(p_brand), 'steel')::int AS score FROM part""")
+def concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    score = expr.concept_score(["Steel"], {"steel": ("brass", "nickel")}, F.array("p_type"), none, F.col("p_name"), none, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", score.cast("decimal(38,0)").cast("long").alias("score"))
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (o_orderkey % 4 = 1) AS uploading, count(*) FILTER (o_orderkey % 4 = 2) AS verified, count(*) FILTER (o_orderkey % 4 = 3) AS failed, (SELECT count(*) FROM customer WHERE c_custkey % 3 = 0) AS unhashed FROM orders WHERE o_orderstatus <> 'P'")
+def library_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    assets = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderstatus") == "P", 1).alias("deleted_at"), (F.col("o_orderkey") % 4).alias("remote_state"))
+    return ingest.library_status(assets, table(spark, sf_dir, "customer").select((F.col("c_custkey") % 3).alias("hash_state")))
+
+
+@query("SELECT r_name, count(n_name) AS items FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1")
+def contained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    region = table(spark, sf_dir, "region")
+    items = table(spark, sf_dir, "nation").join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.array("r_name").alias("albums"))
+    return relational.contained_counts(region.select("r_name"), items, "r_name", "albums")
+
+
+@query("SELECT c_custkey AS local_id, CASE WHEN c_custkey <= 500 THEN 100 ELSE 200 END AS first_seen, CASE WHEN c_custkey % 2 = 0 THEN 200 WHEN c_custkey <= 500 THEN 100 ELSE 200 END AS last_seen FROM customer WHERE c_custkey <= 500 OR (c_custkey % 2 = 0 AND c_custkey <= 900)")
+def enumerate_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("local_id"))
+    known = c.where("local_id <= 500").select("local_id", F.lit(None).cast("string").alias("hash"), F.lit(0).alias("platform"), F.lit(0).alias("hash_state"), F.lit(100).cast("long").alias("first_seen"), F.lit(100).cast("long").alias("last_seen"))
+    out = ingest.enumerate_assets(known, c.where("local_id % 2 = 0 and local_id <= 900").withColumn("platform", F.lit(1)), 200)
+    return out.select("local_id", F.col("first_seen").cast("int"), F.col("last_seen").cast("int"))
+
+
+@query("SELECT label AS query, count(*) AS items FROM (SELECT label, vec_id FROM embeddings EXCEPT SELECT label, vec_id FROM embeddings WHERE vec_id % 4 = 0) GROUP BY 1")
+def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings").select("label", "vec_id")
+    return v.subtract(v.where("vec_id % 4 = 0")).groupBy(F.col("label").alias("query")).agg(F.count("*").alias("items"))

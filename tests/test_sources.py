@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from silverquill.operators import ingest
 from silverquill.operators.sync import lww_merge
-from silverquill.sources import files, manifest, vectors
+from silverquill.sources import files, manifest, vectors, versions
 from silverquill.streaming import sync as streams
 
 
@@ -89,3 +90,28 @@ def test_windowed_counts(spark):
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     got = streams.windowed_counts(events)
     assert got.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_migrations(spark, tmp_path):
+    done = []
+    steps = [(n, lambda s, f, n=n: done.append(n)) for n in (1, 2, 3)]
+    folder = str(tmp_path / "t")
+    assert versions.current_version(spark, folder) == 0 and versions.migrate(spark, folder, steps[:2]) == 2
+    assert versions.migrate(spark, folder, steps) == 3 and done == [1, 2, 3] and versions.current_version(spark, folder) == 3
+    with pytest.raises(versions.MigrationError):
+        versions.migrate(spark, folder, steps[:2])
+    with pytest.raises(versions.MigrationError):
+        versions.migrate(spark, folder, steps[1:])
+
+
+def test_ingest(spark):
+    local = spark.createDataFrame([("a", None, 0, 0, 1, 1)], "local_id string, hash string, platform int, hash_state int, first_seen long, last_seen long")
+    listed = ingest.enumerate_assets(local, spark.createDataFrame([("a", 0), ("b", 1), ("b", 1)], "local_id string, platform int"), 9)
+    assert sorted((r["local_id"], r["first_seen"], r["last_seen"]) for r in listed.collect()) == [("a", 1, 9), ("b", 9, 9)]
+    fetched = spark.createDataFrame([("a", bytearray(b"x")), ("b", bytearray(b"x"))], "local_id string, content binary")
+    assets, bound = ingest.materialise_originals(fetched, spark.createDataFrame([], "hash string, byte_size long, updated_at long"), listed, 10)
+    assert assets.count() == 1 and {r["hash_state"] for r in bound.collect()} == {1}
+    plan = ingest.upload_plan(spark.createDataFrame([("a", 9 << 20, 0), ("b", 5, 3), ("c", 5, 2)], "hash string, byte_size long, remote_state int"))
+    assert {r["hash"]: r["parts"] for r in plan.collect()} == {"a": 2, "b": 1}
+    got = ingest.embed(spark.createDataFrame([(1, "ab"), (2, "c")], "k int, t string"), "k", "t", lambda: lambda texts: [[float(len(t)), 1.0] for t in texts], 2)
+    assert {r["k"]: r["vector"] for r in got.collect()} == {1: [2.0, 1.0], 2: [1.0, 1.0]}
