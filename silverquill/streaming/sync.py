@@ -20,36 +20,57 @@ def pull(spark: SparkSession, path: str, schema: str = LOG, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def apply_to_table(stream: DataFrame, table: str, checkpoint: str, key: str = "key", available_now: bool = True) -> StreamingQuery:
+def apply_to_table(stream: DataFrame, table: str, checkpoint: str, key: str = "key", buckets: int = 256, available_now: bool = True) -> StreamingQuery:
     """Merge every micro-batch into a Parquet table, generation by generation.
 
-    A batch writes the generation of its number from the last one before it, so a batch run again after a
-    failure gives the same files.
+    Keys lie in hash buckets. A batch reads and writes only the buckets of its own keys, from the latest
+    generation before its number, so a batch run again after a failure gives the same files.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = [g for g in generations(spark, table) if g < number]
-        local = spark.read.schema(batch.schema).parquet(f"{table}/generation={max(old)}") if old else spark.createDataFrame([], batch.schema)
-        lww_merge(local, batch, key).write.mode("overwrite").parquet(f"{table}/generation={number}")
+        cut = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+        touched = {r[0] for r in cut.select("bucket").distinct().collect()}
+        paths = [p for b, p in latest(spark, table, number).items() if b in touched]
+        local = spark.read.schema(batch.schema).parquet(*paths) if paths else spark.createDataFrame([], batch.schema)
+        merged = lww_merge(local, cut.drop("bucket"), key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/generation={number}")
+        cut.unpersist()
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def generations(spark: SparkSession, table: str) -> list[int]:
-    jvm, path = spark.sparkContext._jvm, spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table)
+def _children(spark: SparkSession, where: str, prefix: str) -> dict[int, str]:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in found if p.getName().startswith("generation=") and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
+    found = [s.getPath() for s in fs.listStatus(path)] if fs.exists(path) else []
+    return {int(p.getName()[len(prefix) :]): p.toString() for p in found if p.getName().startswith(prefix)}
+
+
+def generations(spark: SparkSession, table: str) -> list[int]:
+    """Numbers of the batches that were written whole."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    done = []
+    for number, where in _children(spark, table, "generation=").items():
+        mark = jvm.org.apache.hadoop.fs.Path(f"{where}/_SUCCESS")
+        if mark.getFileSystem(conf).exists(mark):
+            done.append(number)
+    return sorted(done)
+
+
+def latest(spark: SparkSession, table: str, before: int | None = None) -> dict[int, str]:
+    """The newest folder of each bucket, of generations before ``before``."""
+    found: dict[int, str] = {}
+    for number in generations(spark, table):
+        if before is None or number < before:
+            found |= _children(spark, f"{table}/generation={number}", "bucket=")
+    return found
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The table after the last whole batch."""
-    return spark.read.parquet(f"{table}/generation={max(generations(spark, table))}")
+    return spark.read.parquet(*latest(spark, table).values())
 
 
 def merged_stream(stream: DataFrame) -> DataFrame:
