@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import functools
 import tempfile
 import uuid
 
@@ -51,6 +53,30 @@ def pieces_of(batch, most_rows: int = 2000, most_bytes: int = 8 << 20):
         at += n
 
 
+def tidy() -> None:
+    """Give memory back to the system: workers outlive their tasks, and what one stage held would stay beside the next."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(task):
+    """``task`` (batches to batches) with a ``tidy`` at its end."""
+
+    @functools.wraps(task)
+    def run(batches):
+        yield from task(batches)
+        tidy()
+
+    return run
+
+
 def crc32_of_id(column: Column | str = "doc_id") -> Column:
     """crc32 of the id written as decimal text."""
     return F.crc32((F.col(column) if isinstance(column, str) else column).cast("string").cast("binary"))

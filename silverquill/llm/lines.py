@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces_of, table
+from .common import materialize, pieces_of, table, tidied
 from .shingles import constants, mix
 
 WINDOW = 3
@@ -76,7 +76,7 @@ def windows(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS)
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(place[start]), pa.array(place[stop - 1]), pa.array(value.view(np.int64)), pa.array(again)], ["doc_id", "key", "first", "last", "hash", "again"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(find, f"doc_id {kind}, key long, first int, last int, hash long, again boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidied(find), f"doc_id {kind}, key long, first int, last int, hash long, again boolean")
 
 
 def spans_to_remove(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:

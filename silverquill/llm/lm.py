@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces_of, table
+from .common import materialize, pieces_of, table, tidied
 
 CHUNK, RANGE_TOKENS, FOLDS, TEST, DELETED, BUCKETS = 500_000, 1_000_000, 7, 2, 3, 24
 END = np.uint64(0x7F4A7C15F39CC060)
@@ -148,7 +148,7 @@ def make_chunks(documents: DataFrame) -> DataFrame:
             if ids:
                 yield flush(part)
 
-    return documents.select("doc_id", "text").mapInArrow(pack, "chunk long, part int, n long, payload binary")
+    return documents.select("doc_id", "text").mapInArrow(tidied(pack), "chunk long, part int, n long, payload binary")
 
 
 def count_keys(chunks: DataFrame, bits: int) -> DataFrame:
@@ -169,7 +169,7 @@ def count_keys(chunks: DataFrame, bits: int) -> DataFrame:
                             column.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary()), pa.array(rows[4], pa.binary()), pa.array(rows[5], pa.bool_())], ["kind", "range", "chunk", "keys", "counts", "deleted"])
 
-    return chunks.select("chunk", "part", "payload").mapInArrow(send, "kind int, range int, chunk long, keys binary, counts binary, deleted boolean")
+    return chunks.select("chunk", "part", "payload").mapInArrow(tidied(send), "kind int, range int, chunk long, keys binary, counts binary, deleted boolean")
 
 
 def add_up(sent: DataFrame) -> DataFrame:
@@ -243,7 +243,7 @@ def deleted_cells(pairs: DataFrame, n_kept: int) -> DataFrame:
                 every, back, times = np.unique(cell, return_inverse=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(every >> 20, pa.int64()), pa.array(every >> 10 & 1023, pa.int64()), pa.array(every & 1023, pa.int64()), pa.array(times, pa.int64()), pa.array(np.bincount(back, p2)), pa.array(np.bincount(back, p1))], ["bucket", "high", "low", "times", "p2", "p1"])
 
-    cells = pairs.mapInArrow(gather, "bucket long, high long, low long, times long, p2 double, p1 double")
+    cells = pairs.mapInArrow(tidied(gather), "bucket long, high long, low long, times long, p2 double, p1 double")
     return cells.groupBy("bucket", "high", "low").agg(F.sum("times").alias("times"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
 
 
@@ -302,7 +302,7 @@ def score(documents: DataFrame) -> DataFrame:
                 sums = [np.add.reduceat(x, starts) for x in ((c.word > 0).astype(np.int64), np.log10((c.word + 1) / (n + distinct + 1)), np.log10(p))]
                 yield pa.RecordBatch.from_arrays([pa.array(c.chunk.ids, pa.int64()), pa.array(c.chunk.sizes, pa.int64()), *map(pa.array, sums)], names)
 
-    scored = with_counts(chunks, answers).mapInArrow(judge, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = with_counts(chunks, answers).mapInArrow(tidied(judge), "doc_id long, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == TEST, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

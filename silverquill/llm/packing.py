@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucket_count, materialize, pieces_of, running_total, table
+from .common import bucket_count, materialize, pieces_of, running_total, table, tidied
 from .tokens import word_encoder
 
 CAPACITY, END_ID, TOKENIZER = 4096, 1, "word_bpe_49k.json"
@@ -179,8 +179,9 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(tokenizer)
         for whole in batches:
-            for b in pieces_of(whole):
+            for b in pieces_of(whole, most_bytes=4 << 20):
                 ids, sizes = encoder.encode(b.column(1))
+                pa.default_memory_pool().release_unused()
                 ends = np.cumsum(sizes)
                 which, piece, start, length, crc = [], [], [], [], []
                 for i, (a, z) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
@@ -194,7 +195,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
                         crc.append(zlib.crc32(part))
                 yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(which, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
 
-    return documents.select("doc_id", "text").mapInArrow(cut, schema)
+    return documents.select("doc_id", "text").mapInArrow(tidied(cut), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:

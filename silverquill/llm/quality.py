@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import crc32_of_id, materialize, pieces_of, table
+from .common import crc32_of_id, materialize, pieces_of, table, tidied
 
 DIMS, ROWS, NONZERO, WINDOW, HIDDEN = 48, 1 << 15, 4, 2, 32
 SAMPLE_ROWS = 12_000
@@ -191,7 +191,7 @@ def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype("<i4").tobytes(), 1)], pa.binary())], ["part"])
 
     context = np.zeros((ROWS, DIMS))
-    for (part,) in sample.select("text").mapInArrow(gather, "part binary").toLocalIterator():
+    for (part,) in sample.select("text").mapInArrow(tidied(gather), "part binary").toLocalIterator():
         context += np.frombuffer(zlib.decompress(bytes(part)), "<i4").reshape(ROWS, DIMS)
     shared = spark.sparkContext.broadcast(_vectors(context))
 
@@ -203,7 +203,7 @@ def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary()), b.column(2)], ["doc_id", "x", "quality"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    rows = sorted(sample.select("doc_id", "text", "quality").mapInArrow(features, f"doc_id {kind}, x binary, quality int").collect(), key=lambda r: (r[0], bytes(r[1])))
+    rows = sorted(sample.select("doc_id", "text", "quality").mapInArrow(tidied(features), f"doc_id {kind}, x binary, quality int").collect(), key=lambda r: (r[0], bytes(r[1])))
     y = np.array([r[2] for r in rows], np.int64)
     net: Network | float = (int(y.sum()) + 1) / (len(y) + 2)
     if len(set(y.tolist())) == 2:
@@ -221,8 +221,8 @@ def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
                     p = model.value.probability(pool(read_words(b.column(1)), shared.value, index))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    scored = documents.select("doc_id", "text").mapInArrow(score, f"doc_id {kind}, score double")
-    return scored.select("doc_id", (F.pmod(crc32_of_id(), F.lit(5)) == 0).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = documents.select("doc_id", "text").mapInArrow(tidied(score), f"doc_id {kind}, score double")
+    return scored.select("doc_id", F.coalesce(F.pmod(crc32_of_id(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ _OPEN: dict[str, WordEncoder] = {}
 class WordEncoder:
     """Encodes batches of texts; keeps at most ``most`` words."""
 
-    def __init__(self, name: str, most: int = 1_000_000) -> None:
+    def __init__(self, name: str, most: int = 400_000) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         import public_tokenizers

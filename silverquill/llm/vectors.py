@@ -249,7 +249,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     kind = "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = materialize(embeddings.select("vec_id", F.when(valid(F.col("embedding")), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")).alias("embedding")).withColumns({"_h1": F.xxhash64("embedding"), "_h2": F.hash("embedding"), "dims": F.size("embedding")}), "vectors")
     every = rows.where("embedding is not null").groupBy("dims", "_h1", "_h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    dims = [r[0] for r in every.select("dims").distinct().limit(1000).collect()]
+    dims = [r[0] for r in every.select("dims").distinct().collect()]
     found = None
     for d in dims:
         one = _one_length(rows, every.where(F.col("dims") == d).select("_h1", "_h2", "id", "copies"), d, kind, threshold)
