@@ -126,21 +126,23 @@ def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> Da
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = materialize(pairs, label)
-    seen = None
     for _ in range(most_rounds):
+        if _stars(pairs):
+            top = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
+            return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         large = materialize(large, label)
         down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
         small = large.join(down, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
         pairs = materialize(small, label)
-        now = pairs.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if now == seen or now[0] == 0:
-            break
-        seen = now
-    else:
-        raise RuntimeError("components did not settle")
-    top = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
+    raise RuntimeError("components did not settle")
+
+
+def _stars(pairs: DataFrame) -> bool:
+    """Whether every node of ``pairs`` (u, v) is either a centre or linked with one centre only."""
+    ends = pairs.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("n"), F.lit(0).alias("up")))
+    roles = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all"))
+    return roles.where("ups > 1 or (ups = 1 and all > 1)").isEmpty()
