@@ -4,8 +4,9 @@ Equal vectors are one node. Random hyperplanes deal the nodes into blocks, whose
 neighbour graph; rounds of local joins (the neighbours of a node, forward and reverse, meet one another) refine it
 until few lists change. A list that is full of pairs above the threshold is enlarged. Edges at or above the
 threshold give the components. An audit of sampled nodes against all others measures recall, and more
-blocks and rounds follow while it is low. Links are then counted exactly inside each component: all links
-of a vector lie there. In a large component, angles to its first vector settle most pairs without comparing them.
+blocks and rounds follow while it is low. Lists are bounded, so the graph may still miss links: all nodes of different
+components are then compared, block by block, and the components that a link joins become one. Links
+are then counted exactly inside each component: all links of a vector lie there. In a large component, angles to its first vector settle most pairs without comparing them.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import components, materialize, table
 
 THRESHOLD, LIST, MOST_LIST, BLOCK, TABLES, ROUNDS, AUDIT, GOAL, BINS = 0.95, 10, 80, 256, 3, 4, 128, 0.995, 16
+CHUNK = 8 << 20
+"""Bytes of vectors that are compared with all others at a time."""
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -182,6 +185,49 @@ def audit(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, sample
     return tuple(true.agg(F.count("*"), F.count_if(F.coalesce("component", "id") == F.col("part"))).first())
 
 
+def missed_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, dims: int, n: int, most: int = CHUNK) -> DataFrame | None:
+    """(a, b): different components (a node without one is its own) that a link joins, exactly; None if there are none.
+
+    Chunks of at most about ``most`` bytes are compared with themselves and all later chunks. Single-precision products
+    with a margin above their rounding settle most pairs; the rest are compared in double precision.
+    """
+    spark = nodes.sparkSession
+    chunks = max(1, math.ceil(n * dims * np.dtype(kind).itemsize / most))
+    slack = (dims + 4) * 1.2e-7
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = nodes.join(part.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("part"), "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
+    dealt = materialize(dealt.repartition(files, "id").sortWithinPartitions("chunk"), "chunks")
+    found = None
+    for k in range(chunks):
+        asked = dealt.where(F.col("chunk") == k).select("part", "v").collect()
+        shared = spark.sparkContext.broadcast((np.array([r["part"] for r in asked], np.int64), b"".join(bytes(r["v"]) for r in asked)))
+
+        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            theirs, raw = shared.value
+            q = unit(np.frombuffer(raw, kind).reshape(len(theirs), -1)) if len(theirs) else np.zeros((0, dims))
+            q32 = q.astype(np.float32)
+            for b in batches:
+                mine, x = b.column(0).to_numpy(), unit(_matrix(b.column(1), kind))
+                x32 = x.astype(np.float32)
+                for i in range(0, len(x), 1024):
+                    for j in range(0, len(q), 2048):
+                        near = x32[i : i + 1024] @ q32[j : j + 2048].T >= threshold - slack
+                        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
+                        near = near[np.ix_(rows, cols)] & (mine[i + rows][:, None] != theirs[j + cols][None, :])
+                        rows, cols = rows[near.any(1)], cols[near.any(0)]
+                        if not len(rows):
+                            continue
+                        a, z = np.nonzero((x[i + rows] @ q[j + cols].T >= threshold) & (mine[i + rows][:, None] != theirs[j + cols][None, :]))
+                        pairs = np.unique(np.stack([mine[i + rows[a]], theirs[j + cols[z]]], 1), axis=0)
+                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+        fresh = materialize(dealt.where(F.col("chunk") >= k).select("part", "v").mapInArrow(find, "a long, b long").distinct(), "missed")
+        shared.destroy()
+        if not fresh.isEmpty():
+            found = fresh if found is None else materialize(found.unionByName(fresh).distinct(), "missed")
+    return found
+
+
 def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, block: int = 512) -> DataFrame:
     """(id, links): for every node of ``part`` (id, component) the members of the nodes it links with, exactly.
 
@@ -284,6 +330,10 @@ def _one_length(rows: DataFrame, every: DataFrame, dims: int, kind: str, thresho
         if met >= GOAL * true:
             break
         seeds = range(seeds.stop, seeds.stop + TABLES)
+    missed = missed_links(nodes.select("id", "v"), part, kind, threshold, dims, n)
+    if missed is not None:
+        joined = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(missed)
+        part = materialize(components(joined, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
     counted = count_links(nodes.select("id", "v", "copies"), part, kind, threshold)
     return every.join(part.hint("merge"), "id", "left").join(counted.hint("merge"), "id", "left").select(F.lit(dims).alias("dims"), "_h1", "_h2", "id", "copies", "links", "component")
 

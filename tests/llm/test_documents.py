@@ -439,3 +439,28 @@ def test_vectors_by_brute_force(spark):
     assert (rows.kept == (rows.vec_id == rows.component_id)).all()
     assert vectors.near_vectors(df.limit(0)).count() == 0
     assert json.dumps(sorted(set(rows.component_id[rows.vec_id < 5000][n > 600]))) == "[0]"
+
+
+def _exact_links(spark, v):
+    """n_links and component_id by near_vectors, and by comparing all pairs."""
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<float>")
+    rows = vectors.near_vectors(df).toPandas().sort_values("vec_id")
+    unit = vectors.unit(v)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    own = np.arange(len(v))
+    for _ in range(len(v)):
+        least = np.minimum(own, np.where(near, own[None, :], len(v)).min(1))
+        if (least == own).all():
+            break
+        own = least
+    return rows.n_links.to_numpy(), rows.component_id.to_numpy(), near.sum(1), own
+
+
+def test_vectors_of_tight_groups_link_across(spark):
+    rnd = np.random.default_rng(5)
+    a, b = np.linalg.qr(rnd.normal(size=(64, 2)))[0].T
+    b = 0.97 * a + math.sqrt(1 - 0.97**2) * b
+    v = np.array([*(a + rnd.normal(size=(200, 64)) * 0.002), *(b + rnd.normal(size=(200, 64)) * 0.002)], np.float32)
+    n, part, want_n, want_part = _exact_links(spark, v)
+    assert (want_n == 399).all() and (n == want_n).all() and (part == want_part).all()
