@@ -3,8 +3,9 @@
 Equal vectors are one node. Random hyperplanes deal the nodes into blocks, whose nearest pairs start a
 neighbour graph; rounds of local joins (the neighbours of a node, forward and reverse, meet one another) refine it
 until few lists change. A list that is full of pairs above the threshold is enlarged. Edges at or above the
-threshold give the components. An audit of sampled nodes against all others measures recall, and more
-blocks and rounds follow while it is low. Lists are bounded, so the graph may still miss links: all nodes of different
+threshold give the components. An audit of sampled nodes against all others estimates recall, and more
+blocks and rounds follow while it is low; it saves later work and decides nothing. Lists are bounded and a sample may
+hold no link, so the graph may still miss some: all nodes of different
 components are then compared, block by block, and the components that a link joins become one. Links
 are then counted exactly inside each component: all links of a vector lie there. In a large component, angles to its first vector settle most pairs without comparing them.
 """

@@ -464,3 +464,11 @@ def test_vectors_of_tight_groups_link_across(spark):
     v = np.array([*(a + rnd.normal(size=(200, 64)) * 0.002), *(b + rnd.normal(size=(200, 64)) * 0.002)], np.float32)
     n, part, want_n, want_part = _exact_links(spark, v)
     assert (want_n == 399).all() and (n == want_n).all() and (part == want_part).all()
+
+
+def test_vectors_in_rare_pairs_are_found(spark):
+    rnd = np.random.default_rng(6)
+    base = rnd.normal(size=(6000, 64))
+    v = np.array([*base, *(base[:60] + rnd.normal(size=(60, 64)) * 0.31)], np.float32)
+    n, part, want_n, want_part = _exact_links(spark, v)
+    assert 20 < want_n.sum() and (n == want_n).all() and (part == want_part).all()
