@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
 A url's identity leaves out scheme, ``www.`` and ``m.``, fragment, tracking parameters and a closing slash
-or ``.html``. Canonical links and refresh redirects in the pages are edges between identities; their
+or ``.html``. All canonical links and refresh redirects in the pages are edges between identities; their
 connected components are groups of aliases. A url that a rule fits keeps that rule's verdict. Any other
 is blocked if its group holds a url blocked by a rule and none allowed by one (an explicit allow has
 precedence), else allowed.
@@ -58,18 +58,20 @@ def with_rule(df: DataFrame, host: str, path: str, out: str, rules=RULES) -> Dat
     return df.join(best, (F.col(host) == F.col("_host")) & (F.col(path) == F.col("_path")), "left").drop("_host", "_path")
 
 
-def link_target(url: Column, host: Column, path: Column, html: Column) -> Column:
-    """The absolute url that the page names as its canonical form or redirects to; null if it names none."""
-    found = F.coalesce(F.nullif(F.regexp_extract(html, CANONICAL, 1), F.lit("")), F.nullif(F.regexp_extract(html, CANONICAL, 2), F.lit("")), F.nullif(F.regexp_extract(html, REFRESH, 1), F.lit("")))
-    link = F.when(html.rlike("(?i)canonical|http-equiv"), found)
+def link_targets(url: Column, host: Column, path: Column, html: Column) -> Column:
+    """The absolute urls that the page names as its canonical form or redirects to, each once; empty if it names none."""
+    every = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(2)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
+    found = F.when(html.rlike("(?i)canonical|http-equiv"), F.array_distinct(F.filter(every, lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
     base = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host)
-    return (
+    folder = F.regexp_replace(path, r"[^/]*$", "")
+    absolute = lambda link: (
         F.when(link.contains("://"), link)
         .when(link.startswith("//"), F.concat(F.lit("http:"), link))
         .when(link.startswith("/"), F.concat(base, link))
         .when(link.startswith("#") | link.startswith("?"), F.concat(base, path, link))
-        .otherwise(F.concat(base, F.regexp_replace(path, r"[^/]*$", ""), F.when(F.endswith(F.regexp_replace(path, r"[^/]*$", ""), F.lit("/")), F.lit("")).otherwise(F.lit("/")), link))
+        .otherwise(F.concat(base, folder, F.when(F.endswith(folder, F.lit("/")), F.lit("")).otherwise(F.lit("/")), link))
     )
+    return F.transform(found, absolute)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -81,15 +83,15 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     stays spread until the join of its one row with its members, which skew-join splitting covers.
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    rows = rows.withColumn("_to", link_target(F.col("url"), F.col("host"), F.col("path"), F.coalesce("html", F.lit("")))).drop("html")
-    rows = rows.withColumns({"_key": F.xxhash64(identity(F.col("url"), F.col("host"), F.col("path"))), "_thost": host_of(F.col("_to")), "_tpath": path_of(F.col("_to"))})
-    rows = rows.withColumn("_key", F.when((F.col("host") != "") | (F.col("path") != ""), F.col("_key")))
-    rows = rows.withColumn("_tkey", F.when((F.col("_thost") != "") | (F.col("_tpath") != ""), F.xxhash64(identity(F.col("_to"), F.col("_thost"), F.col("_tpath")))))
-    rows = with_rule(with_rule(rows, "host", "path", "_own", rules), "_thost", "_tpath", "_other", rules)
-    rows = materialize(rows.select("page_id", "host", "path", F.col("_own.rule").alias("rule"), F.col("_own.verdict").alias("_verdict"), "_key", "_tkey", F.col("_other.verdict").alias("_tverdict")), "pages")
-
-    linked = components(rows.where("_key <> _tkey").select(F.col("_key").alias("a"), F.col("_tkey").alias("b")), "aliases")
-    said = rows.where("_verdict is not null and _key is not null").select("_key", "_verdict").unionByName(rows.where("_tverdict is not null and _tkey is not null").select(F.col("_tkey").alias("_key"), F.col("_tverdict").alias("_verdict"))).distinct()
+    rows = rows.withColumn("_tos", link_targets(F.col("url"), F.col("host"), F.col("path"), F.coalesce("html", F.lit("")))).drop("html")
+    rows = rows.withColumn("_key", F.when((F.col("host") != "") | (F.col("path") != ""), F.xxhash64(identity(F.col("url"), F.col("host"), F.col("path")))))
+    rows = materialize(with_rule(rows, "host", "path", "_own", rules).select("page_id", "host", "path", F.col("_own.rule").alias("rule"), F.col("_own.verdict").alias("_verdict"), "_key", "_tos"), "pages")
+
+    named = rows.select("_key", F.explode("_tos").alias("_to")).distinct().withColumns({"_thost": host_of(F.col("_to")), "_tpath": path_of(F.col("_to"))})
+    named = named.withColumn("_tkey", F.when((F.col("_thost") != "") | (F.col("_tpath") != ""), F.xxhash64(identity(F.col("_to"), F.col("_thost"), F.col("_tpath")))))
+    named = materialize(with_rule(named, "_thost", "_tpath", "_other", rules).select("_key", "_tkey", F.col("_other.verdict").alias("_tverdict")), "links")
+    linked = components(named.where("_key <> _tkey").select(F.col("_key").alias("a"), F.col("_tkey").alias("b")), "aliases")
+    said = rows.where("_verdict is not null and _key is not null").select("_key", "_verdict").unionByName(named.where("_tverdict is not null and _tkey is not null").select(F.col("_tkey").alias("_key"), F.col("_tverdict").alias("_verdict"))).distinct()
     grouped = lambda df: df.join(linked, df["_key"] == linked["node"], "left").withColumn("_group", F.coalesce("component", "_key")).drop("node", "component")
     groups = grouped(said).groupBy("_group").agg(F.max(F.col("_verdict") == "block").alias("_blocked"), F.max(F.col("_verdict") == "allow").alias("_allowed"))
     groups = groups.where("_blocked and not _allowed").select(F.col("_group").alias("_g"))

@@ -472,3 +472,11 @@ def test_vectors_in_rare_pairs_are_found(spark):
     v = np.array([*base, *(base[:60] + rnd.normal(size=(60, 64)) * 0.31)], np.float32)
     n, part, want_n, want_part = _exact_links(spark, v)
     assert 20 < want_n.sum() and (n == want_n).all() and (part == want_part).all()
+
+
+def test_urls_use_every_link_of_a_page(spark):
+    both = '<link rel="canonical" href="http://stub.org/p"><meta http-equiv="refresh" content="0; url=http://b.net/fr/1">'
+    two = '<link rel="canonical" href="http://other.org/c"><link href="http://b.net/es/1" rel="canonical">'
+    rows = [(1, "http://stub.org/p", both), (2, "http://alias.org/q", '<link rel="canonical" href="http://stub.org/p">'), (3, "http://twice.org/r", two), (4, "http://other.org/c", ""), (5, "http://free.org/s", "")]
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow"}
