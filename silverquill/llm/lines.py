@@ -23,7 +23,7 @@ from .shingles import constants, mix
 
 WINDOW = 3
 LEAST_CHARS = 40
-"""Windows with fewer characters are left alone: too short to tell a copy from chance."""
+"""op4_line_dedup leaves windows with fewer characters alone, as its SQL does; ``dedup`` and the pipeline count all."""
 
 
 def line_array(text: Column) -> Column:
@@ -31,7 +31,7 @@ def line_array(text: Column) -> Column:
     return F.split(F.regexp_replace(text, r"(\n|[.!?] )", "$1\u0001"), "\u0001")
 
 
-def windows(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
+def windows(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
     """(doc_id, key, first, last, hash, again): every window of every document.
 
     ``key`` tells rows with the same doc_id apart; first and last are places in ``line_array``; again marks
@@ -79,7 +79,7 @@ def windows(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS)
     return documents.select("doc_id", "text").mapInArrow(tidied(find), f"doc_id {kind}, key long, first int, last int, hash long, again boolean")
 
 
-def spans_to_remove(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
+def spans_to_remove(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
     """(doc_id, key, spans): disjoint, sorted places (first, last) of the lines that go, for documents that lose any."""
     every = materialize(windows(documents, width, least), "windows")
     ids = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
@@ -101,7 +101,7 @@ def _union(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), empty, add)
 
 
-def dedup(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -> DataFrame:
+def dedup(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
     """``documents`` with the columns n_removed and kept_text added (replaced if there).
 
     n_removed counts lines with text that go. Order is by doc_id (null first), then by place; windows of rows with one
@@ -123,7 +123,7 @@ def dedup(documents: DataFrame, width: int = WINDOW, least: int = LEAST_CHARS) -
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "kept_text")
+    return dedup(table(spark, sf_dir, "documents"), least=LEAST_CHARS).select("doc_id", "n_removed", "kept_text")
 
 
 def op4_sql() -> str:

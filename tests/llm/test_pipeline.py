@@ -47,3 +47,9 @@ def test_empty_tables(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, DATA)
         assert docs.count() == 0
+
+
+def test_line_dedup_removes_repeated_short_lines(spark):
+    menu = "Home\nNews\nShop\n"
+    docs = spark.createDataFrame([(1, menu + "First text"), (2, menu + "Other text"), (3, "Alone\nhere\nnow")], "doc_id long, text string")
+    assert sorted((r["doc_id"], r["text"]) for r in cp.line_dedup(spark, docs, DATA).collect()) == [(1, menu + "First text"), (2, "Other text"), (3, "Alone\nhere\nnow")]
