@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local folder only where none is named (tests)."""
+    """The shared folder that the cluster names; where none is named a local folder, in local mode only (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_ROOT:
         _OWN_ROOT[app] = "file://" + tempfile.mkdtemp(prefix="silverquill-")
@@ -31,7 +33,8 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends at replicated files.
 
-    The files go when the JVM exits (Hadoop's delete-on-exit), so a lazy result may still read them.
+    The files go when ``discard`` is called, or when the JVM exits (Hadoop's delete-on-exit), so a lazy result may
+    still read them.
     """
     spark = df.sparkSession
     where = f"{scratch_root(spark)}/silverquill/{label}-{uuid.uuid4().hex}"
@@ -39,7 +42,43 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(where)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    return spark.read.schema(df.schema).parquet(where)
+    back = spark.read.schema(df.schema).parquet(where)
+    back._scratch = path
+    return back
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that ``materialize`` wrote and that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            path = df._scratch
+            path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+LEAST_HOT = 512
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """``many`` joined with ``one`` on ``key`` (integers), where no task gets a whole hot key.
+
+    A key is hot if it holds more rows of ``many`` than an even task would (and more than ``LEAST_HOT``). Its rows are cut by the
+    hash of their columns ``by``, and its rows of ``one`` stand once in each cut. Fewer keys than there are tasks can be hot:
+    only these reach the driver and are broadcast. ``many`` is read once more for the sizes, so it should be a stored table.
+    """
+    spark = many.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sizes = many.groupBy(*key).agg(F.count("*").alias("_rows"))
+    rows, top = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
+    even = max(LEAST_HOT, (rows or 0) // tasks)
+    if (top or 0) <= even:
+        return many.join(one.hint("merge"), key, how)
+    listed = sizes.where(F.col("_rows") > even).select(*key, F.ceil(F.col("_rows") / even).cast("int").alias("_cuts")).collect()
+    values = ", ".join("(" + ", ".join("NULL" if x is None else str(x) for x in r) + ")" for r in listed)
+    hot = spark.sql(f"SELECT * FROM VALUES {values} AS h({', '.join(f'`{k}`' for k in key)}, `_cuts`)")
+    hot = F.broadcast(hot.select(*(F.col(k).cast(many.schema[k].dataType) for k in key), "_cuts"))
+    cut = many.join(hot, key, "left").withColumn("_cut", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_cuts")).cast("int"), F.lit(0))).drop("_cuts")
+    each = one.join(hot, key, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cuts") - 1, F.lit(0))))).drop("_cuts")
+    return cut.join(each.hint("merge"), [*key, "_cut"], how).drop("_cut")
 
 
 def pieces_of(batch, most_rows: int = 2000, most_bytes: int = 8 << 20):
@@ -121,28 +160,31 @@ def components(edges: DataFrame, label: str = "cc", most_rounds: int = 60) -> Da
 
     Alternating large-star and small-star steps: each round links every node to the smallest node that it
     or its neighbours know, and the edges of a settled component form a star. Minima are partial
-    aggregates, the join on a hub's key is left to skew-join splitting, and each round is written to the
-    shared folder, so that lineage stays short. Null ends and self loops are ignored.
+    aggregates, a hub's edges are cut among tasks (``spread_join``), and each round is written to the
+    shared folder, so that lineage stays short; the tables of the round before go. Null ends and self loops are ignored.
     """
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     pairs = materialize(pairs, label)
     for _ in range(most_rounds):
-        if _stars(pairs):
+        settled, degree = _stars(pairs)
+        if settled:
             top = pairs.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
             return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(top)
+        join = (lambda many, one: spread_join(many, one, ["u"], ["v"])) if degree > LEAST_HOT else (lambda many, one: many.join(one, "u"))
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = materialize(large, label)
-        down = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        small = large.join(down, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = small.unionByName(down.select(F.col("k").alias("u"), F.col("m").alias("v"))).distinct()
-        pairs = materialize(small, label)
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = materialize(join(both.where("v > u"), least).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), label)
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = join(large, down).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), label)
+        discard(pairs, large)
+        pairs = small
     raise RuntimeError("components did not settle")
 
 
-def _stars(pairs: DataFrame) -> bool:
-    """Whether every node of ``pairs`` (u, v) is either a centre or linked with one centre only."""
+def _stars(pairs: DataFrame) -> tuple[bool, int]:
+    """Whether every node of ``pairs`` (u, v) is either a centre or linked with one centre only; and the most edges of a node."""
     ends = pairs.select(F.col("u").alias("n"), F.lit(1).alias("up")).unionByName(pairs.select(F.col("v").alias("n"), F.lit(0).alias("up")))
     roles = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all"))
-    return roles.where("ups > 1 or (ups = 1 and all > 1)").isEmpty()
+    open_, degree = roles.agg(F.count_if(F.expr("ups > 1 or (ups = 1 and all > 1)")), F.max("all")).first()
+    return not open_, degree or 0

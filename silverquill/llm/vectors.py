@@ -1,13 +1,17 @@
 """Embedding near-dedup by NN-descent.
 
-Equal vectors are one node. Random hyperplanes deal the nodes into blocks, whose nearest pairs start a
-neighbour graph; rounds of local joins (the neighbours of a node, forward and reverse, meet one another) refine it
-until few lists change. A list that is full of pairs above the threshold is enlarged. Edges at or above the
-threshold give the components. An audit of sampled nodes against all others estimates recall, and more
-blocks and rounds follow while it is low; it saves later work and decides nothing. Lists are bounded and a sample may
-hold no link, so the graph may still miss some: all nodes of different
-components are then compared, block by block, and the components that a link joins become one. Links
-are then counted exactly inside each component: all links of a vector lie there. In a large component, angles to its first vector settle most pairs without comparing them.
+Equal vectors are one node. Random hyperplanes deal the nodes into blocks, and every block gives each of its nodes the
+nearest others, and a spanning forest of all links inside it, however many there are. The number of block tables grows
+with the nodes (about as their power 0.15), so that a pair that meets the threshold meets in a block with a fixed
+probability at every size. The nearest others start a neighbour graph, which rounds of local joins refine (the neighbours
+of a node, forward and reverse, meet one another) until few lists change. A list that is full of links is enlarged. Only
+neighbours within twice the threshold's angle stand in lists: no link has a middle farther off, and vectors without a
+near one cost nothing after their blocks.
+
+Links of blocks and lists give the components. An audit then compares sampled nodes that have links, and others, with all
+nodes, and deals planted pairs at the threshold through the same hyperplanes; while either recall is too low more tables
+and rounds follow, and below ``FLOOR`` the run fails. Links are counted exactly inside each component: all links found lie
+there. In a large component, angles to its first vector settle most pairs without comparing them.
 """
 
 from __future__ import annotations
@@ -20,11 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, materialize, table
+from .common import components, discard, materialize, spread_join, table
 
-THRESHOLD, LIST, MOST_LIST, BLOCK, TABLES, ROUNDS, AUDIT, GOAL, BINS = 0.95, 10, 80, 256, 3, 4, 128, 0.995, 16
-CHUNK = 8 << 20
-"""Bytes of vectors that are compared with all others at a time."""
+THRESHOLD, LIST, MOST_LIST, BLOCK, MOST_BLOCK, ROUNDS, ATTEMPTS, BINS = 0.95, 10, 80, 512, 4096, 6, 3, 16
+MISS = 0.002
+"""The chance at most with which a pair at the threshold meets in no block."""
+AUDIT, GOAL, FLOOR = 256, 0.99, 0.9
+"""Nodes of each kind that are audited, the recall that ends the search, and the recall below which the run fails."""
+PAIR = "id long, cos double, other long"
 
 
 def unit(raw: np.ndarray) -> np.ndarray:
@@ -73,46 +80,98 @@ def pack_vectors(kind: str):
         for b in batches:
             lists = b.column(1)
             flat, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(kind), lists.offsets.to_numpy() - lists.offsets[0].as_py()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary())], ["id", "v"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[a:z].tobytes() for a, z in zip(offsets[:-1], offsets[1:], strict=True)], pa.binary()), b.column(2), b.column(3)], ["id", "v", "dims", "copies"])
 
     return pack
 
 
-def blocks(nodes: DataFrame, kind: str, n: int, seeds: range, size: int = BLOCK) -> DataFrame:
-    """(table, key, part, id, v): each node once per seed, by the signs of its products with random hyperplanes;
-    a block with too many nodes is cut by hash, differently for each seed."""
-    bits = max(0, math.ceil(math.log2(max(1, n / (size / 2)))))
+def tables_for(n: int, threshold: float, size: int = BLOCK, miss: float = MISS) -> tuple[int, int]:
+    """(hyperplanes of a table, tables) for ``n`` vectors of one length: blocks of about ``size``, and as many tables
+    as it takes that two vectors at the threshold's angle meet in none with a chance of ``miss`` at most."""
+    planes = max(0, math.ceil(math.log2(max(1, n / size))))
+    meet = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** planes
+    return planes, 1 if meet >= 1 - miss else math.ceil(math.log(miss) / math.log1p(-meet))
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = unit(_matrix(b.column(1), kind))
-            for seed in seeds:
-                planes = np.random.default_rng(seed).normal(size=(x.shape[1], max(bits, 1)))
-                key = (x @ planes > 0).astype(np.int64) @ (1 << np.arange(max(bits, 1), dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), seed, np.int32)), pa.array(key), b.column(0), b.column(1)], ["table", "key", "id", "v"])
 
-    dealt = materialize(nodes.select("id", "v").mapInArrow(deal, "table int, key long, id long, v binary"), "dealt")
-    sizes = dealt.groupBy("table", "key").agg(F.ceil(F.count("*") / size).alias("_parts"))
-    return dealt.join(sizes, ["table", "key"]).select("table", "key", F.pmod(F.xxhash64("id", "table"), F.col("_parts")).cast("int").alias("part"), "id", "v")
+def codes_of(x: np.ndarray, seed: int, planes: int) -> np.ndarray:
+    """The block of each row in the table ``seed``: the signs of its products with random hyperplanes."""
+    normals = np.random.default_rng([seed, x.shape[1]]).normal(size=(x.shape[1], planes))
+    return (x @ normals > 0).astype(np.int64) @ (1 << np.arange(planes, dtype=np.int64))
 
 
-def nearest_in_blocks(dealt: DataFrame, kind: str, keep: int) -> DataFrame:
-    """(id, near): of each node in each block the ``keep`` nearest others, as (cosine, id)."""
+def blocks(nodes: DataFrame, kind: str, plan: dict[int, tuple[int, int]], attempt: int) -> DataFrame:
+    """(key, dims, part, id, v): each node once per table of its length; a block of more than ``MOST_BLOCK``
+    nodes is cut by hash, differently in each table, and a node alone in its block is left out."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, dims, v = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2)
+            for d in np.unique(dims).tolist():
+                own = np.flatnonzero(dims == d)
+                x, (planes, tables) = unit(_matrix(v.take(pa.array(own)), kind)), plan[d]
+                for t in range(attempt * tables, (attempt + 1) * tables):
+                    key = (codes_of(x, t, planes) << 12) + t
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(own), d, np.int32)), pa.array(ids[own])], ["key", "dims", "id"])
+
+    dealt = materialize(nodes.select("id", "dims", "v").mapInArrow(deal, "key long, dims int, id long"), "dealt")
+    parts = dealt.groupBy("key", "dims").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "dims", F.ceil(F.col("_n") / MOST_BLOCK).cast("int").alias("_parts"))
+    placed = spread_join(dealt, parts, ["key", "dims"], ["id"]).select("key", "dims", F.pmod(F.xxhash64("id", "key"), F.col("_parts")).cast("int").alias("part"), "id")
+    return placed.join(nodes.select("id", "v").hint("merge"), "id")
+
+
+def forest(ids: np.ndarray, x: np.ndarray, threshold: float, strip: int = 256) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Edges (id, other, cosine) that join all rows of ``x`` which links join, one fewer than rows in each group."""
+    edges, left = [], np.arange(len(x))
+    while len(left) > 1:
+        front, left = left[:1], left[1:]
+        while len(front) and len(left):
+            fresh = []
+            for i in range(0, len(front), strip):
+                some = front[i : i + strip]
+                c = x[some] @ x[left].T
+                best = c.argmax(0)
+                value = c[best, np.arange(len(left))]
+                hit = value >= threshold
+                if hit.any():
+                    edges.append((ids[left[hit]], ids[some[best[hit]]], value[hit]))
+                    fresh.append(left[hit])
+                    left = left[~hit]
+                if not len(left):
+                    break
+            front = np.concatenate(fresh) if fresh else left[:0]
+    return edges
+
+
+def nearest_in_blocks(dealt: DataFrame, kind: str, threshold: float, floor: float, keep: int = LIST, strip: int = 256) -> DataFrame:
+    """(id, cos, other): of each node in each block the ``keep`` nearest others from cosine ``floor`` up, and a
+    spanning forest of the block's links."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, 3):
-            if len(g) > 1:
-                ids, x = g.column(3).to_numpy(), unit(_matrix(g.column(4).combine_chunks(), kind))
-                c = x @ x.T
-                np.fill_diagonal(c, -2)
-                take = min(keep, len(ids) - 1)
-                at = np.argpartition(-c, take - 1, axis=1)[:, :take]
-                yield _lists(np.repeat(ids, take), ids[at].ravel(), np.take_along_axis(c, at, 1).ravel())
-
-    return _sorted(dealt, ["table", "key", "part"]).mapInArrow(join, "id long, cos double, other long")
-
-
-def _lists(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
+            if len(g) < 2:
+                continue
+            ids, x = g.column(3).to_numpy(), unit(_matrix(g.column(4).combine_chunks(), kind))
+            linked, found = np.zeros(len(ids), bool), []
+            for i in range(0, len(ids), strip):
+                c = x[i : i + strip] @ x.T
+                c[np.arange(len(c)), np.arange(i, i + len(c))] = -3
+                linked[i : i + strip] = (c >= threshold).any(1)
+                near = np.flatnonzero((c >= floor).any(1))
+                if len(near):
+                    c, take = c[near], min(keep, len(ids) - 1)
+                    at = np.argpartition(-c, take - 1, axis=1)[:, :take]
+                    values = np.take_along_axis(c, at, 1)
+                    good = values >= floor
+                    found.append((np.repeat(ids[i + near], take)[good.ravel()], ids[at][good], values[good]))
+            if linked.any():
+                found += forest(ids[linked], x[linked], threshold)
+            if found:
+                yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+
+    return _sorted(dealt, ["key", "dims", "part"]).mapInArrow(join, PAIR)
+
+
+def _pairs(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cosines), pa.array(others)], ["id", "cos", "other"])
 
 
@@ -122,114 +181,142 @@ def _sorted(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*keys, *(c for c in df.columns if c not in keys)).repartition(n, *keys).sortWithinPartitions(*keys)
 
 
-def merge_lists(found: DataFrame, old: DataFrame | None, keep: int, most: int, threshold: float) -> DataFrame:
-    """(id, room, near): the nearest distinct others; ``room`` doubles for a list whose every entry is a link."""
-    rows = found.groupBy("id").agg(F.collect_set(F.struct("cos", "other")).alias("fresh"))
-    if old is None:
-        rows = rows.select("id", F.lit(keep).alias("room"), F.col("fresh").alias("all"))
-    else:
-        rows = old.join(rows.hint("merge"), "id", "left").select("id", "room", F.concat("near", F.coalesce("fresh", F.array().cast("array<struct<cos:double,other:long>>"))).alias("all"))
-    distinct = F.expr("map_values(map_from_entries(transform(array_distinct(transform(all, s -> s.other)), o -> struct(o AS k, aggregate(all, named_struct('cos', -2D, 'other', o), (m, s) -> CASE WHEN s.other = o AND s.cos > m.cos THEN s ELSE m END) AS s))))")
-    rows = rows.withColumn("near", F.reverse(F.array_sort(distinct))).drop("all")
-    rows = rows.withColumn("room", F.when((F.size(F.filter("near", lambda s: s["cos"] >= threshold)) >= F.col("room")) & (F.col("room") * 2 <= most), F.col("room") * 2).otherwise(F.col("room")))
-    return rows.select("id", "room", F.slice("near", 1, F.col("room")).alias("near"))
-
+def nearest(ids: np.ndarray, cosines: np.ndarray, others: np.ndarray, most: int) -> np.ndarray:
+    """Places of the ``most`` nearest distinct others of each id, ordered by id and nearness."""
+    order = np.lexsort((-cosines, others, ids))
+    i, o = ids[order], others[order]
+    order = order[np.concatenate([[True], (i[1:] != i[:-1]) | (o[1:] != o[:-1])])[: len(order)]]
+    order = order[np.lexsort((others[order], -cosines[order], ids[order]))]
+    i = ids[order]
+    first = np.concatenate([[True], i[1:] != i[:-1]])[: len(i)]
+    place = np.arange(len(i))
+    return order[place - np.maximum.accumulate(np.where(first, place, 0)) < most] if len(i) else order
+
+
+def merge_lists(found: DataFrame, old: DataFrame | None, threshold: float, keep: int = LIST, most: int = MOST_LIST) -> DataFrame:
+    """(id, cos, other, room): each node's nearest distinct others; ``room`` doubles for a list whose every entry
+    is a link. A node's rows come sorted by id, and never more than a batch and ``most`` of them are held."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = [np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+
+        def cut(rows: list[np.ndarray]) -> pa.RecordBatch:
+            ids, cosines, others, room = rows
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            rooms = np.repeat(np.maximum(np.maximum.reduceat(room, starts), keep), np.diff(np.append(starts, len(ids))))
+            at = nearest(ids, cosines, others, most)
+            ids, cosines, others, rooms = ids[at], cosines[at], others[at], rooms[at]
+            starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            sizes = np.diff(np.append(starts, len(ids)))
+            links = np.repeat(np.add.reduceat((cosines >= threshold).astype(np.int64), starts), sizes)
+            rooms = np.where((links >= rooms) & (rooms * 2 <= most), rooms * 2, rooms)
+            inside = np.arange(len(ids)) - np.repeat(starts, sizes) < rooms
+            return pa.RecordBatch.from_arrays([pa.array(x[inside]) for x in (ids, cosines, others, rooms.astype(np.int32))], ["id", "cos", "other", "room"])
 
-def local_joins(graph: DataFrame, nodes: DataFrame, kind: str, seed: int, group: int = 64) -> DataFrame:
+        for b in batches:
+            rows = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, b.columns, strict=True)]
+            if not len(rows[0]):
+                continue
+            last = int(np.searchsorted(rows[0], rows[0][-1]))
+            if last:
+                yield cut([r[:last] for r in rows])
+            rest = [r[last:] for r in rows]
+            if len(rest[0]) > 4 * most:  # a hub's rows: only its nearest matter
+                at, room = nearest(*rest[:3], most), rest[3].max()
+                rest = [r[at] for r in rest]
+                rest[3] = np.full(len(at), room, np.int32)
+        if len(rest[0]):
+            yield cut(rest)
+
+    rows = found.select("id", "cos", "other", F.lit(0).alias("room"))
+    return _sorted(rows if old is None else rows.unionByName(old), ["id"]).mapInArrow(merge, f"{PAIR}, room int")
+
+
+def local_joins(graph: DataFrame, nodes: DataFrame, kind: str, seed: int, floor: float, group: int = 64) -> DataFrame:
     """(id, cos, other): pairs that meet at a common neighbour and improve the list of ``id``.
 
     The members of a node's neighbourhood, forward and reverse, are cut by hash into groups of about
-    ``group``, so a node with very many reverse neighbours is many small joins.
+    ``group``, so a node with very many reverse neighbours is many small joins. A task sends on at most ``MOST_LIST``
+    of an id's pairs from every few hundred groups.
     """
-    forward = graph.select("id", F.explode("near.other").alias("other"))
-    members = forward.select(F.col("id").alias("centre"), F.col("other").alias("id")).unionByName(forward.select(F.col("other").alias("centre"), "id")).unionByName(graph.select(F.col("id").alias("centre"), "id")).distinct()
-    many = members.groupBy("centre").agg(F.ceil(F.count("*") / group).cast("int").alias("_parts"))
-    limits = graph.select("id", F.when(F.size("near") < F.col("room"), -2.0).otherwise(F.element_at("near", -1)["cos"]).alias("worst")).join(nodes.hint("merge"), "id")
-    parts = members.join(many.hint("merge"), "centre").select("centre", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_parts")).cast("int").alias("part"), "id")
-    placed = parts.join(limits.hint("merge"), "id").select("centre", "part", "id", "worst", "v")
+    members = graph.select(F.col("id").alias("centre"), F.col("other").alias("id")).unionByName(graph.select(F.col("other").alias("centre"), "id")).unionByName(graph.select(F.col("id").alias("centre"), "id")).distinct()
+    members = materialize(members, "members")
+    many = members.groupBy("centre").agg(F.count("*").alias("_n")).where("_n > 1").select("centre", F.ceil(F.col("_n") / group).cast("int").alias("_parts"))
+    parts = spread_join(members, many, ["centre"], ["id"]).select("centre", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_parts")).cast("int").alias("part"), "id")
+    limits = graph.groupBy("id").agg(F.when(F.count("*") < F.max("room"), F.lit(floor)).otherwise(F.min("cos")).alias("worst"))
+    placed = parts.join(limits.hint("merge"), "id", "left").join(nodes.select("id", "v").hint("merge"), "id").select("centre", "part", "id", F.coalesce("worst", F.lit(floor)).alias("worst"), "v")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+
+        def send() -> pa.RecordBatch:
+            ids, others, cosines = map(np.concatenate, zip(*held, strict=True))
+            held.clear()
+            at = nearest(ids, cosines, others, MOST_LIST)
+            return _pairs(ids[at], others[at], cosines[at])
+
         for g in groups_of(batches, 2):
             if len(g) < 2:
                 continue
             ids, worst, x = g.column(2).to_numpy(), g.column(3).to_numpy(), unit(_matrix(g.column(4).combine_chunks(), kind))
             c = x @ x.T
             np.fill_diagonal(c, -3)
-            a, b = np.nonzero(c > worst[:, None] + 1e-12)
+            a, b = np.nonzero((c > worst[:, None] + 1e-12) & (c >= floor))
             if len(a):
                 held.append((ids[a], ids[b], c[a, b]))
             if len(held) >= 500:
-                yield _lists(*map(np.concatenate, zip(*held, strict=True)))
-                held = []
+                yield send()
         if held:
-            yield _lists(*map(np.concatenate, zip(*held, strict=True)))
+            yield send()
 
-    return _sorted(placed, ["centre", "part"]).mapInArrow(join, "id long, cos double, other long").dropDuplicates(["id", "other"])
+    return _sorted(placed, ["centre", "part"]).mapInArrow(join, PAIR)
 
 
-def audit(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, sample: int = AUDIT) -> tuple[int, int]:
-    """Links that ``sample`` nodes have with all others by brute force, and those of them inside one component."""
-    asked = nodes.join(part, "id", "left").select("id", "v", F.coalesce("component", "id").alias("part")).orderBy(F.xxhash64("id")).limit(sample).collect()
-    if not asked:
-        return 0, 0
-    shared = nodes.sparkSession.sparkContext.broadcast(([r["id"] for r in asked], [r["part"] for r in asked], [bytes(r["v"]) for r in asked]))
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, parts, raw = shared.value
-        q = unit(np.frombuffer(b"".join(raw), kind).reshape(len(ids), -1))
-        for b in batches:
-            a, z = np.nonzero(unit(_matrix(b.column(1), kind)) @ q.T >= threshold)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(a)), pa.array(np.array(ids, np.int64)[z]), pa.array(np.array(parts, np.int64)[z])], ["id", "asked", "part"])
-
-    true = nodes.select("id", "v").mapInArrow(find, "id long, asked long, part long").where("id <> asked").join(part, "id", "left")
-    return tuple(true.agg(F.count("*"), F.count_if(F.coalesce("component", "id") == F.col("part"))).first())
+def planted_recall(sample: list[np.ndarray], plan: dict[int, tuple[int, int]], threshold: float, attempts: int) -> float:
+    """The share of pairs at the threshold's angle, one of each the given vector, that meet in a block."""
+    met, rng = [], np.random.default_rng(97)
+    for x in sample:
+        planes, tables = plan[len(x)]
+        other = rng.normal(size=(4, len(x)))
+        other -= (other @ x)[:, None] * x
+        size = np.linalg.norm(other, axis=1, keepdims=True)
+        pairs = np.vstack([x[None, :], threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * other / np.maximum(size, 1e-300)])
+        codes = np.stack([codes_of(pairs, t, planes) for t in range(attempts * tables)])
+        met += [bool(m) for m, s in zip((codes[:, 1:] == codes[:, :1]).any(0), size[:, 0], strict=True) if s > 1e-9]
+    return float(np.mean(met)) if met else 1.0
 
 
-def missed_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, dims: int, n: int, most: int = CHUNK) -> DataFrame | None:
-    """(a, b): different components (a node without one is its own) that a link joins, exactly; None if there are none.
+def audit(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, sample: int = AUDIT) -> tuple[int, int, list[np.ndarray]]:
+    """Links that ``sample`` nodes in components and as many others have with all nodes by brute force, those of them
+    inside one component, and the vectors asked."""
+    placed = nodes.join(part.hint("merge"), "id", "left").select("id", "dims", "v", F.col("component").isNotNull().alias("linked"), F.coalesce("component", "id").alias("part"))
+    asked = [r for linked in (True, False) for r in placed.where(F.col("linked") == linked).orderBy(F.xxhash64("id")).limit(sample).collect()]
+    shared = nodes.sparkSession.sparkContext.broadcast([(r["id"], r["part"], r["dims"], bytes(r["v"])) for r in asked])
 
-    Chunks of at most about ``most`` bytes are compared with themselves and all later chunks. Single-precision products
-    with a margin above their rounding settle most pairs; the rest are compared in double precision.
-    """
-    spark = nodes.sparkSession
-    chunks = max(1, math.ceil(n * dims * np.dtype(kind).itemsize / most))
-    slack = (dims + 4) * 1.2e-7
-    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = nodes.join(part.hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("part"), "v", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int").alias("chunk"))
-    dealt = materialize(dealt.repartition(files, "id").sortWithinPartitions("chunk"), "chunks")
-    found = None
-    for k in range(chunks):
-        asked = dealt.where(F.col("chunk") == k).select("part", "v").collect()
-        shared = spark.sparkContext.broadcast((np.array([r["part"] for r in asked], np.int64), b"".join(bytes(r["v"]) for r in asked)))
-
-        def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            theirs, raw = shared.value
-            q = unit(np.frombuffer(raw, kind).reshape(len(theirs), -1)) if len(theirs) else np.zeros((0, dims))
-            q32 = q.astype(np.float32)
-            for b in batches:
-                mine, x = b.column(0).to_numpy(), unit(_matrix(b.column(1), kind))
-                x32 = x.astype(np.float32)
-                for i in range(0, len(x), 1024):
-                    for j in range(0, len(q), 2048):
-                        near = x32[i : i + 1024] @ q32[j : j + 2048].T >= threshold - slack
-                        rows, cols = np.flatnonzero(near.any(1)), np.flatnonzero(near.any(0))
-                        near = near[np.ix_(rows, cols)] & (mine[i + rows][:, None] != theirs[j + cols][None, :])
-                        rows, cols = rows[near.any(1)], cols[near.any(0)]
-                        if not len(rows):
-                            continue
-                        a, z = np.nonzero((x[i + rows] @ q[j + cols].T >= threshold) & (mine[i + rows][:, None] != theirs[j + cols][None, :]))
-                        pairs = np.unique(np.stack([mine[i + rows[a]], theirs[j + cols[z]]], 1), axis=0)
-                        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        fresh = materialize(dealt.where(F.col("chunk") >= k).select("part", "v").mapInArrow(find, "a long, b long").distinct(), "missed")
-        shared.destroy()
-        if not fresh.isEmpty():
-            found = fresh if found is None else materialize(found.unionByName(fresh).distinct(), "missed")
-    return found
-
-
-def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, block: int = 512) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries = {}
+        for i, p, d, v in shared.value:
+            queries.setdefault(d, []).append((i, p, v))
+        queries = {d: (np.array([q[0] for q in own], np.int64), np.array([q[1] for q in own], np.int64), unit(np.frombuffer(b"".join(q[2] for q in own), kind).reshape(len(own), -1))) for d, own in queries.items()}
+        for b in batches:
+            ids, dims, parts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
+            true = same = 0
+            for d, (qi, qp, q) in queries.items():
+                own = np.flatnonzero(dims == d)
+                if len(own):
+                    x = unit(_matrix(b.column(2).take(pa.array(own)), kind))
+                    for i in range(0, len(x), 1024):
+                        a, z = np.nonzero(x[i : i + 1024] @ q.T >= threshold)
+                        at = own[i + a]
+                        other = ids[at] != qi[z]
+                        true, same = true + int(other.sum()), same + int((other & (parts[at] == qp[z])).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([same])], ["true", "same"])
+
+    true, same = placed.select("id", "dims", "v", "part").mapInArrow(find, "true long, same long").agg(F.sum("true"), F.sum("same")).first()
+    return true or 0, same or 0, [unit(np.frombuffer(v, kind).reshape(1, -1))[0] for _, _, _, v in shared.value]
+
+
+def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, block: int = 2048) -> DataFrame:
     """(id, links): for every node of ``part`` (id, component) the members of the nodes it links with, exactly.
 
     A component of up to ``block`` nodes is one product. In a larger one a node's angle to the component's first
@@ -238,16 +325,19 @@ def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float,
     """
     theta = math.acos(threshold)
     width = theta / BINS
-    members = materialize(part.join(nodes.hint("merge"), "id").select("component", "id", "copies", "v"), "members")
-    sizes = members.groupBy("component").agg(F.count("*").alias("size"))
-    sized = materialize(members.join(sizes.hint("merge"), "component"), "sized")
+    sizes = part.groupBy("component").agg(F.count("*").alias("size"))
+    placed = spread_join(part, sizes, ["component"], ["id"])
+    sized = materialize(placed.join(nodes.select("id", "copies", "v").hint("merge"), "id").select("component", "id", "copies", "v", "size"), "sized")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, 1):
-            x = unit(_matrix(g.column(3).combine_chunks(), kind))
-            near = x @ x.T >= threshold
-            np.fill_diagonal(near, False)
-            yield pa.RecordBatch.from_arrays([g.column(1).combine_chunks(), pa.array((near * g.column(2).to_numpy()[None, :]).sum(1).astype(np.int64))], ["id", "links"])
+            x, copies = unit(_matrix(g.column(3).combine_chunks(), kind)), g.column(2).to_numpy()
+            links = np.zeros(len(x), np.int64)
+            for i in range(0, len(x), 512):
+                near = x[i : i + 512] @ x.T >= threshold
+                near[np.arange(len(near)), np.arange(i, i + len(near))] = False
+                links[i : i + 512] = near @ copies
+            yield pa.RecordBatch.from_arrays([g.column(1).combine_chunks(), pa.array(links)], ["id", "links"])
 
     small = _sorted(sized.where(F.col("size") <= block).select("component", "id", "copies", "v"), ["component"]).mapInArrow(whole, "id long, links long")
     large = sized.where(F.col("size") > block)
@@ -261,25 +351,31 @@ def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float,
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array((angle / width).astype(np.int32)), *(b.column(k) for k in (1, 2, 3))], ["component", "ring", "id", "copies", "v"])
 
     first = large.where("id = component").select("component", F.col("v").alias("p"))
-    ringed = materialize(large.select("component", "id", "copies", "v").join(first.hint("merge"), "component").mapInArrow(ring, "component long, ring int, id long, copies long, v binary"), "rings")
-    rings = ringed.groupBy("component", "ring").agg(F.count("*").alias("n"), F.sum("copies").alias("copies"))
+    ringed = materialize(spread_join(large.select("component", "id", "copies", "v"), first, ["component"], ["id"]).mapInArrow(ring, "component long, ring int, id long, copies long, v binary"), "rings")
+    rings = materialize(ringed.groupBy("component", "ring").agg(F.count("*").alias("n"), F.sum("copies").alias("copies")), "rings")
     other = rings.select(F.col("component").alias("c2"), F.col("ring").alias("ring2"), F.col("copies").alias("copies2"), F.col("n").alias("n2"))
     met = rings.join(other.hint("merge"), F.col("component") == F.col("c2"))
     sure = F.col("ring") + F.col("ring2") + 2 <= BINS - 1e-6  # both angles at their largest
     certain = met.where(sure).groupBy("component", "ring").agg(F.sum("copies2").alias("_sure"), F.max(F.col("ring") == F.col("ring2")).alias("_self"))
-    settled = ringed.join(certain.hint("merge"), ["component", "ring"]).select("id", (F.col("_sure") - F.when(F.col("_self"), F.col("copies")).otherwise(0)).alias("links"))
+    settled = spread_join(ringed, certain, ["component", "ring"], ["id"]).select("id", (F.col("_sure") - F.when(F.col("_self"), F.col("copies")).otherwise(0)).alias("links"))
     open_ = materialize(met.where(~sure & (F.abs(F.col("ring") - F.col("ring2")) <= BINS + 1)).select("component", "ring", "ring2", F.ceil(F.col("n2") / block).cast("int").alias("parts2")), "ring-pairs")
-    left = ringed.join(rings.select("component", "ring", F.ceil(F.col("n") / block).cast("int").alias("_parts")).hint("merge"), ["component", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts")
-    asks = left.join(open_.hint("merge"), ["component", "ring"]).withColumn("part2", F.explode(F.expr("sequence(0, parts2 - 1)"))).select("component", "ring", "part", "ring2", "part2", F.lit(0).alias("side"), "id", "copies", "v")
+    left = spread_join(ringed, rings.select("component", "ring", F.ceil(F.col("n") / block).cast("int").alias("_parts")), ["component", "ring"], ["id"])
+    left = materialize(left.withColumn("part", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int")).drop("_parts"), "ring-parts")
+    asks = spread_join(left, open_, ["component", "ring"], ["id"]).withColumn("part2", F.explode(F.expr("sequence(0, parts2 - 1)"))).select("component", "ring", "part", "ring2", "part2", F.lit(0).alias("side"), "id", "copies", "v")
     back = open_.join(rings.select("component", "ring", F.ceil(F.col("n") / block).cast("int").alias("parts")).hint("merge"), ["component", "ring"]).select("component", "ring", "parts", F.col("ring2").alias("_r"))
-    gives = left.select("component", F.col("ring").alias("_r"), F.col("part").alias("part2"), "id", "copies", "v").join(back.hint("merge"), ["component", "_r"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("component", "ring", "part", F.col("_r").alias("ring2"), "part2", F.lit(1).alias("side"), "id", "copies", "v")
+    gives = spread_join(left.select("component", F.col("ring").alias("_r"), F.col("part").alias("part2"), "id", "copies", "v"), back, ["component", "_r"], ["id"]).withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("component", "ring", "part", F.col("_r").alias("ring2"), "part2", F.lit(1).alias("side"), "id", "copies", "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, 5):
             side, ids, copies, x = g.column(5).to_numpy(), g.column(6).to_numpy(), g.column(7).to_numpy(), unit(_matrix(g.column(8).combine_chunks(), kind))
-            a, b = side == 0, side == 1
-            near = (x[a] @ x[b].T >= threshold) & (ids[a][:, None] != ids[b][None, :])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array((near * copies[b][None, :]).sum(1).astype(np.int64))], ["id", "links"])
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            z = x[a]
+            own, theirs, y, times = ids[a], ids[b], x[b], copies[b]
+            links = np.zeros(len(own), np.int64)
+            for i in range(0, len(own), 512):
+                near = (z[i : i + 512] @ y.T >= threshold) & (own[i : i + 512, None] != theirs[None, :])
+                links[i : i + 512] = near @ times
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(links)], ["id", "links"])
 
     compared = _sorted(asks.unionByName(gives), ["component", "ring", "part", "ring2", "part2"]).mapInArrow(compare, "id long, links long")
     return small.unionByName(settled.unionByName(compared).groupBy("id").agg(F.sum("links").alias("links")))
@@ -289,54 +385,64 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     """(vec_id, n_links, component_id, kept) for every row of ``embeddings`` (vec_id, embedding).
 
     Vectors that are null, empty or zero, or hold null or non-finite components, link with nothing. Cosines are of
-    double precision and taken between vectors of one length. Repeated rows are vectors of their own that link with one another. An
-    empty table gives an empty one.
+    double precision and taken between vectors of one length; all lengths go through the same passes, and one
+    row per distinct length reaches the driver. Repeated rows, and rows with one vec_id or none, are vectors of their own
+    that link like any others (a component of null ids alone has a null component_id). An empty table gives an empty one. Raises RuntimeError if the audit finds a recall below ``FLOOR``.
     """
     spark = embeddings.sparkSession
     kind = "<f4" if embeddings.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
     rows = materialize(embeddings.select("vec_id", F.when(valid(F.col("embedding")), F.col("embedding").cast("array<float>" if kind == "<f4" else "array<double>")).alias("embedding")).withColumns({"_h1": F.xxhash64("embedding"), "_h2": F.hash("embedding"), "dims": F.size("embedding")}), "vectors")
-    every = rows.where("embedding is not null").groupBy("dims", "_h1", "_h2").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"))
-    dims = [r[0] for r in every.select("dims").distinct().collect()]
-    found = None
-    for d in dims:
-        one = _one_length(rows, every.where(F.col("dims") == d).select("_h1", "_h2", "id", "copies"), d, kind, threshold)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    every = rows.where("embedding is not null").groupBy("dims", "_h1", "_h2").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+    every = materialize(every.withColumn("id", F.monotonically_increasing_id()), "distinct")
+    packed = every.select("id", "embedding", "dims", "copies").mapInArrow(pack_vectors(kind), "id long, v binary, dims int, copies long")
+    nodes = materialize(packed, "nodes")
+    part = linked_parts(nodes, kind, threshold)
+    found = every.select("dims", "_h1", "_h2", "id", "least", "copies")
+    if part is None:
+        found = found.withColumns({"links": F.lit(0).cast("long"), "name": F.col("least")})
+    else:
+        placed = materialize(part.join(found.select("id", "least").hint("merge"), "id"), "placed")
+        named = spread_join(placed, placed.groupBy("component").agg(F.min("least").alias("name")), ["component"], ["id"]).select("id", "name")
+        counted = count_links(nodes, part, kind, threshold)
+        found = found.join(named.hint("merge"), "id", "left").join(counted.hint("merge"), "id", "left").withColumn("name", F.coalesce("name", "least"))
     joined = rows.select("vec_id", "dims", "_h1", "_h2", F.col("embedding").isNotNull().alias("_ok")).join(found.hint("merge"), ["dims", "_h1", "_h2"], "left")
-    component = F.when(F.col("_ok"), F.coalesce("component", "id", "vec_id")).otherwise(F.col("vec_id"))
+    component = F.when(F.col("_ok"), F.coalesce("name", "vec_id")).otherwise(F.col("vec_id"))
     links = F.when(F.col("_ok"), F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).otherwise(F.lit(0))
     return joined.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def _one_length(rows: DataFrame, every: DataFrame, dims: int, kind: str, threshold: float) -> DataFrame:
-    """(dims, _h1, _h2, id, copies, links, component) of the distinct vectors of one length."""
-    first = rows.where((F.col("dims") == dims) & F.col("embedding").isNotNull()).join(every.select("_h1", "_h2", "id"), ["_h1", "_h2"]).where("vec_id = id").select("id", "embedding")
-    packed = first.mapInArrow(pack_vectors(kind), "id long, v binary").dropDuplicates(["id"])
-    nodes = materialize(packed.join(every.hint("merge"), "id"), "nodes")
-    n = nodes.count()
-    graph, part, seeds = None, None, range(TABLES)
-    for attempt in range(4):
-        fresh = nearest_in_blocks(blocks(nodes, kind, n, seeds), kind, LIST)
-        graph = materialize(merge_lists(fresh, graph, LIST, MOST_LIST, threshold), "graph")
+def linked_parts(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | None:
+    """(id, component) of the nodes that have links, by NN-descent; None if no node has any."""
+    plan = {d: tables_for(n, threshold) for d, n in nodes.groupBy("dims").count().collect()}
+    if not plan:
+        return None
+    floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
+    graph = part = edges = None
+    for attempt in range(ATTEMPTS):
+        fresh = materialize(nearest_in_blocks(blocks(nodes, kind, plan, attempt), kind, threshold, floor), "fresh")
+        steps = [fresh]
+        graph = materialize(merge_lists(fresh, graph, threshold), "graph")
         for k in range(ROUNDS):
-            better = materialize(local_joins(graph, nodes.select("id", "v"), kind, 100 * attempt + k), "better")
-            graph = materialize(merge_lists(better, graph, LIST, MOST_LIST, threshold), "graph")
-            if better.count() <= 0.02 * LIST * n:
+            entries = graph.count()
+            better = materialize(local_joins(graph, nodes, kind, 100 * attempt + k, floor), "better")
+            steps.append(better)
+            if better.isEmpty():
+                break
+            old, graph = graph, materialize(merge_lists(better, graph, threshold), "graph")
+            discard(old)
+            if better.count() <= 0.02 * entries:
                 break
-        links = graph.select("id", F.explode("near").alias("s")).where(F.col("s.cos") >= threshold).select(F.col("id").alias("a"), F.col("s.other").alias("b"))
-        part = components(links, "vectors").select(F.col("node").alias("id"), "component")
-        part = materialize(part, "vector-parts")
-        true, met = audit(nodes, part, kind, threshold)
-        if met >= GOAL * true:
+        for step in steps:
+            own = step.where(F.col("cos") >= threshold).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
+            edges = own if edges is None else edges.unionByName(own)
+        part = materialize(components(edges, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
+        true, met, asked = audit(nodes, part, kind, threshold)
+        recall = min(met / true if true else 1.0, planted_recall(asked, plan, threshold, attempt + 1))
+        if recall >= GOAL:
             break
-        seeds = range(seeds.stop, seeds.stop + TABLES)
-    missed = missed_links(nodes.select("id", "v"), part, kind, threshold, dims, n)
-    if missed is not None:
-        joined = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(missed)
-        part = materialize(components(joined, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
-    counted = count_links(nodes.select("id", "v", "copies"), part, kind, threshold)
-    return every.join(part.hint("merge"), "id", "left").join(counted.hint("merge"), "id", "left").select(F.lit(dims).alias("dims"), "_h1", "_h2", "id", "copies", "links", "component")
+    if recall < FLOOR:
+        raise RuntimeError(f"recall {recall:.3f} of audited links after {ATTEMPTS} attempts, {FLOOR} is needed")
+    return None if part.isEmpty() else part
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,12 +467,74 @@ def test_vectors_of_tight_groups_link_across(spark):
     assert (want_n == 399).all() and (n == want_n).all() and (part == want_part).all()
 
 
-def test_vectors_in_rare_pairs_are_found(spark):
-    rnd = np.random.default_rng(6)
-    base = rnd.normal(size=(6000, 64))
-    v = np.array([*base, *(base[:60] + rnd.normal(size=(60, 64)) * 0.31)], np.float32)
-    n, part, want_n, want_part = _exact_links(spark, v)
-    assert 20 < want_n.sum() and (n == want_n).all() and (part == want_part).all()
+def _planted_pairs(n, pairs, seed):
+    """n random vectors, of which the first ``pairs`` have a copy at cosine 0.952 to 0.965 behind them all."""
+    rnd = np.random.default_rng(seed)
+    base = vectors.unit(rnd.normal(size=(n, 64)))
+    other = rnd.normal(size=(pairs, 64))
+    other -= (other * base[:pairs]).sum(1, keepdims=True) * base[:pairs]
+    c = rnd.uniform(0.952, 0.965, (pairs, 1))
+    return np.vstack([base, c * base[:pairs] + np.sqrt(1 - c * c) * vectors.unit(other)])
+
+
+def _stored(spark, folder, v):
+    flat = pa.array(v.astype(np.float64).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), flat)
+    pq.write_table(pa.table({"vec_id": pa.array(np.arange(len(v))), "embedding": lists}), f"{folder}/v.parquet")
+    return spark.read.parquet(f"{folder}/v.parquet")
+
+
+@pytest.mark.parametrize("n", [6000, 80_000])
+def test_vectors_in_rare_pairs_are_found(spark, n, tmp_path):
+    df = _stored(spark, tmp_path, _planted_pairs(n, 400, 6))
+    rows = vectors.near_vectors(df).toPandas().set_index("vec_id").sort_index()
+    met = (rows.component_id.loc[n:].to_numpy() == np.arange(400)).sum()
+    assert met >= 396 and rows.n_links.sum() == 2 * met and (rows.n_links <= 1).all()
+
+
+def test_audit_raises_where_recall_is_low(spark, monkeypatch, tmp_path):
+    """Two attempts with one table of many hyperplanes lose most pairs: no answer is better than that one."""
+    monkeypatch.setattr(vectors, "tables_for", lambda n, threshold: (12, 1))
+    df = _stored(spark, tmp_path, _planted_pairs(3000, 300, 8))
+    with pytest.raises(RuntimeError, match="recall"):
+        vectors.near_vectors(df).count()
+
+
+def test_tables_follow_the_number_of_vectors():
+    rnd = np.random.default_rng(3)
+    for n in (100_000, 10_000_000):
+        planes, tables = vectors.tables_for(n, 0.95)
+        x = vectors.unit(rnd.normal(size=(400, 64)))
+        assert vectors.planted_recall(list(x), {64: (planes, tables)}, 0.95, 1) >= 0.99
+    assert vectors.tables_for(10**9, 0.95)[1] < 60 and vectors.tables_for(10, 0.95) == (0, 1)
+
+
+def test_vectors_with_shared_ids_and_lengths(spark):
+    e = [1.0, 0.0, 0.0]
+    rows = [(1, e), (1, [0.0, 1.0, 0.0]), (2, [0.0, 2.0, 0.1]), (None, [0.99, 0.01, 0.0]), (None, [0.0, 0.0, 1.0]), (7, [1.0, 0.0])]
+    got = sorted(map(str, ((r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())))
+    assert got == sorted(map(str, [(1, 1, True), (1, 1, True), (1, 1, False), (1, 1, False), (0, None, True), (0, 7, True)]))
+
+
+def test_spread_join_equals_a_join(spark):
+    many = spark.createDataFrame([(1 if i % 3 else None if i % 2 else i, i) for i in range(4000)], "k long, v long")
+    one = spark.createDataFrame([(1, "a"), (1, "b"), (3, "c"), (None, "d")], "k long, w string")
+    for how in ("inner", "left"):
+        got = common.spread_join(many, one, ["k"], ["v"], how)
+        assert sorted(map(str, got.select("k", "v", "w").collect())) == sorted(map(str, many.join(one, "k", how).select("k", "v", "w").collect()))
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://host:7077", "app"
+        getConf = lambda self: {}
+
+    class Session:
+        sparkContext = Context()
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_root(Session())
 
 
 def test_urls_use_every_link_of_a_page(spark):
