@@ -1,7 +1,7 @@
 """Line dedup by overlapping three-line windows.
 
-A line ends at a newline, or inside a paragraph after a sentence (``.``, ``!`` or ``?`` and a space), so
-that a repeated passage is found wherever it stands in its paragraph. A window is three consecutive
+A line ends at a newline, or inside a paragraph after a sentence (``.``, ``!`` or ``?`` and a space) unless
+``sentences`` is false, so that a repeated passage is found wherever it stands in its paragraph. A window is three consecutive
 non-blank lines of a document. The windows that occur more than once in the corpus are found by their
 hash; the first occurrence, by document and place, stays, and the lines that later occurrences cover go.
 Overlapping windows cover the union of their lines, so a repeated passage of any length is removed whole.
@@ -9,35 +9,56 @@ Overlapping windows cover the union of their lines, so a repeated passage of any
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pieces_of, table, tidied
+from .common import discard, materialize, pieces_of, spread_join, table, tidied
 from .shingles import constants, mix
 
 WINDOW = 3
-LEAST_CHARS = 40
-"""op4_line_dedup leaves windows with fewer characters alone, as its SQL does; ``dedup`` and the pipeline count all."""
 
 
-def line_array(text: Column) -> Column:
-    """The text's lines with what ends them; joined they are the text again (U+0001 ends a line too, and goes)."""
-    return F.split(F.regexp_replace(text, r"(\n|[.!?] )", "$1\u0001"), "\u0001")
+def line_array(text: Column, sentences: bool = True) -> Column:
+    """The text's lines with what ends them; joined they are the text again."""
+    return F.split(text, r"(?<=\n)|(?<=[.!?] )" if sentences else r"(?<=\n)")
 
 
-def windows(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
-    """(doc_id, key, first, last, hash, again): every window of every document.
+def cut_lines(texts: pa.Array, sentences: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The lines of all texts (as ``line_array``), and where each text's lines start among them, with their number at the end."""
+    texts = texts.cast(pa.large_string())
+    _, places, data = texts.buffers()
+    places = np.frombuffer(places, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    byte = np.frombuffer(data, np.uint8)[: places[-1]] if data is not None else np.zeros(0, np.uint8)
+    ends = byte == 10
+    if sentences and len(byte):
+        stop = np.isin(byte[:-1], np.frombuffer(b".!?", np.uint8)) & (byte[1:] == 32)
+        stop[places[(places > 0) & (places < len(byte))] - 1] = False  # not from one text to the next
+        ends[1:] |= stop
+    cuts = np.unique(np.concatenate([places, np.flatnonzero(ends) + 1]))
+    cuts = cuts[(cuts >= places[0]) & (cuts <= places[-1])]
+    lines = pa.LargeStringArray.from_buffers(len(cuts) - 1, pa.py_buffer(cuts.astype(np.int64)), data)
+    return lines, np.searchsorted(cuts, places)
 
-    ``key`` tells rows with the same doc_id apart; first and last are places in ``line_array``; again marks
-    a window that stands earlier in its document. A document of fewer lines than ``width`` is one window.
+
+def key_of(text: Column) -> Column:
+    """60 bits of the text's MD5, which tell rows with one doc_id apart (null text: as empty)."""
+    return F.conv(F.substring(F.md5(F.coalesce(text, F.lit("")).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def windows(documents: DataFrame, width: int = WINDOW, sentences: bool = True) -> DataFrame:
+    """(doc_id, key, first, last, hash, check, again): every window of every document.
+
+    ``key`` is that of the text; first and last are places in ``line_array``; hash and check are 96 bits of the window's
+    lines, trimmed; again marks a window that stands earlier in its document. A document of fewer lines than
+    ``width`` is one window.
     """
-    odd = constants(width, 3)
+    odd, other = constants(width, 3), constants(width, 17)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -45,94 +66,93 @@ def windows(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFr
         for whole in batches:
             for b in pieces_of(whole):
                 texts = pc.fill_null(b.column(1), "")
-                split = pc.split_pattern(pc.replace_substring_regex(texts, r"(\n|[.!?] )", "\\1\u0001"), "\u0001")
-                trimmed = pc.utf8_trim(split.flatten(), " \n")
-                offsets = split.offsets.to_numpy() - split.offsets[0].as_py()
-                chars = pc.utf8_length(trimmed).to_numpy()
+                split, offsets = cut_lines(texts, sentences)
+                trimmed = pc.utf8_trim(split, " \n")
                 coded = pc.dictionary_encode(trimmed)
-                own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+                names = coded.dictionary.to_pylist()
+                own = np.fromiter((xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in names), np.uint64, len(names))
+                codes = coded.indices.to_numpy()
                 doc = np.repeat(np.arange(b.num_rows), np.diff(offsets))
                 place = np.arange(len(doc)) - offsets[doc]
-                full = chars > 0
-                doc, place, chars, hashes = doc[full], place[full].astype(np.int32), chars[full].astype(np.int64), own[coded.indices.to_numpy()[full]]
+                full = codes != (names.index("") if "" in names else -1)
+                doc, place, hashes = doc[full], place[full].astype(np.int32), own[codes[full]]
                 lines = np.bincount(doc, minlength=b.num_rows)
                 ends = np.cumsum(lines)
                 start = np.arange(len(doc))
                 start = start[(start + width <= ends[doc]) | (start == (ends - lines)[doc])]
                 stop = np.minimum(start + width, ends[doc[start]])
-                total, size = np.zeros(len(start), np.uint64), np.zeros(len(start), np.int64)
+                total, second = (stop - start).astype(np.uint64), np.zeros(len(start), np.uint64)
                 for k in range(width):
                     at = start + k
                     inside = at < stop
                     total[inside] += hashes[at[inside]] * odd[k]
-                    size[inside] += chars[at[inside]]
-                long = size >= least
-                start, stop, value = start[long], stop[long], mix(total[long] + (stop - start)[long].astype(np.uint64))
-                row = doc[start]
+                    second[inside] += mix(hashes[at[inside]]) * other[k]
+                value, check, row = mix(total), (mix(second) >> np.uint64(33)).astype(np.int32), doc[start]
                 first = np.unique(mix(value + (row.astype(np.uint64) + np.uint64(1)) * odd[0]), return_index=True)[1]
                 again = np.ones(len(row), bool)
                 again[first] = False
-                keys = np.fromiter((zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts.to_pylist()), np.int64, b.num_rows)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(place[start]), pa.array(place[stop - 1]), pa.array(value.view(np.int64)), pa.array(again)], ["doc_id", "key", "first", "last", "hash", "again"])
+                keys = np.fromiter((int(hashlib.md5(t.encode("utf-8", "surrogatepass")).hexdigest()[:15], 16) for t in texts.to_pylist()), np.int64, b.num_rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(keys[row]), pa.array(place[start]), pa.array(place[stop - 1]), pa.array(value.view(np.int64)), pa.array(check), pa.array(again)], ["doc_id", "key", "first", "last", "hash", "check", "again"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(tidied(find), f"doc_id {kind}, key long, first int, last int, hash long, again boolean")
+    return documents.select("doc_id", "text").mapInArrow(tidied(find), f"doc_id {kind}, key long, first int, last int, hash long, check int, again boolean")
 
 
-def spans_to_remove(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
+def spans_to_remove(documents: DataFrame, width: int = WINDOW, sentences: bool = True) -> DataFrame:
     """(doc_id, key, spans): disjoint, sorted places (first, last) of the lines that go, for documents that lose any."""
-    every = materialize(windows(documents, width, least), "windows")
-    ids = F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))
-    repeated = every.withColumn("_i", ids).groupBy("hash").agg(F.min("_i").alias("_w"), F.max("_i").alias("_z")).where("_w <> _z").drop("_z")
-    later = every.where("not again").join(repeated.hint("merge"), "hash").where(ids > F.col("_w")).select("doc_id", "key", "first", "last")
-    gone = later.unionByName(every.where("again").select("doc_id", "key", "first", "last")).groupBy("doc_id", "key").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
-    return gone.select("doc_id", "key", _union(F.col("spans")).alias("spans"))
-
-
-def _union(spans: Column) -> Column:
-    """Sorted, disjoint spans that cover the same places."""
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-
-    def add(merged: Column, s: Column) -> Column:
-        top = F.try_element_at(merged, F.lit(-1))
-        joined = F.concat(F.slice(merged, 1, F.size(merged) - 1), F.array(F.struct(top["first"].alias("first"), F.greatest(top["last"], s["last"]).alias("last"))))
-        return F.when((F.size(merged) > 0) & (s["first"] <= top["last"] + 1), joined).otherwise(F.concat(merged, F.array(F.struct(s["first"].alias("first"), s["last"].alias("last")))))
-
-    return F.aggregate(F.array_sort(spans), empty, add)
-
-
-def dedup(documents: DataFrame, width: int = WINDOW, least: int = 0) -> DataFrame:
+    every = materialize(windows(documents, width, sentences), "windows")
+    own = F.struct("doc_id", "key")
+    repeated = every.where("not again").groupBy("hash", "check").agg(F.min(own).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("hash", "check", "_first")
+    later = spread_join(every.where("not again"), repeated, ["hash", "check"], ["doc_id", "key"]).where(~own.eqNullSafe(F.col("_first"))).select("doc_id", "key", "first", "last")
+    gone = materialize(later.unionByName(every.where("again").select("doc_id", "key", "first", "last")).distinct(), "gone")
+    discard(every)
+    # Spans that touch are one island; each document's spans are sorted once and read once.
+    document = Window.partitionBy("doc_id", "key").orderBy("first", "last")
+    before = F.max("last").over(document.rowsBetween(Window.unboundedPreceding, -1))
+    islands = gone.withColumn("_new", F.when(F.col("first") <= before + 1, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(document))
+    merged = islands.groupBy("doc_id", "key", "_island").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return merged.groupBy("doc_id", "key").agg(F.array_sort(F.collect_list(F.struct("first", "last"))).alias("spans"))
+
+
+def dedup(documents: DataFrame, width: int = WINDOW, sentences: bool = True) -> DataFrame:
     """``documents`` with the columns n_removed and kept_text added (replaced if there).
 
-    n_removed counts lines with text that go. Order is by doc_id (null first), then by place; windows of rows with one
-    doc_id don't count against one another, so repeated rows are kept each. Blank lines
-    go where the lines around them go. Null text has no lines and stays null; a text all of whose lines go
-    is left empty. The first occurrence is a partial minimum per hash, and the window table joins the
-    repeated hashes, where skew-join splitting spreads a very common window; only documents with something
-    to remove bring places to the join with the texts, and only their texts are cut again.
+    n_removed counts lines with text that go. Order is by doc_id (null first), then by the MD5 of the text, then by place: rows with
+    one doc_id and different texts are documents of their own, rows with one doc_id and one text are the same document
+    and share its fate. Blank lines go where the lines around them go; every other byte of a text stays. Null text has no lines and
+    stays null; a text all of whose lines go is left empty. The first occurrence is a partial minimum per hash, and a
+    very common window is cut among tasks (``spread_join``); only documents with something
+    to remove bring places to the join with the texts, and only their texts are cut again, in time linear in their lines.
     """
     made = {"n_removed", "kept_text"}
     documents = documents.select(*(c for c in documents.columns if c not in made))
-    gone = spans_to_remove(documents, width, least).select(F.col("doc_id").alias("_id"), F.col("key").alias("_k"), F.col("spans").alias("_spans"))
-    lines = F.transform(line_array(F.col("text")), lambda x, i: F.struct(F.exists("_spans", lambda s: (s["first"] <= i) & (s["last"] >= i)).alias("gone"), x.alias("x")))
-    joined = documents.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.crc32(F.coalesce("text", F.lit("")).cast("binary")) == F.col("_k")), "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_spans").isNotNull(), lines))
-    removed = F.size(F.filter("_lines", lambda s: s["gone"] & (F.trim(F.translate(s["x"], "\n", " ")) != "")))
-    kept = F.array_join(F.transform(F.filter("_lines", lambda s: ~s["gone"]), lambda s: s["x"]), "")
-    return joined.select(*documents.columns, F.when(F.col("_lines").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("n_removed"), F.when(F.col("_lines").isNull(), F.col("text")).otherwise(kept).alias("kept_text"))
+    names = list(documents.columns)
+    boxed = documents.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"))
+    gone = spans_to_remove(documents, width, sentences).select(F.struct(F.col("doc_id").alias("id"), "key", "spans").alias("cut"))
+    joined = boxed.join(gone, F.col("row.doc_id").eqNullSafe(F.col("cut.id")) & (key_of(F.col("row.text")) == F.col("cut.key")), "left")
+    joined = joined.withColumn("lines", F.when(F.col("cut").isNotNull(), line_array(F.col("row.text"), sentences)))
+    spans, lines = F.col("cut.spans"), F.col("lines")
+    start = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["last"] + 1)
+    stop = lambda i: F.when(i == F.size(spans), F.size(lines)).otherwise(F.get(spans, i)["first"])
+    kept = F.array_join(F.transform(F.sequence(F.lit(0), F.size(spans)), lambda i: F.array_join(F.slice(lines, start(i) + 1, stop(i) - start(i)), "")), "")
+    full = lambda s: F.size(F.filter(F.slice(lines, s["first"] + 1, s["last"] - s["first"] + 1), lambda x: F.trim(F.translate(x, "\n", " ")) != ""))
+    removed = F.aggregate(F.transform(spans, full), F.lit(0).cast("long"), lambda n, s: n + s)
+    uncut = F.col("cut").isNull()
+    made = joined.select("row", F.when(uncut, F.lit(0).cast("long")).otherwise(removed).alias("n_removed"), F.when(uncut, F.col("row.text")).otherwise(kept).alias("kept_text"))
+    return made.select("row.*", "n_removed", "kept_text")
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup(table(spark, sf_dir, "documents"), least=LEAST_CHARS).select("doc_id", "n_removed", "kept_text")
+    return dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_removed", "kept_text")
 
 
 def op4_sql() -> str:
     return rf"""
-WITH l AS (SELECT row_number() OVER () AS rid, doc_id, text, string_split(regexp_replace(coalesce(text, ''), '(\n|[.!?] )', '\1' || chr(1), 'g'), chr(1)) AS lines FROM documents),
-c AS (SELECT rid, doc_id, i - 1 AS i, trim(translate(lines[i], chr(10), ' ')) AS t FROM l, unnest(range(1, len(lines) + 1)) AS r(i)),
+WITH l AS (SELECT row_number() OVER () AS rid, doc_id, text, md5(coalesce(text, ''))[1:15] AS key, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:\n|[.!?] )|.+') AS lines FROM documents),
+c AS (SELECT rid, doc_id, key, i - 1 AS i, trim(translate(lines[i], chr(10), ' ')) AS t FROM l, unnest(range(1, len(lines) + 1)) AS r(i)),
 d AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY i) AS n, count(*) OVER (PARTITION BY rid) AS m FROM c WHERE t <> ''),
-w AS (SELECT rid, doc_id, n, m, i AS first, max(i) OVER a AS last, string_agg(t, chr(10)) OVER a AS body, sum(length(t)) OVER a AS chars FROM d WINDOW a AS (PARTITION BY rid ORDER BY n ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
-later AS (SELECT rid, first, last FROM w WHERE n <= greatest(m - {WINDOW - 1}, 1) AND chars >= {LEAST_CHARS} QUALIFY row_number() OVER (PARTITION BY body ORDER BY doc_id, first) > 1),
+w AS (SELECT rid, doc_id, key, n, m, i AS first, max(i) OVER a AS last, string_agg(t, chr(10)) OVER a AS body FROM d WINDOW a AS (PARTITION BY rid ORDER BY n ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+later AS (SELECT rid, first, last FROM w WHERE n <= greatest(m - {WINDOW - 1}, 1) QUALIFY rank() OVER (PARTITION BY body ORDER BY doc_id NULLS FIRST, key, first) > 1),
 gone AS (SELECT rid, list(DISTINCT i) AS g FROM later, unnest(range(first, last + 1)) AS r(i) GROUP BY rid),
 lost AS (SELECT d.rid, count(*) AS n_removed FROM d JOIN gone USING (rid) WHERE list_contains(g, d.i) GROUP BY d.rid)
 SELECT doc_id, coalesce(n_removed, 0)::bigint AS n_removed, CASE WHEN g IS NULL THEN text ELSE array_to_string(list_filter(lines, lambda x, i: NOT list_contains(g, i - 1)), '') END AS kept_text

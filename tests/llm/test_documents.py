@@ -169,10 +169,40 @@ def test_repeated_passage_goes_wherever_it_stands(spark):
 
 
 def test_line_dedup_sql_on_edges(spark, edge):
-    frame = pd.DataFrame([(i, t) for i, t, _ in EDGE if i is not None and i != 3], columns=["doc_id", "text"])
+    """Repeated rows, null ids, rows with one id and different texts, short lines, separators of all kinds."""
+    odd = [(20, "aa.\nbb.\ncc."), (21, "aa.\nbb.\ncc."), (22, "A unique\x01word\naa.\nbb.\ncc.\nA\x01b"), (None, "Null. Id. Text. Here."), (None, "Null. Id. Text. Here."), (23, "Null. Id. Text. Here. "), (24, "x\r\ny\r\nz\r\nx\r\ny\r\nz"), (24, "One. Two. Three. Four."), (24, "Zero. One. Two. Three."), (25, ". . . ! ? "), (26, "\n\nOne.\n\nTwo.\n \nThree.\n\n"), (27, "é. ü. ß. 日本. 語."), (28, "é. ü. ß. 日本. 語."), (29, "a. a. a. a. a. a."), (30, " "), (31, "lone"), (32, "lone")]
+    frame = pd.DataFrame([*((i, t) for i, t, _ in EDGE), *odd], columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
     columns, rows = duck(lines.op4_sql(), {"documents": frame})
-    got = lines.dedup(spark.createDataFrame(frame)).select(*columns)
+    got = lines.dedup(spark.createDataFrame([*((i, t) for i, t, _ in EDGE), *odd], "doc_id long, text string")).select(*columns)
     assert rows_of(columns, rows) == rows_of(columns, [tuple(r) for r in got.collect()])
+    by = {r["doc_id"]: r for r in got.collect()}
+    assert by[22]["kept_text"] == "A unique\x01word\nA\x01b" and by[21]["kept_text"] == "" and by[20]["n_removed"] == 0 and by[32]["kept_text"] == ""
+
+
+@pytest.mark.parametrize("sentences", [True, False])
+def test_lines_are_the_text(spark, sentences):
+    rnd = random.Random(12)
+    texts = ["".join(rnd.choices("ab.!? \n\x01\u2028é日", k=rnd.randrange(60))) for _ in range(300)] + ["", ".", " ", ". "]
+    split, starts = lines.cut_lines(pa.array(texts).slice(3), sentences)
+    split = split.to_pylist()
+    want = [[x for x in re.split(r"(?<=\n)|(?<=[.!?] )" if sentences else r"(?<=\n)", t) if x] for t in texts[3:]]
+    assert [split[a:z] for a, z in zip(starts[:-1], starts[1:], strict=True)] == want
+    cut = spark.createDataFrame([(t,) for t in texts[3:]], "t string").select(lines.line_array(F.col("t"), sentences).alias("l")).collect()
+    assert [[x for x in r["l"] if x] for r in cut] == want
+
+
+def test_line_dedup_by_newlines_alone(spark):
+    docs = spark.createDataFrame([(1, "One. Two. Three."), (2, "One. Two. Three. Four."), (3, "a\nb\nc\nd"), (4, "a\nb\nc")], "doc_id long, text string")
+    got = {r["doc_id"]: r["kept_text"] for r in lines.dedup(docs, sentences=False).collect()}
+    assert got == {1: "One. Two. Three.", 2: "One. Two. Three. Four.", 3: "a\nb\nc\nd", 4: ""}
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    names = ["_id", "_k", "_spans", "_lines", "row", "cut", "lines", "key", "first"]
+    docs = spark.createDataFrame([(1, "a\nb\nc", *range(9)), (2, "a\nb\nc", *range(9))], "doc_id long, text string, " + ", ".join(f"`{n}` int" for n in names))
+    got = lines.dedup(docs)
+    assert got.columns == [*docs.columns, "n_removed", "kept_text"]
+    assert sorted((r["doc_id"], r["kept_text"], r["lines"]) for r in got.collect()) == [(1, "a\nb\nc", 6), (2, "", 6)]
 
 
 # Near-dedup
