@@ -430,6 +430,31 @@ def test_licences_sql_on_planted(spark):
     assert rows_of(columns, want) == rows_of(columns, [tuple(r) for r in got])
 
 
+def test_licences_of_any_length_are_found(spark):
+    """A template of 500 words, whole licence texts, and letters that only Unicode lower-cases to ASCII."""
+    rnd = random.Random(11)
+    long = " ".join("t%d" % rnd.randrange(260) for _ in range(500))
+    templates = (*licences.TEMPLATES, ("long", long), ("none", " ,.; "))
+    rows = []
+    for i in range(60):
+        words = ["w%d" % rnd.randrange(300) for _ in range(rnd.randrange(900))]
+        own = (long if i % 2 else rnd.choice(licences.TEMPLATES[-5:])[1]).split()
+        for _ in range(rnd.choice([0, 20, 100, 300]) * len(own) // 500):
+            own[rnd.randrange(len(own))] = "zz"
+        k = rnd.randint(0, len(words))
+        rows.append((i, " ".join(words[:k] + own + words[k:])))
+    rows += [(100, "This wor\u212a is licensed under a Creative Commons Attribution 4.0"), (101, "no word of any licence"), (102, None), (102, None)]
+    frame = pd.DataFrame(rows, columns=["doc_id", "text"])
+    columns, want = duck(licences.op9_sql(templates), {"documents": frame})
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).select(*columns).collect()
+    assert rows_of(columns, want) == rows_of(columns, [tuple(r) for r in got])
+    by = {r["doc_id"]: r for r in got}
+    assert sum("long" in r["labels"].split(",") for r in got) >= 10 and sum("-text" in r["labels"] for r in got) >= 10
+    exact = licences.scan(spark.createDataFrame([(1, t) for _, t in licences.TEMPLATES], "doc_id long, text string")).collect()
+    assert all(r["labels"] for r in exact) and by[100]["labels"] == by[101]["labels"] == ""
+    assert {r["labels"] for r in licences.scan(spark.createDataFrame(rows[:3], "doc_id long, text string"), ()).collect()} == {""}
+
+
 PAGES = [(1, "http://a.org/x", '<link rel="canonical" href="http://b.net/fr/1">'), (2, "http://c.org/y", '<meta http-equiv="refresh" content="0; url=http://a.org/x/">'), (3, None, None), (4, "nourl", "x"), (5, "http://d.org/z", '<link rel=canonical href="//e.com/q">'), (6, "http://g.org/z", '<link href="/other" rel="canonical">'), (7, "HTTP://WWW.Example.com/en/1?x#y", ""), (8, "http://example.com?x", ""), (9, "http://h.org", "<link rel=canonical href=http://b.net/fr/1>"), (9, "http://h.org", "<link rel=canonical href=http://b.net/fr/1>"), (10, "http://i.org/p", '<link rel="canonical" href="http://ok.com/1">'), (11, "http://j.org/p", '<link rel="canonical" href="http://b.net/fr/2">'), (12, "http://j.org/p?utm_source=x", '<link rel="canonical" href="http://ok.com/2">'), (13, "ftp://k.net/es/", None), (14, "http://m.l.org/q.html#top", '<link rel="canonical" href="../b.net">'), (15, "http://l.org/q/", '<meta content="1;url=http://b.net/es/9" http-equiv=refresh><meta http-equiv=refresh content="1;url=http://b.net/es/9">')]
 
 
