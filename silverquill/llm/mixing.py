@@ -1,11 +1,11 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
-Each source's words form a stream cut into blocks of fixed length. The mix is a row of slots; a slot takes
-one block. The slots of all sources are dealt to output shards by one pseudorandom permutation of the
-whole row, so that the source counts of the shards are a multinomial draw conditioned on the corpus-wide
-quotas (totals are exact, shards vary). Within its source a slot's index runs through the blocks in
-epochs, each by its own pseudorandom permutation, and blocks are joined by index. Permutations are
-swap-or-not networks on 64-bit hashes: a bijection for any number of blocks, computed for a single index.
+Each source's words form a stream cut into blocks of fixed length. The mix is a row of slots in output shards; a slot takes
+one block. Each shard draws how many of its slots each source fills: the whole part of the expected number is sure, and the
+slots that are left are a multinomial draw by the fractional parts (or all slots are, where ``sure`` is false: then a source's
+total strays from its target by the noise of that draw). A source's slots are numbered through the shards; a
+slot's number runs through the source's blocks in epochs, each by its own pseudorandom permutation, and blocks are joined by
+index. Permutations are swap-or-not networks on 64-bit hashes: a bijection for any number of blocks, computed for a single index.
 """
 
 from __future__ import annotations
@@ -15,19 +15,19 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, materialize, running_total, table, word_count
 
-WEIGHTS, MOST, BLOCK, SHARD_SLOTS, SEED, ROUNDS = (5, 2, 1), 3, 256, 4096, 20_240_607, 20
+WEIGHTS, MOST, BLOCK, SHARD_SLOTS, SEED, ROUNDS = (5, 2, 1), 3, 64, 4096, 20_240_607, 20
 CHUNK = 4096
-"""Slots that one row of the slot table's first step stands for."""
+"""Shards that one row of the first step stands for."""
 TASK_SLOTS = 50_000
 
 
-def permuted(x: Column, n: Column, *key: Column, inverse: bool = False) -> Column:
+def permuted(x: Column, n: Column, *key: Column, inverse: bool = False, seed: int = SEED) -> Column:
     """The place of ``x`` in a pseudorandom permutation of 0..n-1 named by ``key``."""
     rounds = [F.lit(r) for r in range(ROUNDS)]
 
     def swap(at: Column, r: Column) -> Column:
-        other = F.pmod(F.pmod(F.xxhash64(F.lit(SEED), r, *key), n) + n - at, n)
-        return F.when(F.xxhash64(F.lit(SEED + 1), r, F.greatest(at, other), *key).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
+        other = F.pmod(F.pmod(F.xxhash64(F.lit(seed), r, *key), n) + n - at, n)
+        return F.when(F.xxhash64(F.lit(seed + 1), r, F.greatest(at, other), *key).bitwiseAND(F.lit(1)) == 1, other).otherwise(at)
 
     return F.aggregate(F.array(*(rounds[::-1] if inverse else rounds)), x.cast("long"), swap)
 
@@ -38,7 +38,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     Sources stand in code-point order, null last, and take the weights in turn. A target is ``weight x
     level``, but at most ``most`` times the source's size; the level makes the targets add up to all
     sizes, which is where resharing the excess by weight until none is above ends. The windows see one
-    row per source. An empty source has target 0.
+    row per source and run in one task (millions of sources, not more). An empty source has target 0.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     every = Window.orderBy(F.col("source").asc_nulls_last())
@@ -54,46 +54,80 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levelled.withColumn("target", target).select("source", "sid", "source_size", "target")
 
 
-def mix_slots(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS) -> DataFrame:
-    """The mix: (sid, slot, shard, place, epoch, block, take): slot ``place`` of ``shard`` takes the first
-    ``take`` words of that block of that source. Only the last slots of a source take part of a block."""
-    tasks = max(1, (targets.agg(F.sum("source_size")).first()[0] or 0) // (block * TASK_SLOTS) + 1)
-    s = targets.where("source_size > 0").withColumns({"_n": F.ceil(F.col("source_size") / block).cast("long"), "_t": F.least(F.floor(F.col("target") + 0.5), F.col("source_size") * MOST).cast("long")})
-    s = s.withColumns({"_epochs": F.expr("_t div source_size"), "_rest": F.expr("_t % source_size"), "_last": F.expr(f"source_size - (_n - 1) * {block}")})
-    s = s.withColumn("_short", permuted(F.expr("_n - 1"), F.col("_n"), F.col("sid"), F.col("_epochs"), inverse=True))
-    s = s.withColumn("_slots", F.expr(f"_epochs * _n + least(_n, _rest div {block} + 3)"))
-    before = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
-    s = s.withColumn("_first", F.coalesce(F.sum("_slots").over(before), F.lit(0))).withColumn("_all", F.sum("_slots").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    chunks = s.where("_slots > 0").withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_slots - 1) div {CHUNK})"))).repartition(tasks, "sid", "_chunk")
-    slots = chunks.withColumn("slot", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least(_slots, (_chunk + 1) * {CHUNK}) - 1)")))
-    slots = slots.withColumns({"epoch": F.expr("slot div _n"), "_j": F.expr("slot % _n")})
-    slots = slots.withColumn("block", permuted(F.col("_j"), F.col("_n"), F.col("sid"), F.col("epoch")))
-    size = F.when(F.expr("block = _n - 1"), F.col("_last")).otherwise(F.lit(block))
-    passed = F.col("_j") * block - F.when(F.expr("_short < _j"), block - F.col("_last")).otherwise(0)
-    take = F.when(F.expr("epoch < _epochs"), size).otherwise(F.least(size, F.greatest(F.col("_rest") - passed, F.lit(0))))
-    where = permuted(F.col("_first") + F.col("slot"), F.col("_all"), F.lit("row"))
-    return slots.withColumn("take", take.cast("long")).where("take > 0").withColumn("_at", where).select("sid", "slot", F.expr(f"_at div {shard_slots}").alias("shard"), F.expr(f"_at % {shard_slots}").alias("place"), "epoch", "block", "take", (F.col("take") == size).alias("whole"))
-
-
-def mix(documents: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``documents``.
+def shard_counts(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, sure: bool = True) -> DataFrame:
+    """(shard, sid, n, count): how many slots of each shard each source fills, for counts above 0; n is the source's blocks.
 
-    Streams are laid out by hash buckets of doc_id, so that a source with a third of all rows is spread.
-    Null text has size 0; a document of size 0 takes 0; repeated rows stand in the stream one after
-    another; null sources are a source; an empty table gives an empty one. Reruns give equal rows. Texts are read
-    once and don't move: only ids, sources and sizes do.
+    A source's expected slots are its target over the mean length of its blocks. A shard has ``shard_slots`` slots (at least
+    one per source), the last one those that are left. Draws are points on the line of a shard's fractional parts: a sort inside the
+    shard finds the source of each.
+    """
+    s = targets.where("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block).cast("long")).withColumn("_q", F.col("target") * F.col("n") / F.col("source_size"))
+    slots, sources = s.agg(F.round(F.sum("_q")).cast("long"), F.count("*")).first()
+    if not slots:
+        return s.select(F.lit(0).cast("long").alias("shard"), "sid", "n", F.lit(0).cast("long").alias("count")).where("false")
+    shard_slots = max(shard_slots, sources)
+    shards = -(-slots // shard_slots)
+    tasks = max(1, shards * sources // TASK_SLOTS + 1)
+    everywhere = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    s = s.withColumn("_p", F.col("_q") / F.sum("_q").over(everywhere))
+    chunks = s.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // CHUNK).cast("long"))))
+    cells = chunks.repartition(tasks, "_chunk", "sid").withColumn("shard", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least({shards}L, (_chunk + 1) * {CHUNK}) - 1)")))
+    cells = cells.withColumn("_room", F.least(F.lit(shard_slots).cast("long"), F.lit(slots) - F.col("shard") * shard_slots)).withColumn("_mean", F.col("_room") * F.col("_p"))
+    cells = cells.withColumn("_sure", (F.floor("_mean") if sure else F.lit(0)).cast("long")).withColumn("_part", F.col("_mean") - F.col("_sure")).select("shard", "sid", "n", "_room", "_sure", "_part")
+    shard = Window.partitionBy("shard").orderBy("sid")
+    bounds = cells.withColumn("_x", F.coalesce(F.sum("_part").over(shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    rests = cells.groupBy("shard").agg((F.max("_room") - F.sum("_sure")).alias("_rest"), F.sum("_part").alias("_length")).where("_rest > 0")
+    points = rests.withColumn("_j", F.explode(F.expr("sequence(1L, _rest)")))
+    uniform = F.pmod(F.xxhash64(F.lit(seed + 2), "shard", "_j"), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    nothing = lambda kind: F.lit(None).cast(kind)
+    line = bounds.where("_part > 0").select("shard", "_x", F.lit(0).alias("_drawn"), "sid", "n").unionByName(points.select("shard", (uniform * F.col("_length")).alias("_x"), F.lit(1).alias("_drawn"), nothing("int").alias("sid"), nothing("long").alias("n")))
+    along = Window.partitionBy("shard").orderBy("_x", "_drawn", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = line.withColumns({"sid": F.last("sid", ignorenulls=True).over(along), "n": F.last("n", ignorenulls=True).over(along)}).where("_drawn = 1").select("shard", "sid", "n", F.lit(1).cast("long").alias("count"))
+    every = cells.select("shard", "sid", "n", F.col("_sure").alias("count")).unionByName(met)
+    return every.groupBy("shard", "sid", "n").agg(F.sum("count").alias("count")).where("count > 0")
+
+
+def mix_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
+    """The mix: (shard, place, sid, slot, epoch, block): slot ``place`` of ``shard`` takes that block of that source.
+
+    A source's slots are numbered through its ``counts`` in the shards. A slot whose draw goes beyond the source's last whole epoch
+    (``MOST`` of them) stays empty, so no block is taken more often.
     """
+    inside = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = counts.withColumns({"_before": F.coalesce(F.sum("count").over(inside), F.lit(0)), "_all": F.sum("count").over(whole)})
+    rows = materialize(running_total(rows, "sid", ["shard"], "count", "_start", bucket_count(counts.count())), "shard-counts")
+    slots = rows.withColumn("_r", F.explode(F.expr("sequence(0L, count - 1)"))).withColumn("slot", F.col("_start") + F.col("_r"))
+    slots = slots.withColumn("epoch", F.expr("slot div n")).where(F.col("epoch") < MOST)
+    slots = slots.withColumns({"block": permuted(F.expr("slot % n"), F.col("n"), F.col("sid"), F.col("epoch"), seed=seed), "place": permuted(F.col("_before") + F.col("_r"), F.col("_all"), F.lit("place"), F.col("shard"), seed=seed)})
+    return slots.select("shard", "place", "sid", "slot", "epoch", "block")
+
+
+def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The targets of the sources, and (doc_id, sid, size, source_size, target, from): where each document's words start in its
+    source's stream, laid out by hash buckets of doc_id, so that a source with a third of all rows is spread."""
     sizes = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = materialize(source_targets(sizes), "targets")
     keyed = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "sid", "size", "source_size", "target")
-    placed = running_total(keyed.where("size > 0"), "sid", ["doc_id", "size"], "size", "_from", bucket_count(sizes.count()))
-    parts = placed.withColumn("block", F.explode(F.expr(f"sequence(_from div {block}, (_from + size - 1) div {block})")))
-    parts = parts.withColumns({"_lo": F.expr(f"greatest(_from - block * {block}, 0)"), "_hi": F.expr(f"least(_from + size - block * {block}, {block})")})
-    drawn = mix_slots(targets, block).groupBy("sid", "block").agg(F.count_if("whole").alias("_times"), F.coalesce(F.max(F.when(~F.col("whole"), F.col("take"))), F.lit(0)).alias("_part"))
-    words = F.coalesce(F.expr("(_hi - _lo) * _times + greatest(least(_hi, _part) - _lo, 0)"), F.lit(0))
-    took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "_from", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
+    return targets, running_total(keyed, "sid", ["doc_id", "size"], "size", "from", bucket_count(sizes.count()))
+
+
+def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, sure: bool = True) -> DataFrame:
+    """(doc_id, size, source_size, target, taken) for every row of ``documents``.
+
+    Null text has size 0; a document of size 0 takes 0; repeated rows stand in the stream one after
+    another; null sources are a source; an empty table gives an empty one. Reruns give equal rows; another ``seed`` another draw.
+    Texts are read once and don't move: only ids, sources and sizes do.
+    """
+    targets, placed = streams(documents)
+    placed = materialize(placed, "placed")
+    parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")))
+    parts = parts.withColumn("_words", F.expr(f"least(from + size, (block + 1) * {block}) - greatest(from, block * {block})"))
+    drawn = mix_slots(shard_counts(targets, block, shard_slots, seed, sure), seed).groupBy("sid", "block").agg(F.count("*").alias("_times"))
+    words = F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))
+    took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "from", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken"]
-    return took.select(columns).unionByName(keyed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
+    return took.select(columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
