@@ -8,7 +8,7 @@ of a node, forward and reverse, meet one another) until few lists change. A list
 neighbours within twice the threshold's angle stand in lists: no link has a middle farther off, and vectors without a
 near one cost nothing after their blocks.
 
-Links of blocks and lists give the components. An audit then compares sampled nodes that have links, and others, with all
+The forests give components, which links in lists join further. An audit then compares sampled nodes that have links, and others, with all
 nodes, and deals planted pairs at the threshold through the same hyperplanes; while either recall is too low more tables
 and rounds follow, and below ``FLOOR`` the run fails. Links are counted exactly inside each component: all links found lie
 there. In a large component, angles to its first vector settle most pairs without comparing them.
@@ -143,8 +143,8 @@ def forest(ids: np.ndarray, x: np.ndarray, threshold: float, strip: int = 256) -
 
 
 def nearest_in_blocks(dealt: DataFrame, kind: str, threshold: float, floor: float, keep: int = LIST, strip: int = 256) -> DataFrame:
-    """(id, cos, other): of each node in each block the ``keep`` nearest others from cosine ``floor`` up, and a
-    spanning forest of the block's links."""
+    """(id, cos, other, tree): of each node in each block the ``keep`` nearest others from cosine ``floor`` up, and a
+    spanning forest of the block's links, whose rows ``tree`` marks."""
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, 3):
@@ -163,12 +163,13 @@ def nearest_in_blocks(dealt: DataFrame, kind: str, threshold: float, floor: floa
                     values = np.take_along_axis(c, at, 1)
                     good = values >= floor
                     found.append((np.repeat(ids[i + near], take)[good.ravel()], ids[at][good], values[good]))
-            if linked.any():
-                found += forest(ids[linked], x[linked], threshold)
-            if found:
-                yield _pairs(*map(np.concatenate, zip(*found, strict=True)))
+            trees = forest(ids[linked], x[linked], threshold) if linked.any() else []
+            for rows, tree in ((found, False), (trees, True)):
+                if rows:
+                    ids_, others, cosines = map(np.concatenate, zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(cosines), pa.array(others), pa.array(np.full(len(ids_), tree))], ["id", "cos", "other", "tree"])
 
-    return _sorted(dealt, ["key", "dims", "part"]).mapInArrow(join, PAIR)
+    return _sorted(dealt, ["key", "dims", "part"]).mapInArrow(join, f"{PAIR}, tree boolean")
 
 
 def _pairs(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
@@ -411,31 +412,39 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return joined.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
+def joined_by_lists(part: DataFrame, links: DataFrame) -> DataFrame:
+    """``part`` (id, component) after the ``links`` (id, other) of lists that lead from one component to another, or to a node in none."""
+    here = links.select("id", "other").join(part.hint("merge"), "id", "left").select(F.col("other").alias("id"), F.coalesce("component", "id").alias("a"))
+    cross = spread_join(materialize(here, "ends"), part, ["id"], ["a"], "left").select("a", F.coalesce("component", "id").alias("b")).where("a <> b").distinct()
+    cross = materialize(cross, "cross")
+    if cross.isEmpty():
+        return part
+    both = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(cross)
+    return materialize(components(both, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
+
+
 def linked_parts(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | None:
     """(id, component) of the nodes that have links, by NN-descent; None if no node has any."""
     plan = {d: tables_for(n, threshold) for d, n in nodes.groupBy("dims").count().collect()}
     if not plan:
         return None
     floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
-    graph = part = edges = None
+    graph = part = trees = None
     for attempt in range(ATTEMPTS):
         fresh = materialize(nearest_in_blocks(blocks(nodes, kind, plan, attempt), kind, threshold, floor), "fresh")
-        steps = [fresh]
         graph = materialize(merge_lists(fresh, graph, threshold), "graph")
         for k in range(ROUNDS):
             entries = graph.count()
             better = materialize(local_joins(graph, nodes, kind, 100 * attempt + k, floor), "better")
-            steps.append(better)
             if better.isEmpty():
                 break
             old, graph = graph, materialize(merge_lists(better, graph, threshold), "graph")
             discard(old)
             if better.count() <= 0.02 * entries:
                 break
-        for step in steps:
-            own = step.where(F.col("cos") >= threshold).select(F.greatest("id", "other").alias("a"), F.least("id", "other").alias("b"))
-            edges = own if edges is None else edges.unionByName(own)
-        part = materialize(components(edges, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
+        own = fresh.where("tree").select(F.col("id").alias("a"), F.col("other").alias("b"))
+        trees = own if trees is None else trees.unionByName(own)
+        part = joined_by_lists(materialize(components(trees, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts"), graph.where(F.col("cos") >= threshold))
         true, met, asked = audit(nodes, part, kind, threshold)
         recall = min(met / true if true else 1.0, planted_recall(asked, plan, threshold, attempt + 1))
         if recall >= GOAL:
