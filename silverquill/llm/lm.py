@@ -6,8 +6,10 @@ the counts of a deleted part of the training texts, with estimates from the rest
 
 Counting moves sorted arrays rather than rows: documents are packed into chunks of about ``CHUNK`` tokens,
 each chunk sends its distinct keys (word or pair hashes) with their counts, cut into key ranges, one
-task adds up a range and answers each chunk with the totals of its own keys. The number of ranges follows
-the corpus, so a task's share is bounded; a very common word is one key per chunk.
+task adds up a range and answers each chunk with the totals of its own keys. The number of ranges and of tasks follows
+the corpus, so a task's share is bounded: about ``RANGE_TOKENS`` keys, and one more per chunk for a key that all chunks
+hold (10 000 chunks at 30 GB). The deleted part's counts stay in a stored table; a round of expectation-maximisation is one
+aggregate over it, of which three sums per bucket reach the driver.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces_of, table, tidied
 
 CHUNK, RANGE_TOKENS, FOLDS, TEST, DELETED, BUCKETS = 500_000, 1_000_000, 7, 2, 3, 24
+PRIOR, EM_ROUNDS, SETTLED = (0.5, 0.4, 0.1), 60, 1e-5
+"""First weights (bigram, unigram, uniform), which also stand for one token in each bucket; most rounds; the change that ends them."""
 END = np.uint64(0x7F4A7C15F39CC060)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 TRAIN_PART, DELETED_PART, TEST_PART = 0, 1, 2
@@ -47,7 +51,23 @@ def expand(blob: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(size, -1).T).reshape(-1).view(kind)
 
 
-def part_of(doc_id: int | None) -> int:
+def pack_ids(ids: pa.Array) -> bytes:
+    """An array of ids of any type."""
+    import zstandard
+
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([ids], ["id"]))
+    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
+
+
+def unpack_ids(blob: bytes) -> pa.Array:
+    import zstandard
+
+    return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)).read_next_batch().column(0)
+
+
+def part_of(doc_id: int | str | None) -> int:
     rest = zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS
     return {TEST: TEST_PART, DELETED: DELETED_PART}.get(rest, TRAIN_PART)
 
@@ -74,14 +94,14 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Chunk:
-    ids: list
+    ids: pa.Array
     sizes: np.ndarray
     words: np.ndarray
     """Distinct token hashes, sorted."""
     codes: np.ndarray
 
     @classmethod
-    def of(cls, ids: list, sizes: np.ndarray, stream: np.ndarray) -> Chunk:
+    def of(cls, ids: pa.Array, sizes: np.ndarray, stream: np.ndarray) -> Chunk:
         words, codes = np.unique(stream, return_inverse=True)
         return cls(ids, sizes, words, codes.astype(np.int32))
 
@@ -89,21 +109,20 @@ class Chunk:
         rank = np.argsort(-np.bincount(self.codes, minlength=len(self.words)), kind="stable")
         place = np.empty(len(rank), np.int32)
         place[rank] = np.arange(len(rank), dtype=np.int32)
-        ids = np.array([0 if i is None else i for i in self.ids], np.int64)
-        parts = [squeeze(ids), squeeze(np.array([i is None for i in self.ids], np.uint8)), squeeze(self.sizes.astype(np.int32)), squeeze(self.words[rank]), squeeze(place[self.codes])]
-        return struct.pack("<5q", *map(len, parts)) + b"".join(parts)
+        parts = [pack_ids(self.ids), squeeze(self.sizes.astype(np.int32)), squeeze(self.words[rank]), squeeze(place[self.codes])]
+        return struct.pack("<4q", *map(len, parts)) + b"".join(parts)
 
     @classmethod
     def unpack(cls, blob: bytes) -> Chunk:
-        at, parts = 40, []
-        for n in struct.unpack("<5q", blob[:40]):
+        at, parts = 32, []
+        for n in struct.unpack("<4q", blob[:32]):
             parts.append(blob[at : at + n])
             at += n
-        ids, null, sizes, words, codes = (expand(p, k) for p, k in zip(parts, (np.int64, np.uint8, np.int32, np.uint64, np.int32), strict=True))
+        sizes, words, codes = (expand(p, k) for p, k in zip(parts[1:], (np.int32, np.uint64, np.int32), strict=True))
         order = np.argsort(words)
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order), dtype=np.int32)
-        return cls([None if n else int(i) for i, n in zip(ids, null, strict=True)], sizes.astype(np.int64), words[order], place[codes])
+        return cls(unpack_ids(parts[0]), sizes.astype(np.int64), words[order], place[codes])
 
     def contexts(self) -> np.ndarray:
         """The code of each token's context: the token before it, the end token for a text's first."""
@@ -122,17 +141,18 @@ def make_chunks(documents: DataFrame) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {p: [[], [], []] for p in (TRAIN_PART, DELETED_PART, TEST_PART)}
-        first, made = TaskContext.get().partitionId() << 28, 0
+        first, made, kind = TaskContext.get().partitionId() << 28, 0, None
 
         def flush(part: int) -> pa.RecordBatch:
             nonlocal made
             ids, sizes, streams = held[part]
             stream = np.concatenate(streams)
             held[part], made = [[], [], []], made + 1
-            payload = Chunk.of(ids, np.array(sizes, np.int64), stream).pack()
+            payload = Chunk.of(pa.array(ids, kind), np.array(sizes, np.int64), stream).pack()
             return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), pa.array([part], pa.int32()), pa.array([len(stream)], pa.int64()), pa.array([payload], pa.binary())], ["chunk", "part", "n", "payload"])
 
         for whole in batches:
+            kind = whole.schema.field(0).type
             for b in pieces_of(whole, most_bytes=2 << 20):
                 stream, sizes = tokens(b.column(1))
                 pa.default_memory_pool().release_unused()
@@ -172,7 +192,7 @@ def count_keys(chunks: DataFrame, bits: int) -> DataFrame:
     return chunks.select("chunk", "part", "payload").mapInArrow(tidied(send), "kind int, range int, chunk long, keys binary, counts binary, deleted boolean")
 
 
-def add_up(sent: DataFrame) -> DataFrame:
+def add_up(sent: DataFrame, bits: int) -> DataFrame:
     """(kind, range, chunk, totals, deleted, n, n_deleted, distinct): a range's totals for each chunk's keys; the
     row without a chunk has the range's sums."""
 
@@ -189,7 +209,8 @@ def add_up(sent: DataFrame) -> DataFrame:
         out.append((key[0], key[1], None, None, None, int(total.sum()), int(deleted.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=["kind", "range", "chunk", "totals", "deleted", "n", "n_deleted", "distinct"]).astype({"chunk": "Int64", "n": "Int64", "n_deleted": "Int64", "distinct": "Int64"})
 
-    return sent.groupBy("kind", "range").applyInPandas(add, "kind int, range int, chunk long, totals binary, deleted binary, n long, n_deleted long, distinct long")
+    tasks = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 << bits)
+    return sent.repartition(tasks, "kind", "range").groupBy("kind", "range").applyInPandas(add, "kind int, range int, chunk long, totals binary, deleted binary, n long, n_deleted long, distinct long")
 
 
 def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
@@ -227,51 +248,49 @@ def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(context > 0, np.floor(np.log2(np.maximum(context, 1))) + 1, 0), BUCKETS - 1).astype(np.int64)
 
 
-def deleted_cells(pairs: DataFrame, n_kept: int) -> DataFrame:
-    """(bucket, high, low, times, p2, p1): the deleted part's tokens by bucket and by both estimates, on a
-    logarithmic grid of 1/8 octave; p2 and p1 are sums, so that a cell stands for its mean."""
+def deleted_cells(pairs: DataFrame) -> DataFrame:
+    """(context, pair, word, times): how many tokens of the deleted part have these counts in the other training texts."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for payload, answers in zip(b.column(0), b.column(1), strict=True):
                 c = Counted.of(payload.as_py(), answers.as_py())
-                seen, kept = c.context - c.context_deleted, c.pair - c.pair_deleted
-                p2 = np.where(seen > 0, kept / np.maximum(seen, 1), 0)
-                p1 = (c.word - c.word_deleted) / max(n_kept, 1)
-                grid = lambda p: np.where(p > 0, np.round(8 * np.log2(np.maximum(p, 1e-18))) + 512, 0).astype(np.int64)
-                cell = (bucket(seen) << 20) + (grid(p2) << 10) + grid(p1)
-                every, back, times = np.unique(cell, return_inverse=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(every >> 20, pa.int64()), pa.array(every >> 10 & 1023, pa.int64()), pa.array(every & 1023, pa.int64()), pa.array(times, pa.int64()), pa.array(np.bincount(back, p2)), pa.array(np.bincount(back, p1))], ["bucket", "high", "low", "times", "p2", "p1"])
-
-    cells = pairs.mapInArrow(tidied(gather), "bucket long, high long, low long, times long, p2 double, p1 double")
-    return cells.groupBy("bucket", "high", "low").agg(F.sum("times").alias("times"), F.sum("p2").alias("p2"), F.sum("p1").alias("p1"))
-
-
-def expectation_maximisation(cells: list, floor: float, rounds: int = 200) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket; a bucket without cells takes those of all, and one
-    pseudo-token keeps every weight above 0. Contexts never seen get no bigram weight."""
-    data = np.array(sorted(tuple(c) for c in cells), np.float64).reshape(-1, 6)
-
-    def fit(rows: np.ndarray, prior: np.ndarray) -> np.ndarray:
-        weights = prior.copy()
-        if not len(rows):
-            return weights
-        times = rows[:, 3]
-        p = np.stack([rows[:, 4] / times, rows[:, 5] / times, np.full(len(rows), floor)], 1)
-        for _ in range(rounds):
-            share = p * weights
-            share *= (times / share.sum(1))[:, None]
-            new = (share.sum(0) + prior) / (times.sum() + 1)
-            if np.abs(new - weights).max() < 1e-9:
-                break
-            weights = new
-        return weights
-
-    overall = fit(data, np.array([0.5, 0.4, 0.1]))
-    out = np.stack([fit(data[data[:, 0] == b], overall) for b in range(BUCKETS)])
-    out[0, 1:] /= out[0, 1:].sum()
-    out[0, 0] = 0
-    return out
+                counts = [x.astype(np.int64) for x in (c.context - c.context_deleted, c.pair - c.pair_deleted, c.word - c.word_deleted)]
+                order = np.lexsort(counts)
+                counts = [x[order] for x in counts]
+                first = np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in counts], axis=0)]))
+                times = np.diff(np.append(first, len(order)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[first]) for x in counts), pa.array(times, pa.int64())], ["context", "pair", "word", "times"])
+
+    return pairs.mapInArrow(tidied(gather), "context long, pair long, word long, times long").groupBy("context", "pair", "word").agg(F.sum("times").alias("times"))
+
+
+def expectation_maximisation(cells: DataFrame, n_kept: int, floor: float, rounds: int = EM_ROUNDS, settled: float = SETTLED) -> np.ndarray:
+    """Weights (bigram, unigram, uniform) of each bucket from all counts of ``deleted_cells``; ``PRIOR`` stands for one
+    token more in each bucket and keeps every weight above 0. A bucket without tokens takes the weights of the next lower one
+    that has some (the lowest those of ``PRIOR``). Contexts never seen get no bigram weight."""
+    seen = F.col("context") > 0
+    group = F.when(seen, F.least(F.floor(F.log2(F.greatest("context", F.lit(1)).cast("double")) + 1e-12) + 1, F.lit(BUCKETS - 1))).otherwise(0).cast("int")
+    rows = materialize(cells.select(group.alias("bucket"), F.when(seen, F.col("pair") / F.col("context")).otherwise(0.0).alias("p2"), (F.col("word") / F.lit(float(max(n_kept, 1)))).alias("p1"), F.col("times").cast("double").alias("times")), "cells")
+    prior = np.array(PRIOR)
+    weights, met = np.tile(prior, (BUCKETS, 1)), np.zeros(BUCKETS, bool)
+    for _ in range(rounds):
+        w = [F.element_at(F.array(*map(F.lit, weights[:, k].tolist())), F.col("bucket") + 1) for k in range(3)]
+        parts = [w[0] * F.col("p2"), w[1] * F.col("p1"), w[2] * F.lit(floor)]
+        share = rows.withColumn("_s", F.col("times") / (parts[0] + parts[1] + parts[2]))
+        sums = share.groupBy("bucket").agg(F.sum("times"), *(F.sum(F.col("_s") * p) for p in parts)).collect()
+        new = weights.copy()
+        for b, total, *s in sums:
+            new[b], met[b] = (np.array(s) + prior) / (total + 1), True
+        change, weights = np.abs(new - weights).max(), new
+        if change < settled:
+            break
+    for b in range(1, BUCKETS):
+        if not met[b]:
+            weights[b] = weights[b - 1] if met[:b].any() else prior
+    weights[0, 1:] /= weights[0, 1:].sum()
+    weights[0, 0] = 0
+    return weights
 
 
 def score(documents: DataFrame) -> DataFrame:
@@ -279,17 +298,17 @@ def score(documents: DataFrame) -> DataFrame:
 
     Learns from documents whose crc32(doc_id) mod 7 is not 2 (a null id counts as an empty text's); those
     with 3 are the deleted part. A null or empty text is its end token alone. Repeated rows count and are scored each.
-    A corpus without training texts scores every token 1 / (V + 1) with V = 0. Only sums per range and the
-    deleted part's cells, of which there are at most a grid's number, reach the driver.
+    A corpus without training texts scores every token 1 / (V + 1) with V = 0. Only sums of the training part and per bucket
+    reach the driver. Ids may be of any type.
     """
     spark = documents.sparkSession
     chunks = materialize(make_chunks(documents), "chunks")
     tokens_in_all = chunks.agg(F.sum("n")).first()[0] or 0
     bits = max(0, int(np.ceil(np.log2(max(1, tokens_in_all / RANGE_TOKENS)))))
-    answers = materialize(add_up(count_keys(chunks, bits)), "answers")
+    answers = materialize(add_up(count_keys(chunks, bits), bits), "answers")
     n, n_deleted, distinct = (int(x or 0) for x in answers.where("chunk is null and kind = 1").agg(F.sum("n"), F.sum("n_deleted"), F.sum("distinct")).first())
-    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers), n - n_deleted).collect()
-    weights = spark.sparkContext.broadcast(expectation_maximisation(cells, 1 / (distinct + 1)))
+    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers))
+    weights = spark.sparkContext.broadcast(expectation_maximisation(cells, n - n_deleted, 1 / (distinct + 1)))
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +319,9 @@ def score(documents: DataFrame) -> DataFrame:
                 p = mix[:, 0] * c.pair / np.maximum(c.context, 1) + mix[:, 1] * c.word / max(n, 1) + mix[:, 2] / (distinct + 1)
                 starts = np.cumsum(c.chunk.sizes) - c.chunk.sizes
                 sums = [np.add.reduceat(x, starts) for x in ((c.word > 0).astype(np.int64), np.log10((c.word + 1) / (n + distinct + 1)), np.log10(p))]
-                yield pa.RecordBatch.from_arrays([pa.array(c.chunk.ids, pa.int64()), pa.array(c.chunk.sizes, pa.int64()), *map(pa.array, sums)], names)
+                yield pa.RecordBatch.from_arrays([c.chunk.ids, pa.array(c.chunk.sizes, pa.int64()), *map(pa.array, sums)], names)
 
-    scored = with_counts(chunks, answers).mapInArrow(tidied(judge), "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    scored = with_counts(chunks, answers).mapInArrow(tidied(judge), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == TEST, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 

@@ -381,30 +381,63 @@ def test_lm_scores(spark, edge):
     assert lm.score(docs.limit(0)).count() == 0
 
 
-def test_lm_bigram_mixture_by_hand(spark):
-    docs = [(i, "a b a b a c" if i % 2 else "a b c") for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    rows = lm.score(df).collect()
-    bigrams, words = Counter(), Counter()
-    for i, t in docs:
-        if zlib.crc32(str(i).encode()) % 7 != 2:
-            seq = [*t.split(), "."]
-            words.update(seq)
-            bigrams.update(zip([".", *seq[:-1]], seq, strict=True))
-    # Every score is a mixture of the three estimates: between their least and their greatest.
-    for r in rows:
-        seq = [*dict(docs)[r["doc_id"]].split(), "."]
-        low = high = 0.0
-        for p, w in zip([".", *seq[:-1]], seq, strict=True):
-            e = [bigrams[p, w] / words[p], words[w] / sum(words.values()), 1 / (len(words) + 1)]
-            low, high = low + math.log10(max(min(e), 1e-12)), high + math.log10(max(e))
-        assert low - 1e-9 <= r["score"] <= high + 1e-9
-
-
-def test_em_finds_the_weights():
-    cells = [(3, 1, 1, 700, 700 * 0.9, 700 * 0.001), (3, 0, 2, 300, 0.0, 300 * 0.01)]
-    w = lm.expectation_maximisation(cells, 1e-6)
-    assert 0.6 < w[3, 0] < 0.8 and abs(w[3].sum() - 1) < 1e-9 and (w[:, 2] > 0).all() and w[0, 0] == 0
+def _plain_lm(texts):
+    """Scores of (id, words) texts by counting and by expectation-maximisation token by token."""
+    part = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7
+    pairs_of = lambda w: list(zip(["\0", *w[:-1]], w, strict=True))
+    words, pairs, kept_words, kept_pairs = Counter(), Counter(), Counter(), Counter()
+    for i, w in texts:
+        if part(i) != 2:
+            words.update(w)
+            pairs.update(pairs_of(w))
+            if part(i) != 3:
+                kept_words.update(w)
+                kept_pairs.update(pairs_of(w))
+    n, v, n_kept = sum(words.values()), len(words), sum(kept_words.values())
+    bucket = lambda c: min(23, int(math.log2(c)) + 1) if c else 0
+    tokens = [(bucket(kept_words[p]), kept_pairs[p, w] / kept_words[p] if kept_words[p] else 0.0, kept_words[w] / max(n_kept, 1)) for i, t in texts if part(i) == 3 for p, w in pairs_of(t)]
+    prior, weights, met = (0.5, 0.4, 0.1), {b: (0.5, 0.4, 0.1) for b in range(24)}, {b for b, *_ in tokens}
+    for _ in range(60):
+        new = dict(weights)
+        for b in met:
+            sums, total = list(prior), 1.0
+            for _, p2, p1 in (t for t in tokens if t[0] == b):
+                e = [weights[b][0] * p2, weights[b][1] * p1, weights[b][2] / (v + 1)]
+                sums = [s + x / sum(e) for s, x in zip(sums, e, strict=True)]
+                total += 1
+            new[b] = tuple(s / total for s in sums)
+        change = max((abs(x - y) for b in met for x, y in zip(new[b], weights[b], strict=True)), default=0.0)
+        weights = new
+        if change < 1e-5:
+            break
+    for b in range(1, 24):
+        if b not in met:
+            weights[b] = weights[b - 1] if any(k < b for k in met) else prior
+    weights[0] = (0.0, weights[0][1] / (1 - weights[0][0]), weights[0][2] / (1 - weights[0][0]))
+    p = lambda q, w: sum(x * y for x, y in zip(weights[bucket(words[q])], (pairs[q, w] / words[q] if words[q] else 0.0, words[w] / max(n, 1), 1 / (v + 1)), strict=True))
+    return [(i, sum(math.log10(p(q, w)) for q, w in pairs_of(t))) for i, t in texts]
+
+
+def test_lm_scores_equal_a_plain_model(spark, edge):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").unionByName(edge.select("doc_id", "text"))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    texts = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", (r[1] or "").translate(low)) + ["\0"]) for r in docs.collect()]
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1])
+    want = sorted(_plain_lm(texts), key=key)
+    got = sorted(((r["doc_id"], r["score"]) for r in lm.score(docs).collect()), key=key)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert all(abs(a - b) < 1e-6 * max(1, abs(b)) for (_, a), (_, b) in zip(got, want, strict=True))
+
+
+def test_lm_ids_may_be_strings(spark):
+    docs = spark.createDataFrame([(i, f"a b c d{i}") for i in ["x", "y", None, "z" * 40]], "doc_id string, text string")
+    assert sorted(str(r["doc_id"]) for r in lm.score(docs).collect()) == ["None", "x", "y", "z" * 40]
+
+
+def test_em_finds_the_weights(spark):
+    cells = spark.createDataFrame([(10, 9, 1, 700), (10, 0, 10, 300)], "context long, pair long, word long, times long")
+    w = lm.expectation_maximisation(cells, 1000, 1e-6)
+    assert 0.6 < w[4, 0] < 0.8 and np.allclose(w.sum(1), 1) and (w[:, 2] > 0).all() and w[0, 0] == 0 and (w[5] == w[4]).all() and (w[3] == lm.PRIOR).all()
 
 
 # Quality
