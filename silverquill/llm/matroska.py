@@ -6,7 +6,9 @@ tracks, packets (track, timestamp, byte range, lacing) and cues.
 
 from __future__ import annotations
 
+import bz2
 import struct
+import zlib
 from dataclasses import dataclass, field
 
 # Fixed values of the format: element ids, master elements.
@@ -17,6 +19,8 @@ TIMESTAMP_SCALE, DURATION, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, CODEC_ID = 0x2AD
 DEFAULT_DURATION, SAMPLING, CHANNELS, BIT_DEPTH, FLAG_LACING = 0x23E383, 0xB5, 0x9F, 0x6264, 0x9C
 CLUSTER_TIME, SIMPLE_BLOCK, BLOCK, BLOCK_DURATION, REFERENCE_BLOCK = 0xE7, 0xA3, 0xA1, 0x9B, 0xFB
 CUE_TIME, CUE_TRACK, CUE_CLUSTER, CUE_RELATIVE = 0xB3, 0xF7, 0xF1, 0xF0
+ENCODINGS, ENCODING, ENCODING_ORDER, ENCODING_SCOPE, ENCODING_TYPE, COMPRESSION, COMP_ALGO, COMP_SETTINGS = 0x6D80, 0x6240, 0x5031, 0x5032, 0x5033, 0x5034, 0x4254, 0x4255
+COMPRESSIONS = ("zlib", "bzip2", "lzo", "header")
 DOC_TYPE, DOC_TYPE_VERSION, DOC_TYPE_READ_VERSION, VOID = 0x4282, 0x4287, 0x4285, 0xEC
 LACINGS = ("none", "xiph", "fixed", "ebml")
 TOP_LEVEL = {INFO, TRACKS, CLUSTER, CUES, SEEK_HEAD, TAGS, CHAPTERS, ATTACHMENTS}
@@ -144,6 +148,8 @@ def _num(data: bytes, a: int, b: int) -> int:
 
 
 def _float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise MatroskaError(f"a number of {b - a} bytes at {a}")
     return struct.unpack(">d" if b - a == 8 else ">f", data[a:b])[0] if b > a else 0.0
 
 
@@ -184,12 +190,14 @@ def lace_sizes(data: bytes, at: int, end: int, mode: int) -> tuple[list[int], in
 
 def _block(data: bytes, a: int, b: int, when: int, cluster: int, media: Media, durations: dict[int, int], keyframe: bool | None) -> None:
     track, at = read_vint(data, a, b)
-    if at + 3 > b:
+    if track is None or at + 3 > b:
         raise MatroskaError(f"short block at {a}")
     offset, flags = struct.unpack_from(">hB", data, at)
     mode, scale = flags >> 1 & 3, media.timestamp_scale
     sizes, at = lace_sizes(data, at + 3, b, mode)
     start, step, key = (when + offset) * scale, durations.get(track, 0), bool(flags & 0x80) if keyframe is None else keyframe
+    if abs(start) + (len(sizes) + 1) * step >= 1 << 63:
+        raise MatroskaError(f"a time beyond 64 bits at {a}")
     media.blocks += 1
     name, packets = LACINGS[mode], media.packets
     for i, size in enumerate(sizes):
@@ -260,6 +268,8 @@ def _track(data: bytes, a: int, b: int) -> dict:
             track["codec"] = data[p:q].rstrip(b"\0").decode("ascii", "replace")
         elif e == DEFAULT_DURATION:
             track["default_duration"] = _num(data, p, q)
+        elif e == ENCODINGS:
+            track["encodings"] = [found for _, found in sorted((_encoding(data, m, n) for c, m, n in _children(data, p, q) if c == ENCODING), key=lambda x: x[0])]
         elif e == AUDIO:
             for c, m, n in _children(data, p, q):
                 if c == SAMPLING:
@@ -269,7 +279,53 @@ def _track(data: bytes, a: int, b: int) -> dict:
     return track
 
 
+def _encoding(data: bytes, a: int, b: int) -> tuple[int, tuple[str, bytes]]:
+    """Order, and name with settings, of one encoding of a track's frames."""
+    order, scope, kind, algo, settings = 0, 1, 0, 0, b""
+    for e, p, q in _children(data, a, b):
+        if e == ENCODING_ORDER:
+            order = _num(data, p, q)
+        elif e == ENCODING_SCOPE:
+            scope = _num(data, p, q)
+        elif e == ENCODING_TYPE:
+            kind = _num(data, p, q)
+        elif e == COMPRESSION:
+            for c, m, n in _children(data, p, q):
+                if c == COMP_ALGO:
+                    algo = _num(data, m, n)
+                elif c == COMP_SETTINGS:
+                    settings = data[m:n]
+    if not scope & 1:  # not of the frames
+        return order, ("none", b"")
+    name = "encrypted" if kind else COMPRESSIONS[algo] if algo < len(COMPRESSIONS) else "unknown"
+    return order, (name, settings if name == "header" else b"")
+
+
+def encodings_of(media: Media) -> dict[int, list[tuple[str, bytes]]]:
+    """The encodings of each track's frames, in the order in which they were applied; tracks without any are left out."""
+    found = {t.get("number", 0): [e for e in t.get("encodings", []) if e[0] != "none"] for t in media.tracks}
+    return {t: e for t, e in found.items() if e}
+
+
+def decode_frame(frame: bytes, encodings: list[tuple[str, bytes]]) -> bytes:
+    """The frame as it was before its track's encodings."""
+    for name, settings in reversed(encodings):
+        try:
+            if name == "header":
+                frame = settings + bytes(frame)
+            elif name == "zlib":
+                frame = zlib.decompress(frame)
+            elif name == "bzip2":
+                frame = bz2.decompress(frame)
+            else:
+                raise MatroskaError(f"frames are encoded by {name}")
+        except (zlib.error, OSError, ValueError) as e:
+            raise e if isinstance(e, MatroskaError) else MatroskaError(f"a frame is no {name} data") from e
+    return bytes(frame)
+
+
 def read_track(data: bytes, media: Media, track: int = 1) -> bytes:
-    """The track's frames joined in file order."""
-    view = memoryview(data)
-    return b"".join([view[at : at + size] for t, _, at, size, *_ in media.packets if t == track])
+    """The track's frames, decoded, joined in file order."""
+    view, encodings = memoryview(data), encodings_of(media).get(track)
+    frames = [view[at : at + size] for t, _, at, size, *_ in media.packets if t == track]
+    return b"".join([decode_frame(f, encodings) for f in frames] if encodings else frames)

@@ -15,7 +15,7 @@ from . import matroska
 from .common import table
 
 UNIT = 192
-PACKET = "array<struct<track:int,timestamp_ns:long,offset:long,size:long,lacing:string,keyframe:boolean,cluster_offset:long,cued:boolean>>"
+PACKET = "array<struct<track:int,timestamp_ns:long,offset:long,size:long,lacing:string,keyframe:boolean,cluster_offset:long,cued:boolean,encoding:string,stripped:binary>>"
 
 
 def payload_of(text: str | None) -> tuple[int, bytes]:
@@ -35,11 +35,13 @@ def packet_table(media: DataFrame, content: str = "media") -> DataFrame:
     """One row per packet of the Matroska files in the binary column ``content``, beside their other columns.
 
     Adds packet (from 0), track, timestamp_ns, offset and size (byte range in the file), lacing, keyframe,
-    cluster_offset and cued (the packet's cluster is in the cues); ``parse_error`` holds what is wrong with a file that
-    gives no packets (null content: "null"; empty: "no segment"). Parsing is a map over rows: no shuffle.
-    Columns of the input with those names are replaced.
+    cluster_offset, cued (the packet's cluster is in the cues), encoding (of the stored bytes: "none", "header", "zlib", "bzip2", "lzo",
+    "encrypted", joined by commas in the order applied) and stripped (bytes that stood before the stored ones; null without header stripping);
+    ``parse_error`` holds what is wrong with a file that gives no packets (null content: "null"; empty: "no segment"). Parsing is a map over
+    rows: no shuffle. Columns of the input with those names are replaced.
     """
-    made = ["packets", "parse_error", "packet", "track", "timestamp_ns", "offset", "size", "lacing", "keyframe", "cluster_offset", "cued"]
+    names = ["track", "timestamp_ns", "offset", "size", "lacing", "keyframe", "cluster_offset", "cued", "encoding", "stripped"]
+    made = ["packets", "parse_error", "packet", *names]
 
     @F.pandas_udf(f"packets {PACKET}, parse_error string")
     def read(blobs):
@@ -55,10 +57,11 @@ def packet_table(media: DataFrame, content: str = "media") -> DataFrame:
                 cued = {c[2] for c in m.cues}
                 heads = {p[6] for p in m.packets}
                 near = {h: any(h - k in cued for k in range(5, 13)) for h in heads}
-                found = [(*p, near[p[6]]) for p in m.packets]
+                coded = {t: (",".join(n for n, _ in e), b"".join(b for n, b in reversed(e) if n == "header") or None) for t, e in matroska.encodings_of(m).items()}
+                found = [(*p, near[p[6]], *coded.get(p[0], ("none", None))) for p in m.packets]
             except matroska.MatroskaError as e:
                 error = str(e)
-            rows.append([dict(zip(("track", "timestamp_ns", "offset", "size", "lacing", "keyframe", "cluster_offset", "cued"), p, strict=True)) for p in found] if found is not None else None)
+            rows.append([dict(zip(names, p, strict=True)) for p in found] if found is not None else None)
             errors.append(error)
         return pd.DataFrame({"packets": rows, "parse_error": errors})
 
@@ -82,10 +85,10 @@ def text_media_digest(documents: DataFrame) -> DataFrame:
     """Each text stored as Matroska, read back from the stored bytes, and described.
 
     The payload is the text's UTF-8 bytes (null: none) with spaces up to a positive multiple of 192; an
-    empty text gives 192 spaces. Equal texts give equal rows but for doc_id; repeated rows stay. Work is a
+    empty text gives 192 spaces. Ids may be of any type. Equal texts give equal rows but for doc_id; repeated rows stay. Work is a
     map over record batches, so tasks hold one batch and no rows move.
     """
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -101,7 +104,7 @@ def text_media_digest(documents: DataFrame) -> DataFrame:
                     for column, value in zip(out, row, strict=True):
                         column.append(value)
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [f.split()[0] for f in schema.split(", ")])
+                yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], [f.split()[0] for f in schema.split(", ")])
 
     return documents.select("doc_id", "text").mapInArrow(digest, schema)
 
