@@ -1,8 +1,8 @@
 """URL filters with redirect equivalence, in DataFrame functions only.
 
-A url's identity leaves out scheme, ``www.`` and ``m.``, fragment, tracking parameters and a closing slash
-or ``.html``. All canonical links and refresh redirects in the pages are edges between identities; their
-connected components are groups of aliases. A url that a rule fits keeps that rule's verdict. Any other
+A url's identity is its scheme and host in lower case, path and query, without fragment (``loose`` identities, an option, also leave
+out scheme, ``www.`` and ``m.``, tracking parameters and a closing slash or ``.html``). All canonical links and refresh redirects in
+the pages are edges between identities, which 128-bit hashes stand for; their connected components are groups of aliases. A url that a rule fits keeps that rule's verdict. Any other
 is blocked if its group holds a url blocked by a rule and none allowed by one (an explicit allow has
 precedence), else allowed.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, components, materialize, table
+from .common import ascii_lower, components, materialize, spread_join, table
 
 #: Fixed values: (verdict, host, path).
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -21,7 +21,7 @@ MOST_INLINE = 256
 CANONICAL = r"""(?is)<link\s[^>]*?rel\s*=\s*["']?canonical["']?[^>]*?\shref\s*=\s*["']?([^"'\s>]+)|<link\s[^>]*?href\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\srel\s*=\s*["']?canonical"""
 REFRESH = r"""(?is)<meta\s[^>]*?http-equiv\s*=\s*["']?refresh["']?[^>]*?url\s*=\s*["']?([^"'\s>]+)"""
 TRACKING = r"^(utm_[a-z]*|ref|fbclid|gclid)(=|$)"
-HOST, PATH, QUERY = r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)", r"(?s)^[^?#]*\?([^#]*)"
+SCHEME, HOST, PATH, QUERY = r"(?s)^(.*?)://", r"(?s)^.*?://([^/?#]*)", r"(?s)^.*?://[^/?#]*([^?#]*)", r"(?s)^[^?#]*\?([^#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -33,11 +33,16 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), PATH, 1)
 
 
-def identity(url: Column, host: Column, path: Column) -> Column:
-    """What aliases of a url have in common; null where there is no host and no path."""
-    query = F.filter(F.split(F.regexp_extract(url, QUERY, 1), "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
-    short = F.regexp_replace(path, r"(/index\.html?|\.html?|/)$", "")
-    return F.when((host != "") | (path != ""), F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), short, F.lit("?"), F.array_join(F.array_sort(query), "&")))
+def identity(url: Column, host: Column, path: Column, loose: bool = False) -> Column:
+    """What equal urls have in common; null where there is no host and no path."""
+    asked = F.regexp_extract(url, QUERY, 1)
+    if loose:
+        query = F.filter(F.split(asked, "&"), lambda p: (p != "") & ~p.rlike(TRACKING))
+        short = F.regexp_replace(path, r"(/index\.html?|\.html?|/)$", "")
+        same = F.concat(F.regexp_replace(host, r"^(www|m)\.", ""), short, F.lit("?"), F.array_join(F.array_sort(query), "&"))
+    else:
+        same = F.concat(ascii_lower(F.regexp_extract(url, SCHEME, 1)), F.lit("://"), host, F.when(path == "", "/").otherwise(path), F.lit("?"), asked)
+    return F.when((host != "") | (path != ""), same)
 
 
 def best_rule(host: Column, path: Column, rules=RULES) -> Column:
@@ -62,7 +67,7 @@ def link_targets(url: Column, host: Column, path: Column, html: Column) -> Colum
     """The absolute urls that the page names as its canonical form or redirects to, each once; empty if it names none."""
     every = F.concat(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(1)), F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(2)), F.regexp_extract_all(html, F.lit(REFRESH), F.lit(1)))
     found = F.when(html.rlike("(?i)canonical|http-equiv"), F.array_distinct(F.filter(every, lambda x: x != ""))).otherwise(F.array().cast("array<string>"))
-    base = F.concat(F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.lit("://"), host)
+    base = F.concat(F.regexp_extract(url, SCHEME, 1), F.lit("://"), host)
     folder = F.regexp_replace(path, r"[^/]*$", "")
     absolute = lambda link: (
         F.when(link.contains("://"), link)
@@ -74,29 +79,31 @@ def link_targets(url: Column, host: Column, path: Column, html: Column) -> Colum
     return F.transform(found, absolute)
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, loose: bool = False) -> DataFrame:
     """(page_id, host, path, rule, verdict) for every row of ``pages`` (page_id, url, html).
 
     Null urls and urls without ``://`` have an empty host and path, no aliases, and are judged alone
     (allow). Null html names no links; repeated rows are judged each; an empty table gives an empty one. Groups are
-    found by distributed star contraction; a group's verdict is two partial maxima, so a group of any size
-    stays spread until the join of its one row with its members, which skew-join splitting covers.
+    found by distributed star contraction; a group's verdict is two partial maxima, and the join of its one row with its
+    members cuts a large group among tasks (``spread_join``).
     """
     rows = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), "html").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     rows = rows.withColumn("_tos", link_targets(F.col("url"), F.col("host"), F.col("path"), F.coalesce("html", F.lit("")))).drop("html")
-    rows = rows.withColumn("_key", F.when((F.col("host") != "") | (F.col("path") != ""), F.xxhash64(identity(F.col("url"), F.col("host"), F.col("path")))))
+    rows = rows.withColumn("_key", F.when((F.col("host") != "") | (F.col("path") != ""), F.md5(identity(F.col("url"), F.col("host"), F.col("path"), loose))))
     rows = materialize(with_rule(rows, "host", "path", "_own", rules).select("page_id", "host", "path", F.col("_own.rule").alias("rule"), F.col("_own.verdict").alias("_verdict"), "_key", "_tos"), "pages")
 
     named = rows.select("_key", F.explode("_tos").alias("_to")).distinct().withColumns({"_thost": host_of(F.col("_to")), "_tpath": path_of(F.col("_to"))})
-    named = named.withColumn("_tkey", F.when((F.col("_thost") != "") | (F.col("_tpath") != ""), F.xxhash64(identity(F.col("_to"), F.col("_thost"), F.col("_tpath")))))
+    named = named.withColumn("_tkey", F.when((F.col("_thost") != "") | (F.col("_tpath") != ""), F.md5(identity(F.col("_to"), F.col("_thost"), F.col("_tpath"), loose))))
     named = materialize(with_rule(named, "_thost", "_tpath", "_other", rules).select("_key", "_tkey", F.col("_other.verdict").alias("_tverdict")), "links")
     linked = components(named.where("_key <> _tkey").select(F.col("_key").alias("a"), F.col("_tkey").alias("b")), "aliases")
-    said = rows.where("_verdict is not null and _key is not null").select("_key", "_verdict").unionByName(named.where("_tverdict is not null and _tkey is not null").select(F.col("_tkey").alias("_key"), F.col("_tverdict").alias("_verdict"))).distinct()
-    grouped = lambda df: df.join(linked, df["_key"] == linked["node"], "left").withColumn("_group", F.coalesce("component", "_key")).drop("node", "component")
+    said = rows.where("_verdict is not null and _key is not null").select("_key", "_verdict").unionByName(named.where("_tverdict is not null and _tkey is not null").select(F.col("_tkey").alias("_key"), F.col("_tverdict").alias("_verdict"))).distinct().withColumn("_salt", F.lit(0))
+    linked = materialize(linked.select(F.col("node").alias("_key"), "component"), "groups")
+    grouped = lambda df: spread_join(df, linked, ["_key"], ["_salt"], "left").withColumn("_group", F.coalesce("component", "_key")).drop("component")
     groups = grouped(said).groupBy("_group").agg(F.max(F.col("_verdict") == "block").alias("_blocked"), F.max(F.col("_verdict") == "allow").alias("_allowed"))
     groups = groups.where("_blocked and not _allowed").select(F.col("_group").alias("_g"))
-    open_ = rows.where("rule is null")
-    judged = grouped(open_).join(groups, F.col("_group") == F.col("_g"), "left").withColumn("verdict", F.when(F.col("_g").isNotNull(), "block").otherwise("allow"))
+    open_ = rows.where("rule is null").withColumn("_salt", F.col("page_id"))
+    placed = materialize(grouped(open_), "placed")
+    judged = spread_join(placed, groups.select(F.col("_g").alias("_group"), F.lit(True).alias("_bad")), ["_group"], ["page_id"], "left").withColumn("verdict", F.when(F.col("_bad"), "block").otherwise("allow"))
     columns = ["page_id", "host", "path", "rule", "verdict"]
     return rows.where("rule is not null").withColumn("verdict", F.col("_verdict")).select(columns).unionByName(judged.select(columns))
 
@@ -105,29 +112,31 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
 
-def op2_sql() -> str:
+def op2_sql(loose: bool = False) -> str:
     """The same by a recursive search over the links."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in RULES)
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-    key = lambda u, h, p: f"""CASE WHEN {h} <> '' OR {p} <> '' THEN concat(regexp_replace({h}, '^(www|m)\\.', ''), regexp_replace({p}, '(/index\\.html?|\\.html?|/)$', ''), '?',
-        array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, {q(QUERY)}, 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, {q(TRACKING)}))), '&')) END"""
+    near = lambda u, h, p: f"""concat(regexp_replace({h}, '^(www|m)\\.', ''), regexp_replace({p}, '(/index\\.html?|\\.html?|/)$', ''), '?',
+        array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, {q(QUERY)}, 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, {q(TRACKING)}))), '&'))"""
+    same = lambda u, h, p: f"concat({low(f'regexp_extract({u}, {q(SCHEME)}, 1)')}, '://', {h}, CASE WHEN {p} = '' THEN '/' ELSE {p} END, '?', regexp_extract({u}, {q(QUERY)}, 1))"
+    key = lambda u, h, p: f"CASE WHEN {h} <> '' OR {p} <> '' THEN {(near if loose else same)(u, h, p)} END"
     return rf"""
-WITH RECURSIVE base AS (SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
-a AS (SELECT *, {low(f"regexp_extract(url, {q(HOST)}, 1)")} AS host, regexp_extract(url, {q(PATH)}, 1) AS path,
-    coalesce(nullif(regexp_extract(html, {q(CANONICAL)}, 1), ''), nullif(regexp_extract(html, {q(CANONICAL)}, 2), ''), nullif(regexp_extract(html, {q(REFRESH)}, 1), '')) AS link FROM base),
-b AS (SELECT *, concat(regexp_extract(url, '(?s)^(.*?)://', 1), '://', host) AS root, regexp_replace(path, '[^/]*$', '') AS dir FROM a),
-c AS (SELECT *, CASE WHEN link IS NULL THEN NULL WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN concat('http:', link) WHEN starts_with(link, '/') THEN concat(root, link)
+WITH RECURSIVE base AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS url, coalesce(html, '') AS html FROM pages),
+a AS (SELECT *, {low(f"regexp_extract(url, {q(HOST)}, 1)")} AS host, regexp_extract(url, {q(PATH)}, 1) AS path FROM base),
+n AS (SELECT *, unnest(list_distinct(list_concat(regexp_extract_all(html, {q(CANONICAL)}, 1), regexp_extract_all(html, {q(CANONICAL)}, 2), regexp_extract_all(html, {q(REFRESH)}, 1)))) AS link FROM a),
+b AS (SELECT *, concat(regexp_extract(url, {q(SCHEME)}, 1), '://', host) AS root, regexp_replace(path, '[^/]*$', '') AS dir FROM n WHERE link <> ''),
+c AS (SELECT *, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN concat('http:', link) WHEN starts_with(link, '/') THEN concat(root, link)
     WHEN starts_with(link, '#') OR starts_with(link, '?') THEN concat(root, path, link) ELSE concat(root, dir, CASE WHEN ends_with(dir, '/') THEN '' ELSE '/' END, link) END AS target FROM b),
-d AS (SELECT *, {low(f"regexp_extract(coalesce(target, ''), {q(HOST)}, 1)")} AS thost, regexp_extract(coalesce(target, ''), {q(PATH)}, 1) AS tpath FROM c),
-e AS (SELECT *, {key('url', 'host', 'path')} AS k, {key("coalesce(target, '')", 'thost', 'tpath')} AS tk FROM d),
+d AS (SELECT *, {low(f"regexp_extract(target, {q(HOST)}, 1)")} AS thost, regexp_extract(target, {q(PATH)}, 1) AS tpath FROM c),
+e AS (SELECT *, {key('url', 'host', 'path')} AS k, {key("target", 'thost', 'tpath')} AS tk FROM d),
 rules(v, h, p) AS (VALUES {rules}),
-f AS (SELECT e.*, (SELECT arg_max((concat(h, p), v), length(h) + length(p)) FROM rules WHERE (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p)) AS own,
-    (SELECT arg_max((concat(h, p), v), length(h) + length(p)) FROM rules WHERE (thost = h OR ends_with(thost, concat('.', h))) AND starts_with(tpath, p)) AS other FROM e),
-edges AS (SELECT k AS x, tk AS y FROM f WHERE k <> tk UNION SELECT tk, k FROM f WHERE k <> tk),
+g AS (SELECT e.*, (SELECT arg_max((concat(h, p), v), length(h) + length(p)) FROM rules WHERE (thost = h OR ends_with(thost, concat('.', h))) AND starts_with(tpath, p)) AS other FROM e),
+f AS (SELECT a.*, {key('url', 'host', 'path')} AS k, (SELECT arg_max((concat(h, p), v), length(h) + length(p)) FROM rules WHERE (host = h OR ends_with(host, concat('.', h))) AND starts_with(path, p)) AS own FROM a),
+edges AS (SELECT k AS x, tk AS y FROM e WHERE k <> tk UNION SELECT tk, k FROM e WHERE k <> tk),
 reach(x, y) AS (SELECT x, x FROM edges UNION SELECT r.x, g.y FROM reach r JOIN edges g ON r.y = g.x),
 comp AS (SELECT x, min(y) AS c FROM reach GROUP BY x),
-said AS (SELECT k, own[2] AS v FROM f WHERE own IS NOT NULL AND k IS NOT NULL UNION SELECT tk, other[2] FROM f WHERE other IS NOT NULL AND tk IS NOT NULL),
+said AS (SELECT k, own[2] AS v FROM f WHERE own IS NOT NULL AND k IS NOT NULL UNION SELECT tk, other[2] FROM g WHERE other IS NOT NULL AND tk IS NOT NULL),
 bad AS (SELECT coalesce(c, k) AS g FROM said LEFT JOIN comp ON k = x GROUP BY 1 HAVING bool_or(v = 'block') AND NOT bool_or(v = 'allow'))
 SELECT page_id, host, path, own[1] AS rule, CASE WHEN own IS NOT NULL THEN own[2] WHEN coalesce(c, k) IN (SELECT g FROM bad) THEN 'block' ELSE 'allow' END AS verdict
 FROM f LEFT JOIN comp ON k = x
