@@ -58,25 +58,32 @@ def discard(*tables: DataFrame | None) -> None:
 LEAST_HOT = 512
 
 
-def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
-    """``many`` joined with ``one`` on ``key`` (integers or plain strings), where no task gets a whole hot key.
-
-    A key is hot if it holds more rows of ``many`` than an even task would (and more than ``LEAST_HOT``). Its rows are cut by the
-    hash of their columns ``by``, and its rows of ``one`` stand once in each cut. Fewer keys than there are tasks can be hot:
-    only these reach the driver and are broadcast. ``many`` is read once more for the sizes, so it should be a stored table,
-    unless ``sizes`` (key, _rows) tells them.
-    """
-    spark = many.sparkSession
+def hot_keys(sizes: DataFrame, key: list[str]) -> DataFrame | None:
+    """(key, _cuts): the keys of ``sizes`` (key, _rows) with more rows than an even task would have, and more than
+    ``LEAST_HOT``; None if there are none. Fewer keys than there are tasks can be hot, and only these reach the driver."""
+    spark = sizes.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = many.groupBy(*key).agg(F.count("*").alias("_rows")) if sizes is None else sizes
     rows, top = sizes.agg(F.sum("_rows"), F.max("_rows")).first()
     even = max(LEAST_HOT, (rows or 0) // tasks)
     if (top or 0) <= even:
-        return many.join(one.hint("merge"), key, how)
+        return None
     listed = sizes.where(F.col("_rows") > even).select(*key, F.ceil(F.col("_rows") / even).cast("int").alias("_cuts")).collect()
     values = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x) for x in r) + ")" for r in listed)
     hot = spark.sql(f"SELECT * FROM VALUES {values} AS h({', '.join(f'`{k}`' for k in key)}, `_cuts`)")
-    hot = F.broadcast(hot.select(*(F.col(k).cast(many.schema[k].dataType) for k in key), "_cuts"))
+    return hot.select(*(F.col(k).cast(sizes.schema[k].dataType) for k in key), "_cuts")
+
+
+def spread_join(many: DataFrame, one: DataFrame, key: list[str], by: list[str], how: str = "inner", hot: DataFrame | None | str = "find") -> DataFrame:
+    """``many`` joined with ``one`` on ``key`` (integers or plain strings), where no task gets a whole hot key.
+
+    The rows of a hot key (``hot_keys``) are cut by the hash of their columns ``by``, and its rows of ``one`` stand once in
+    each cut. The hot keys are broadcast. ``many`` is read once more to find them, so it should be a stored table, unless ``hot`` is given.
+    """
+    if isinstance(hot, str):
+        hot = hot_keys(many.groupBy(*key).agg(F.count("*").alias("_rows")), key)
+    if hot is None:
+        return many.join(one.hint("merge"), key, how)
+    hot = F.broadcast(hot)
     cut = many.join(hot, key, "left").withColumn("_cut", F.coalesce(F.pmod(F.xxhash64(*by), F.col("_cuts")).cast("int"), F.lit(0))).drop("_cuts")
     each = one.join(hot, key, "left").withColumn("_cut", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_cuts") - 1, F.lit(0))))).drop("_cuts")
     return cut.join(each.hint("merge"), [*key, "_cut"], how).drop("_cut")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, pieces_of, spread_join, table, tidied
+from .common import discard, hot_keys, materialize, pieces_of, spread_join, table, tidied
 from .shingles import constants, mix
 
 WINDOW = 3
@@ -64,7 +64,7 @@ def windows(documents: DataFrame, width: int = WINDOW, sentences: bool = True) -
         import xxhash
 
         for whole in batches:
-            for b in pieces_of(whole):
+            for b in pieces_of(whole, most_bytes=4 << 20):
                 texts = pc.fill_null(b.column(1), "")
                 split, offsets = cut_lines(texts, sentences)
                 trimmed = pc.utf8_trim(split, " \n")
@@ -102,10 +102,11 @@ def spans_to_remove(documents: DataFrame, width: int = WINDOW, sentences: bool =
     """(doc_id, key, spans): disjoint, sorted places (first, last) of the lines that go, for documents that lose any."""
     every = materialize(windows(documents, width, sentences), "windows")
     own = F.struct("doc_id", "key")
-    repeated = every.where("not again").groupBy("hash", "check").agg(F.min(own).alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("hash", "check", "_first")
-    later = spread_join(every.where("not again"), repeated, ["hash", "check"], ["doc_id", "key"]).where(~own.eqNullSafe(F.col("_first"))).select("doc_id", "key", "first", "last")
+    repeated = every.where("not again").groupBy("hash", "check").agg(F.min(own).alias("_first"), F.count("*").alias("_rows")).where("_rows > 1")
+    repeated = materialize(repeated, "repeated")
+    later = spread_join(every.where("not again"), repeated.drop("_rows"), ["hash", "check"], ["doc_id", "key"], hot=hot_keys(repeated, ["hash", "check"])).where(~own.eqNullSafe(F.col("_first"))).select("doc_id", "key", "first", "last")
     gone = materialize(later.unionByName(every.where("again").select("doc_id", "key", "first", "last")).distinct(), "gone")
-    discard(every)
+    discard(every, repeated)
     # Spans that touch are one island; each document's spans are sorted once and read once.
     document = Window.partitionBy("doc_id", "key").orderBy("first", "last")
     before = F.max("last").over(document.rowsBetween(Window.unboundedPreceding, -1))
