@@ -29,8 +29,9 @@ def nfc(texts: pd.Series) -> pd.Series:
 
 
 def fold(text: Column) -> Column:
-    """NFD without combining marks, lower-cased. ASCII texts, which folding can't change, stay in the JVM."""
-    return F.lower(F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_fold(text)))
+    """NFD without combining marks, lower-cased. ASCII texts, which folding can't change, don't leave the JVM: they are nulls in
+    the function's argument."""
+    return F.lower(F.coalesce(_fold(F.when(~text.rlike(r"^\p{ASCII}*$"), text)), text))
 
 
 def tokens(text: Column, cjk_split: bool = False) -> Column:
@@ -41,6 +42,42 @@ def tokens(text: Column, cjk_split: bool = False) -> Column:
     return F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def _folded(texts: pa.Array) -> pa.Array:
+    """As ``fold``, of a batch (null: empty); only texts beyond ASCII are normalised."""
+    texts = pc.fill_null(texts, "")
+    odd = pc.invert(pc.string_is_ascii(texts))
+    if pc.any(odd).as_py():
+        apart = pc.utf8_normalize(texts.filter(odd), form="NFD")
+        texts = pc.replace_with_mask(texts, odd, pc.replace_substring_regex(apart, r"\p{M}+", ""))
+    return pc.utf8_lower(texts)
+
+
+def term_counts(text: Column, atoms: list[tuple[str, bool]], cjk_split: bool = False) -> Column:
+    """(length, distinct, tf): the number of tokens and of distinct tokens of each text, and how often each atom (token, or prefix
+    if true) stands in it. Tokens are cut and counted in Arrow; only numbers come back."""
+
+    @F.arrow_udf("length int, distinct int, tf array<int>")
+    def count(texts: pa.Array) -> pa.Array:
+        folded = _folded(texts)
+        if cjk_split:
+            folded = pc.replace_substring_regex(folded, f"([{CJK}])", r" \1 ")
+        words = pc.split_pattern_regex(folded, r"[^\p{L}\p{N}]+")
+        coded = pc.dictionary_encode(words.flatten())
+        codes, names = coded.indices.to_numpy(), coded.dictionary
+        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
+        of = lambda chosen: np.diff(np.concatenate([[0], np.cumsum(chosen)])[offsets]).astype(np.int32)
+        blank = pc.equal(names, "").to_numpy(zero_copy_only=False)
+        full = ~blank[codes] if len(names) else np.zeros(0, bool)
+        key = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets))[full] * max(len(names), 1) + codes[full]
+        distinct = np.bincount(np.unique(key) // max(len(names), 1), minlength=len(texts)).astype(np.int32)
+        tf = [of((pc.starts_with(names, a) if prefix else pc.equal(names, a)).to_numpy(zero_copy_only=False)[codes]) if len(names) else np.zeros(len(texts), np.int32) for a, prefix in atoms]
+        flat = np.stack(tf, 1).ravel() if tf else np.zeros(0, np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(tf)), pa.array(flat, pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(of(full)), pa.array(distinct), lists], ["length", "distinct", "tf"])
+
+    return count(text)
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     """A packed vector: 1024 bytes are 512 half-precision numbers, any other size single-precision ones."""

@@ -7,10 +7,10 @@ import unicodedata
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.udf import CJK, tokens
+from ..functions.udf import CJK, term_counts, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -90,19 +90,21 @@ def _idf(n: Column, df: Column) -> Column:
 
 
 def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False) -> DataFrame:
-    """BM25 over unindexed documents: one pass for the corpus's sums, one for the scores, no exchange of rows.
+    """BM25 over unindexed documents, whose texts are read and cut once.
 
-    Term frequencies are counted in each row; what meets is one row of sums, and the best ``limit`` rows.
+    A document's length and term frequencies are counted in Arrow; only these numbers meet in an exchange, which the corpus's sums and
+    the scores both read. ``write_index`` and ``search_index`` answer alike without reading texts.
     """
     atoms = parse_query(query, prefixes, cjk_split)
     if not atoms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    counted = docs.select(key, tokens(F.col(text), cjk_split).alias("_t")).where(F.size("_t") > 0)
-    times = F.array(*(F.size(F.filter("_t", partial(_matches, a))) for a in atoms))
-    counted = counted.select(key, F.size("_t").alias("_len"), times.alias("_tf"))
-    held = [F.count_if(F.col("_tf")[i] > 0).alias(f"_df{i}") for i in range(len(atoms))]
-    corpus = counted.agg(F.count("*").alias("_n"), F.avg("_len").alias("_av"), *held)
-    rows = counted.where(F.forall("_tf", lambda t: t > 0)).join(F.broadcast(corpus))
+    counted = docs.select(key, term_counts(F.col(text), [(a.text, a.prefix) for a in atoms], cjk_split).alias("_c"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = counted.select(key, F.col("_c.length").alias("_len"), F.col("_c.tf").alias("_tf")).repartition(parts, key)
+    held = [F.count_if((F.col("_tf")[i] > 0) & (F.col("_len") > 0)).alias(f"_df{i}") for i in range(len(atoms))]
+    corpus = counted.agg(F.count_if(F.col("_len") > 0).alias("_n"), F.avg(F.when(F.col("_len") > 0, F.col("_len"))).alias("_av"), *held)
+    # The condition names the corpus, so that it stays above the exchange and both sides read the same one.
+    rows = counted.join(F.broadcast(corpus)).where(F.when(F.col("_n") > 0, F.forall("_tf", lambda t: t > 0)).otherwise(False))
     part = lambda i: _idf(F.col("_n"), F.col(f"_df{i}")) * (F.col("_tf")[i] * (K1 + 1)) / (F.col("_tf")[i] + K1 * (1 - B + B * F.col("_len") / F.col("_av")))
     total = part(0)
     for i in range(1, len(atoms)):
@@ -111,6 +113,21 @@ def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None =
     return out.orderBy("score", key).limit(limit) if limit else out
 
 
+def write_index(docs: DataFrame, key: str, text: str, folder: str, cjk_split: bool = False) -> None:
+    """Postings sorted by token and document lengths, as Parquet under ``folder``: a search reads the row groups of its tokens only."""
+    postings(docs, key, text, cjk_split).repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{folder}/postings")
+    document_lengths(docs, key, text, cjk_split).write.mode("overwrite").parquet(f"{folder}/lengths")
+
+
+def search_index(spark: SparkSession, folder: str, key: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 from a stored index; ``allowed`` (key) restricts the result before the cut, not the corpus's sums."""
+    found = bm25(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), key, parse_query(query, prefixes, cjk_split), limit if allowed is None else None)
+    if allowed is None:
+        return found
+    kept = found.join(allowed.select(key), key, "left_semi")
+    return kept.orderBy("score", key).limit(limit) if limit else kept
+
+
 def index_upsert(index: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
     """Postings after ``docs`` are indexed anew; blank texts leave the old postings."""
     fresh = docs.where(F.length(F.trim(F.coalesce(text, F.lit("")))) > 0)

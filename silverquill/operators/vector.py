@@ -12,7 +12,8 @@ from ..functions.udf import project
 
 
 def literal(vector: Sequence[float]) -> Column:
-    return F.array(*(F.lit(float(x)) for x in vector))
+    """An array of doubles, as one parsed expression."""
+    return F.expr("array(" + ", ".join(f"double('{float(x)!r}')" for x in vector) + ")")
 
 
 def vector_of(vectors: DataFrame, key: str, value, column: str) -> list[float]:
@@ -48,7 +49,7 @@ def quantize_query(query: Sequence[float], matrix=None) -> list[int]:
 
 def coarse_topk(coarse: DataFrame, key: str, query: Sequence[int], k: int = 500) -> DataFrame:
     """(key, score): the k greatest int8 dot products; equal ones by key."""
-    q = F.array(*(F.lit(int(x)) for x in query))
+    q = F.expr("array(" + ", ".join(str(int(x)) for x in query) + ")")
     return coarse.select(key, expr.dot_int8(F.col("coarse"), q).alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
