@@ -190,16 +190,19 @@ def norm(v: Column) -> Column:
     return F.sqrt(dot(v, v))
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once in each row: inside a lambda it would be computed for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalised(v: Column) -> Column:
     """Unit length; null for a vector of length under 1e-12."""
-    n = norm(v)
-    return F.when(n >= 1e-12, F.transform(v, lambda x: x.cast("double") / n))
+    return bound(norm(v), lambda n: F.when(n >= 1e-12, F.transform(v, lambda x: x.cast("double") / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
     """0 where a length product is under 1e-12."""
-    under = norm(a) * norm(b)
-    return F.when(under < 1e-12, 0.0).otherwise(dot(a, b) / under)
+    return bound(norm(a) * norm(b), lambda under: F.when(under < 1e-12, 0.0).otherwise(dot(a, b) / under))
 
 
 def quantize(v: Column) -> Column:

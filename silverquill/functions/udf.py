@@ -53,27 +53,20 @@ def _folded(texts: pa.Array) -> pa.Array:
 
 
 def term_counts(text: Column, atoms: list[tuple[str, bool]], cjk_split: bool = False) -> Column:
-    """(length, distinct, tf): the number of tokens and of distinct tokens of each text, and how often each atom (token, or prefix
-    if true) stands in it. Tokens are cut and counted in Arrow; only numbers come back."""
+    """(length, tf): the number of tokens of each text, and how often each atom (a token, or a prefix if true) stands in
+    it. Tokens are cut and counted in Arrow; only numbers come back."""
 
-    @F.arrow_udf("length int, distinct int, tf array<int>")
+    @F.arrow_udf("length int, tf array<int>")
     def count(texts: pa.Array) -> pa.Array:
         folded = _folded(texts)
         if cjk_split:
             folded = pc.replace_substring_regex(folded, f"([{CJK}])", r" \1 ")
         words = pc.split_pattern_regex(folded, r"[^\p{L}\p{N}]+")
-        coded = pc.dictionary_encode(words.flatten())
-        codes, names = coded.indices.to_numpy(), coded.dictionary
-        offsets = words.offsets.to_numpy() - words.offsets[0].as_py()
-        of = lambda chosen: np.diff(np.concatenate([[0], np.cumsum(chosen)])[offsets]).astype(np.int32)
-        blank = pc.equal(names, "").to_numpy(zero_copy_only=False)
-        full = ~blank[codes] if len(names) else np.zeros(0, bool)
-        key = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(offsets))[full] * max(len(names), 1) + codes[full]
-        distinct = np.bincount(np.unique(key) // max(len(names), 1), minlength=len(texts)).astype(np.int32)
-        tf = [of((pc.starts_with(names, a) if prefix else pc.equal(names, a)).to_numpy(zero_copy_only=False)[codes]) if len(names) else np.zeros(len(texts), np.int32) for a, prefix in atoms]
-        flat = np.stack(tf, 1).ravel() if tf else np.zeros(0, np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(tf)), pa.array(flat, pa.int32()))
-        return pa.StructArray.from_arrays([pa.array(of(full)), pa.array(distinct), lists], ["length", "distinct", "tf"])
+        flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
+        of = lambda chosen: np.diff(np.concatenate([[0], np.cumsum(chosen.to_numpy(zero_copy_only=False))])[offsets]).astype(np.int32)
+        tf = [of(pc.starts_with(flat, a) if prefix else pc.equal(flat, a)) for a, prefix in atoms]
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(tf)), pa.array(np.stack(tf, 1).ravel() if tf else [], pa.int32()))
+        return pa.StructArray.from_arrays([pa.array(of(pc.not_equal(flat, ""))), lists], ["length", "tf"])
 
     return count(text)
 
