@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -115,8 +116,9 @@ def media_kind(name: Column) -> Column:
 
 
 def edited_base(name: Column) -> Column:
-    """The stem before an edited suffix; null where there is none or nothing before it."""
-    found = F.regexp_extract(stem(name), "(?iu)^(.+)(?:" + "|".join(EDITED_SUFFIXES) + ")$", 1)
+    """The stem before an edited suffix, composed or decomposed; null where there is none or nothing before it."""
+    endings = dict.fromkeys(form for s in EDITED_SUFFIXES for form in (s, unicodedata.normalize("NFD", s)))
+    found = F.regexp_extract(stem(name), "(?iu)^(.+)(?:" + "|".join(endings) + ")$", 1)
     return F.nullif(found, F.lit(""))
 
 

@@ -59,5 +59,12 @@ def composite_digest(parts: DataFrame, group: str, order: str, content: Column)
     return rows.select(group, F.size("_p").alias("parts"), F.sha2(F.unhex(F.array_join(F.transform("_p", lambda p: p["d"]), "")), 256).alias("digest"))
 
 
+def merge_packages(packages: DataFrame) -> DataFrame:
+    """(name, version, requiredBy, licenseText): a row per package version; requiredBy is the sorted union, the text the first that isn't
+    null, by the rows' ``seq``."""
+    text = F.min_by(F.col("licenseText"), F.when(F.col("licenseText").isNotNull(), F.col("seq")))
+    return packages.groupBy("name", "version").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("requiredBy")))).alias("requiredBy"), text.alias("licenseText"))
+
+
 def first_copies(files: DataFrame, *keys: str, order: str) -> DataFrame:
     return files.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("_r = 1").drop("_r")

@@ -37,6 +37,19 @@ def rank_list(df: DataFrame, order, key: str) -> DataFrame:
     return df.select(key, F.row_number().over(Window.orderBy(order, key)).alias("rank"))
 
 
+def hybrid(near: DataFrame, words: DataFrame, key: str, allowed: DataFrame | None = None, limit: int = 50) -> DataFrame:
+    """(key, score): a vector list and a text list, both (key, rank), fused; ``allowed`` (key) filters what is fused. To filter before the
+    cut, hand in lists of allowed items; this filter comes after it."""
+    fused = rrf([near, words], key)
+    kept = fused if allowed is None else fused.join(allowed.select(key), key, "left_semi")
+    return kept.orderBy(F.desc("score"), key).limit(limit).select(key, "score")
+
+
+def search_counts(candidates: DataFrame, final: DataFrame) -> DataFrame:
+    """(candidates_evaluated, final_ranked) of one search."""
+    return candidates.agg(F.count("*").alias("candidates_evaluated")).join(F.broadcast(final.agg(F.count("*").alias("final_ranked"))))
+
+
 def retrieval_quality(ranked: DataFrame, relevant: DataFrame, query: str, key: str) -> DataFrame:
     """Recall, top-1 and forbidden hits by query; ``relevant`` has (query, key, grade: 1 wanted, -1 forbidden)."""
     joined = relevant.join(ranked.select(query, key, "rank"), [query, key], "left")

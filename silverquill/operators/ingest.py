@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..schemas import HashState, Remote
-from .relational import sighting_class, upsert
+from ..schemas import HashState, Job, Remote, Stage
+from .relational import sighting_class, stale_models, upsert
 
 
 def enumerate_assets(known: DataFrame, listed: DataFrame, now: int) -> DataFrame:
@@ -43,6 +43,24 @@ def upload_plan(assets: DataFrame) -> DataFrame:
     return assets.where(F.col("remote_state").isin(int(Remote.LOCAL_ONLY), int(Remote.FAILED))).withColumn("plan", plan).withColumn("parts", F.coalesce(F.col("plan.part_count"), F.lit(1).cast("long")))
 
 
+def unhashed(local: DataFrame) -> DataFrame:
+    """Local sources that wait for their hash."""
+    return local.where(F.col("hash_state") == int(HashState.PENDING))
+
+
+def backed_up(local: DataFrame, assets: DataFrame) -> DataFrame:
+    """Local sources whose asset is verified remotely."""
+    return local.join(assets.where(F.col("remote_state") == int(Remote.VERIFIED)).select("hash"), "hash", "left_semi")
+
+
+def migration_jobs(jobs: DataFrame, vectors: DataFrame, current, now: int, first_id: int, key: str = "hash", model: str = "model_id") -> DataFrame:
+    """``jobs`` and an Embed job of priority 10 for every key with a vector of another model and none of ``current``."""
+    stale = stale_models(vectors, key, model, current).select(F.col(key).cast(jobs.schema["hash"].dataType).alias("hash"))
+    made = stale.withColumn("id", F.lit(first_id) + F.monotonically_increasing_id())
+    values = {"kind": int(Stage.EMBED), "priority": 10, "state": int(Job.PENDING), "attempts": 0, "next_attempt_at": now, "created_at": now}
+    return jobs.unionByName(made.select(*(F.col(c).cast(jobs.schema[c].dataType) if c in ("id", "hash") else F.lit(values.get(c)).cast(jobs.schema[c].dataType).alias(c) for c in jobs.columns)))
+
+
 def embed(rows: DataFrame, key: str, content: str, model: Callable[[], Callable[[pd.Series], list]], dims: int) -> DataFrame:
     """(key, vector) by a model that each worker opens once. ``model()`` gives a function of a batch of contents."""
 

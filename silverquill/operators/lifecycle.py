@@ -28,6 +28,25 @@ def verify_remote(objects: DataFrame, content: str = "content", expected: str =
     return objects.withColumn("actual", F.sha2(content, 256)).withColumn("verified", F.col("actual") == F.col(expected))
 
 
+def verify_objects(objects: DataFrame, part_bytes: int | None = None) -> DataFrame:
+    """Objects (hash, content, checksum, composite, part_count) with (method, verified, problem).
+
+    A stored SHA-256 checksum (base64) is compared with the name of an object of one part; of several parts the stored composite is
+    compared with that of the content, cut into parts of ``part_bytes``. Without such a checksum the content is hashed whole; an object without
+    content isn't there. Content is read only where the method needs it.
+    """
+    missing = F.col("content").isNull()
+    has_composite = F.col("composite").isNotNull() & F.lit(part_bytes is not None)
+    method = expr.verify_method(F.col("checksum").isNotNull(), has_composite, F.col("part_count"))
+    stored = expr.base64_to_hex(F.regexp_replace("checksum", "-[0-9]+$", ""))
+    size = part_bytes or 1
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length("content") / size).cast("int") - 1, F.lit(0))), lambda i: F.sha2(F.substring(F.col("content"), i * size + 1, F.lit(size)), 256))
+    composite = F.sha2(F.unhex(F.array_join(parts, "")), 256) == expr.base64_to_hex(F.regexp_replace("composite", "-[0-9]+$", ""))
+    same = F.when(missing, False).when(method == "checksum", stored == F.lower("hash")).when(method == "composite", composite).otherwise(F.sha2("content", 256) == F.lower("hash"))
+    problem = F.when(missing, "object not found").when(~same, F.concat(method, F.lit(" mismatch")))
+    return objects.withColumn("method", method).withColumn("verified", F.coalesce(same, F.lit(False))).withColumn("problem", problem)
+
+
 def export_plan(assets: DataFrame, size: str, *conditions: Column) -> DataFrame:
     rows = assets
     for c in conditions:

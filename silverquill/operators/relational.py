@@ -7,9 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import Kind
+
 
 def timeline(assets: DataFrame, at: str, key: str, deleted: Column, limit: int = 150, offset: int = 0, motion: Column | None = None) -> DataFrame:
-    """A page of what isn't deleted (nor a motion component), newest first: a bounded heap per task."""
+    """A page of what isn't deleted nor a motion component, newest first: a bounded heap per task. A table with the catalogue's
+    ``kind`` column tells motion components by it; ``motion`` is another condition."""
+    if motion is None and "kind" in assets.columns:
+        motion = F.col("kind") == int(Kind.MOTION)
     live = assets.where(~deleted if motion is None else ~deleted & ~motion)
     return live.orderBy(F.desc(at), key).offset(offset).limit(limit) if offset else live.orderBy(F.desc(at), key).limit(limit)
 
@@ -89,14 +94,16 @@ def by_day(df: DataFrame, at: Column, key: str) -> DataFrame:
 def lru_evictions(cache: DataFrame, key: str, size: str, used: str, cap: int, rows_per_bucket: int = 50_000) -> DataFrame:
     """Entries that go so that the rest fits ``cap``, least recently used first.
 
-    The running total is taken over ranges of ``used``: sums of ranges, then of the rows inside each, so
-    that no task sorts the whole cache.
+    The running total is taken over ranges of ``used`` that approximate quantiles cut, so that they hold about as many rows
+    each however uses cluster: sums of ranges, then of the rows inside each, so that no task sorts the whole cache.
     """
-    total, low, high, n = cache.agg(F.sum(size), F.min(used), F.max(used), F.count("*")).first()
+    total, n = cache.agg(F.sum(size), F.count("*")).first()
     if not n or total <= cap:
         return cache.limit(0)
-    buckets = max(1, n // rows_per_bucket)
-    cut = cache.withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col(used) - low) * buckets / max(1, high - low + 1))))
+    buckets = min(10_000, max(1, n // rows_per_bucket))
+    bounds = [] if buckets == 1 else cache.agg(F.percentile_approx(used, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
+    limits = F.expr("array(" + ", ".join(f"{b}L" for b in sorted(set(bounds))) + ")") if bounds else F.array().cast("array<long>")
+    cut = cache.withColumn("_b", F.size(F.filter(limits, lambda b: b < F.col(used))) if bounds else F.lit(0))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = cut.groupBy("_b").agg(F.sum(size).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
     inside = Window.partitionBy("_b").orderBy(used, key).rowsBetween(Window.unboundedPreceding, -1)
@@ -104,6 +111,42 @@ def lru_evictions(cache: DataFrame, key: str, size: str, used: str, cap: int, ro
     return summed.where(F.lit(total) - (F.col("_o") + F.col("_in")) > cap).select(*cache.columns)
 
 
+def cache_total(cache: DataFrame, size: str) -> DataFrame:
+    """(total): the bytes of a cache, 0 for an empty one."""
+    return cache.agg(F.coalesce(F.sum(size), F.lit(0)).alias("total"))
+
+
+def album_assets(assets: DataFrame, members: DataFrame, album, key: str = "hash") -> DataFrame:
+    """Assets that are members of one album."""
+    return assets.join(members.where(F.col("album_id") == album).select(key).distinct(), key, "left_semi")
+
+
+def by_score(df: DataFrame, score: str, at: str, key: str, limit: int | None = None) -> DataFrame:
+    """Best score first, the newest of equal ones, then by key."""
+    out = df.orderBy(F.desc(score), F.desc(at), key)
+    return out.limit(limit) if limit else out
+
+
+def newest(df: DataFrame, key: str, limit: int = 100) -> DataFrame:
+    """The last rows of an append-only log."""
+    return df.orderBy(F.desc(key)).limit(limit)
+
+
+def of_local_source(assets: DataFrame, local: DataFrame, local_id) -> DataFrame:
+    """Assets that a local source is bound to."""
+    return assets.join(local.where(F.col("local_id") == local_id).select("hash"), "hash", "left_semi")
+
+
+def day_sections(df: DataFrame, at: Column, key: str, most: int = 1000) -> DataFrame:
+    """(day, items, keys): a row per day, newest day first; keys are the day's first ``most`` items, newest first. They come
+    from a partial top, so a day with very many items stays bounded."""
+    rows = df.select(F.to_date(at).cast("string").alias("day"), at.alias("_at"), F.col(key).alias("_key"))
+    cut = rows.withColumn("_r", F.row_number().over(Window.partitionBy("day", F.pmod(F.xxhash64("_key"), F.lit(16))).orderBy(F.desc("_at"), "_key"))).where(F.col("_r") <= most)
+    kept = cut.withColumn("_r", F.row_number().over(Window.partitionBy("day").orderBy(F.desc("_at"), "_key"))).where(F.col("_r") <= most)
+    keys = kept.groupBy("day").agg(F.array_sort(F.collect_list(F.struct("_r", "_key"))).alias("_k")).select("day", F.transform("_k", lambda s: s["_key"]).alias("keys"))
+    return rows.groupBy("day").agg(F.count("*").alias("items")).join(keys, "day").orderBy(F.desc("day"))
+
+
 def natural_order(df: DataFrame, name: str) -> DataFrame:
     """Rows by the number at the end of their name, then by name."""
     from ..functions.expr import part_number
@@ -114,3 +157,8 @@ def natural_order(df: DataFrame, name: str) -> DataFrame:
 def stale_models(vectors: DataFrame, key: str, model: str, current) -> DataFrame:
     """Keys with a vector of another model and none of the current one."""
     return vectors.where(F.col(model) != current).select(key).subtract(vectors.where(F.col(model) == current).select(key))
+
+
+def stale_by_model(vectors: DataFrame, model: str, current) -> DataFrame:
+    """(model, stale): vectors of every other model."""
+    return vectors.where(F.col(model) != current).groupBy(F.col(model).alias("model")).agg(F.count("*").alias("stale"))

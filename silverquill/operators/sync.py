@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schemas import schema
+
 
 def lww_merge(local: DataFrame, remote: DataFrame, key: str, mode: str = "documented") -> DataFrame:
     """Rows of both sides by key; both have ``updated_at``, ``deleted_at`` and ``version``.
@@ -57,6 +59,44 @@ def delta_page(log: DataFrame, cursor: Sequence, version: str, key: str, limit:
     return log.where((F.col(version) > v) | ((F.col(version) == v) & (F.col(key) > k))).orderBy(version, key).limit(limit)
 
 
+def route_records(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assets, albums) of a change log whose rows have the fields of both: an asset has hash, kind and byteSize, an
+    album id and title and no hash. Anything else is neither."""
+    has = lambda *names: _every(F.col(n).isNotNull() for n in names)
+    return records.where(has("hash", "kind", "byteSize")), records.where(has("id", "title") & F.col("hash").isNull())
+
+
+def _every(conditions) -> Column:
+    out = F.lit(True)
+    for c in conditions:
+        out = out & c
+    return out
+
+
+def asset_records(rows: DataFrame) -> DataFrame:
+    """Records of the wire from rows of the assets table: camel-case names, favourite as a boolean; missing columns are null."""
+    camel = lambda name: "".join(p if i == 0 else p.capitalize() for i, p in enumerate(name.split("_")))
+    renamed = {"captured_at_src": "capturedAtSource"}
+    fields = schema("assets")
+    value = lambda f: F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType)
+    favorite = lambda f: F.coalesce(value(f).cast("boolean"), F.lit(False)) if f.name == "favorite" else value(f)
+    return rows.select(*(favorite(f).alias(renamed.get(f.name, camel(f.name))) for f in fields))
+
+
+class PushError(ValueError):
+    """A batch that may not be pushed."""
+
+
+def push_batches(records: DataFrame, subject: str, first_version: int, most: int = 25) -> DataFrame:
+    """Records (pk, sk, ...) in batches of at most ``most`` by sk, each under one version from ``first_version`` on; raises PushError if
+    a record lies outside the subject's partition. A push of one user is bounded by that user's changes."""
+    foreign = records.where(~F.coalesce(F.col("pk") == f"U#{subject}", F.lit(False))).select("pk").first()
+    if foreign is not None:
+        raise PushError(f"{foreign[0]} is outside the partition U#{subject}")
+    nth = F.row_number().over(Window.partitionBy("pk").orderBy("sk")) - 1
+    return records.withColumn("version", (F.lit(first_version) + F.floor(nth / most)).cast("long"))
+
+
 def stamp_versions(records: DataFrame, batch_version: int) -> DataFrame:
     return records.withColumn("version", F.lit(batch_version).cast("long"))
 

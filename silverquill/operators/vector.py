@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,6 @@ def quantized(vectors: DataFrame, key: str, column: str, matrix=None) -> DataFra
 
 def quantize_query(query: Sequence[float], matrix=None) -> list[int]:
     """The query in the same form, on the driver."""
-    import numpy as np
-
     v = np.asarray(query, np.float64)
     if matrix is not None:
         v = v @ np.asarray(matrix, np.float64)
@@ -67,6 +67,59 @@ def similarity_matrix(queries: DataFrame, items: DataFrame, query_key: str, item
     return items.select(F.col(item_key).alias("item"), column).join(F.broadcast(q)).select("query", "item", expr.cosine(F.col(column), F.col("_q")).alias("cosine"))
 
 
+def batch_topk(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, k: int, block: int = 512, digits: int | None = None, whole: bool = False) -> DataFrame:
+    """(query, item, score, rank): the k greatest products of each query with all items, ties by item.
+
+    ``whole`` vectors (int8) give integer products, others cosines (0 without a direction), rounded to ``digits`` before they are
+    ranked. Queries go to the executors ``block`` at a time (a bound on what is broadcast, whatever their number); each task keeps k items
+    of each query, and these meet in a window of at most k rows per task.
+    """
+    spark, out = items.sparkSession, None
+    ids, vectors = [], []
+
+    def against(names: list, rows: list) -> DataFrame:
+        shared = spark.sparkContext.broadcast((names, np.asarray(rows, np.float64)))
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, q = shared.value
+            if not whole:
+                q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+            held: tuple | None = None
+            for b in batches:
+                own = b.column(0).to_numpy(zero_copy_only=False)
+                if not len(own):
+                    continue
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+                if not whole:
+                    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+                s = q @ x.T if digits is None else np.round(q @ x.T, digits)
+                own = np.broadcast_to(own, s.shape)
+                if held is not None:
+                    s, own = np.hstack([held[0], s]), np.hstack([held[1], own])
+                at = np.lexsort((own, -s), axis=1)[:, :k]
+                held = np.take_along_axis(s, at, 1), np.take_along_axis(own, at, 1)
+            if held is not None:
+                n = held[0].shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), n)), pa.array(held[1].ravel()), pa.array(held[0].ravel())], ["query", "item", "score"])
+
+        kinds = queries.schema[query_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+        return items.select(item_key, column).mapInArrow(best, f"query {kinds[0]}, item {kinds[1]}, score double")
+
+    for row in queries.select(query_key, column).toLocalIterator():
+        ids.append(row[0])
+        vectors.append(row[1])
+        if len(ids) == block:
+            one = against(ids, vectors)
+            out, ids, vectors = one if out is None else out.unionByName(one), [], []
+    if ids or out is None:
+        if not ids:
+            return items.select(F.lit(None).cast("long").alias("query"), F.col(item_key).alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
+        one = against(ids, vectors)
+        out = one if out is None else out.unionByName(one)
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
+    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def probe_report(matrix: DataFrame) -> DataFrame:
     """Mean matched and mismatched cosine, their gap, top-1 accuracy and chance, where query i belongs to item i."""
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "item")
@@ -79,6 +132,80 @@ def probe_report(matrix: DataFrame) -> DataFrame:
     )
 
 
+def allocate_slots(index: DataFrame, free: Sequence[int], slots: int, wanted: DataFrame, key: str = "hash") -> tuple[DataFrame, list[int], int]:
+    """(index, free list, number of slots) after keys of ``wanted`` got slots: a key of the index (slot, key) keeps its own, new ones
+    in key order take the free list from its end, then slots behind the last.
+
+    Numbering is by range: rows are sorted in parallel, and one number per partition (its rows) reaches the driver.
+    """
+    fresh = wanted.select(key).distinct().join(index.select(key), key, "left_anti")
+    ranged = fresh.repartitionByRange(key).sortWithinPartitions(key).withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = dict(ranged.groupBy("_part").count().collect())
+    starts, at = {}, 0
+    for part in sorted(sizes):
+        starts[part], at = at, at + sizes[part]
+    if not at:
+        return index, list(free), slots
+    begin = F.expr("map(" + ", ".join(f"{p}, {s}L" for p, s in starts.items()) + ")")
+    numbered = ranged.withColumn("_n", F.element_at(begin, F.col("_part")) + F.col("_place"))
+    taken = list(free)[::-1]
+    reused = F.expr("array(" + ", ".join(f"{s}L" for s in taken) + ")") if taken else F.array().cast("array<long>")
+    slot = F.when(F.col("_n") < len(taken), F.get(reused, F.col("_n").cast("int"))).otherwise(F.col("_n") - len(taken) + slots)
+    left = list(free)[: max(0, len(taken) - at)]
+    return index.unionByName(numbered.select(slot.cast(index.schema["slot"].dataType).alias("slot"), key)), left, slots + max(0, at - len(taken))
+
+
+def release_slots(index: DataFrame, free: Sequence[int], gone: DataFrame, key: str = "hash") -> tuple[DataFrame, list[int]]:
+    """(index, free list) without the keys of ``gone``; their slots join the free list in order."""
+    freed = index.join(gone.select(key).distinct(), key, "left_semi").select("slot").orderBy("slot")
+    return index.join(gone.select(key).distinct(), key, "left_anti"), [*free, *(r[0] for r in freed.collect())]
+
+
+def probe_blocks(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, block: int = 512) -> DataFrame:
+    """``probe_report`` of many queries against all items: sums and ranks of the query's own item come from blocks of
+    ``block`` queries; only numbers per query and task move, never the matrix."""
+    spark, parts = items.sparkSession, None
+    first, rows = [], queries.select(query_key, column).toLocalIterator()
+    own = queries.select(F.col(query_key).alias("query"), F.col(column).alias("_v")).join(items.select(F.col(item_key).alias("query"), F.col(column).alias("_w")), "query").select("query", expr.cosine(F.col("_v"), F.col("_w")).alias("own"))
+    owned = {r["query"]: r["own"] for r in own.toLocalIterator()}
+    todo: list[list] = []
+    for row in rows:
+        first.append((row[0], list(row[1])))
+        if len(first) == block:
+            todo.append(first)
+            first = []
+    if first:
+        todo.append(first)
+    for some in todo:
+        shared = spark.sparkContext.broadcast(([i for i, _ in some], np.asarray([v for _, v in some], np.float64), [owned.get(i) for i, _ in some]))
+
+        def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, q, mine = shared.value
+            q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
+            target = np.array([np.nan if m is None else m for m in mine])
+            total, better, n = np.zeros(len(names)), np.zeros(len(names), np.int64), 0
+            for b in batches:
+                if b.num_rows:
+                    ids = b.column(0).to_numpy(zero_copy_only=False)
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    c = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
+                    other = ids[None, :] != np.array(names)[:, None]
+                    total += (c * other).sum(1)
+                    ahead = (c > target[:, None] + 1e-12) | ((np.abs(c - target[:, None]) <= 1e-12) & (ids[None, :] < np.array(names)[:, None]))
+                    better += (ahead & other).sum(1)
+                    n += b.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(better), pa.array(np.full(len(names), n))], ["query", "total", "better", "n"])
+
+        kind = queries.schema[query_key].dataType.simpleString()
+        one = items.select(item_key, column).mapInArrow(measure, f"query {kind}, total double, better long, n long")
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        return spark.sql("SELECT null::double AS matched, null::double AS mismatched, null::double AS separation, null::double AS top1, null::double AS chance")
+    per = parts.groupBy("query").agg(F.sum("total").alias("total"), F.sum("better").alias("better"), F.sum("n").alias("n")).join(own, "query", "left")
+    matched, mismatched = F.avg("own"), F.sum("total") / F.sum(F.col("n") - F.when(F.col("own").isNotNull(), 1).otherwise(0))
+    return per.agg(matched.alias("matched"), mismatched.alias("mismatched"), (matched - mismatched).alias("separation"), (F.count_if((F.col("better") == 0) & F.col("own").isNotNull()) / F.count("*")).alias("top1"), (1 / F.count("*")).alias("chance"))
+
+
 def shard_rows(vectors: DataFrame, slot: str = "slot", per_shard: int = 4096) -> DataFrame:
     return vectors.withColumn("shard", F.floor(F.col(slot) / per_shard).cast("int"))
 

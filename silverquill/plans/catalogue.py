@@ -6,6 +6,7 @@ contents, events logs, page urls paths, conversations the parts of an object.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,13 +15,14 @@ from pyspark.sql import functions as F
 from ..functions import expr
 from ..functions.udf import projection_matrix, tokens
 from ..operators import catalog, fusion, ingest, jobs, lifecycle, relational, resolve, sync, text, vector
-from ..session import table
+from ..session import scratch_folder, table
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
+_INDEXED: set[str] = set()
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
@@ -145,6 +147,26 @@ def vector_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.two_stage(vectors, "vec_id", "embedding", q, 50, 10).withColumn("cosine", F.round("cosine", 9))
 
 
+_PROJECTED = f"""m AS (SELECT list_transform(range(0, 32), lambda c: list_transform(range(0, 64), lambda r: (cos(radians((r * 31 + c * 17) % 360)) / 8)::float::double)) AS m),
+pr AS (SELECT vec_id, e, list_transform(m, lambda w: list_dot_product(e, w)) AS p FROM v, m), c AS (SELECT vec_id, e, list_transform(p, lambda x: greatest(-128, least(127, trunc(x / sqrt(list_dot_product(p, p)) * 128)::int))) AS c FROM pr),
+d AS (SELECT c.vec_id, c.e, list_sum(list_transform(list_zip(c.c, k.c), lambda p: p[1] * p[2]))::int AS score FROM c, c k WHERE k.vec_id = 7)"""
+
+
+@query(f"WITH {_Q7}, {_PROJECTED}, best AS (SELECT * FROM d ORDER BY score DESC, vec_id LIMIT 500) SELECT vec_id, round(list_cosine_similarity(e, q), 9) AS cosine FROM best, q ORDER BY list_cosine_similarity(e, q) DESC, vec_id LIMIT 100")
+def vector_projected_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection, quantisation, 500 candidates, 100 results."""
+    vectors, q = _query_vector(spark, sf_dir)
+    return vector.two_stage(vectors, "vec_id", "embedding", q, 500, 100, matrix=projection_matrix(64, 32)).withColumn("cosine", F.round("cosine", 9))
+
+
+@query(f"WITH {_Q7}, best AS (SELECT vec_id, label, row_number() OVER (ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id) AS rank FROM v, q QUALIFY rank <= 200) SELECT vec_id, rank FROM best WHERE label % 2 = 0")
+def candidate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 200 nearest that a predicate allows, with their ranks."""
+    vectors, q = _query_vector(spark, sf_dir)
+    near = vector.exact_topk(vectors, "vec_id", "embedding", q, 200).withColumn("cosine", F.round("cosine", 9))
+    return relational.candidate_filter(fusion.rank_list(near, F.desc("cosine"), "vec_id"), vectors, "vec_id", F.col("label") % 2 == 0).withColumn("rank", F.col("rank").cast("long"))
+
+
 @query(f"WITH {_Q7}, {_COARSE}, {_DOTS}, best AS (SELECT * FROM d WHERE label % 2 = 1 ORDER BY score DESC, vec_id LIMIT 50) SELECT vec_id, round(list_cosine_similarity(e, q), 9) AS cosine FROM best, q ORDER BY list_cosine_similarity(e, q) DESC, vec_id LIMIT 10")
 def vector_filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, q = _query_vector(spark, sf_dir)
@@ -161,27 +183,29 @@ def vector_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(F.element_at("p", 1), 6).alias("first"), F.round(F.element_at("p", 32), 6).alias("last"))
 
 
-@query(f"""WITH {_Q7}, few AS (SELECT * FROM v WHERE vec_id < 20), s AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS c FROM few a, few b),
+@query(f"""WITH {_Q7}, few AS (SELECT * FROM v WHERE vec_id % 50 = 0), s AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS c FROM few a, v b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, item) AS r FROM s)
 SELECT round(avg(c) FILTER (query = item), 9) AS matched, round(avg(c) FILTER (query <> item), 9) AS mismatched, round(avg(c) FILTER (query = item) - avg(c) FILTER (query <> item), 9) AS separation,
 count(*) FILTER (query = item AND r = 1) / count(DISTINCT query) AS top1, 1 / count(DISTINCT query) AS chance FROM r""")
 def cross_modal_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    few = table(spark, sf_dir, "embeddings").where("vec_id < 20")
-    out = vector.probe_report(vector.similarity_matrix(few, few, "vec_id", "vec_id", "embedding"))
+    v = table(spark, sf_dir, "embeddings")
+    out = vector.probe_blocks(v.where("vec_id % 50 = 0"), v, "vec_id", "vec_id", "embedding")
     return out.select(*(F.round(c, 9).alias(c) for c in ("matched", "mismatched", "separation")), "top1", "chance")
 
 
 @query(f"""WITH {_Q7}, s AS (SELECT a.vec_id AS query, a.label AS want, b.vec_id AS item, b.label AS got, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY c DESC, item) AS r FROM s)
-SELECT query, count(*) FILTER (r <= 10 AND want = got) AS hits, count(*) FILTER (r = 1 AND want = got) AS top1 FROM r GROUP BY query""")
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC, item) AS r FROM s)
+SELECT query, count(*) FILTER (r <= 10 AND want = got) / count(*) FILTER (want = got) AS recall, count(*) FILTER (r = 1 AND want = got) AS top1, count(*) FILTER (r <= 10 AND got = (want + 1) % 10) AS forbidden FROM r GROUP BY query HAVING count(*) FILTER (want = got) > 0""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     labels = v.select(F.col("vec_id").alias("item"), F.col("label").alias("got"))
     asked = v.where("vec_id % 50 = 0")
-    sims = vector.similarity_matrix(asked, v, "vec_id", "vec_id", "embedding").where("query <> item").withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "item")))
-    judged = sims.where("rank <= 10").join(labels, "item").join(asked.select(F.col("vec_id").alias("query"), F.col("label").alias("want")), "query")
-    same = F.col("want") == F.col("got")
-    return judged.groupBy("query").agg(F.count_if(same).alias("hits"), F.count_if(same & (F.col("rank") == 1)).alias("top1"))
+    top = vector.batch_topk(asked, v, "vec_id", "vec_id", "embedding", 11, digits=9).where("query <> item")
+    ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("rank <= 10")
+    want = asked.select(F.col("vec_id").alias("query"), F.col("label").alias("want"))
+    wanted = want.join(labels, F.col("want") == F.col("got")).select("query", "item", F.lit(1).alias("grade"))
+    forbidden = want.join(labels, (F.col("want") + 1) % 10 == F.col("got")).select("query", "item", F.lit(-1).alias("grade"))
+    return fusion.retrieval_quality(ranked, wanted.unionByName(forbidden).where("query <> item"), "query", "item").where("recall is not null")
 
 
 # Text ------------------------------------------------------------------------------------------------
@@ -245,34 +269,77 @@ def rrf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.weighted_rrf(near, top.withColumn("text_score", F.when(F.col("vec_id") % 2 == 0, 50).otherwise(0)), "vec_id")
 
 
-@query(f"""WITH {_Q7}, {_COARSE}, {_DOTS}, best AS (SELECT * FROM d ORDER BY score DESC, vec_id LIMIT 200), near AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id) AS r FROM best, q QUALIFY r <= 100),
-{_bm25_sql(['token = ' + repr('the'), 'token = ' + repr('of')])}, words AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9), doc_id) AS r FROM bm),
+def _hybrid_sql(before: bool) -> str:
+    """Both branches and their fusion; the language filters items before the cuts or what is fused."""
+    en = "SELECT doc_id FROM documents WHERE lang = 'en'"
+    cut, kept = (f"WHERE vec_id IN ({en})", f"AND doc_id IN ({en})") if before else ("", "")
+    words = _bm25_sql(["token = 'the'", "token = 'of'"]).replace("HAVING count(*) = 2", f"HAVING count(*) = 2 {kept}")
+    return f"""WITH {_Q7}, {_COARSE}, {_DOTS}, best AS (SELECT * FROM d {cut} ORDER BY score DESC, vec_id LIMIT 200), near AS (SELECT vec_id, row_number() OVER (ORDER BY round(list_cosine_similarity(e, q), 9) DESC, vec_id) AS r FROM best, q QUALIFY r <= 100),
+{words}, words AS (SELECT doc_id, row_number() OVER (ORDER BY round(score, 9), doc_id) AS r FROM bm),
 f AS (SELECT coalesce(vec_id, doc_id) AS id, coalesce(1.0::double / (60 + near.r), 0) + coalesce(1.0::double / (60 + words.r), 0) AS score FROM near FULL JOIN words ON vec_id = doc_id)
-SELECT id, round(f.score, 12) AS score FROM f JOIN documents ON id = doc_id WHERE lang = 'en' ORDER BY f.score DESC, id LIMIT 50""")
+SELECT id, round(f.score, 12) AS score FROM f JOIN documents ON id = doc_id WHERE lang = 'en' ORDER BY f.score DESC, id LIMIT 50"""
+
+
+def _text_index(spark: SparkSession, sf_dir: str) -> str:
+    """The stored index of the documents' texts; written once in a session."""
+    folder = f"{scratch_folder(spark)}/text-index-{zlib.crc32(sf_dir.encode())}"
+    if folder not in _INDEXED:
+        text.write_index(table(spark, sf_dir, "documents"), "doc_id", "text", folder)
+        _INDEXED.add(folder)
+    return folder
+
+
+def _branches(spark: SparkSession, sf_dir: str, allowed: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """The two ranked lists of the hybrid search, each cut after ``allowed``."""
+    vectors, q = _query_vector(spark, sf_dir)
+    pool = vectors if allowed is None else vectors.join(allowed.withColumnRenamed("doc_id", "vec_id"), "vec_id", "left_semi")
+    near = vector.two_stage(pool, "vec_id", "embedding", q, 200, 100).select(F.col("vec_id").alias("id"), F.round("cosine", 9).alias("cosine"))
+    words = text.search_index(spark, _text_index(spark, sf_dir), "doc_id", "the of", allowed=allowed).select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
+    return fusion.rank_list(near, F.desc("cosine"), "id"), fusion.rank_list(words, F.col("score"), "id")
+
+
+@query(_hybrid_sql(True))
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vector branch and text branch, fused, then filtered by the document's metadata."""
+    """Vector branch and stored text index, each filtered by the document's metadata before its cut, fused."""
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
+    return fusion.hybrid(*_branches(spark, sf_dir, english), "id").withColumn("score", F.round("score", 12))
+
+
+@query(_hybrid_sql(False))
+def hybrid_search_filtered_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with the filter after the cuts: a selective one leaves fewer results."""
+    english = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("id"))
+    return fusion.hybrid(*_branches(spark, sf_dir, None), "id", english).withColumn("score", F.round("score", 12))
+
+
+@query(f"WITH {_bm25_sql(['token = ' + repr('license'), 'token = ' + repr('the')])} SELECT doc_id, round(score, 9) AS score FROM bm")
+def fts_index_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.search_index(spark, _text_index(spark, sf_dir), "doc_id", "License THE").withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_bm25_sql(['starts_with(token, ' + repr('licen') + ')', 'token = ' + repr('the')])} SELECT doc_id, round(score, 9) AS score FROM bm")
+def fts_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.search_index(spark, _text_index(spark, sf_dir), "doc_id", "licen* the", prefixes=True).withColumn("score", F.round("score", 9))
+
+
+@query(f"WITH {_Q7}, n AS (SELECT count(*) AS n FROM v) SELECT least(n, 500) AS candidates_evaluated, least(n, 50) AS final_ranked FROM n")
+def search_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, q = _query_vector(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents")
-    near = vector.two_stage(vectors, "vec_id", "embedding", q, 200, 100).select(F.col("vec_id").alias("id"), F.round("cosine", 9).alias("cosine"))
-    words = text.search(docs, "doc_id", "text", "the of").select(F.col("doc_id").alias("id"), F.round("score", 9).alias("score"))
-    fused = fusion.rrf([fusion.rank_list(near, F.desc("cosine"), "id"), fusion.rank_list(words, F.col("score"), "id")], "id")
-    kept = fused.join(docs.where("lang = 'en'").select(F.col("doc_id").alias("id")), "id", "left_semi")
-    return kept.orderBy(F.desc("score"), "id").limit(50).select("id", F.round("score", 12).alias("score"))
+    best = vector.coarse_topk(vector.quantized(vectors, "vec_id", "embedding"), "vec_id", vector.quantize_query(q))
+    return fusion.search_counts(best, vector.two_stage(vectors, "vec_id", "embedding", q, 500, 50))
 
 
-@query(f"""WITH {_Q7}, {_COARSE}, pairs AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS x, list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2])) AS y FROM c a, c b WHERE a.vec_id % 100 = 0),
+@query(f"""WITH {_Q7}, {_COARSE}, pairs AS (SELECT a.vec_id AS query, b.vec_id AS item, list_cosine_similarity(a.e, b.e) AS x, list_sum(list_transform(list_zip(a.c, b.c), lambda p: p[1] * p[2])) AS y FROM c a, c b WHERE a.vec_id % 50 = 0),
 r AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY round(x, 9) DESC, item) AS rx, row_number() OVER (PARTITION BY query ORDER BY y DESC, item) AS ry FROM pairs),
 g AS (SELECT query, list(item ORDER BY rx) FILTER (rx <= 5) AS a, list(item ORDER BY ry) FILTER (ry <= 5) AS b FROM r GROUP BY query)
 SELECT query, list_sort(a) = list_sort(b) AS same_set, a = b AS same_order FROM g""")
 def ranking_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     coarse = vector.quantized(v, "vec_id", "embedding")
-    asked = v.where("vec_id % 100 = 0")
-    exact = vector.similarity_matrix(asked, v, "vec_id", "vec_id", "embedding").withColumn("s", F.round("cosine", 9))
-    c = coarse.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), F.col("coarse").alias("_q"))
-    rough = coarse.select(F.col("vec_id").alias("item"), "coarse").join(F.broadcast(c)).select("query", "item", expr.dot_int8(F.col("coarse"), F.col("_q")).alias("s"))
-    first = lambda df: df.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("s"), "item"))).where("rank <= 5").select("query", "item", "rank")
-    return fusion.ranking_agreement(first(exact), first(rough), "query", "item")
+    asked = "vec_id % 50 = 0"
+    exact = vector.batch_topk(v.where(asked), v, "vec_id", "vec_id", "embedding", 5, digits=9)
+    rough = vector.batch_topk(coarse.where(asked), coarse, "vec_id", "vec_id", "coarse", 5, whole=True)
+    return fusion.ranking_agreement(exact, rough, "query", "item")
 
 
 # Catalogue -------------------------------------------------------------------------------------------
@@ -456,17 +523,17 @@ def delta_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.delta_page(table(spark, sf_dir, "events"), (1234, 1 << 62), "event_id", "user_id").select("event_id", "user_id")
 
 
-@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price FROM part UNION ALL SELECT p_partkey + 1000000, p_retailprice + 1 FROM part WHERE p_partkey % 2 = 0 AND p_partkey <= 100")
+@query("SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_retailprice + 1 ELSE p_retailprice END AS price FROM part UNION ALL SELECT p_partkey + 1000000000, p_retailprice + 1 FROM part WHERE p_partkey % 2 = 0 AND p_size <= 10")
 def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = table(spark, sf_dir, "part").select("p_partkey", F.col("p_retailprice").alias("price"))
     new = old.where("p_partkey % 2 = 0").withColumn("price", F.col("price") + 1)
-    return relational.upsert(old, new.unionByName(new.where("p_partkey <= 100").withColumn("p_partkey", F.col("p_partkey") + 1000000)), ["p_partkey"], ["price"])
+    return relational.upsert(old, new.unionByName(table(spark, sf_dir, "part").where("p_partkey % 2 = 0 and p_size <= 10").select((F.col("p_partkey") + 1000000000).alias("p_partkey"), (F.col("p_retailprice") + 1).alias("price"))), ["p_partkey"], ["price"])
 
 
-@query("SELECT p_partkey, p_size FROM part WHERE p_partkey <= 500 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_partkey > 500 AND p_partkey <= 700")
+@query("SELECT p_partkey, p_size FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey, -1 FROM part WHERE p_size > 25")
 def insert_or_ignore(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    return relational.insert_or_ignore(part.where("p_partkey <= 500"), part.where("p_partkey > 400 AND p_partkey <= 700").withColumn("p_size", F.lit(-1)), "p_partkey")
+    return relational.insert_or_ignore(part.where("p_size <= 25"), part.where("p_size > 15").withColumn("p_size", F.lit(-1)), "p_partkey")
 
 
 # Jobs ------------------------------------------------------------------------------------------------
@@ -520,7 +587,7 @@ def model_migration(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT label % 3 AS model, count(*) AS stale FROM embeddings WHERE label % 3 <> 0 GROUP BY 1")
 def stale_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("model")).where("model <> 0").groupBy("model").agg(F.count("*").alias("stale"))
+    return relational.stale_by_model(table(spark, sf_dir, "embeddings").select((F.col("label") % 3).alias("model")), "model", 0)
 
 
 # Lifecycle -------------------------------------------------------------------------------------------
@@ -632,11 +699,11 @@ def contained_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.contained_counts(region.select("r_name"), items, "r_name", "albums")
 
 
-@query("SELECT c_custkey AS local_id, CASE WHEN c_custkey <= 500 THEN 100 ELSE 200 END AS first_seen, CASE WHEN c_custkey % 2 = 0 THEN 200 WHEN c_custkey <= 500 THEN 100 ELSE 200 END AS last_seen FROM customer WHERE c_custkey <= 500 OR (c_custkey % 2 = 0 AND c_custkey <= 900)")
+@query("SELECT c_custkey AS local_id, CASE WHEN c_acctbal < 4000 THEN 100 ELSE 200 END AS first_seen, CASE WHEN c_nationkey % 2 = 0 THEN 200 ELSE 100 END AS last_seen FROM customer WHERE c_acctbal < 4000 OR c_nationkey % 2 = 0")
 def enumerate_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("local_id"))
-    known = c.where("local_id <= 500").select("local_id", F.lit(None).cast("string").alias("hash"), F.lit(0).alias("platform"), F.lit(0).alias("hash_state"), F.lit(100).cast("long").alias("first_seen"), F.lit(100).cast("long").alias("last_seen"))
-    out = ingest.enumerate_assets(known, c.where("local_id % 2 = 0 and local_id <= 900").withColumn("platform", F.lit(1)), 200)
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("local_id"), "c_acctbal", "c_nationkey")
+    known = c.where("c_acctbal < 4000").select("local_id", F.lit(None).cast("string").alias("hash"), F.lit(0).alias("platform"), F.lit(0).alias("hash_state"), F.lit(100).cast("long").alias("first_seen"), F.lit(100).cast("long").alias("last_seen"))
+    out = ingest.enumerate_assets(known, c.where("c_nationkey % 2 = 0").select("local_id", F.lit(1).alias("platform")), 200)
     return out.select("local_id", F.col("first_seen").cast("int"), F.col("last_seen").cast("int"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,5 +15,21 @@ def session(app: str = "silverquill", **settings: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+_OWN: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder of ``spark.checkpoint.dir``; where it is unset a local folder, in local mode only."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if named:
+        return f"{named.rstrip('/')}/{app}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="silverquill-")
+    return "file://" + _OWN[app]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

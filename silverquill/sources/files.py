@@ -48,6 +48,27 @@ def find_export_root(root: str, product: str) -> str:
     raise ExportError(f"no export root in {root}")
 
 
+def traverse(spark: SparkSession, parts: Sequence[str], product: str) -> DataFrame:
+    """``scan`` of several unpacked parts as one export: paths count from the product's folder of each part, and files of a part that
+    lie outside it have outside_export set and a source_path of their own (part and path), so parts never mix there."""
+    if not parts:
+        raise ExportError("no parts")
+    names = [os.path.basename(os.path.abspath(p)) for p in parts]
+    if len(set(names)) < len(names):
+        raise ExportError("two parts have one name")
+    rows = scan(spark, parts)
+    inner = {}
+    for name, p in zip(names, parts, strict=True):
+        top = os.path.join(p, "Takeout") if os.path.isdir(os.path.join(p, "Takeout")) else p
+        inner[name] = os.path.relpath(find_export_root(top, product), p)
+    root = F.coalesce(*(F.when(F.col("part") == n, r) for n, r in inner.items()))
+    inside = F.startswith("path", F.concat(root, F.lit("/")))
+    rows = rows.withColumn("_root", root).withColumn("outside_export", ~inside)
+    rows = rows.withColumn("path", F.when(F.col("outside_export"), F.col("path")).otherwise(F.expr("substring(path, length(_root) + 2)"))).drop("_root")
+    rows = rows.withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    return rows.withColumn("source_path", F.when(F.col("outside_export"), F.concat("part", F.lit("/"), "path")).otherwise(F.col("path")))
+
+
 def scan(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
     """(part, part_index, path, dir, name, kind, media_kind, byte_size, mtime_ms): files under the parts' roots.
 
@@ -72,6 +93,15 @@ def sidecar_fields(text: Column) -> Column:
     return F.struct(s["title"].alias("title"), taken.alias("photo_taken_ms"), made.alias("creation_ms"), F.coalesce(s["archived"], F.lit(False)).alias("archived"), F.coalesce(s["trashed"], F.lit(False)).alias("trashed"), problems.alias("problems"))
 
 
+def media_sidecars(media: DataFrame, pairing: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """Media (dir, name, ...) with the sidecar they are paired with (dir, name, sidecar) and its times and flags, from sidecar
+    files (dir, name, text): null and false without one."""
+    fields = sidecars.select("dir", F.col("name").alias("sidecar"), sidecar_fields(F.col("text")).alias("_f"))
+    joined = media.join(pairing.select("dir", "name", "sidecar"), ["dir", "name"], "left").join(fields, ["dir", "sidecar"], "left")
+    flags = {f: F.coalesce(F.col(f"_f.{f}"), F.lit(False)).alias(f) for f in ("archived", "trashed")}
+    return joined.select(*(c for c in media.columns if c not in flags), "sidecar", F.col("_f.photo_taken_ms").alias("photo_taken_ms"), F.col("_f.creation_ms").alias("creation_ms"), *flags.values())
+
+
 def album_metadata(text: Column) -> Column:
     m = F.from_json(text, "title string, date struct<timestamp:string>")
     return F.struct(F.nullif(F.trim(m["title"]), F.lit("")).alias("title"), expr.sidecar_millis(m["date"]["timestamp"]).alias("album_date_ms"))

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,53 @@ def restore(spark: SparkSession, path: str, shards: list[int] | None = None) ->
     return every if shards is None else every.where(F.col("shard").isin(shards))
 
 
+def bootstrap(spark: SparkSession, path: str) -> DataFrame:
+    """The shards 0, 1, ... up to the first that is absent: what lies behind a gap isn't restored."""
+    have = {r[0] for r in spark.read.parquet(path).select("shard").distinct().collect()}
+    whole = next(k for k in range(len(have) + 1) if k not in have)
+    return spark.read.parquet(path).where(F.col("shard") < whole)
+
+
+def live_vectors(vectors: DataFrame, free: Sequence[int], slots: int, per_read: int = 16384) -> DataFrame:
+    """(slot, coarse, read) of the slots in use, in slot order: the packed scan. ``read`` numbers runs of ``per_read`` slots. The free list
+    is a few numbers of the header; fails where a slot below ``slots`` is neither there nor free."""
+    listed = F.expr("array(" + ", ".join(f"{int(s)}L" for s in free) + ")") if free else F.array().cast("array<long>")
+    live = vectors.where((F.col("slot") < slots) & ~F.array_contains(listed, F.col("slot").cast("long")))
+    short = live.count() - (slots - len(set(free)))
+    if short:
+        raise ShardError(f"{-short} slots missing")
+    return live.select("slot", "coarse", F.floor(F.col("slot") / per_read).cast("int").alias("read")).orderBy("slot")
+
+
+def open_header(header: str | None, size: int, dims: int = DIMS, model: str = "", adopt_headerless: bool = False) -> dict:
+    """The checked header (modelId, coarseDim, slotCount, freeSlots) of a packed buffer of ``size`` bytes.
+
+    Without a header a new one is made for an empty buffer, or for one of whole slots with ``adopt_headerless``. Raises ShardError for
+    another length or model, a free list that repeats a slot or leaves the range, or a buffer shorter than its slots.
+    """
+    if header is None:
+        if size and not adopt_headerless:
+            raise ShardError(f"{size} bytes without a header")
+        if size % dims:
+            raise ShardError(f"{size} bytes are no whole slots")
+        return {"modelId": model, "coarseDim": dims, "slotCount": size // dims, "freeSlots": []}
+    try:
+        found = json.loads(header)
+    except ValueError as e:
+        raise ShardError("the header is no JSON") from e
+    whole = lambda x: isinstance(x, int) and not isinstance(x, bool) and x >= 0
+    free = found.get("freeSlots") if isinstance(found, dict) else None
+    if not isinstance(found, dict) or not whole(found.get("slotCount")) or not isinstance(free, list):
+        raise ShardError("the header lacks fields")
+    if found.get("coarseDim") != dims or found.get("modelId") != model:
+        raise ShardError(f"a buffer of {found.get('coarseDim')} dimensions by {found.get('modelId')!r}")
+    if len(set(free)) != len(free) or not all(whole(s) and s < found["slotCount"] for s in free):
+        raise ShardError("a bad free list")
+    if size < found["slotCount"] * dims:
+        raise ShardError(f"{found['slotCount']} slots in {size} bytes")
+    return {k: found[k] for k in ("modelId", "coarseDim", "slotCount", "freeSlots")}
+
+
 def check_slots(vectors: DataFrame, dims: int, model: str) -> DataFrame:
     """Rows that break the index: a slot taken twice, another model, another length, a component out of range."""
     twice = vectors.groupBy("slot").agg(F.count("*").alias("_n")).where("_n > 1").select("slot", F.lit("slot taken twice").alias("problem"))

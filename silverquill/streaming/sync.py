@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sync import lww_merge
+from ..operators.sync import lww_merge, push_batches
 
 LOG = "key long, updated_at long, deleted_at long, version long, payload double"
 
@@ -20,11 +20,12 @@ def pull(spark: SparkSession, path: str, schema: str = LOG, files_per_trigger: i
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def apply_to_table(stream: DataFrame, table: str, checkpoint: str, key: str = "key", buckets: int = 256, available_now: bool = True) -> StreamingQuery:
+def apply_to_table(stream: DataFrame, table: str, checkpoint: str, key: str = "key", buckets: int = 256, available_now: bool = True, compact_every: int = 100) -> StreamingQuery:
     """Merge every micro-batch into a Parquet table, generation by generation.
 
     Keys lie in hash buckets. A batch reads and writes only the buckets of its own keys, from the latest
-    generation before its number, so a batch run again after a failure gives the same files.
+    generation before its number, so a batch run again after a failure gives the same files. Every ``compact_every`` batches what
+    later generations replaced is deleted, so that folders don't pile up.
     """
 
     def merge(batch: DataFrame, number: int) -> None:
@@ -36,6 +37,8 @@ def apply_to_table(stream: DataFrame, table: str, checkpoint: str, key: str = "k
         merged = lww_merge(local, cut.drop("bucket"), key).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         merged.repartition("bucket").write.partitionBy("bucket").mode("overwrite").parquet(f"{table}/generation={number}")
         cut.unpersist()
+        if compact_every and number and number % compact_every == 0:
+            compact(spark, table, number)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -68,6 +71,18 @@ def latest(spark: SparkSession, table: str, before: int | None = None) -> dict[i
     return found
 
 
+def compact(spark: SparkSession, table: str, before: int) -> None:
+    """Delete bucket folders of generations before ``before`` that a later one of them replaced; a batch run again still finds what it read."""
+    keep = set(latest(spark, table, before).values())
+    path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for number, where in _children(spark, table, "generation=").items():
+        if number < before:
+            for folder in _children(spark, where, "bucket=").values():
+                if folder not in keep:
+                    path = path_of(folder)
+                    path.getFileSystem(conf).delete(path, True)
+
+
 def current(spark: SparkSession, table: str) -> DataFrame:
     """The table after the last whole batch."""
     return spark.read.parquet(*latest(spark, table).values())
@@ -93,10 +108,14 @@ def merged_stream(stream: DataFrame) -> DataFrame:
     return stream.groupBy("key").applyInPandasWithState(step, LOG, state, "update", GroupStateTimeout.NoTimeout)
 
 
-def push(stream: DataFrame, log: str, checkpoint: str, next_version: Callable[[int], int] = lambda batch: batch + 1) -> StreamingQuery:
-    """Append each micro-batch to the log under one version of its own; a batch run again replaces itself."""
+def push(stream: DataFrame, log: str, checkpoint: str, next_version: Callable[[int], int] = lambda batch: batch + 1, subject: str | None = None) -> StreamingQuery:
+    """Append each micro-batch to the log under one version of its own; a batch run again replaces itself. With a ``subject`` the
+    records (pk, sk, ...) must lie in its partition, and every 25 of them have a version (``push_batches``)."""
 
     def write(batch: DataFrame, number: int) -> None:
+        if subject is not None:
+            push_batches(batch, subject, next_version(number)).write.mode("overwrite").parquet(f"{log}/batch={number}")
+            return
         batch.withColumn("version", F.lit(next_version(number)).cast("long")).write.mode("overwrite").parquet(f"{log}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
