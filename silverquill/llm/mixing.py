@@ -95,9 +95,11 @@ def mix_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
     """
     inside = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("shard").orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    counts = materialize(counts, "counts")
     rows = counts.withColumns({"_before": F.coalesce(F.sum("count").over(inside), F.lit(0)), "_all": F.sum("count").over(whole)})
     rows = materialize(running_total(rows, "sid", ["shard"], "count", "_start", bucket_count(counts.count())), "shard-counts")
-    slots = rows.withColumn("_r", F.explode(F.expr("sequence(0L, count - 1)"))).withColumn("slot", F.col("_start") + F.col("_r"))
+    tasks = (rows.agg(F.sum("count")).first()[0] or 0) // TASK_SLOTS + 1
+    slots = rows.repartition(tasks, "shard", "sid").withColumn("_r", F.explode(F.expr("sequence(0L, count - 1)"))).withColumn("slot", F.col("_start") + F.col("_r"))
     slots = slots.withColumn("epoch", F.expr("slot div n")).where(F.col("epoch") < MOST)
     slots = slots.withColumns({"block": permuted(F.expr("slot % n"), F.col("n"), F.col("sid"), F.col("epoch"), seed=seed), "place": permuted(F.col("_before") + F.col("_r"), F.col("_all"), F.lit("place"), F.col("shard"), seed=seed)})
     return slots.select("shard", "place", "sid", "slot", "epoch", "block")
