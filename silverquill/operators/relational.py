@@ -147,11 +147,11 @@ def day_sections(df: DataFrame, at: Column, key: str, most: int = 1000) -> DataF
     return rows.groupBy("day").agg(F.count("*").alias("items")).join(keys, "day").orderBy(F.desc("day"))
 
 
-def natural_order(df: DataFrame, name: str) -> DataFrame:
-    """Rows by the number at the end of their name, then by name."""
+def natural_order(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """Rows by the number at the end of their name, then by name (and ``keys``)."""
     from ..functions.expr import part_number
 
-    return df.orderBy(part_number(F.col(name)).asc_nulls_first(), name)
+    return df.orderBy(part_number(F.col(name)).asc_nulls_first(), name, *keys)
 
 
 def stale_models(vectors: DataFrame, key: str, model: str, current) -> DataFrame:

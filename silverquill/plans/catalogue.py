@@ -7,8 +7,6 @@ contents, events logs, page urls paths, conversations the parts of an object.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,31 +14,20 @@ from ..functions import expr
 from ..functions.udf import projection_matrix, tokens
 from ..operators import catalog, fusion, ingest, jobs, lifecycle, relational, resolve, sync, text, vector
 from ..session import scratch_folder, table
+from . import details, registry  # noqa: F401
 from . import fixtures as fx
+from .registry import Query, query
 
-Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "hybrid_search"
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
 _INDEXED: set[str] = set()
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(registry.SQL)
 
 
 # Timeline, albums, filters ---------------------------------------------------------------------------

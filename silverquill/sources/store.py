@@ -97,7 +97,7 @@ def load_records(spark: SparkSession, path: str, schema: str, default: DataFrame
 
 
 def objects(spark: SparkSession, store: ObjectStore) -> DataFrame:
-    """(key, size, content) of every object; content is read only where it is selected."""
+    """(key, size, content) of every object with bytes; content is read only where it is selected."""
     base = f"{store.root}/objects/"
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     return found.select(F.expr(f"url_decode(replace(substring_index(path, '{base.removeprefix('file:').removeprefix('//')}', -1), '+', '%2B'))").alias("key"), F.col("length").alias("size"), "content")
