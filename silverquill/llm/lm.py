@@ -30,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import materialize, pieces_of, table, tidied
 
 CHUNK, RANGE_TOKENS, FOLDS, TEST, DELETED, BUCKETS = 500_000, 1_000_000, 7, 2, 3, 24
-PRIOR, EM_ROUNDS, SETTLED = (0.5, 0.4, 0.1), 60, 1e-5
+TASK_CHUNKS = 8
+"""Chunks whose counts one task joins."""
+PRIOR, EM_ROUNDS, SETTLED = (0.5, 0.4, 0.1), 60, 1e-4
 """First weights (bigram, unigram, uniform), which also stand for one token in each bucket; most rounds; the change that ends them."""
 END = np.uint64(0x7F4A7C15F39CC060)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -209,14 +211,14 @@ def add_up(sent: DataFrame, bits: int) -> DataFrame:
         out.append((key[0], key[1], None, None, None, int(total.sum()), int(deleted.sum()), int((total > 0).sum())))
         return pd.DataFrame(out, columns=["kind", "range", "chunk", "totals", "deleted", "n", "n_deleted", "distinct"]).astype({"chunk": "Int64", "n": "Int64", "n_deleted": "Int64", "distinct": "Int64"})
 
-    tasks = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 << bits)
+    tasks = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
     return sent.repartition(tasks, "kind", "range").groupBy("kind", "range").applyInPandas(add, "kind int, range int, chunk long, totals binary, deleted binary, n long, n_deleted long, distinct long")
 
 
-def with_counts(chunks: DataFrame, answers: DataFrame) -> DataFrame:
-    """(payload, answers) of each chunk, the answers in the order of its keys."""
-    got = answers.where("chunk is not null").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "totals", "deleted"))).alias("answers"))
-    return chunks.select("chunk", "payload").join(got.hint("merge"), "chunk").select("payload", "answers")
+def with_counts(chunks: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
+    """(payload, answers) of each chunk, the answers in the order of its keys; ``tasks`` share the chunks."""
+    got = answers.where("chunk is not null").repartition(tasks, "chunk").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("kind", "range", "totals", "deleted"))).alias("answers"))
+    return chunks.select("chunk", "payload").repartition(tasks, "chunk").join(got.hint("merge"), "chunk").select("payload", "answers")
 
 
 @dataclass
@@ -303,11 +305,12 @@ def score(documents: DataFrame) -> DataFrame:
     """
     spark = documents.sparkSession
     chunks = materialize(make_chunks(documents), "chunks")
-    tokens_in_all = chunks.agg(F.sum("n")).first()[0] or 0
+    tokens_in_all, of_chunks = chunks.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), of_chunks // TASK_CHUNKS + 1)
     bits = max(0, int(np.ceil(np.log2(max(1, tokens_in_all / RANGE_TOKENS)))))
     answers = materialize(add_up(count_keys(chunks, bits), bits), "answers")
     n, n_deleted, distinct = (int(x or 0) for x in answers.where("chunk is null and kind = 1").agg(F.sum("n"), F.sum("n_deleted"), F.sum("distinct")).first())
-    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers))
+    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers, tasks))
     weights = spark.sparkContext.broadcast(expectation_maximisation(cells, n - n_deleted, 1 / (distinct + 1)))
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
@@ -321,7 +324,7 @@ def score(documents: DataFrame) -> DataFrame:
                 sums = [np.add.reduceat(x, starts) for x in ((c.word > 0).astype(np.int64), np.log10((c.word + 1) / (n + distinct + 1)), np.log10(p))]
                 yield pa.RecordBatch.from_arrays([c.chunk.ids, pa.array(c.chunk.sizes, pa.int64()), *map(pa.array, sums)], names)
 
-    scored = with_counts(chunks, answers).mapInArrow(tidied(judge), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
+    scored = with_counts(chunks, answers, tasks).mapInArrow(tidied(judge), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double")
     held_out = F.coalesce(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)) == TEST, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
