@@ -271,6 +271,47 @@ def test_near_dedup_edges(spark, edge):
     assert near.near_duplicates(edge.limit(0)).count() == 0
 
 
+def _longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, row[j + 1] = row[j + 1], before + 1 if x == y else max(row[j + 1], row[j])
+    return row[-1]
+
+
+def test_alignment_is_the_longest_common_subsequence():
+    """Of shingles made from the words themselves, without hashes, labels or a band."""
+    rnd = random.Random(13)
+    reached = 0
+    for k in range(300):
+        a = [rnd.choice("abcdefghijkl" if k % 3 else "ab") for _ in range(rnd.randint(0, 90))]
+        b = list(a)
+        for _ in range(rnd.choice([0, 1, 1, 2, 5])):
+            at = rnd.randrange(len(b) + 1)
+            b[at : at + rnd.choice([0, 1, 3])] = [rnd.choice("abxyz") for _ in range(rnd.choice([0, 1, 2]))]
+        if k % 7 == 0:
+            b = b[len(b) // 2 :] + b[: len(b) // 2]
+        grams = [[tuple(t[i : i + 5]) for i in range(len(t) - 4)] if len(t) >= 5 else [tuple(t)] if t else [] for t in (a, b)]
+        h1, h2 = (shingles.word_hashes(pa.array([" ".join(t)]))[0] for t in (a, b))
+        s, bound = shingles.alignment(*(shingles.labelled(shingles.shingles(h)) for h in (h1, h2)), 0.8)
+        common, total = _longest_common(*grams), len(grams[0]) + len(grams[1])
+        want = common / (total - common) if common else float(not total)
+        # Labels tell repeats apart by their number, so an insertion between repeats can only lower the similarity.
+        assert s <= want + 1e-12 and s <= bound + 1e-12
+        if all(len(set(g)) == len(g) for g in grams):
+            assert s == pytest.approx(want) if want >= 0.8 else s < 0.8
+            reached += want >= 0.8
+    assert reached > 40
+
+
+def test_near_dedup_keeps_columns_of_any_name_and_string_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([("b", text, 1, 2), ("a", text + " more", 1, 2), ("c", None, 1, 2)], "doc_id string, text string, node int, class_id int")
+    got = {r["doc_id"]: (r["class_id"], r["kept"]) for r in near.near_duplicates(docs).collect()}
+    assert got == {"a": ("a", True), "b": ("a", False), "c": ("c", True)}
+
+
 def test_order_matters_to_the_signature():
     rnd = np.random.default_rng(0)
     a = shingles.mix(rnd.integers(0, 1 << 60, 400).astype(np.uint64))
@@ -408,7 +449,7 @@ def _plain_lm(texts):
             new[b] = tuple(s / total for s in sums)
         change = max((abs(x - y) for b in met for x, y in zip(new[b], weights[b], strict=True)), default=0.0)
         weights = new
-        if change < 1e-5:
+        if change < lm.SETTLED:
             break
     for b in range(1, 24):
         if b not in met:
