@@ -66,7 +66,8 @@ def packet_table(media: DataFrame, content: str = "media") -> DataFrame:
         return pd.DataFrame({"packets": rows, "parse_error": errors})
 
     kept = [c for c in media.columns if c not in made]
-    return media.select(*kept, read(F.col(content)).alias("_m")).select(*kept, F.col("_m.parse_error").alias("parse_error"), F.posexplode_outer("_m.packets").alias("packet", "_p")).select(*kept, "parse_error", "packet", "_p.*")
+    boxed = media.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), read(F.col(f"`{content}`")).alias("m"))
+    return boxed.select("row", F.col("m.parse_error").alias("parse_error"), F.posexplode_outer("m.packets").alias("packet", "p")).select("row.*", "parse_error", "packet", "p.*")
 
 
 def text_media(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -106,16 +106,16 @@ def mix_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
 
 
 def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The targets of the sources, and (doc_id, sid, size, source_size, target, from): where each document's words start in its
+    """The targets of the sources, and (doc_id, text_hash, sid, size, source_size, target, from): where each document's words start in its
     source's stream, laid out by hash buckets of doc_id, so that a source with a third of all rows is spread."""
-    sizes = materialize(documents.select("doc_id", "source", word_count(F.col("text")).alias("size")), "sizes")
+    sizes = materialize(documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "source", word_count(F.col("text")).alias("size")), "sizes")
     targets = materialize(source_targets(sizes), "targets")
-    keyed = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "sid", "size", "source_size", "target")
-    return targets, running_total(keyed, "sid", ["doc_id", "size"], "size", "from", bucket_count(sizes.count()))
+    keyed = sizes.join(targets.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select("doc_id", "text_hash", "sid", "size", "source_size", "target")
+    return targets, running_total(keyed, "sid", ["doc_id", "text_hash", "size"], "size", "from", bucket_count(sizes.count()))
 
 
 def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, sure: bool = True) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) for every row of ``documents``.
+    """(doc_id, size, source_size, target, taken, text_hash) for every row of ``documents``; the hash is the text's xxhash64.
 
     Null text has size 0; a document of size 0 takes 0; repeated rows stand in the stream one after
     another; null sources are a source; an empty table gives an empty one. Reruns give equal rows; another ``seed`` another draw.
@@ -127,8 +127,8 @@ def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     parts = parts.withColumn("_words", F.expr(f"least(from + size, (block + 1) * {block}) - greatest(from, block * {block})"))
     drawn = mix_slots(shard_counts(targets, block, shard_slots, seed, sure), seed).groupBy("sid", "block").agg(F.count("*").alias("_times"))
     words = F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))
-    took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "from", "doc_id", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
-    columns = ["doc_id", "size", "source_size", "target", "taken"]
+    took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "from", "doc_id", "text_hash", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
+    columns = ["doc_id", "size", "source_size", "target", "taken", "text_hash"]
     return took.select(columns).unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")).select(columns))
 
 

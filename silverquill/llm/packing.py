@@ -173,7 +173,7 @@ def _best_fit(left: list[int], taken: dict[int, int], plan: Plan, capacity: int)
 
 def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and ``end_id``, cut at ``capacity``."""
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
+    schema = f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +193,7 @@ def token_pieces(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str
                         start.append(at)
                         length.append(len(part))
                         crc.append(zlib.crc32(part))
-                yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()).take(pa.array(which, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int32())), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))], names)
 
     return documents.select("doc_id", "text").mapInArrow(tidied(cut), schema)
 
@@ -204,29 +204,29 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     The histogram (at most ``capacity`` rows) is all that reaches the driver. Pieces of one length are
     numbered by hash buckets, so that a length shared by a third of all pieces is spread; the plan, whose
     size depends on the number of lengths and not on the corpus, is broadcast. An empty table gives an
-    empty one; repeated rows are packed like any others; the columns sequence_id and offset are replaced.
+    empty one; repeated rows are packed like any others; the columns sequence_id and offset are replaced, any other column stays,
+    whatever its name.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").agg(F.count("*")).collect()}
     plan = spark.sparkContext.broadcast(plan_packing(histogram, capacity))
     buckets = bucket_count(sum(histogram.values()))
-    numbered = running_total(pieces.withColumn("_one", F.lit(1)), "length", ["doc_id", "piece"], "_one", "_number", buckets).drop("_one")
-    at = numbered.columns.index("length"), numbered.columns.index("_number")
-    kept = list(pieces.columns)
-    names = [*kept, "sequence_id", "offset"]
+    columns = [F.col(f"`{c}`") for c in pieces.columns]
+    boxed = pieces.select(F.struct(*columns).alias("row"), "length", "doc_id", "piece", F.lit(1).alias("one"))
+    numbered = running_total(boxed, "length", ["doc_id", "piece"], "one", "number", buckets).select("row", F.col("length").cast("long"), "number")
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sequence, offset = plan.value.place(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in at))
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names)
+            sequence, offset = plan.value.place(*(b.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], ["row", "sequence_id", "offset"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return numbered.mapInArrow(look, schema)
+    schema = f"row {boxed.schema['row'].dataType.simpleString()}, sequence_id long, offset long"
+    return numbered.mapInArrow(look, schema).select("row.*", "sequence_id", "offset")
 
 
 def pack_documents(documents: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Tokenize, cut and pack whole documents (null text: empty, one end id)."""
+    """Tokenize, cut and pack whole documents (null text: empty, one end id). Ids may be of any type."""
     return pack(materialize(token_pieces(documents, capacity), "pieces"), capacity)
 
 

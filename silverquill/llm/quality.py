@@ -2,7 +2,7 @@
 
 A word and its shape (``Aa!`` for ``Whence!!``) each have a sparse ternary index vector given by a hash.
 A word's vector is its index vector plus the normalised sum of the index vectors of its neighbours,
-gathered over the training texts in a table of fixed size. A document is the mean of its words' vectors,
+gathered over all texts (no label is needed for that) in a table of fixed size, whose slices are added up on the executors. A document is the mean of its words' vectors,
 the mean of its shapes' vectors, the length of both means (which is high where few words repeat) and its
 size. The network gives a logit, which a temperature fitted on rows kept from training turns into a
 probability.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of_id, materialize, pieces_of, table, tidied
 
-DIMS, ROWS, NONZERO, WINDOW, HIDDEN = 48, 1 << 15, 4, 2, 32
+DIMS, ROWS, NONZERO, WINDOW, HIDDEN, SLICES = 48, 1 << 15, 4, 2, 32, 64
 SAMPLE_ROWS = 12_000
 """At most so many labelled documents are learnt from: those with the smallest hashes of their ids."""
 THRESHOLD = 0.3
@@ -71,17 +72,62 @@ def read_words(texts: pa.Array) -> Words:
     return Words(coded.indices.to_numpy(), row % ROWS, (own % ROWS)[kinds.indices.to_numpy()] if len(own) else own, offsets[1:] - offsets[0])
 
 
-def neighbours(words: Words, where: np.ndarray, sign: np.ndarray) -> np.ndarray:
-    """Sums of the index vectors around each row's words, over the texts given."""
-    out = np.zeros(ROWS * DIMS)
-    row = words.row[words.codes]
-    text = np.repeat(np.arange(len(words.ends)), np.diff(np.concatenate([[0], words.ends])))
+def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The row of each word of the texts, and where each text ends among them."""
+    words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\n\r\x0b\x0c]+")
+    coded = pc.dictionary_encode(words.flatten())
+    row = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in pc.utf8_lower(coded.dictionary).to_pylist()), np.int64, len(coded.dictionary))
+    offsets = words.offsets.to_numpy()
+    return (row % ROWS)[coded.indices.to_numpy()], offsets[1:] - offsets[0]
+
+
+def neighbours(row: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` (row, row of a neighbour: how often), as counts of pairs of rows, sorted: the pairs of the texts given."""
+    text = np.repeat(np.arange(len(ends)), np.diff(np.concatenate([[0], ends])))
+    where, sign = index_vectors()
     for step in range(1, WINDOW + 1):
         same = text[step:] == text[:-step]
         a, b = row[step:][same], row[:-step][same]
-        for centre, near in ((a, b), (b, a)):
-            for k in range(NONZERO):
-                out += np.bincount(centre * DIMS + where[near, k], sign[near, k], ROWS * DIMS)
+        pairs, times = np.unique(np.concatenate([a * ROWS + b, b * ROWS + a]), return_counts=True)
+        centre, near = pairs // ROWS, pairs % ROWS
+        for k in range(NONZERO):
+            out += np.bincount(centre * DIMS + where[near, k], sign[near, k] * times, ROWS * DIMS)
+
+
+def context_table(documents: DataFrame) -> np.ndarray:
+    """Sums of the index vectors around each row's words, over all texts: a table of fixed size, which each task fills for its own
+    texts and whose slices meet in a sum each."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(ROWS * DIMS), [], 0
+
+        def count() -> None:
+            if held:
+                row, ends = zip(*held, strict=True)
+                starts = np.cumsum([0, *(len(r) for r in row[:-1])])
+                neighbours(np.concatenate(row), np.concatenate([e + s for e, s in zip(ends, starts, strict=True)]), total)
+                held.clear()
+
+        for whole in batches:
+            for b in pieces_of(whole):
+                held.append(word_rows(b.column(0)))
+                size += len(held[-1][0])
+                if size > 1_000_000:
+                    count()
+                    size = 0
+        count()
+        if total.any():
+            parts = np.split(total.astype("<i8"), SLICES)
+            yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["slice", "part"])
+
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(zlib.decompress(p), "<i8") for p in rows["part"])
+        return pd.DataFrame({"slice": [key[0]], "part": [zlib.compress(total.tobytes(), 1)]})
+
+    schema = "slice int, part binary"
+    out = np.zeros((SLICES, ROWS * DIMS // SLICES))
+    for at, part in documents.select("text").mapInArrow(tidied(gather), schema).groupBy("slice").applyInPandas(add, schema).collect():
+        out[at] = np.frombuffer(zlib.decompress(bytes(part)), "<i8")
     return out.reshape(ROWS, DIMS)
 
 
@@ -171,29 +217,17 @@ def training_sample(documents: DataFrame, labels: DataFrame, most: int) -> DataF
 
 
 def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every document.
+    """(doc_id, held_out, score, predicted, text_hash) for every document; the hash is the text's xxhash64.
 
-    At most ``sample_rows`` labelled rows train the model (a documented bound); the features collected
-    from them are all that reaches the driver beside a table of fixed size, and scoring is a map over
-    record batches. Null texts score as empty ones; repeated rows are scored each; without labels of
+    Word vectors are gathered over all texts. At most ``sample_rows`` labelled rows train the network (a documented bound); their
+    features are all that reaches the driver beside a table of fixed size, and scoring is a map over record batches. Null texts score as empty ones; repeated rows are scored each; without labels of
     both kinds every score is the smoothed share of label 1 (0.5 where there are none). Labels with null
     ids or qualities are ignored, contradicting ones of one document count by their majority.
     """
     spark = documents.sparkSession
     sample = materialize(training_sample(documents, labels, sample_rows).repartition(8), "quality-sample")
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, sign = index_vectors()
-        total = np.zeros((ROWS, DIMS))
-        for whole in batches:
-            for b in pieces_of(whole):
-                total += neighbours(read_words(b.column(0)), where, sign)
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(total.astype("<i4").tobytes(), 1)], pa.binary())], ["part"])
-
-    context = np.zeros((ROWS, DIMS))
-    for (part,) in sample.select("text").mapInArrow(tidied(gather), "part binary").toLocalIterator():
-        context += np.frombuffer(zlib.decompress(bytes(part)), "<i4").reshape(ROWS, DIMS)
-    shared = spark.sparkContext.broadcast(_vectors(context))
+    shared = spark.sparkContext.broadcast(_vectors(context_table(documents)))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = dense_index()
@@ -219,10 +253,10 @@ def classify(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
                     p = np.full(b.num_rows, model.value)
                 else:
                     p = model.value.probability(pool(read_words(b.column(1)), shared.value, index))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], ["doc_id", "score"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(p, pa.float64())], ["doc_id", "text_hash", "score"])
 
-    scored = documents.select("doc_id", "text").mapInArrow(tidied(score), f"doc_id {kind}, score double")
-    return scored.select("doc_id", F.coalesce(F.pmod(crc32_of_id(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    scored = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(tidied(score), f"doc_id {kind}, text_hash long, score double")
+    return scored.select("doc_id", F.coalesce(F.pmod(crc32_of_id(), F.lit(5)) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

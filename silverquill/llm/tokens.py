@@ -1,7 +1,8 @@
 """Token ids by a public tokenizer, through a cache of words.
 
-The tokenizer splits at white space before it merges, so the ids of a text are those of its words (cut at
-ASCII white space) one after another; a word is encoded once while it stays in the worker's cache.
+A tokenizer that splits at white space before it merges gives a text the ids of its words (cut at ASCII white space and before
+closing punctuation) one after another; a word is encoded once while it stays in the worker's cache. Opening a tokenizer tries this
+on ``PROBES``; one that answers otherwise encodes whole texts.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 _OPEN: dict[str, WordEncoder] = {}
+PROBES = ("", " ", "Hello, world. It's 12,5!? x\x1cy", "  two  spaces\n\nlines\ttabs ", "É ç ΑΣ ß日本語 a.b. c... (d); e:", "lower UPPER Mixed 3.14 a1 1a", "«quoted» don't re-do e-mail@host.org/x?y=1", "word. Word! word? word, word; word: end.", "\u2028 \xa0 \u3000x")
 
 
 class WordEncoder:
@@ -28,6 +30,10 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(name if os.path.isabs(name) else public_tokenizers.path(name))
         self.most = most
         self.forget()
+        self.by_words = True
+        ids, sizes = self._encode(pa.array(PROBES))
+        whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
+        self.by_words = ids.tolist() == sum(whole, []) and sizes.tolist() == [len(w) for w in whole]
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
@@ -60,6 +66,9 @@ class WordEncoder:
         the tokenizer does itself; a text that may hold a special token's string is encoded as it is.
         """
         texts = pc.fill_null(texts, "")
+        if not self.by_words:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
         odd = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
         if len(odd):
             apart = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd}

@@ -8,7 +8,7 @@ of a node, forward and reverse, meet one another) until few lists change. A list
 neighbours within twice the threshold's angle stand in lists: no link has a middle farther off, and vectors without a
 near one cost nothing after their blocks.
 
-The forests give components, which links in lists join further. An audit then compares sampled nodes that have links, and others, with all
+The forests give components, and only neighbourhoods that reach beyond one are joined: a link found there joins its components. An audit then compares sampled nodes that have links, and others, with all
 nodes, and deals planted pairs at the threshold through the same hyperplanes; while either recall is too low more tables
 and rounds follow, and below ``FLOOR`` the run fails. Links are counted exactly inside each component: all links found lie
 there. In a large component, angles to its first vector settle most pairs without comparing them.
@@ -166,14 +166,13 @@ def nearest_in_blocks(dealt: DataFrame, kind: str, threshold: float, floor: floa
             trees = forest(ids[linked], x[linked], threshold) if linked.any() else []
             for rows, tree in ((found, False), (trees, True)):
                 if rows:
-                    ids_, others, cosines = map(np.concatenate, zip(*rows, strict=True))
-                    yield pa.RecordBatch.from_arrays([pa.array(ids_), pa.array(cosines), pa.array(others), pa.array(np.full(len(ids_), tree))], ["id", "cos", "other", "tree"])
+                    yield _pairs(*map(np.concatenate, zip(*rows, strict=True)), tree)
 
     return _sorted(dealt, ["key", "dims", "part"]).mapInArrow(join, f"{PAIR}, tree boolean")
 
 
-def _pairs(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cosines), pa.array(others)], ["id", "cos", "other"])
+def _pairs(ids: np.ndarray, others: np.ndarray, cosines: np.ndarray, tree: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cosines), pa.array(others), pa.array(np.full(len(ids), tree))], ["id", "cos", "other", "tree"])
 
 
 def _sorted(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -233,44 +232,51 @@ def merge_lists(found: DataFrame, old: DataFrame | None, threshold: float, keep:
     return _sorted(rows if old is None else rows.unionByName(old), ["id"]).mapInArrow(merge, f"{PAIR}, room int")
 
 
-def local_joins(graph: DataFrame, nodes: DataFrame, kind: str, seed: int, floor: float, group: int = 64) -> DataFrame:
-    """(id, cos, other): pairs that meet at a common neighbour and improve the list of ``id``.
+def local_joins(graph: DataFrame, nodes: DataFrame, part: DataFrame, kind: str, seed: int, threshold: float, floor: float, group: int = 64) -> DataFrame:
+    """(id, cos, other, tree): pairs of different components (``part``; a node in none is its own) that meet at a common neighbour and
+    improve the list of ``id``, and with ``tree`` a link for each two components that meet.
 
     The members of a node's neighbourhood, forward and reverse, are cut by hash into groups of about
-    ``group``, so a node with very many reverse neighbours is many small joins. A task sends on at most ``MOST_LIST``
-    of an id's pairs from every few hundred groups.
+    ``group``, so a node with very many reverse neighbours is many small joins; a neighbourhood inside one component has nothing to find.
+    A task sends on at most ``MOST_LIST`` of an id's pairs from every few hundred groups.
     """
     members = graph.select(F.col("id").alias("centre"), F.col("other").alias("id")).unionByName(graph.select(F.col("other").alias("centre"), "id")).unionByName(graph.select(F.col("id").alias("centre"), "id")).distinct()
-    members = materialize(members, "members")
-    many = members.groupBy("centre").agg(F.count("*").alias("_n")).where("_n > 1").select("centre", F.ceil(F.col("_n") / group).cast("int").alias("_parts"))
-    parts = spread_join(members, many, ["centre"], ["id"]).select("centre", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_parts")).cast("int").alias("part"), "id")
+    members = materialize(members.join(part.hint("merge"), "id", "left").select("centre", "id", F.coalesce("component", "id").alias("p")), "members")
+    many = members.groupBy("centre").agg(F.count("*").alias("_n"), F.min("p").alias("_lo"), F.max("p").alias("_hi")).where("_lo <> _hi").select("centre", F.ceil(F.col("_n") / group).cast("int").alias("_parts"))
+    parts = spread_join(members, many, ["centre"], ["id"]).select("centre", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("_parts")).cast("int").alias("part"), "id", "p")
     limits = graph.groupBy("id").agg(F.when(F.count("*") < F.max("room"), F.lit(floor)).otherwise(F.min("cos")).alias("worst"))
-    placed = parts.join(limits.hint("merge"), "id", "left").join(nodes.select("id", "v").hint("merge"), "id").select("centre", "part", "id", F.coalesce("worst", F.lit(floor)).alias("worst"), "v")
+    placed = parts.join(limits.hint("merge"), "id", "left").join(nodes.select("id", "v").hint("merge"), "id").select("centre", "part", "id", "p", F.coalesce("worst", F.lit(floor)).alias("worst"), "v")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
+        linked: list[tuple] = []
 
-        def send() -> pa.RecordBatch:
-            ids, others, cosines = map(np.concatenate, zip(*held, strict=True))
-            held.clear()
-            at = nearest(ids, cosines, others, MOST_LIST)
-            return _pairs(ids[at], others[at], cosines[at])
+        def send() -> Iterator[pa.RecordBatch]:
+            for rows, tree in ((held, False), (linked, True)):
+                if rows:
+                    ids, others, cosines = map(np.concatenate, zip(*rows, strict=True))
+                    rows.clear()
+                    at = np.arange(len(ids)) if tree else nearest(ids, cosines, others, MOST_LIST)
+                    yield _pairs(ids[at], others[at], cosines[at], tree)
 
         for g in groups_of(batches, 2):
             if len(g) < 2:
                 continue
-            ids, worst, x = g.column(2).to_numpy(), g.column(3).to_numpy(), unit(_matrix(g.column(4).combine_chunks(), kind))
+            ids, p, worst, x = *(g.column(k).to_numpy() for k in (2, 3, 4)), unit(_matrix(g.column(5).combine_chunks(), kind))
             c = x @ x.T
-            np.fill_diagonal(c, -3)
+            c[p[:, None] == p[None, :]] = -3
             a, b = np.nonzero((c > worst[:, None] + 1e-12) & (c >= floor))
             if len(a):
                 held.append((ids[a], ids[b], c[a, b]))
-            if len(held) >= 500:
-                yield send()
-        if held:
-            yield send()
+            a, b = np.nonzero(np.triu(c, 1) >= threshold)
+            if len(a):
+                _, first = np.unique(np.stack([np.minimum(p[a], p[b]), np.maximum(p[a], p[b])]), axis=1, return_index=True)
+                linked.append((ids[a[first]], ids[b[first]], c[a[first], b[first]]))
+            if len(held) + len(linked) >= 500:
+                yield from send()
+        yield from send()
 
-    return _sorted(placed, ["centre", "part"]).mapInArrow(join, PAIR)
+    return _sorted(placed, ["centre", "part"]).mapInArrow(join, f"{PAIR}, tree boolean")
 
 
 def planted_recall(sample: list[np.ndarray], plan: dict[int, tuple[int, int]], threshold: float, attempts: int) -> float:
@@ -412,14 +418,9 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     return joined.select("vec_id", links.cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
 
-def joined_by_lists(part: DataFrame, links: DataFrame) -> DataFrame:
-    """``part`` (id, component) after the ``links`` (id, other) of lists that lead from one component to another, or to a node in none."""
-    here = links.select("id", "other").join(part.hint("merge"), "id", "left").select(F.col("other").alias("id"), F.coalesce("component", "id").alias("a"))
-    cross = spread_join(materialize(here, "ends"), part, ["id"], ["a"], "left").select("a", F.coalesce("component", "id").alias("b")).where("a <> b").distinct()
-    cross = materialize(cross, "cross")
-    if cross.isEmpty():
-        return part
-    both = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(cross)
+def joined(part: DataFrame, links: DataFrame) -> DataFrame:
+    """``part`` (id, component) after ``links`` (id, other), most of which lead from one component to another, or to a node in none."""
+    both = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
     return materialize(components(both, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
 
 
@@ -429,22 +430,22 @@ def linked_parts(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | N
     if not plan:
         return None
     floor = math.cos(min(math.pi, 2 * math.acos(threshold)))
-    graph = part = trees = None
+    graph, part = None, nodes.select("id", F.col("id").alias("component")).limit(0)
     for attempt in range(ATTEMPTS):
         fresh = materialize(nearest_in_blocks(blocks(nodes, kind, plan, attempt), kind, threshold, floor), "fresh")
+        part = joined(part, fresh.where("tree"))
         graph = materialize(merge_lists(fresh, graph, threshold), "graph")
         for k in range(ROUNDS):
             entries = graph.count()
-            better = materialize(local_joins(graph, nodes, kind, 100 * attempt + k, floor), "better")
-            if better.isEmpty():
-                break
-            old, graph = graph, materialize(merge_lists(better, graph, threshold), "graph")
-            discard(old)
-            if better.count() <= 0.02 * entries:
+            better = materialize(local_joins(graph, nodes, part, kind, 100 * attempt + k, threshold, floor), "better")
+            found, linked = better.agg(F.count("*"), F.count_if("tree")).first()
+            if linked:
+                part = joined(part, better.where("tree"))
+            if found:
+                old, graph = graph, materialize(merge_lists(better, graph, threshold), "graph")
+                discard(old)
+            if not linked and found <= 0.02 * entries:
                 break
-        own = fresh.where("tree").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        trees = own if trees is None else trees.unionByName(own)
-        part = joined_by_lists(materialize(components(trees, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts"), graph.where(F.col("cos") >= threshold))
         true, met, asked = audit(nodes, part, kind, threshold)
         recall = min(met / true if true else 1.0, planted_recall(asked, plan, threshold, attempt + 1))
         if recall >= GOAL:
