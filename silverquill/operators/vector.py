@@ -61,8 +61,14 @@ def two_stage(vectors: DataFrame, key: str, column: str, query: Sequence[float],
     return vectors.join(F.broadcast(best.select(key)), key).select(key, expr.cosine(F.col(column), literal(query)).alias("cosine")).orderBy(F.desc("cosine"), key).limit(final)
 
 
+MOST_PROBES = 1024
+
+
 def similarity_matrix(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str) -> DataFrame:
-    """(query, item, cosine) of each query with each item; the queries are a probe's few rows."""
+    """(query, item, cosine) of each query with each item, for at most ``MOST_PROBES`` queries: an error for more, which
+    ``batch_topk`` and ``probe_blocks`` answer without the matrix."""
+    if queries.limit(MOST_PROBES + 1).count() > MOST_PROBES:
+        raise ValueError(f"more than {MOST_PROBES} queries")
     q = queries.select(F.col(query_key).alias("query"), F.col(column).alias("_q"))
     return items.select(F.col(item_key).alias("item"), column).join(F.broadcast(q)).select("query", "item", expr.cosine(F.col(column), F.col("_q")).alias("cosine"))
 

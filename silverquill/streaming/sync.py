@@ -96,12 +96,13 @@ def merged_stream(stream: DataFrame) -> DataFrame:
     def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
         now = held.get if held.exists else None
         version = -1 if now is None else now[2]
-        for rows in batches:
-            for r in rows.itertuples(index=False):
-                deleted = None if pd.isna(r.deleted_at) else int(r.deleted_at)
-                version = max(version, int(r.version))
-                if now is None or (deleted is not None, r.updated_at, r.version) > (now[1] is not None, now[0], now[2]):
-                    now = (int(r.updated_at), deleted, int(r.version), float(r.payload))
+        for rows in batches:  # the best record of a batch at once, then that one against the state
+            if not len(rows):
+                continue
+            ranked = rows.assign(dead=rows["deleted_at"].notna()).sort_values(["dead", "updated_at", "version"], kind="stable")
+            r, version = ranked.iloc[-1], max(version, int(rows["version"].max()))
+            if now is None or (bool(r["dead"]), r["updated_at"], r["version"]) > (now[1] is not None, now[0], now[2]):
+                now = (int(r["updated_at"]), int(r["deleted_at"]) if r["dead"] else None, int(r["version"]), float(r["payload"]))
         held.update(now)
         yield pd.DataFrame([(key[0], now[0], now[1], version, now[3])], columns=["key", "updated_at", "deleted_at", "version", "payload"]).astype({"deleted_at": "Int64"})
 
