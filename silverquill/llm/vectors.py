@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, discard, materialize, spread_join, table
+from .common import FEW, components, discard, materialize, spread_join, table
 
 THRESHOLD, LIST, MOST_LIST, BLOCK, MOST_BLOCK, ROUNDS, ATTEMPTS, BINS = 0.95, 10, 80, 512, 4096, 6, 3, 16
 MISS = 0.002
@@ -421,7 +421,7 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
 def joined(part: DataFrame, links: DataFrame) -> DataFrame:
     """``part`` (id, component) after ``links`` (id, other), most of which lead from one component to another, or to a node in none."""
     both = part.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(links.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    return materialize(components(both, "vectors").select(F.col("node").alias("id"), "component"), "vector-parts")
+    return materialize(components(both, "vectors", few=FEW).select(F.col("node").alias("id"), "component"), "vector-parts")
 
 
 def linked_parts(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | None:

@@ -49,6 +49,10 @@ def test_components(spark):
     want = {x: top(x) for x in parent}
     df = spark.createDataFrame(edges, "a long, b long")
     assert dict(map(tuple, common.components(df).collect())) == want
+    assert dict(map(tuple, common.components(df, few=common.FEW).collect())) == want and common.components(df.limit(0), few=common.FEW).count() == 0
+    hub = spark.createDataFrame([(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(3000, 3100)], "a long, b long")
+    whole = sorted(map(tuple, common.components(hub).collect()))
+    assert whole == sorted(map(tuple, common.components(hub, few=common.FEW).collect())) and {c for _, c in whole} == {0, 3000}
     assert common.components(df.limit(0)).count() == 0
 
 
@@ -127,6 +131,37 @@ def test_tokens_equal_the_tokenizer():
     assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
 
 
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    """Byte-level pieces depend on the space before a word: cutting at spaces would give other ids, and isn't done."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = pre_tokenizers.ByteLevel.alphabet()
+    other = Tokenizer(models.BPE({c: i for i, c in enumerate(sorted(letters))} | {"Ġa": 256}, [("Ġ", "a")]))
+    other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    other.save(str(tmp_path / "t.json"))
+    encoder = tokens.WordEncoder(str(tmp_path / "t.json"))
+    texts = ["a a a", None, "", "x  a\nB"]
+    ids, sizes = encoder.encode(pa.array(texts))
+    want = [other.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert not encoder.by_words and tokens.word_encoder().by_words
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+
+
+def test_pieces_by_plain_cutting(spark):
+    """Every column of every piece of the table, from the tokenizer itself; packed gaplessly, in as few sequences as a bound allows."""
+    encoder = tokens.word_encoder()
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+    want = []
+    for d in docs:
+        ids = np.array([*encoder.tokenizer.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(d["doc_id"], k, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for k, at in enumerate(range(0, len(ids), 4096))]
+    rows = packing.op3_best_fit_packing(spark, DATA).toPandas()
+    assert sorted(map(tuple, rows[["doc_id", "piece", "start", "length", "ids_crc32"]].to_numpy().tolist())) == sorted(want)
+    assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 4096) + 1
+    odd = packing.pack(spark.createDataFrame([("x", 0, 5, 1, 2, 3)], "doc_id string, piece int, length long, `row` int, `_b` int, number int"))
+    assert odd.columns == ["doc_id", "piece", "length", "row", "_b", "number", "sequence_id", "offset"] and tuple(odd.first()) == ("x", 0, 5, 1, 2, 3, 0, 0)
+
+
 def test_packing_query(spark, edge):
     for df in (packing.op3_best_fit_packing(spark, DATA), packing.pack_documents(edge)):
         rows = df.toPandas()
@@ -497,6 +532,65 @@ def test_quality(spark, edge):
     assert {r["score"] for r in none} == {0.5} and quality.classify(edge.limit(0), labels).count() == 0
 
 
+def _plain_rows(word):
+    """The rows of a word and of its shape, by the rules one after another."""
+    import regex
+
+    shape = regex.sub(r"(\P{L})\p{Lu}[\p{Ll}\p{M}]", r"\1Aa", word)
+    for pattern, to in quality.SHAPES:
+        shape = regex.sub(pattern, to, shape)
+    shape = regex.sub(r"([^\pL\pN])[^\pL\pN]+", r"\1", shape[:12])
+    return zlib.crc32(word.lower().encode()) % quality.ROWS, zlib.crc32(b"shape:" + shape.encode()) % quality.ROWS
+
+
+def test_word_vectors_and_pooling_by_plain_loops(spark):
+    """Contexts of all texts, whatever task they are in, and the features of each text, word by word."""
+    texts = ["Whence!! came the 12 Foxes, and whither?", "", "one", None, "the the the the", "Ärger über 3.5 ÉTÉ's\nline two", *(" ".join(random.Random(k).choices(["alpha", "Beta", "g4", "d!"], k=30)) for k in range(20))]
+    where, sign = quality.index_vectors()
+    want = np.zeros((quality.ROWS, quality.DIMS))
+    cut = [re.findall(r"[^ \t\n\r\x0b\x0c]+", t or "") for t in texts]
+    for words in cut:
+        rows = [_plain_rows(w)[0] for w in words]
+        for i, r in enumerate(rows):
+            for j in range(max(0, i - quality.WINDOW), min(len(rows), i + quality.WINDOW + 1)):
+                if i != j:
+                    np.add.at(want[r], where[rows[j]], sign[rows[j]])
+    got = quality.context_table(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert (got == want).all() and want.any()
+    vectors_, index = quality._vectors(got), quality.dense_index()
+    x = quality.pool(quality.read_words(pa.array(texts)), vectors_, index)
+    for row, words in zip(x, cut, strict=True):
+        both = [_plain_rows(w) for w in words]
+        means = [np.mean([t[r[k]] for r in both], axis=0) if both else np.zeros(quality.DIMS) for k, t in enumerate((vectors_, index))]
+        plain = np.concatenate([*means, [np.linalg.norm(m) for m in means], [math.log1p(len(words))]])
+        assert np.allclose(row, plain, atol=2e-5)
+
+
+def test_probabilities_are_calibrated(spark):
+    """On held-out rows of sf0.01: order, and mean probability against the share of label 1 in four groups."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = quality.classify(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").toPandas().sort_values("score")
+    good, bad = rows.score[rows.quality == 1].to_numpy(), rows.score[rows.quality == 0].to_numpy()
+    auc = (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2
+    gaps = [abs(g.score.mean() - g.quality.mean()) * len(g) / len(rows) for g in np.array_split(rows, 4)]
+    assert auc > 0.95 and sum(gaps) < 0.1
+
+
+def test_the_temperature_is_the_best_one():
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(3000, 4)).astype(np.float32)
+    y = (rnd.random(3000) < 1 / (1 + np.exp(-1.5 * x[:, 0]))).astype(np.int64)
+    kept = np.arange(3000) % 5 == 1
+    net = quality.train(x, y, kept)
+
+    def loss(t):
+        p = 1 / (1 + np.exp(-net.logits(x[kept]) / t))
+        return -np.mean(np.where(y[kept] == 1, np.log(p), np.log(1 - p)))
+
+    assert all(loss(net.temperature) <= loss(t) + 1e-9 for t in (0.25, 0.5, 0.8, 1.0, 1.3, 2.0, 4.0, 8.0))
+    assert abs(net.probability(x[kept]).mean() - y[kept].mean()) < 0.05
+
+
 def test_temperature_and_training():
     rnd = np.random.default_rng(1)
     x = rnd.normal(size=(2000, 6)).astype(np.float32)
