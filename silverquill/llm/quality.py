@@ -57,10 +57,18 @@ class Words:
     ends: np.ndarray
 
 
-def read_words(texts: pa.Array) -> Words:
+def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of the texts (runs of anything but ASCII white space), each word's place among them, and texts' ends."""
     words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\n\r\x0b\x0c]+")
     coded = pc.dictionary_encode(words.flatten())
-    distinct, shape = coded.dictionary, coded.dictionary
+    codes, offsets = coded.indices.to_numpy(), words.offsets.to_numpy()
+    keep = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)
+    return coded.dictionary, codes[keep], np.concatenate([[0], np.cumsum(keep)])[offsets[1:] - offsets[0]]
+
+
+def read_words(texts: pa.Array) -> Words:
+    distinct, codes, ends = cut_words(texts)
+    shape = distinct
     shape = pc.replace_substring_regex(shape, r"(\P{L})\p{Lu}[\p{Ll}\p{M}]", r"\1Aa")
     for pattern, to in SHAPES:
         shape = pc.replace_substring_regex(shape, pattern, to)
@@ -68,17 +76,14 @@ def read_words(texts: pa.Array) -> Words:
     row = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in pc.utf8_lower(distinct).to_pylist()), np.int64, len(distinct))
     kinds = pc.dictionary_encode(shape)
     own = np.fromiter((zlib.crc32(b"shape:" + w.encode("utf-8", "surrogatepass")) for w in kinds.dictionary.to_pylist()), np.int64, len(kinds.dictionary))
-    offsets = words.offsets.to_numpy()
-    return Words(coded.indices.to_numpy(), row % ROWS, (own % ROWS)[kinds.indices.to_numpy()] if len(own) else own, offsets[1:] - offsets[0])
+    return Words(codes, row % ROWS, (own % ROWS)[kinds.indices.to_numpy()] if len(own) else own, ends)
 
 
 def word_rows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The row of each word of the texts, and where each text ends among them."""
-    words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\n\r\x0b\x0c]+")
-    coded = pc.dictionary_encode(words.flatten())
-    row = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in pc.utf8_lower(coded.dictionary).to_pylist()), np.int64, len(coded.dictionary))
-    offsets = words.offsets.to_numpy()
-    return (row % ROWS)[coded.indices.to_numpy()], offsets[1:] - offsets[0]
+    distinct, codes, ends = cut_words(texts)
+    row = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in pc.utf8_lower(distinct).to_pylist()), np.int64, len(distinct))
+    return (row % ROWS)[codes], ends
 
 
 def neighbours(row: np.ndarray, ends: np.ndarray, out: np.ndarray) -> None:
