@@ -116,7 +116,8 @@ def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None =
 def write_index(docs: DataFrame, key: str, text: str, folder: str, cjk_split: bool = False) -> None:
     """Postings sorted by token and document lengths, as Parquet under ``folder``: a search reads the row groups of its tokens only."""
     postings(docs, key, text, cjk_split).repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{folder}/postings")
-    document_lengths(docs, key, text, cjk_split).write.mode("overwrite").parquet(f"{folder}/lengths")
+    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
+    stored.groupBy(key).agg(F.sum("tf").cast("int").alias("token_count")).write.mode("overwrite").parquet(f"{folder}/lengths")
 
 
 def search_index(spark: SparkSession, folder: str, key: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False, allowed: DataFrame | None = None) -> DataFrame:
