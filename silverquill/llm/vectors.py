@@ -100,8 +100,8 @@ def codes_of(x: np.ndarray, seed: int, planes: int) -> np.ndarray:
 
 
 def blocks(nodes: DataFrame, kind: str, plan: dict[int, tuple[int, int]], attempt: int) -> DataFrame:
-    """(key, dims, part, id, v): each node once per table of its length; a block of more than ``MOST_BLOCK``
-    nodes is cut by hash, differently in each table, and a node alone in its block is left out."""
+    """(key, dims, part, id, v): each node once per table of its length; a block of more than ``MOST_BLOCK`` nodes (fewer of very
+    long vectors: 32 MB) is cut by hash, differently in each table, and a node alone in its block is left out."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -114,7 +114,7 @@ def blocks(nodes: DataFrame, kind: str, plan: dict[int, tuple[int, int]], attemp
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(own), d, np.int32)), pa.array(ids[own])], ["key", "dims", "id"])
 
     dealt = materialize(nodes.select("id", "dims", "v").mapInArrow(deal, "key long, dims int, id long"), "dealt")
-    parts = dealt.groupBy("key", "dims").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "dims", F.ceil(F.col("_n") / MOST_BLOCK).cast("int").alias("_parts"))
+    parts = dealt.groupBy("key", "dims").agg(F.count("*").alias("_n")).where("_n > 1").select("key", "dims", F.ceil(F.col("_n") / F.greatest(F.lit(256), F.least(F.lit(MOST_BLOCK), F.floor(F.lit(1 << 22) / F.col("dims"))))).cast("int").alias("_parts"))
     placed = spread_join(dealt, parts, ["key", "dims"], ["id"]).select("key", "dims", F.pmod(F.xxhash64("id", "key"), F.col("_parts")).cast("int").alias("part"), "id")
     return placed.join(nodes.select("id", "v").hint("merge"), "id")
 
