@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_ROOT: dict[str, str] = {}
+_SCOPES: list[list[DataFrame]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +45,8 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(where)
     back._scratch = path
+    if _SCOPES:
+        _SCOPES[-1].append(back)
     return back
 
 
@@ -58,6 +61,21 @@ def discard(*tables: DataFrame | None) -> None:
 LEAST_HOT = 512
 
 
+@contextlib.contextmanager
+def scratch_scope():
+    """Delete at the end what ``materialize`` wrote inside, but for the tables handed to the function that this yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _SCOPES.append(made)
+    try:
+        yield kept.append
+    finally:
+        _SCOPES.pop()
+        discard(*(d for d in made if all(d is not k for k in kept)))
+        if _SCOPES:
+            _SCOPES[-1].extend(kept)
+
+
 def hot_keys(sizes: DataFrame, key: list[str]) -> DataFrame | None:
     """(key, _cuts): the keys of ``sizes`` (key, _rows) with more rows than an even task would have, and more than
     ``LEAST_HOT``; None if there are none. Fewer keys than there are tasks can be hot, and only these reach the driver."""

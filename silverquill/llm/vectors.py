@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import FEW, components, discard, materialize, spread_join, table
+from .common import FEW, components, discard, materialize, scratch_scope, spread_join, table
 
 THRESHOLD, LIST, MOST_LIST, BLOCK, MOST_BLOCK, ROUNDS, ATTEMPTS, BINS = 0.95, 10, 80, 512, 4096, 6, 3, 16
 MISS = 0.002
@@ -425,7 +425,15 @@ def joined(part: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def linked_parts(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | None:
-    """(id, component) of the nodes that have links, by NN-descent; None if no node has any."""
+    """(id, component) of the nodes that have links, by NN-descent; None if no node has any. Its scratch tables go with it."""
+    with scratch_scope() as keep:
+        part = _descend(nodes, kind, threshold)
+        if part is not None:
+            keep(part)
+        return part
+
+
+def _descend(nodes: DataFrame, kind: str, threshold: float) -> DataFrame | None:
     plan = {d: tables_for(n, threshold) for d, n in nodes.groupBy("dims").count().collect()}
     if not plan:
         return None
