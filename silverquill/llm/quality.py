@@ -59,7 +59,7 @@ class Words:
 
 def cut_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The distinct words of the texts (runs of anything but ASCII white space), each word's place among them, and texts' ends."""
-    words = pc.split_pattern_regex(pc.fill_null(texts, ""), r"[ \t\n\r\x0b\x0c]+")
+    words = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
     coded = pc.dictionary_encode(words.flatten())
     codes, offsets = coded.indices.to_numpy(), words.offsets.to_numpy()
     keep = pc.not_equal(coded.dictionary, "").to_numpy(zero_copy_only=False)[codes] if len(codes) else np.zeros(0, bool)

@@ -26,7 +26,7 @@ def constants(n: int, seed: int) -> np.ndarray:
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 32-bit hash of every word (lower-cased in ASCII, cut at ASCII white space), and the words' number in each text."""
-    words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[ \t\n\r\x0b\x0c]+")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = pc.dictionary_encode(words.flatten())
     names = coded.dictionary.to_pylist()
     hashes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in names), np.uint32, len(names))
