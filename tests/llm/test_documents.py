@@ -306,6 +306,16 @@ def test_near_dedup_edges(spark, edge):
     assert near.near_duplicates(edge.limit(0)).count() == 0
 
 
+def test_words_are_cut_at_ascii_white_space_only():
+    rnd = random.Random(1)
+    texts = ["".join(rnd.choices("ab \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\0é", k=rnd.randrange(30))) for _ in range(2000)] + ["", " ", " a "]
+    want = [[zlib.crc32(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t)] for t in texts]
+    hashes, sizes = shingles.word_hashes(pa.array(texts))
+    assert sizes.tolist() == [len(w) for w in want] and hashes.tolist() == sum(want, [])
+    distinct, codes, ends = quality.cut_words(pa.array(texts).slice(7))
+    assert [distinct[int(c)].as_py() for c in codes] == [w for t in texts[7:] for w in re.findall(r"[^\x20\x09-\x0D]+", t)] and ends[-1] == len(codes)
+
+
 def _longest_common(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
