@@ -78,7 +78,7 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of every word and of each text's end, and the number of tokens of each text."""
     import xxhash
 
-    words = pc.split_pattern_regex(pc.ascii_lower(pc.fill_null(texts, "")), r"[ \t\n\r\x0b\x0c]+")
+    words = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     coded = pc.dictionary_encode(words.flatten())
     names = coded.dictionary.to_pylist()
     hashes = np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in names), np.uint64, len(names))
@@ -195,8 +195,8 @@ def count_keys(chunks: DataFrame, bits: int) -> DataFrame:
 
 
 def add_up(sent: DataFrame, bits: int) -> DataFrame:
-    """(kind, range, chunk, totals, deleted, n, n_deleted, distinct): a range's totals for each chunk's keys; the
-    row without a chunk has the range's sums."""
+    """(kind, range, chunk, held, totals, deleted, n, n_deleted, distinct): a range's totals for each chunk's keys (held: of
+    the deleted part); the row without a chunk has the range's sums."""
 
     def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         keys = [np.cumsum(expand(b, np.uint64), dtype=np.uint64) for b in rows["keys"]]
@@ -207,12 +207,12 @@ def add_up(sent: DataFrame, bits: int) -> DataFrame:
         total = np.bincount(back, times, len(every))
         deleted = np.bincount(back[gone], times[gone], len(every)) if gone.any() else np.zeros(len(every))
         cuts = np.cumsum([len(k) for k in keys])[:-1]
-        out = [(key[0], key[1], chunk, squeeze(total[own].astype(np.uint64)), squeeze(deleted[own].astype(np.uint64)), None, None, None) for chunk, own in zip(rows["chunk"], np.split(back, cuts), strict=True)]
-        out.append((key[0], key[1], None, None, None, int(total.sum()), int(deleted.sum()), int((total > 0).sum())))
-        return pd.DataFrame(out, columns=["kind", "range", "chunk", "totals", "deleted", "n", "n_deleted", "distinct"]).astype({"chunk": "Int64", "n": "Int64", "n_deleted": "Int64", "distinct": "Int64"})
+        out = [(key[0], key[1], chunk, bool(held), squeeze(total[own].astype(np.uint64)), squeeze(deleted[own].astype(np.uint64)), None, None, None) for chunk, held, own in zip(rows["chunk"], rows["deleted"], np.split(back, cuts), strict=True)]
+        out.append((key[0], key[1], None, False, None, None, int(total.sum()), int(deleted.sum()), int((total > 0).sum())))
+        return pd.DataFrame(out, columns=["kind", "range", "chunk", "held", "totals", "deleted", "n", "n_deleted", "distinct"]).astype({"chunk": "Int64", "n": "Int64", "n_deleted": "Int64", "distinct": "Int64"})
 
     tasks = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1 << bits)
-    return sent.repartition(tasks, "kind", "range").groupBy("kind", "range").applyInPandas(add, "kind int, range int, chunk long, totals binary, deleted binary, n long, n_deleted long, distinct long")
+    return sent.repartition(tasks, "kind", "range").groupBy("kind", "range").applyInPandas(add, "kind int, range int, chunk long, held boolean, totals binary, deleted binary, n long, n_deleted long, distinct long")
 
 
 def with_counts(chunks: DataFrame, answers: DataFrame, tasks: int) -> DataFrame:
@@ -310,7 +310,7 @@ def score(documents: DataFrame) -> DataFrame:
     bits = max(0, int(np.ceil(np.log2(max(1, tokens_in_all / RANGE_TOKENS)))))
     answers = materialize(add_up(count_keys(chunks, bits), bits), "answers")
     n, n_deleted, distinct = (int(x or 0) for x in answers.where("chunk is null and kind = 1").agg(F.sum("n"), F.sum("n_deleted"), F.sum("distinct")).first())
-    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers, tasks))
+    cells = deleted_cells(with_counts(chunks.where(F.col("part") == DELETED_PART), answers.where("held"), tasks))
     weights = spark.sparkContext.broadcast(expectation_maximisation(cells, n - n_deleted, 1 / (distinct + 1)))
     names = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
 
