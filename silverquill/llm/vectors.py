@@ -323,12 +323,12 @@ def audit(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, sample
     return true or 0, same or 0, [unit(np.frombuffer(v, kind).reshape(1, -1))[0] for _, _, _, v in shared.value]
 
 
-def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, block: int = 2048) -> DataFrame:
+def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float, whole: int = 512, block: int = 2048) -> DataFrame:
     """(id, links): for every node of ``part`` (id, component) the members of the nodes it links with, exactly.
 
-    A component of up to ``block`` nodes is one product. In a larger one a node's angle to the component's first
+    A component of up to ``whole`` nodes is one product. In a larger one a node's angle to the component's first
     node puts it into a ring; two rings surely link (angles add up to less than the threshold's), surely
-    don't (they differ by more), or are compared in blocks.
+    don't (they differ by more), or are compared in blocks of ``block`` nodes.
     """
     theta = math.acos(threshold)
     width = theta / BINS
@@ -336,7 +336,7 @@ def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float,
     placed = spread_join(part, sizes, ["component"], ["id"])
     sized = materialize(placed.join(nodes.select("id", "copies", "v").hint("merge"), "id").select("component", "id", "copies", "v", "size"), "sized")
 
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups_of(batches, 1):
             x, copies = unit(_matrix(g.column(3).combine_chunks(), kind)), g.column(2).to_numpy()
             links = np.zeros(len(x), np.int64)
@@ -346,8 +346,8 @@ def count_links(nodes: DataFrame, part: DataFrame, kind: str, threshold: float,
                 links[i : i + 512] = near @ copies
             yield pa.RecordBatch.from_arrays([g.column(1).combine_chunks(), pa.array(links)], ["id", "links"])
 
-    small = _sorted(sized.where(F.col("size") <= block).select("component", "id", "copies", "v"), ["component"]).mapInArrow(whole, "id long, links long")
-    large = sized.where(F.col("size") > block)
+    small = _sorted(sized.where(F.col("size") <= whole).select("component", "id", "copies", "v"), ["component"]).mapInArrow(product, "id long, links long")
+    large = sized.where(F.col("size") > whole)
     if large.isEmpty():
         return small
 
