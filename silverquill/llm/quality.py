@@ -114,10 +114,10 @@ def context_table(documents: DataFrame) -> np.ndarray:
                 held.clear()
 
         for whole in batches:
-            for b in pieces_of(whole):
+            for b in pieces_of(whole, most_bytes=4 << 20):
                 held.append(word_rows(b.column(0)))
                 size += len(held[-1][0])
-                if size > 1_000_000:
+                if size > 400_000:
                     count()
                     size = 0
         count()
