@@ -243,3 +243,25 @@ def _stars(pairs: DataFrame) -> tuple[bool, int]:
     roles = ends.groupBy("n").agg(F.sum("up").alias("ups"), F.count("*").alias("all"))
     open_, degree = roles.agg(F.count_if(F.expr("ups > 1 or (ups = 1 and all > 1)")), F.max("all")).first()
     return not open_, degree or 0
+
+
+def ordered_index(df: DataFrame, group: list[str], order: list[str], label: str) -> DataFrame:
+    """Add ``_index`` (from 0) and ``_count``: a row's place in its ``group`` by the columns ``order`` (nulls first), and the group's rows.
+
+    Rows are dealt to tasks by ranges of (group, order) and written with their place in the task; a group that
+    spans tasks is added up from one row per task, so no task holds a whole group. ``order`` should tell all rows apart that differ.
+    """
+    spark = df.sparkSession
+    along = [F.col(c).asc_nulls_first() for c in (*group, *order)]
+    dealt = df.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *along).sortWithinPartitions(*along)
+    placed = materialize(dealt.withColumn("_at", F.monotonically_increasing_id()), label).withColumn("_task", F.shiftright("_at", 33))
+    runs = placed.groupBy(*group, "_task").agg(F.min("_at").alias("_low"), F.count("*").alias("_rows"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumns({"_before": F.coalesce(F.sum("_rows").over(before), F.lit(0)), "_count": F.sum("_rows").over(whole)})
+    runs = runs.select(*(F.col(g).alias(f"_group{k}") for k, g in enumerate(group)), F.col("_task").alias("_task2"), (F.col("_before") - F.col("_low")).alias("_shift"), "_count")
+    same = F.col("_task") == F.col("_task2")
+    for k, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_group{k}"))
+    joined = placed.join(runs.hint("merge"), same)
+    return joined.withColumn("_index", F.col("_at") + F.col("_shift")).drop("_at", "_task", "_task2", "_shift", *(f"_group{k}" for k in range(len(group))))
