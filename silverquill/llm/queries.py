@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .late import op13_late_overwrite
 from .licences import op9_licences, op9_sql
 from .lines import op4_line_dedup, op4_sql
 from .lm import op7_lm_score
@@ -22,7 +23,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op7_lm_score, op8_quality, op9_licences, op10_embedding_dedup, op11_merkle)}
+    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op7_lm_score, op8_quality, op9_licences, op10_embedding_dedup, op11_merkle, op13_late_overwrite)}
 
 
 def oracle_sql() -> dict[str, str]:
