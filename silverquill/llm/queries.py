@@ -18,12 +18,13 @@ from .packing import op3_best_fit_packing
 from .quality import op8_quality
 from .urls import op2_sql, op2_url_filters
 from .vectors import op10_embedding_dedup, op10_sql
+from .wrappers import op12_html_extraction
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op7_lm_score, op8_quality, op9_licences, op10_embedding_dedup, op11_merkle, op13_late_overwrite)}
+    return {f.__name__: f for f in (op1_matroska, op2_url_filters, op3_best_fit_packing, op4_line_dedup, op5_near_dedup, op6_mixing, op7_lm_score, op8_quality, op9_licences, op10_embedding_dedup, op11_merkle, op12_html_extraction, op13_late_overwrite)}
 
 
 def oracle_sql() -> dict[str, str]:
