@@ -8,7 +8,9 @@ on ``PROBES``; one that answers otherwise encodes whole texts.
 from __future__ import annotations
 
 import os
+from functools import cache
 from itertools import chain
+from unicodedata import category, normalize
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +19,21 @@ import pyarrow.compute as pc
 _OPEN: dict[str, WordEncoder] = {}
 MARKED = "<|"
 """What the strings of special tokens hold; texts with it are encoded whole."""
-PROBES = ("", " ", "Hello, world. It's 12,5!? x\x1cy", "  two  spaces\n\nlines\ttabs ", "É ç ΑΣ ß日本語 a.b. c... (d); e:", "lower UPPER Mixed 3.14 a1 1a", "«quoted» don't re-do e-mail@host.org/x?y=1", "word. Word! word? word, word; word: end.", "\u2028 \xa0 \u3000x")
+
+
+@cache
+def whole() -> str:
+    """A pattern: texts with a match are encoded whole. Beside ``MARKED`` these are texts with letters that end in a mark once they are normalised and
+    lower-cased (such as U+0130), so that what follows isn't cut off behind a letter, and with marks behind a capital letter, which may compose with the small one only."""
+
+    def ends_in_mark(c: str) -> bool:
+        return category(c)[0] in "LN" and category(normalize("NFC", normalize("NFC", c).lower())[-1])[0] == "M"
+
+    odd = [c for c in range(0x80, 0x20000) if not 0xD800 <= c < 0xE000 and ends_in_mark(chr(c))]
+    return "|".join(["<\\|", r"[A-Z]\p{M}", "[" + "".join(rf"\x{{{c:x}}}" for c in odd) + "]"])
+
+
+PROBES = ("", " ", "Hello, world. It's 12,5!? x\x1cy", "  two  spaces\n\nlines\ttabs ", "É ç ΑΣ ß日本語 a.b. c... (d); e:", "lower UPPER Mixed 3.14 a1 1a", "«quoted» don't re-do e-mail@host.org/x?y=1", "word. Word! word? word, word; word: end.", "\u2028 \xa0 \u3000x", "DEVLETİ. MECLİSİ, 1920 İ!", "Y\u030a \u0a5a: \u095b,")
 
 
 class WordEncoder:
@@ -35,7 +51,7 @@ class WordEncoder:
         # A special token that no word holds marks where words end, so that many are encoded at once.
         self.mark = next(((i, t.content) for i, t in sorted(self.tokenizer.get_added_tokens_decoder().items()) if t.special and MARKED in t.content), None)
         self.by_words = True
-        ids, sizes = self._encode(pa.array(PROBES))
+        ids, sizes = self.encode(pa.array(PROBES))
         whole = [self.tokenizer.encode(t, add_special_tokens=False).ids for t in PROBES]
         self.by_words = ids.tolist() == sum(whole, []) and sizes.tolist() == [len(w) for w in whole]
 
@@ -81,13 +97,13 @@ class WordEncoder:
         """All ids in one array, and the number of ids of each text (null: none).
 
         Words are cut at ASCII white space and before closing punctuation, and lower-cased in ASCII, as
-        the tokenizer does itself; a text that may hold a special token's string is encoded as it is.
+        the tokenizer does itself; a text that may hold a special token's string, or that matches ``whole`` otherwise, is encoded as it is.
         """
         texts = pc.fill_null(texts, "")
         if not self.by_words:
             got = [e.ids for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
             return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
-        odd = np.flatnonzero(pc.match_substring(texts, MARKED).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, whole()).to_numpy(zero_copy_only=False))
         if len(odd):
             apart = {int(i): np.array(self.tokenizer.encode(texts[int(i)].as_py(), add_special_tokens=False).ids, np.uint32) for i in odd}
             mask = np.zeros(len(texts), bool)
