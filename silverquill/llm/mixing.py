@@ -1,10 +1,10 @@
 """Mixing sources to target weights, in DataFrame functions only.
 
 Each source's words form a stream cut into blocks of fixed length. The mix is a row of slots in output shards; a slot takes
-one block. Each shard draws how many of its slots each source fills: the whole part of the expected number is sure, and the
-slots that are left are a multinomial draw by the fractional parts (or all slots are, where ``sure`` is false: then a source's
-total strays from its target by the noise of that draw). A source's slots are numbered through the shards; a
-slot's number runs through the source's blocks in epochs, each by its own pseudorandom permutation, and blocks are joined by
+one block. Each shard draws how many of its slots each source fills, from the multinomial conditioned on the sources' totals: a
+pseudorandom permutation of all slots deals them to the shards, so shards vary as independent draws do while every source has
+exactly the slots of its target (``exact=False`` draws each shard by itself: a source's total then strays from its target). A source's slots are numbered
+through the shards; a slot's number runs through the source's blocks in epochs, each by its own pseudorandom permutation, and blocks are joined by
 index. Permutations are swap-or-not networks on 64-bit hashes: a bijection for any number of blocks, computed for a single index.
 """
 
@@ -54,37 +54,43 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levelled.withColumn("target", target).select("source", "sid", "source_size", "target")
 
 
-def shard_counts(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, sure: bool = True) -> DataFrame:
+def shard_counts(targets: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, exact: bool = True) -> DataFrame:
     """(shard, sid, n, count): how many slots of each shard each source fills, for counts above 0; n is the source's blocks.
 
-    A source's expected slots are its target over the mean length of its blocks. A shard has ``shard_slots`` slots (at least
-    one per source), the last one those that are left. Draws are points on the line of a shard's fractional parts: a sort inside the
-    shard finds the source of each.
+    A source's slots are its target over the mean length of its blocks, rounded. A shard has ``shard_slots`` slots (at least
+    one per source), the last one those that are left.
     """
-    s = targets.where("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block).cast("long")).withColumn("_q", F.col("target") * F.col("n") / F.col("source_size"))
-    slots, sources = s.agg(F.round(F.sum("_q")).cast("long"), F.count("*")).first()
+    s = targets.where("source_size > 0").withColumn("n", F.ceil(F.col("source_size") / block).cast("long")).withColumn("_q", F.round(F.col("target") * F.col("n") / F.col("source_size")).cast("long")).where("_q > 0")
+    slots, sources = s.agg(F.sum("_q"), F.count("*")).first()
     if not slots:
         return s.select(F.lit(0).cast("long").alias("shard"), "sid", "n", F.lit(0).cast("long").alias("count")).where("false")
     shard_slots = max(shard_slots, sources)
+    earlier = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumn("_from", F.coalesce(F.sum("_q").over(earlier), F.lit(0)))
+    return _dealt(s, slots, shard_slots, seed) if exact else _drawn(s, slots, sources, shard_slots, seed)
+
+
+def _dealt(s: DataFrame, slots: int, shard_slots: int, seed: int) -> DataFrame:
+    """Every slot of (sid, n, _q, _from) goes to its place in a permutation of all slots; a shard is a run of places."""
+    chunks = s.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_q - 1) div {CHUNK})")))
+    each = chunks.repartition(slots // TASK_SLOTS + 1, "sid", "_chunk").select("sid", "n", F.explode(F.expr(f"sequence(_from + _chunk * {CHUNK}, _from + least(_q, (_chunk + 1) * {CHUNK}) - 1)")).alias("_slot"))
+    place = permuted(F.col("_slot"), F.lit(slots), F.lit("deal"), seed=seed)
+    return each.select(F.call_function("div", place, F.lit(shard_slots)).alias("shard"), "sid", "n").groupBy("shard", "sid", "n").agg(F.count("*").alias("count"))
+
+
+def _drawn(s: DataFrame, slots: int, sources: int, shard_slots: int, seed: int) -> DataFrame:
+    """Every shard draws each of its slots alone: a draw is a point on the line of all sources' shares, and a sort inside the shard finds the source of each point."""
     shards = -(-slots // shard_slots)
-    tasks = max(1, shards * sources // TASK_SLOTS + 1)
-    everywhere = Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    s = s.withColumn("_p", F.col("_q") / F.sum("_q").over(everywhere))
     chunks = s.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((shards - 1) // CHUNK).cast("long"))))
-    cells = chunks.repartition(tasks, "_chunk", "sid").withColumn("shard", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least({shards}L, (_chunk + 1) * {CHUNK}) - 1)")))
-    cells = cells.withColumn("_room", F.least(F.lit(shard_slots).cast("long"), F.lit(slots) - F.col("shard") * shard_slots)).withColumn("_mean", F.col("_room") * F.col("_p"))
-    cells = cells.withColumn("_sure", (F.floor("_mean") if sure else F.lit(0)).cast("long")).withColumn("_part", F.col("_mean") - F.col("_sure")).select("shard", "sid", "n", "_room", "_sure", "_part")
-    shard = Window.partitionBy("shard").orderBy("sid")
-    bounds = cells.withColumn("_x", F.coalesce(F.sum("_part").over(shard.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rests = cells.groupBy("shard").agg((F.max("_room") - F.sum("_sure")).alias("_rest"), F.sum("_part").alias("_length")).where("_rest > 0")
-    points = rests.withColumn("_j", F.explode(F.expr("sequence(1L, _rest)")))
+    cells = chunks.repartition(max(1, shards * sources // TASK_SLOTS + 1), "_chunk", "sid").withColumn("shard", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least({shards}L, (_chunk + 1) * {CHUNK}) - 1)")))
+    bounds = cells.select("shard", (F.col("_from") / F.lit(float(slots))).alias("_x"), F.lit(0).alias("_drawn"), "sid", "n")
+    points = cells.where("_from = 0").withColumn("_j", F.explode(F.expr(f"sequence(1L, least({shard_slots}L, {slots}L - shard * {shard_slots}L))")))
     uniform = F.pmod(F.xxhash64(F.lit(seed + 2), "shard", "_j"), F.lit(1 << 52)) / F.lit(float(1 << 52))
     nothing = lambda kind: F.lit(None).cast(kind)
-    line = bounds.where("_part > 0").select("shard", "_x", F.lit(0).alias("_drawn"), "sid", "n").unionByName(points.select("shard", (uniform * F.col("_length")).alias("_x"), F.lit(1).alias("_drawn"), nothing("int").alias("sid"), nothing("long").alias("n")))
+    line = bounds.unionByName(points.select("shard", uniform.alias("_x"), F.lit(1).alias("_drawn"), nothing("int").alias("sid"), nothing("long").alias("n")))
     along = Window.partitionBy("shard").orderBy("_x", "_drawn", "sid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = line.withColumns({"sid": F.last("sid", ignorenulls=True).over(along), "n": F.last("n", ignorenulls=True).over(along)}).where("_drawn = 1").select("shard", "sid", "n", F.lit(1).cast("long").alias("count"))
-    every = cells.select("shard", "sid", "n", F.col("_sure").alias("count")).unionByName(met)
-    return every.groupBy("shard", "sid", "n").agg(F.sum("count").alias("count")).where("count > 0")
+    met = line.withColumns({"sid": F.last("sid", ignorenulls=True).over(along), "n": F.last("n", ignorenulls=True).over(along)}).where("_drawn = 1")
+    return met.groupBy("shard", "sid", "n").agg(F.count("*").alias("count"))
 
 
 def mix_slots(counts: DataFrame, seed: int = SEED) -> DataFrame:
@@ -114,7 +120,7 @@ def streams(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     return targets, running_total(keyed, "sid", ["doc_id", "text_hash", "size"], "size", "from", bucket_count(sizes.count()))
 
 
-def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, sure: bool = True) -> DataFrame:
+def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED, exact: bool = True) -> DataFrame:
     """(doc_id, size, source_size, target, taken, text_hash) for every row of ``documents``; the hash is the text's xxhash64.
 
     Null text has size 0; a document of size 0 takes 0; repeated rows stand in the stream one after
@@ -125,7 +131,7 @@ def mix(documents: DataFrame, block: int = BLOCK, shard_slots: int = SHARD_SLOTS
     placed = materialize(placed, "placed")
     parts = placed.where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")))
     parts = parts.withColumn("_words", F.expr(f"least(from + size, (block + 1) * {block}) - greatest(from, block * {block})"))
-    drawn = mix_slots(shard_counts(targets, block, shard_slots, seed, sure), seed).groupBy("sid", "block").agg(F.count("*").alias("_times"))
+    drawn = mix_slots(shard_counts(targets, block, shard_slots, seed, exact), seed).groupBy("sid", "block").agg(F.count("*").alias("_times"))
     words = F.coalesce(F.col("_words") * F.col("_times"), F.lit(0))
     took = parts.join(drawn.hint("merge"), ["sid", "block"], "left").groupBy("sid", "from", "doc_id", "text_hash", "size", "source_size", "target").agg(F.sum(words).cast("long").alias("taken"))
     columns = ["doc_id", "size", "source_size", "target", "taken", "text_hash"]
