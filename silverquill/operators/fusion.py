@@ -57,6 +57,19 @@ def retrieval_quality(ranked: DataFrame, relevant: DataFrame, query: str, key: s
     return joined.groupBy(query).agg((F.count_if(hit & (F.col("grade") == 1)) / F.count_if(F.col("grade") == 1)).alias("recall"), F.count_if((F.col("rank") == 1) & (F.col("grade") == 1)).alias("top1"), F.count_if(hit & (F.col("grade") == -1)).alias("forbidden"))
 
 
+def retrieval_by_label(ranked: DataFrame, asked: DataFrame, labels: DataFrame, query: str, key: str, forbidden) -> DataFrame:
+    """Recall, top-1 and forbidden hits by query, where every other item of the query's label is wanted and those of the label
+    ``forbidden`` (a function of it) are not. Wanted items are counted per label, not listed. ``asked`` has (query, label), ``labels`` (key, label), ``ranked`` (query, key, rank);
+    a query with nothing wanted is left out."""
+    sizes = labels.groupBy(F.col("label").alias("_want")).agg(F.count("*").alias("_n"))
+    own = asked.join(labels.select(F.col(key).alias(query), F.lit(1).alias("_self")), query, "left")
+    wanted = own.join(sizes, F.col("label") == F.col("_want")).select(query, F.col("label").alias("_want"), (F.col("_n") - F.coalesce("_self", F.lit(0))).alias("_n")).where("_n > 0")
+    met = ranked.join(labels.select(key, F.col("label").alias("_got")), key)
+    hit = F.col("_got") == F.col("_want")
+    out = wanted.join(met.select(query, "rank", "_got"), query, "left").groupBy(query, "_n")
+    return out.agg((F.count_if(hit) / F.first("_n")).alias("recall"), F.count_if(hit & (F.col("rank") == 1)).alias("top1"), F.count_if(F.col("_got") == forbidden(F.col("_want"))).alias("forbidden")).drop("_n")
+
+
 def ranking_agreement(a: DataFrame, b: DataFrame, query: str, key: str) -> DataFrame:
     """(query, same_set, same_order) of two engines' (query, key, rank)."""
     lists = [one.groupBy(query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key))), lambda s: s[key]).alias(name)) for one, name in ((a, "_a"), (b, "_b"))]

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampType
 
 from ..schemas import schema
 
@@ -27,21 +28,28 @@ def lww_merge(local: DataFrame, remote: DataFrame, key: str, mode: str = "docume
         return merged.select(*(F.col(c) if c in (key, "version") else F.col(f"_v.{c}").alias(c) for c in columns))
     if mode != "reference":
         raise ValueError(mode)
-    fields = [c for c in columns if c != key]
+    return _applied_in_order(local, remote, key).select(columns)
+
+
+def _applied_in_order(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
+    """What records of a key do one after another, as an associative merge: the local row counts as the first record.
+
+    A run of records is summed up by its last tombstone, by the best record behind that, and by its last version. A tombstone replaces whatever
+    was there, and the record behind it whatever its time; from there on a record replaces the row only if it is strictly newer, so the first of the newest
+    behind the last tombstone stays, or the tombstone if nothing follows. Sums of runs merge like the runs, so both steps go as partial maxima before
+    they are shuffled, and the records of a hot key stay with many tasks: none is gathered. ``updated_at`` (a number or a timestamp) isn't null.
+    """
+    fields = [c for c in local.columns if c != key]
     row = F.struct(*fields)
-    started = local.select(key, row.alias("_row"))
-    queued = remote.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col("version").alias("_o"), F.col("updated_at").alias("_u"), row.alias("_row")))).alias("_in"))
-    joined = started.join(queued, key, "full_outer")
-
-    def apply(now, record):
-        new = record["_row"]
-        keep = now.isNotNull() & new["deleted_at"].isNull() & ~(new["updated_at"] > now["updated_at"]) & now["deleted_at"].isNull()
-        moved = F.struct(*((new if c == "version" else now)[c].alias(c) for c in fields))
-        return F.when(keep, moved).otherwise(new)
-
-    kind = local.select(row.alias("r")).schema["r"].dataType
-    done = F.aggregate(F.coalesce(F.col("_in"), F.array().cast(joined.schema["_in"].dataType)), F.col("_row").cast(kind), lambda a, r: apply(a, r).cast(kind))
-    return joined.withColumn("_v", done).select(*(F.col(c) if c == key else F.col(f"_v.{c}").alias(c) for c in columns))
+    every = local.select(F.col(key).alias("_key"), row.alias("row"), F.lit(0).alias("_side")).unionByName(remote.select(F.col(key).alias("_key"), row.alias("row"), F.lit(1).alias("_side")))
+    every = every.withColumn("_order", F.struct("_side", F.col("row.version").alias("v"), F.col("row.updated_at").alias("u"), "row"))
+    last_tombstone = every.where("row.deleted_at is not null").groupBy(F.col("_key").alias("_dead")).agg(F.max("_order").alias("_tomb"))
+    behind = every.join(last_tombstone, F.col("_key").eqNullSafe(F.col("_dead")), "left").where("_tomb is null or _order >= _tomb")
+    time = F.col("row.updated_at")
+    time = F.unix_micros(time) if isinstance(local.schema["updated_at"].dataType, TimestampType) else time
+    first_newest = F.struct(F.coalesce(F.col("_order") == F.col("_tomb"), F.lit(False)), -time, "_order")
+    done = behind.groupBy("_key").agg(F.min_by("row", first_newest).alias("row"), F.max_by("row.version", "_order").alias("_version"))
+    return done.select(F.col("_key").alias(key), *(F.col("_version").alias(c) if c == "version" else F.col(f"row.{c}").alias(c) for c in fields))
 
 
 def lww_counters(local: DataFrame, remote: DataFrame, key: str) -> DataFrame:

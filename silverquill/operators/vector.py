@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,55 +74,93 @@ def similarity_matrix(queries: DataFrame, items: DataFrame, query_key: str, item
     return items.select(F.col(item_key).alias("item"), column).join(F.broadcast(q)).select("query", "item", expr.cosine(F.col(column), F.col("_q")).alias("cosine"))
 
 
-def batch_topk(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, k: int, block: int = 512, digits: int | None = None, whole: bool = False) -> DataFrame:
+CHUNK_BYTES = 32 << 20
+"""Vectors that one task compares at a time (as doubles)."""
+AT_ONCE = 512
+"""Queries that meet a chunk at a time."""
+
+
+def _matrix(vectors: pa.Array, width: int = 0) -> np.ndarray:
+    """Vectors as rows of doubles. Shorter ones end in zeros; null ones, and those with a component that isn't finite, are zero: they have no direction."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = pc.fill_null(vectors.flatten().cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(sizes), max(width, int(sizes.max(initial=0)))))
+    at = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    out[np.repeat(np.arange(len(sizes)), sizes), at] = flat
+    out[~np.isfinite(out).all(1)] = 0
+    return out
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+
+
+def _met(queries: DataFrame, items: DataFrame, answer, schema: str, block: int) -> DataFrame:
+    """What ``answer`` (query ids, query vectors, query numbers, item ids, item vectors; to a record batch of ``schema``) says of each chunk of ``items`` (id,
+    vector) and every block of ``queries`` (id, vector, number).
+
+    Items are dealt to chunks of at most about ``CHUNK_BYTES``; the queries go to every chunk. In a task a chunk's items come first and are held, its queries
+    stream past, ``block`` at a time. Nothing goes through the driver but the number of items and their greatest length, and the plan has one size.
+    """
+    spark = items.sparkSession
+    n, width = items.agg(F.count("*"), F.max(F.size("vector"))).first()
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(n or 0) * max(width or 0, 1) * 8 // CHUNK_BYTES))
+    dealt = items.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).cast("int").alias("chunk"), F.lit(0).alias("kind"), F.col("id").alias("item"), F.lit(None).cast(queries.schema["id"].dataType).alias("query"), F.col("vector").cast("array<double>").alias("vector"), F.lit(None).cast("double").alias("number"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), F.lit(1).alias("kind"), F.lit(None).cast(items.schema["id"].dataType).alias("item"), F.col("id").alias("query"), F.col("vector").cast("array<double>").alias("vector"), F.col("number").cast("double").alias("number"))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, held = None, [], [], None
+        for batch in batches:
+            at = 0
+            chunk, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            while at < batch.num_rows:
+                end = at + 1
+                limit = min(batch.num_rows, at + block)
+                while end < limit and chunk[end] == chunk[at] and kind[end] == kind[at]:
+                    end += 1
+                some = batch.slice(at, end - at)
+                if chunk[at] != now:
+                    now, ids, parts, held = chunk[at], [], [], None
+                if kind[at] == 0:
+                    ids.append(some.column(2))
+                    parts.append(_matrix(some.column(4)))
+                elif ids:
+                    if held is None:
+                        wide = max(p.shape[1] for p in parts)
+                        held = pa.concat_arrays(ids).to_numpy(zero_copy_only=False), np.vstack([np.pad(p, ((0, 0), (0, wide - p.shape[1]))) for p in parts])
+                        parts = []
+                    q = _matrix(some.column(4), held[1].shape[1])
+                    x = held[1] if held[1].shape[1] == q.shape[1] else np.pad(held[1], ((0, 0), (0, q.shape[1] - held[1].shape[1])))
+                    yield answer(some.column(3), q, some.column(5).to_numpy(zero_copy_only=False), held[0], x)
+                at = end
+
+    both = dealt.unionByName(asked).repartition(chunks, "chunk").sortWithinPartitions("chunk", "kind")
+    return both.mapInArrow(meet, schema)
+
+
+def batch_topk(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, k: int, block: int = AT_ONCE, digits: int | None = None, whole: bool = False) -> DataFrame:
     """(query, item, score, rank): the k greatest products of each query with all items, ties by item.
 
     ``whole`` vectors (int8) give integer products, others cosines (0 without a direction), rounded to ``digits`` before they are
-    ranked. Queries go to the executors ``block`` at a time (a bound on what is broadcast, whatever their number); each task keeps k items
-    of each query, and these meet in a window of at most k rows per task.
+    ranked. A task keeps k items of each query and chunk (``_met``); these meet in a window that is limited to k rows a task before it is shuffled.
+    Null vectors, and those with a component that isn't finite, have no direction; vectors of other lengths are compared over the shorter one.
     """
-    spark, out = items.sparkSession, None
-    ids, vectors = [], []
-
-    def against(names: list, rows: list) -> DataFrame:
-        shared = spark.sparkContext.broadcast((names, np.asarray(rows, np.float64)))
-
-        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            names, q = shared.value
-            if not whole:
-                q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-            held: tuple | None = None
-            for b in batches:
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                if not len(own):
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
-                if not whole:
-                    x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
-                s = q @ x.T if digits is None else np.round(q @ x.T, digits)
-                own = np.broadcast_to(own, s.shape)
-                if held is not None:
-                    s, own = np.hstack([held[0], s]), np.hstack([held[1], own])
-                at = np.lexsort((own, -s), axis=1)[:, :k]
-                held = np.take_along_axis(s, at, 1), np.take_along_axis(own, at, 1)
-            if held is not None:
-                n = held[0].shape[1]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names), n)), pa.array(held[1].ravel()), pa.array(held[0].ravel())], ["query", "item", "score"])
-
-        kinds = queries.schema[query_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-        return items.select(item_key, column).mapInArrow(best, f"query {kinds[0]}, item {kinds[1]}, score double")
-
-    for row in queries.select(query_key, column).toLocalIterator():
-        ids.append(row[0])
-        vectors.append(row[1])
-        if len(ids) == block:
-            one = against(ids, vectors)
-            out, ids, vectors = one if out is None else out.unionByName(one), [], []
-    if ids or out is None:
-        if not ids:
-            return items.select(F.lit(None).cast("long").alias("query"), F.col(item_key).alias("item"), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-        one = against(ids, vectors)
-        out = one if out is None else out.unionByName(one)
+
+    def best(names: pa.Array, q: np.ndarray, _, own: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        s = q @ x.T if whole else _unit(q) @ _unit(x).T
+        s = s if digits is None else np.round(s, digits)
+        if s.shape[1] > 4 * k:  # all that reach the k-th score, then those by item
+            least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+            keep = np.flatnonzero((s >= least[:, None]).any(0))
+            s, own = s[:, keep], own[keep]
+        own = np.broadcast_to(own, s.shape)
+        at = np.lexsort((own, -s), axis=1)[:, :k]
+        n = at.shape[1]
+        return pa.RecordBatch.from_arrays([names.take(pa.array(np.repeat(np.arange(len(names)), n))), pa.array(np.take_along_axis(own, at, 1).ravel()), pa.array(np.take_along_axis(s, at, 1).ravel())], ["query", "item", "score"])
+
+    kinds = queries.schema[query_key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
+    asked = queries.select(F.col(query_key).alias("id"), F.col(column).alias("vector"), F.lit(None).alias("number"))
+    out = _met(asked, items.select(F.col(item_key).alias("id"), F.col(column).alias("vector")), best, f"query {kinds[0]}, item {kinds[1]}, score double", block)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "item")
     return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -167,47 +206,21 @@ def release_slots(index: DataFrame, free: Sequence[int], gone: DataFrame, key: s
     return index.join(gone.select(key).distinct(), key, "left_anti"), [*free, *(r[0] for r in freed.collect())]
 
 
-def probe_blocks(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, block: int = 512) -> DataFrame:
-    """``probe_report`` of many queries against all items: sums and ranks of the query's own item come from blocks of
-    ``block`` queries; only numbers per query and task move, never the matrix."""
-    spark, parts = items.sparkSession, None
-    first, rows = [], queries.select(query_key, column).toLocalIterator()
-    own = queries.select(F.col(query_key).alias("query"), F.col(column).alias("_v")).join(items.select(F.col(item_key).alias("query"), F.col(column).alias("_w")), "query").select("query", expr.cosine(F.col("_v"), F.col("_w")).alias("own"))
-    owned = {r["query"]: r["own"] for r in own.toLocalIterator()}
-    todo: list[list] = []
-    for row in rows:
-        first.append((row[0], list(row[1])))
-        if len(first) == block:
-            todo.append(first)
-            first = []
-    if first:
-        todo.append(first)
-    for some in todo:
-        shared = spark.sparkContext.broadcast(([i for i, _ in some], np.asarray([v for _, v in some], np.float64), [owned.get(i) for i, _ in some]))
-
-        def measure(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            names, q, mine = shared.value
-            q = q / np.maximum(np.sqrt((q * q).sum(1, keepdims=True)), 1e-300)
-            target = np.array([np.nan if m is None else m for m in mine])
-            total, better, n = np.zeros(len(names)), np.zeros(len(names), np.int64), 0
-            for b in batches:
-                if b.num_rows:
-                    ids = b.column(0).to_numpy(zero_copy_only=False)
-                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                    c = q @ (x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)).T
-                    other = ids[None, :] != np.array(names)[:, None]
-                    total += (c * other).sum(1)
-                    ahead = (c > target[:, None] + 1e-12) | ((np.abs(c - target[:, None]) <= 1e-12) & (ids[None, :] < np.array(names)[:, None]))
-                    better += (ahead & other).sum(1)
-                    n += b.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(total), pa.array(better), pa.array(np.full(len(names), n))], ["query", "total", "better", "n"])
-
-        kind = queries.schema[query_key].dataType.simpleString()
-        one = items.select(item_key, column).mapInArrow(measure, f"query {kind}, total double, better long, n long")
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        return spark.sql("SELECT null::double AS matched, null::double AS mismatched, null::double AS separation, null::double AS top1, null::double AS chance")
-    per = parts.groupBy("query").agg(F.sum("total").alias("total"), F.sum("better").alias("better"), F.sum("n").alias("n")).join(own, "query", "left")
+def probe_blocks(queries: DataFrame, items: DataFrame, query_key: str, item_key: str, column: str, block: int = AT_ONCE) -> DataFrame:
+    """``probe_report`` of many queries against all items: sums and ranks of the query's own item come from chunks of items (``_met``);
+    only numbers per query and chunk move, never the matrix. ``query_key`` and ``item_key`` hold integers."""
+    own = queries.select(F.col(query_key).alias("id"), F.col(column).alias("vector")).join(items.select(F.col(item_key).alias("id"), F.col(column).alias("_w")), "id", "left").select("id", "vector", F.when(F.col("_w").isNotNull(), expr.cosine(F.col("vector"), F.col("_w"))).alias("number"))
+
+    def measure(names: pa.Array, q: np.ndarray, target: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        c, mine = _unit(q) @ _unit(x).T, names.to_numpy(zero_copy_only=False)[:, None]
+        target = target.astype(np.float64)[:, None]
+        other = ids[None, :] != mine
+        ahead = (c > target + 1e-12) | ((np.abs(c - target) <= 1e-12) & (ids[None, :] < mine))
+        return pa.RecordBatch.from_arrays([names, pa.array((c * other).sum(1)), pa.array((ahead & other).sum(1)), pa.array(np.full(len(names), len(ids))), pa.array(target[:, 0], from_pandas=True)], ["query", "total", "better", "n", "own"])
+
+    kind = queries.schema[query_key].dataType.simpleString()
+    parts = _met(own, items.select(F.col(item_key).alias("id"), F.col(column).alias("vector")), measure, f"query {kind}, total double, better long, n long, own double", block)
+    per = parts.groupBy("query").agg(F.sum("total").alias("total"), F.sum("better").alias("better"), F.sum("n").alias("n"), F.max("own").alias("own"))
     matched, mismatched = F.avg("own"), F.sum("total") / F.sum(F.col("n") - F.when(F.col("own").isNotNull(), 1).otherwise(0))
     return per.agg(matched.alias("matched"), mismatched.alias("mismatched"), (matched - mismatched).alias("separation"), (F.count_if((F.col("better") == 0) & F.col("own").isNotNull()) / F.count("*")).alias("top1"), (1 / F.count("*")).alias("chance"))
 

@@ -14,7 +14,7 @@ from ..functions import expr
 from ..functions.udf import projection_matrix, tokens
 from ..operators import catalog, fusion, ingest, jobs, lifecycle, relational, resolve, sync, text, vector
 from ..session import scratch_folder, table
-from . import details, registry  # noqa: F401
+from . import details, queues, registry  # noqa: F401
 from . import fixtures as fx
 from .registry import Query, query
 
@@ -185,14 +185,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(c, 9) DESC,
 SELECT query, count(*) FILTER (r <= 10 AND want = got) / count(*) FILTER (want = got) AS recall, count(*) FILTER (r = 1 AND want = got) AS top1, count(*) FILTER (r <= 10 AND got = (want + 1) % 10) AS forbidden FROM r GROUP BY query HAVING count(*) FILTER (want = got) > 0""")
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
-    labels = v.select(F.col("vec_id").alias("item"), F.col("label").alias("got"))
     asked = v.where("vec_id % 50 = 0")
     top = vector.batch_topk(asked, v, "vec_id", "vec_id", "embedding", 11, digits=9).where("query <> item")
     ranked = top.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("rank"))).where("rank <= 10")
-    want = asked.select(F.col("vec_id").alias("query"), F.col("label").alias("want"))
-    wanted = want.join(labels, F.col("want") == F.col("got")).select("query", "item", F.lit(1).alias("grade"))
-    forbidden = want.join(labels, (F.col("want") + 1) % 10 == F.col("got")).select("query", "item", F.lit(-1).alias("grade"))
-    return fusion.retrieval_quality(ranked, wanted.unionByName(forbidden).where("query <> item"), "query", "item").where("recall is not null")
+    want, labels = asked.select(F.col("vec_id").alias("query"), "label"), v.select(F.col("vec_id").alias("item"), "label")
+    return fusion.retrieval_by_label(ranked, want, labels, "query", "item", lambda label: (label + 1) % 10)
 
 
 # Text ------------------------------------------------------------------------------------------------
