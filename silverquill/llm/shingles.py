@@ -1,4 +1,4 @@
-"""Words, five-word shingles, Order MinHash signatures and banded alignment (pure numpy)."""
+"""Words, five-word shingles, Order MinHash signatures and banded alignment (numpy and whole numbers)."""
 
 from __future__ import annotations
 
@@ -115,3 +115,70 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float) -> tuple[float, fl
     near = np.abs(i - j) <= int(total * (1 - threshold) / (1 + threshold)) + 1
     matched = rising(j[near])
     return matched / (total - matched), bound
+
+
+def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
+    """Length of the longest common subsequence whose places differ by ``band`` at most (each step along ``b`` is a few operations on whole numbers, a
+    bit per place of ``a`` inside the band: where the length doesn't grow there)."""
+    places: dict[int, int] = {}
+    for j, w in enumerate(a.tolist()):
+        places[w] = places.get(w, 0) | 1 << j
+    low, high, found = 0, min(len(a), band + 1), 0
+    flat = (1 << high) - 1
+    for i, w in enumerate(b.tolist()):
+        start, end = min(len(a), max(low, i - band)), min(len(a), i + band + 1)
+        if start > low:
+            found += start - low - (flat & (1 << (start - low)) - 1).bit_count()
+            flat >>= start - low
+            low = start
+        if end > high:
+            flat |= ((1 << (end - high)) - 1) << (high - low)
+            high = end
+        met = flat & (places.get(w, 0) >> low)
+        if met:
+            flat = ((flat + met) | (flat - met)) & ((1 << (high - low)) - 1)
+    return found + high - low - flat.bit_count()
+
+
+def chained(i: np.ndarray, j: np.ndarray, width: int = WIDTH) -> int:
+    """Words that runs of ``width`` words, equal at places i and j, align one after another; runs that cross an earlier one are left out."""
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    keep = j == np.maximum.accumulate(j)
+    i, j = i[keep], j[keep]
+    return width + int(np.minimum(np.minimum(np.diff(i), np.diff(j)), width).sum()) if len(i) else 0
+
+
+class Marked:
+    """The words of a text as numbers, the same with repeats told apart, and its labelled shingles (made when asked for)."""
+
+    def __init__(self, words: np.ndarray) -> None:
+        self.words, self.labels, self._grams = words, labelled(words.astype(np.uint64)), None
+
+    @property
+    def grams(self) -> np.ndarray:
+        if self._grams is None:
+            self._grams = labelled(shingles(self.words))
+        return self._grams
+
+
+def word_alignment(a: Marked, b: Marked, threshold: float) -> tuple[float, float]:
+    """(similarity, bound) of two texts' words.
+
+    Similarity is L / (n + m - L), with L the words matched by the best alignment inside the band that ``threshold`` leaves; where chained shingles
+    alone reach the threshold, theirs, which is no more. ``bound`` is the same with all common words, whatever their order: never less, and one minus it is a metric.
+    """
+    n, m = len(a.words), len(b.words)
+    if not n or not m:
+        return (1.0, 1.0) if n == m else (0.0, 0.0)
+    common = len(np.intersect1d(a.labels, b.labels, assume_unique=True))
+    bound = common / (n + m - common)
+    if bound < threshold:
+        return 0.0, bound
+    if min(n, m) >= WIDTH:
+        _, i, j = np.intersect1d(a.grams, b.grams, assume_unique=True, return_indices=True)
+        matched = chained(i, j)
+        if matched >= threshold * (n + m - matched):
+            return matched / (n + m - matched), bound
+    matched = banded_lcs(a.words, b.words, int(max(n, m) - threshold * (n + m) / (1 + threshold)) + 1)
+    return matched / (n + m - matched), bound
