@@ -71,6 +71,20 @@ def term_counts(text: Column, atoms: list[tuple[str, bool]], cjk_split: bool = F
     return count(text)
 
 
+@F.arrow_udf(T.StructType().add("tokens", T.LongType()).add("distinct_tokens", T.LongType()))
+def token_totals(texts: pa.Array) -> pa.Array:
+    """How many tokens a text has, and how many different ones; cut and counted in Arrow, only numbers come back."""
+    words = pc.split_pattern_regex(_folded(texts), r"[^\p{L}\p{N}]+")
+    coded = pc.dictionary_encode(words.flatten())
+    codes, kinds = coded.indices.to_numpy(), max(1, len(coded.dictionary))
+    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
+    full = coded.dictionary.index("").as_py()
+    keep = codes != full
+    total = np.bincount(text[keep], minlength=len(texts))
+    distinct = np.bincount(np.unique(text[keep] * kinds + codes[keep]) // kinds, minlength=len(texts))
+    return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(distinct, pa.int64())], ["tokens", "distinct_tokens"])
+
+
 @F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode_vector(blobs: pd.Series) -> pd.Series:
     """A packed vector: 1024 bytes are 512 half-precision numbers, any other size single-precision ones."""
@@ -83,6 +97,18 @@ def encode_float16(vectors: pd.Series) -> pd.Series:
     return vectors.map(lambda v: None if v is None else np.asarray(v, np.float32).astype("<f2").tobytes())
 
 
+@F.pandas_udf(T.BinaryType())
+def encode_float16_floor(vectors: pd.Series) -> pd.Series:
+    """Half precision, with the bits of the mantissa that don't fit cut off."""
+
+    def encode(v) -> bytes:
+        x = np.asarray(v, np.float64)
+        exponent = np.floor(np.log2(np.maximum(np.abs(x), 2.0**-14)))
+        return (np.sign(x) * np.floor(np.abs(x) * 2.0 ** (10 - exponent)) * 2.0 ** (exponent - 10)).astype("<f2").tobytes()
+
+    return vectors.map(lambda v: None if v is None else encode(v))
+
+
 def projection_matrix(rows: int, columns: int) -> np.ndarray:
     """cos(31 r + 17 c degrees) / sqrt(rows), in single precision: the reference projection, of rank 2."""
     r, c = np.arange(rows)[:, None], np.arange(columns)[None, :]
@@ -108,46 +134,72 @@ def project(vector: Column, matrix: np.ndarray) -> Column:
     return multiply(vector)
 
 
-def read_exif(data: bytes) -> tuple[str | None, str | None]:
-    """DateTimeOriginal and OffsetTimeOriginal of a JPEG or TIFF; nulls where the bytes hold none."""
-    tiff = data
-    if data[:2] == b"\xff\xd8":
-        at, tiff = 2, b""
-        while at + 4 <= len(data) and data[at] == 0xFF:
-            marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-            if marker == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
-                tiff = data[at + 10 : at + 2 + size]
-                break
-            if marker == 0xDA:
+ALONE = {0x01, *range(0xD0, 0xD9)}
+"""JPEG markers without a segment."""
+
+
+def _tiff_part(data: bytes) -> tuple[bytes, bool]:
+    """(the TIFF structure of a file's bytes, whether the bytes end before that is known)."""
+    if data[:2] != b"\xff\xd8":
+        return data, False
+    at = 2
+    while at + 1 < len(data):
+        if data[at] != 0xFF:
+            return b"", False
+        if data[at + 1] == 0xFF:  # a fill byte
+            at += 1
+        elif data[at + 1] in ALONE:
+            at += 2
+        elif data[at + 1] in (0xD9, 0xDA):
+            return b"", False
+        elif at + 4 > len(data):
+            break
+        else:
+            size = struct.unpack_from(">H", data, at + 2)[0]
+            if size < 2:
+                return b"", False
+            if at + 2 + size > len(data):
                 break
+            if data[at + 1] == 0xE1 and data[at + 4 : at + 10] == b"Exif\0\0":
+                return data[at + 10 : at + 2 + size], False
             at += 2 + size
-    order = {b"II*\0": "<", b"MM\0*": ">"}.get(tiff[:4])
-    if order is None:
-        return None, None
+    return b"", True
 
-    def entries(at: int):
-        if at + 2 > len(tiff):
-            return
-        for k in range(struct.unpack_from(order + "H", tiff, at)[0]):
-            if at + 14 + 12 * k <= len(tiff):
-                yield struct.unpack_from(order + "HHI", tiff, at + 2 + 12 * k), at + 10 + 12 * k
 
+def scan_exif(data: bytes) -> tuple[str | None, str | None, bool]:
+    """DateTimeOriginal and OffsetTimeOriginal of a JPEG or TIFF (nulls where the bytes hold none), and whether the bytes end before
+    all of it is seen: a value that is cut isn't given."""
+    tiff, cut = _tiff_part(data)
+    order = {b"II*\0": "<", b"MM\0*": ">"}.get(tiff[:4])
+    if order is None or len(tiff) < 8:
+        return None, None, cut
     found: dict[int, str] = {}
-    todo, seen = [struct.unpack_from(order + "I", tiff, 4)[0]] if len(tiff) >= 8 else [], set()
+    todo, seen = [struct.unpack_from(order + "I", tiff, 4)[0]], set()
     while todo:
         ifd = todo.pop()
         if ifd in seen:
             continue
         seen.add(ifd)
-        for (tag, kind, count), place in entries(ifd):
+        count = struct.unpack_from(order + "H", tiff, ifd)[0] if ifd + 2 <= len(tiff) else 0
+        cut = cut or ifd + 2 + 12 * count > len(tiff) or ifd + 2 > len(tiff)
+        for place in range(ifd + 2, min(ifd + 2 + 12 * count, len(tiff) - 11), 12):
+            tag, kind, size = struct.unpack_from(order + "HHI", tiff, place)
             if tag == 0x8769:
-                todo.append(struct.unpack_from(order + "I", tiff, place)[0])
+                todo.append(struct.unpack_from(order + "I", tiff, place + 8)[0])
             elif tag in (0x9003, 0x9011) and kind == 2:
-                start = place if count <= 4 else struct.unpack_from(order + "I", tiff, place)[0]
-                found[tag] = tiff[start : start + count].split(b"\0")[0].decode("ascii", "replace").strip()
-    return found.get(0x9003) or None, found.get(0x9011) or None
+                start = place + 8 if size <= 4 else struct.unpack_from(order + "I", tiff, place + 8)[0]
+                if start + size <= len(tiff):
+                    found[tag] = tiff[start : start + size].split(b"\0")[0].decode("ascii", "replace").strip()
+                else:
+                    cut = True
+    return found.get(0x9003) or None, found.get(0x9011) or None, cut
+
+
+def read_exif(data: bytes) -> tuple[str | None, str | None]:
+    """The two fields of ``scan_exif``."""
+    return scan_exif(data)[:2]
 
 
-@F.pandas_udf(T.StructType().add("date_time_original", T.StringType()).add("offset_time_original", T.StringType()))
+@F.pandas_udf(T.StructType().add("date_time_original", T.StringType()).add("offset_time_original", T.StringType()).add("cut", T.BooleanType()))
 def exif_fields(contents: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_exif(b or b"") for b in contents], columns=["date_time_original", "offset_time_original"])
+    return pd.DataFrame([scan_exif(b or b"") for b in contents], columns=["date_time_original", "offset_time_original", "cut"])

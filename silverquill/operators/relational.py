@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schemas import Kind
+from .ordered import running_sum
 
 
 def timeline(assets: DataFrame, at: str, key: str, deleted: Column, limit: int = 150, offset: int = 0, motion: Column | None = None) -> DataFrame:
@@ -91,24 +92,16 @@ def by_day(df: DataFrame, at: Column, key: str) -> DataFrame:
     return df.groupBy(F.to_date(at).cast("string").alias("day")).agg(F.count("*").alias("items"), F.min(key).alias("first_key"), F.max(key).alias("last_key"))
 
 
-def lru_evictions(cache: DataFrame, key: str, size: str, used: str, cap: int, rows_per_bucket: int = 50_000) -> DataFrame:
+def lru_evictions(cache: DataFrame, key: str, size: str, used: str, cap: int, rows_per_bucket: int = 500_000) -> DataFrame:
     """Entries that go so that the rest fits ``cap``, least recently used first.
 
-    The running total is taken over ranges of ``used`` that approximate quantiles cut, so that they hold about as many rows
-    each however uses cluster: sums of ranges, then of the rows inside each, so that no task sorts the whole cache.
+    The running total goes over sampled ranges of (``used``, ``key``), so that no task sorts the whole cache.
     """
     total, n = cache.agg(F.sum(size), F.count("*")).first()
     if not n or total <= cap:
         return cache.limit(0)
-    buckets = min(10_000, max(1, n // rows_per_bucket))
-    bounds = [] if buckets == 1 else cache.agg(F.percentile_approx(used, [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0]
-    limits = F.expr("array(" + ", ".join(f"{b}L" for b in sorted(set(bounds))) + ")") if bounds else F.array().cast("array<long>")
-    cut = cache.withColumn("_b", F.size(F.filter(limits, lambda b: b < F.col(used))) if bounds else F.lit(0))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = cut.groupBy("_b").agg(F.sum(size).alias("_s")).select("_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"))
-    inside = Window.partitionBy("_b").orderBy(used, key).rowsBetween(Window.unboundedPreceding, -1)
-    summed = cut.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0))).join(starts, "_b")
-    return summed.where(F.lit(total) - (F.col("_o") + F.col("_in")) > cap).select(*cache.columns)
+    summed = running_sum(cache, [], [used, key], size, "_earlier", max(1, n // rows_per_bucket))
+    return summed.where(F.lit(total) - F.col("_earlier") > cap).select(*cache.columns)
 
 
 def cache_total(cache: DataFrame, size: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
+from .ordered import running_sum
 
 STEPS = ("exact", "exact", "truncated", "disambiguator-swap", "unique-basename")
 
@@ -110,21 +111,15 @@ def resolve_links(links: DataFrame, hashes: DataFrame) -> DataFrame:
     return joined.select("path", "hash", F.when(good, F.col("_t")).alias("target_hash"), F.when(good, "resolved").otherwise("unresolved").alias("status"))
 
 
-def album_members(members: DataFrame, hashes: DataFrame, prefix: int = 6) -> DataFrame:
+def album_members(members: DataFrame, hashes: DataFrame) -> DataFrame:
     """(album_id, path, hash, status, position): members (album_id, path) in path order; the first file of a
-    content is kept and numbered from 0, later ones are duplicates, files without a hash unresolved. Paths with the same first
-    ``prefix`` characters are one range of an album."""
+    content is kept and numbered from 0, later ones are duplicates, files without a hash unresolved. Of members with one path and content, one is
+    kept. Positions are a running count over sampled ranges of paths, so a very large album is many tasks."""
     joined = members.join(hashes.select("path", "hash"), "path", "left")
     nth = F.row_number().over(Window.partitionBy("album_id", F.coalesce("hash", "path")).orderBy("path"))
-    judged = joined.withColumn("status", F.when(F.col("hash").isNull(), "unresolved").when(nth == 1, "kept").otherwise("duplicate"))
-    # Positions run over ranges of paths: the sums of an album's ranges first, then the rows inside each, so that a very large
-    # album is many tasks.
-    ranged = judged.withColumn("_b", F.substring("path", 1, prefix))
-    own = Window.partitionBy("album_id", "_b").orderBy("path")
-    kept = F.when(F.col("status") == "kept", 1).otherwise(0)
-    sums = ranged.groupBy("album_id", "_b").agg(F.sum(kept).alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.partitionBy("album_id").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    place = F.sum(kept).over(own) - 1 + F.col("_o")
-    return ranged.join(sums, ["album_id", "_b"]).withColumn("position", F.when(F.col("status") == "kept", place).cast("int")).select("album_id", "path", "hash", "status", "position")
+    judged = joined.withColumn("status", F.when(F.col("hash").isNull(), "unresolved").when(nth == 1, "kept").otherwise("duplicate")).withColumn("_kept", F.when(F.col("status") == "kept", 1).otherwise(0))
+    placed = running_sum(judged, ["album_id"], ["path", "status"], "_kept", "_place")
+    return placed.select("album_id", "path", "hash", "status", F.when(F.col("status") == "kept", F.col("_place")).cast("int").alias("position"))
 
 
 def dispositions(media: DataFrame, folder_rows: DataFrame, include_trash: bool = False) -> DataFrame:

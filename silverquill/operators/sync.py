@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampType
 
 from ..schemas import schema
+from .ordered import running_sum
 
 
 def lww_merge(local: DataFrame, remote: DataFrame, key: str, mode: str = "documented") -> DataFrame:
@@ -97,12 +98,12 @@ class PushError(ValueError):
 
 def push_batches(records: DataFrame, subject: str, first_version: int, most: int = 25) -> DataFrame:
     """Records (pk, sk, ...) in batches of at most ``most`` by sk, each under one version from ``first_version`` on; raises PushError if
-    a record lies outside the subject's partition. A push of one user is bounded by that user's changes."""
+    a record lies outside the subject's partition. Records are numbered over sampled ranges of sk, so a large push is many tasks."""
     foreign = records.where(~F.coalesce(F.col("pk") == f"U#{subject}", F.lit(False))).select("pk").first()
     if foreign is not None:
         raise PushError(f"{foreign[0]} is outside the partition U#{subject}")
-    nth = F.row_number().over(Window.partitionBy("pk").orderBy("sk")) - 1
-    return records.withColumn("version", (F.lit(first_version) + F.floor(nth / most)).cast("long"))
+    numbered = running_sum(records.withColumn("_one", F.lit(1)), [], ["sk"], "_one", "_nth")
+    return numbered.withColumn("version", (F.lit(first_version) + F.call_function("div", F.col("_nth"), F.lit(most))).cast("long")).select(*records.columns, "version")
 
 
 def stamp_versions(records: DataFrame, batch_version: int) -> DataFrame:

@@ -62,8 +62,8 @@ def _matches(atom: Atom, token: Column) -> Column:
     return token.startswith(atom.text) if atom.prefix else token == atom.text
 
 
-def bm25(index: DataFrame, lengths: DataFrame, key: str, atoms: list[Atom], limit: int | None = 100) -> DataFrame:
-    """(key, score): documents that hold every atom, best (most negative) first.
+def bm25(index: DataFrame, lengths: DataFrame, key: str, atoms: list[Atom], limit: int | None = 100, allowed: DataFrame | None = None) -> DataFrame:
+    """(key, score): documents that hold every atom, best (most negative) first; ``allowed`` (key) restricts them before they are scored, not the corpus's sums.
 
     Only the atoms' postings are read on, which a token-sorted index prunes to few row groups. Document frequencies and corpus sums are one row
     per atom, broadcast; the postings of a document meet in one group of at most a few rows per atom.
@@ -78,7 +78,8 @@ def bm25(index: DataFrame, lengths: DataFrame, key: str, atoms: list[Atom], limi
     corpus = lengths.agg(F.count("*").alias("n"), F.coalesce(F.nullif(F.avg("token_count"), F.lit(0.0)), F.lit(1.0)).alias("average"))
     held = hits.groupBy("atom").agg(F.count("*").alias("df"))  # a row per atom
     weights = held.join(F.broadcast(corpus)).select("atom", "average", _idf(F.col("n"), F.col("df")).alias("idf"))
-    scored = hits.join(F.broadcast(weights), "atom").join(lengths, key)
+    wanted_hits = hits if allowed is None else hits.join(allowed.select(key), key, "left_semi")
+    scored = wanted_hits.join(F.broadcast(weights), "atom").join(lengths, key)
     part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.col("token_count") / F.col("average")))
     out = scored.withColumn("_p", part).groupBy(key).agg(F.count("*").alias("_n"), (-F.sum("_p")).alias("score")).where(F.col("_n") == len(atoms)).select(key, "score")
     return out.orderBy("score", key).limit(limit) if limit else out
@@ -121,12 +122,8 @@ def write_index(docs: DataFrame, key: str, text: str, folder: str, cjk_split: bo
 
 
 def search_index(spark: SparkSession, folder: str, key: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False, allowed: DataFrame | None = None) -> DataFrame:
-    """BM25 from a stored index; ``allowed`` (key) restricts the result before the cut, not the corpus's sums."""
-    found = bm25(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), key, parse_query(query, prefixes, cjk_split), limit if allowed is None else None)
-    if allowed is None:
-        return found
-    kept = found.join(allowed.select(key), key, "left_semi")
-    return kept.orderBy("score", key).limit(limit) if limit else kept
+    """BM25 from a stored index; ``allowed`` (key) restricts what is scored, not the corpus's sums."""
+    return bm25(spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/lengths"), key, parse_query(query, prefixes, cjk_split), limit, allowed)
 
 
 def index_upsert(index: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:

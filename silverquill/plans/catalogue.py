@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.udf import projection_matrix, tokens
+from ..functions.udf import projection_matrix, token_totals
 from ..operators import catalog, fusion, ingest, jobs, lifecycle, relational, resolve, sync, text, vector
 from ..session import scratch_folder, table
-from . import details, queues, registry  # noqa: F401
+from . import archives, details, registry  # noqa: F401
+from . import queues
 from . import fixtures as fx
 from .registry import Query, query
 
@@ -206,8 +207,7 @@ bm AS (SELECT doc_id, -sum(idf * (tf * 2.2::double) / (tf + 1.2::double * (0.25:
 
 @query(f"WITH {_TOK} SELECT doc_id, count(*) AS tokens, count(DISTINCT token) AS distinct_tokens FROM tok GROUP BY 1")
 def fts_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).where(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
+    return table(spark, sf_dir, "documents").select("doc_id", token_totals("text").alias("t")).select("doc_id", "t.*").where("tokens > 0")
 
 
 @query(f"WITH {_TOK} SELECT token, count(*) AS df FROM post GROUP BY 1")
@@ -306,6 +306,9 @@ def fts_index_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.search_index(spark, _text_index(spark, sf_dir), "doc_id", "licen* the", prefixes=True).withColumn("score", F.round("score", 9))
 
 
+query(queues._changed_sql())(queues.index_maintenance)
+
+
 @query(f"WITH {_Q7}, n AS (SELECT count(*) AS n FROM v) SELECT least(n, 500) AS candidates_evaluated, least(n, 50) AS final_ranked FROM n")
 def search_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors, q = _query_vector(spark, sf_dir)
@@ -393,19 +396,17 @@ coalesce(NOT contested AND step = 4 AND own > 0, FALSE) AS shared, CASE WHEN NOT
 WHEN (SELECT count(*) FROM sc WHERE sc.dir = m.dir AND split_part(sc.sidecar, '.', 1) = split_part(m.name, '.', 1)) > 1 THEN 'ambiguous-basename' ELSE 'no-candidate' END AS reason FROM m LEFT JOIN j USING (dir, name))"""
 
 
-def _media(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {fx.MEDIA_SQL}")
-
-
-def _pairing(spark: SparkSession) -> DataFrame:
-    return resolve.pair_sidecars(_media(spark), spark.sql(f"SELECT * FROM {fx.SIDECAR_SQL}"))
+def _pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolve.pair_sidecars(fx.media(spark, sf_dir), fx.sidecars(spark, sf_dir))
 
 
 @query(f"WITH {_PAIR} SELECT * FROM pairing")
 def sidecar_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairing(spark)
+    return _pairing(spark, sf_dir)
 
 
+query(details._media_sidecars_sql())(details.media_sidecars)
+
 _STEMS = r"st AS (SELECT dir, name, regexp_replace(name, '(.)\.[^.]*$', '\1') AS stem, lower(regexp_extract(name, '\.([^.]*)$', 1)) AS ext, regexp_extract(name, '\.([^.]*)$', 1) AS raw FROM m), k AS (SELECT *, CASE WHEN ext IN ('mp4', 'mov', 'm4v', 'avi', 'mkv', '3gp', 'mpg', 'mpeg', 'wmv', 'webm') THEN 1 ELSE 0 END AS kind, nullif(regexp_extract(stem, '(?i)^(.+)(?:-edited|-bearbeitet|-modifié|-editado)$', 1), '') AS bs FROM st)"
 
 
@@ -414,7 +415,7 @@ stems AS (SELECT e.dir, e.name, count(*) AS n, min(p.name) AS sole FROM k e JOIN
 SELECT k.dir, k.name, coalesce(same.base, CASE WHEN n = 1 THEN sole END) AS base, CASE WHEN same.base IS NOT NULL THEN 'same-name' WHEN n = 1 THEN 'same-stem' WHEN n > 1 THEN 'ambiguous-base' ELSE 'no-base' END AS matched_by
 FROM k LEFT JOIN same ON k.dir = same.dir AND k.name = same.name LEFT JOIN stems ON k.dir = stems.dir AND k.name = stems.name WHERE k.bs IS NOT NULL""")
 def variant_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.link_variants(_media(spark))
+    return resolve.link_variants(fx.media(spark, sf_dir))
 
 
 @query(f"""WITH {_PAIR}, {_STEMS}, x AS (SELECT k.dir, k.stem, k.name, p.sidecar, p.shared, CASE WHEN ext IN ('heic', 'heif', 'jpg', 'jpeg') THEN 's' WHEN ext = 'mov' THEN 'm' END AS role FROM k JOIN pairing p ON k.dir = p.dir AND k.name = p.name),
@@ -423,26 +424,23 @@ y AS (SELECT x.dir, x.stem, any_value(n) AS n, any_value(mm) AS mm, count(*) AS
 z AS (SELECT *, CASE WHEN n = 1 THEN CASE WHEN s = 1 THEN sole WHEN o = 1 THEN owner END END AS still FROM y)
 SELECT dir, stem, still, CASE WHEN still IS NOT NULL THEN mm[1] END AS motion, coalesce(still IS NOT NULL AND o = 1 AND owner = still, FALSE) AS sidecar_shared, CASE WHEN still IS NOT NULL THEN 'paired' ELSE 'ambiguous' END AS status FROM z""")
 def live_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.live_pairs(_media(spark), _pairing(spark))
-
-
-_FOLDERS = "fo AS (SELECT dir, any_value(dir) AS folder, dir IN ('Iceland 2019', 'Familienurlaub 2020') AS has_metadata FROM m GROUP BY dir)"
+    return resolve.live_pairs(fx.media(spark, sf_dir), _pairing(spark, sf_dir))
 
 
-def _folders(spark: SparkSession) -> DataFrame:
-    return _media(spark).select("dir").distinct().select("dir", F.col("dir").alias("folder"), F.col("dir").isin("Iceland 2019", "Familienurlaub 2020").alias("has_metadata"), F.when(F.col("dir") == "Iceland 2019", " Iceland ").alias("title"))
+def _folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.media(spark, sf_dir).select("dir", "folder").distinct().select("dir", "folder", F.col("folder").isin("Iceland 2019", "Familienurlaub 2020").alias("has_metadata"), F.when(F.col("folder") == "Iceland 2019", " Iceland ").alias("title"))
 
 
-@query(f"""WITH m AS (SELECT * FROM {fx.MEDIA_SQL}), r AS (SELECT *, CASE WHEN regexp_matches(lower(dir), '^photos from [0-9]{{4}}$') THEN 'year-bucket' WHEN dir IN ('Iceland 2019', 'Familienurlaub 2020') THEN 'album' WHEN lower(dir) = 'archive' THEN 'archive' WHEN lower(dir) IN ('trash', 'bin') THEN 'trash' ELSE 'other' END AS role FROM m)
+@query(f"""WITH r AS (SELECT *, CASE WHEN regexp_matches(lower(folder), '^photos from [0-9]{{4}}$') THEN 'year-bucket' WHEN folder IN ('Iceland 2019', 'Familienurlaub 2020') THEN 'album' WHEN lower(folder) = 'archive' THEN 'archive' WHEN lower(folder) IN ('trash', 'bin') THEN 'trash' ELSE 'other' END AS role FROM {fx.MEDIA_SQL})
 SELECT dir, name, role, (role = 'archive' OR archived) AS archived, concat_ws(',', CASE WHEN role = 'archive' THEN 'folder' END, CASE WHEN archived THEN 'sidecar' END) AS archived_by, (role = 'trash' OR trashed) AS in_trash, concat_ws(',', CASE WHEN role = 'trash' THEN 'folder' END, CASE WHEN trashed THEN 'sidecar' END) AS in_trash_by, NOT (role = 'trash' OR trashed) AS imported FROM r""")
 def dispositions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = resolve.dispositions(_media(spark), _folders(spark).drop("title"))
+    out = resolve.dispositions(fx.media(spark, sf_dir).drop("folder"), _folders(spark, sf_dir).drop("title"))
     return out.withColumn("archived_by", F.array_join("archived_by", ",")).withColumn("in_trash_by", F.array_join("in_trash_by", ","))
 
 
-@query(f"WITH {_FX} SELECT concat('takeout-album:', sha256(dir)) AS id, dir, CASE WHEN dir = 'Iceland 2019' THEN 'Iceland' ELSE dir END AS title, string_agg(name, '|' ORDER BY name) AS members FROM m WHERE dir IN ('Iceland 2019', 'Familienurlaub 2020') GROUP BY dir")
+@query(f"WITH m AS (SELECT DISTINCT dir, folder, name FROM {fx.MEDIA_SQL}) SELECT concat('takeout-album:', sha256(dir)) AS id, dir, CASE WHEN folder = 'Iceland 2019' THEN 'Iceland' ELSE folder END AS title, string_agg(name, '|' ORDER BY name) AS members FROM m WHERE folder IN ('Iceland 2019', 'Familienurlaub 2020') GROUP BY dir, folder")
 def albums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolve.albums(_folders(spark), _media(spark)).withColumn("members", F.array_join("members", "|"))
+    return resolve.albums(_folders(spark, sf_dir), fx.media(spark, sf_dir).select("dir", "name").distinct()).withColumn("members", F.array_join("members", "|"))
 
 
 @query("""WITH me AS (SELECT source AS album_id, lpad(doc_id::varchar, 8, '0') AS path, CASE WHEN doc_id % 11 <> 0 THEN sha256(text) END AS hash FROM documents),
@@ -465,7 +463,7 @@ def link_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
 a AS (SELECT *, coalesce(s, e, mtime_ms) AS t0, CASE WHEN s IS NOT NULL THEN 'sidecar' WHEN e IS NOT NULL THEN 'exif' ELSE 'mtime' END AS source FROM c)
 SELECT name, t0::bigint AS captured_at, source, CASE WHEN e = t0 THEN o END AS tz_offset_min, concat_ws(',', CASE WHEN source <> 'sidecar' AND s <> t0 THEN 'sidecar' END, CASE WHEN source <> 'exif' AND e <> t0 THEN 'exif' END, CASE WHEN source <> 'mtime' AND mtime_ms <> t0 THEN 'mtime' END) AS overruled FROM a""")
 def captured_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = spark.sql(f"SELECT * FROM {fx.TIMES_SQL}").withColumn("o", expr.exif_offset_minutes(F.col("exif_offset")))
+    t = fx.times(spark, sf_dir).withColumn("o", expr.exif_offset_minutes(F.col("exif_offset")))
     c = expr.captured_at(expr.sidecar_millis(F.col("sidecar_s")), expr.exif_millis(F.col("exif"), F.col("o")), F.col("o"), F.col("mtime_ms"))
     return t.select("name", c.alias("c")).select("name", "c.captured_at", "c.source", "c.tz_offset_min", F.array_join("c.overruled", ",").alias("overruled"))
 
@@ -656,10 +654,10 @@ def vector_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector.shard_rows(live, per_shard=128).groupBy("shard").agg(F.count("*").alias("slots"), F.min("slot").alias("first_slot"))
 
 
-@query("""SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(source), 'src1') AND list_contains([source, lang], 'src1') AND doc_id * 1000 >= 50000 AND doc_id * 1000 <= 500000 + 86400000 AND length(trim(text)) > 0""")
+@query("""SELECT doc_id FROM documents WHERE lang = 'en' AND contains(lower(source), 'src1') AND list_contains([source, lang], 'src1') AND n_chars * 1000 >= 200000 AND n_chars * 1000 <= 900000 + 86400000 AND length(trim(text)) > 0""")
 def web_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at = F.col("doc_id") * 1000
-    holds = expr.hard_filter(F.col("lang") == "en", (F.col("source"), "SRC1"), (F.array("source", "lang"), "src1"), at, 50_000, 500_000, F.col("text"))
+    at = F.col("n_chars") * 1000
+    holds = expr.hard_filter(F.col("lang") == "en", (F.col("source"), "SRC1"), (F.array("source", "lang"), "src1"), at, 200_000, 900_000, F.col("text"))
     return table(spark, sf_dir, "documents").where(holds).select("doc_id")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.udf import decode_vector, encode_float16, tokens
+from ..functions.udf import decode_vector, encode_float16_floor, tokens
 from ..operators import catalog, fusion, ingest, lifecycle, relational, resolve, sync, vector
 from ..sources import files, manifest
 from ..session import table
@@ -71,13 +71,16 @@ def vector_web_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(F.transform(expr.quantize_round(F.col("embedding")), lambda x: x.cast("string")), ",").alias("coarse"))
 
 
-@query("SELECT vec_id, TRUE AS close FROM embeddings")
+@query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+f AS (SELECT vec_id, list_transform(v, lambda x: sign(x) * floor(abs(x) * 2.0::DOUBLE ** (10 - floor(log2(greatest(abs(x), 2.0::DOUBLE ** -14))))) * 2.0::DOUBLE ** (floor(log2(greatest(abs(x), 2.0::DOUBLE ** -14))) - 10)) AS h FROM v)
+SELECT vec_id, len(h) * 8 AS numbers, round(8 * list_sum(h), 6) AS total, round(h[1], 9) AS first, round(h[len(h)], 9) AS last FROM f""")
 def vector_half_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Half precision and back: 512 numbers are 1024 bytes; no component moves by more than its 11 bits."""
-    long = F.slice(F.flatten(F.array_repeat("embedding", 8)), 1, 512)
-    back = table(spark, sf_dir, "embeddings").select("vec_id", long.alias("v")).withColumn("b", decode_vector(encode_float16(F.col("v"))))
-    near = F.forall(F.arrays_zip("v", "b"), lambda p: F.abs(p["v"] - p["b"]) <= F.abs(p["v"]) / 2048 + 1e-7)
-    return back.select("vec_id", ((F.size("b") == 512) & near).alias("close"))
+    """Half precision, cut off towards zero, and back: 512 numbers are 1024 bytes."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.flatten(F.array_repeat("embedding", 8)).alias("v"), F.size("embedding").alias("n"))
+    back = v.select("vec_id", "n", decode_vector(encode_float16_floor(F.col("v"))).alias("b"))
+    total = F.aggregate("b", F.lit(0.0), lambda a, x: a + x.cast("double"))
+    at = lambda k: F.round(F.element_at("b", k).cast("double"), 9)
+    return back.select("vec_id", F.size("b").cast("long").alias("numbers"), F.round(total, 6).alias("total"), at(1).alias("first"), at(-1).alias("last"))
 
 
 @query("""WITH c AS (SELECT p_partkey, list_transform([1, 2, 3, 4, 5, 6], lambda d: list_sum(list_transform(string_split(lower(p_name), ''), lambda c: sin(ascii(c) * d * 31 / 1000.0::double)))) AS v FROM part)
@@ -154,27 +157,53 @@ def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Export folders --------------------------------------------------------------------------------------
 
-_FILES = f"fl AS (SELECT dir, name, concat('part-', part) AS part, 'media' AS kind FROM {fx.MEDIA_SQL} UNION ALL SELECT dir, name, 'part-1', 'sidecar' FROM {fx.SIDECAR_SQL} UNION ALL SELECT 'Iceland 2019', 'metadata.json', 'part-3', 'album-metadata')"
+_FILES = f"fl AS (SELECT dir, name, concat('part-', part) AS part, 'media' AS kind FROM {fx.MEDIA_SQL} UNION ALL SELECT dir, name, 'part-1', 'sidecar' FROM {fx.SIDECAR_SQL} UNION ALL SELECT dir, 'metadata.json', 'part-3', 'album-metadata' FROM {fx.METADATA_SQL})"
 
 
 @query(f"""WITH {_FILES} SELECT dir, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (kind = 'media'), '') AS media, coalesce(string_agg(DISTINCT name, '|' ORDER BY name) FILTER (kind = 'sidecar'), '') AS sidecars, string_agg(DISTINCT part, '|' ORDER BY part) AS parts, bool_or(kind = 'album-metadata') AS has_metadata FROM fl GROUP BY dir""")
 def folder_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.sql(f"WITH {_FILES} SELECT dir, name, part FROM fl").withColumn("kind", expr.classify_file(F.col("name")))
-    return resolve.folders(rows).select("dir", *(F.array_join(c, "|").alias(c) for c in ("media", "sidecars", "parts")), "has_metadata")
+    rows = fx.media(spark, sf_dir).select("dir", "name", F.concat(F.lit("part-"), F.col("part").cast("string")).alias("part"))
+    rows = rows.unionByName(fx.sidecars(spark, sf_dir).select("dir", "name", F.lit("part-1").alias("part"))).unionByName(fx.metadata_folders(spark, sf_dir).select("dir", F.lit("metadata.json").alias("name"), F.lit("part-3").alias("part")))
+    return resolve.folders(rows.withColumn("kind", expr.classify_file(F.col("name")))).select("dir", *(F.array_join(c, "|").alias(c) for c in ("media", "sidecars", "parts")), "has_metadata")
+
+
+def _media_sidecars_sql() -> str:
+    from .catalogue import _PAIR
+
+    return f"WITH {_PAIR} SELECT dir, name, sidecar, length(sidecar) * 1000 AS photo_taken_ms, coalesce(length(sidecar) % 2 = 0, FALSE) AS archived, FALSE AS trashed FROM pairing"
 
 
-@query(f"""WITH m AS (SELECT DISTINCT dir, name FROM {fx.MEDIA_SQL}), s AS (SELECT dir, name AS sidecar FROM {fx.SIDECAR_SQL}), j AS (SELECT m.dir, m.name, sidecar FROM m LEFT JOIN s ON m.dir = s.dir AND split_part(sidecar, '.', 1) = split_part(name, '.', 1))
-SELECT dir, name, sidecar, length(sidecar) * 1000 AS photo_taken_ms, coalesce(length(sidecar) % 2 = 0, FALSE) AS archived, FALSE AS trashed FROM j WHERE dir IN ('Photos from 2021', 'Familienurlaub 2020', 'Archive', 'Trash')""")
 def media_sidecars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Media with the times and flags of the sidecar they are paired with."""
-    media = spark.sql(f"SELECT DISTINCT dir, name FROM {fx.MEDIA_SQL} WHERE dir IN ('Photos from 2021', 'Familienurlaub 2020', 'Archive', 'Trash')")
-    sidecars = spark.sql(f"SELECT dir, name FROM {fx.SIDECAR_SQL}")
+    media, sidecars = fx.media(spark, sf_dir).select("dir", "name").distinct(), fx.sidecars(spark, sf_dir).select("dir", "name").distinct()
     n = F.length("name")
     text = F.to_json(F.struct(F.struct(n.cast("string").alias("timestamp")).alias("photoTakenTime"), (n % 2 == 0).alias("archived")))
     out = files.media_sidecars(media, resolve.pair_sidecars(media, sidecars), sidecars.withColumn("text", text))
     return out.select("dir", "name", "sidecar", "photo_taken_ms", "archived", "trashed")
 
 
+_DATE = "TIMESTAMP '2019-01-01 03:04:05' + to_days((doc_id % 3000)::INT) + to_seconds(doc_id % 86400)"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 4 <> 3 THEN epoch_ms({_DATE}) - CASE WHEN doc_id % 2 = 0 THEN 330 ELSE -90 END * 60000 END AS captured_ms, CASE WHEN doc_id % 4 <> 3 THEN (CASE WHEN doc_id % 2 = 0 THEN 330 ELSE -90 END)::INT END AS offset_minutes FROM documents""")
+def exif_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Capture times from files made of the documents: TIFFs, JPEGs, JPEGs with fill bytes, lone markers and long comments before their EXIF (some longer than the head
+    that is read first), and JPEGs without EXIF."""
+    at = F.expr("timestampadd(SECOND, doc_id % 86400, timestampadd(DAY, doc_id % 3000, TIMESTAMP_NTZ '2019-01-01 03:04:05'))")
+    zone = F.when(F.col("doc_id") % 2 == 0, "+05:30").otherwise("-01:30")
+    entry = lambda tag, kind, size, value: "".join(n.to_bytes(w, "little").hex() for n, w in ((tag, 2), (kind, 2), (size, 4), (value, 4)))
+    head = "49492a0008000000" + "0100" + entry(0x8769, 4, 1, 26) + "00000000" + "0200" + entry(0x9003, 2, 20, 56) + entry(0x9011, 2, 7, 76) + "00000000"
+    raw = lambda text: F.unhex(F.lit(text))
+    tiff = F.concat(raw(head), F.date_format(at, "yyyy:MM:dd HH:mm:ss").cast("binary"), raw("00"), zone.cast("binary"), raw("00"))
+    segment = F.concat(raw("ffe1"), F.unhex(F.lpad(F.hex(F.length(tiff) + 8), 4, "0")), raw("457869660000"), tiff)
+    comment = F.concat(raw("fffffffeea60"), F.repeat(F.lit("x"), 59_998).cast("binary"))
+    long = F.when(F.col("doc_id") % 8 == 2, F.concat(comment, comment, comment)).otherwise(comment)
+    kind = F.col("doc_id") % 4
+    content = F.when(kind == 0, tiff).when(kind == 1, F.concat(raw("ffd8"), segment, raw("ffd9"))).when(kind == 2, F.concat(raw("ffd8ff01"), long, raw("ffff"), segment, raw("ffd9"))).otherwise(raw("ffd8ffda0002ffd9"))
+    made = table(spark, sf_dir, "documents").select("doc_id", content.alias("content"))
+    return files.exif(made).select("doc_id", "captured_ms", "offset_minutes")
+
+
 # Ingest and jobs -------------------------------------------------------------------------------------
 
 _LOCAL = "l AS (SELECT c_custkey::varchar AS local_id, CASE WHEN c_custkey % 3 = 1 THEN sha256(c_name) END AS hash, (c_custkey % 3)::int AS hash_state FROM customer)"
@@ -336,9 +365,10 @@ def toggled_favorite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lifecycle.toggle_favorite(o, "o_orderkey", 7).withColumn("album_ids", F.array_join("album_ids", ","))
 
 
-@query("SELECT sha256(concat('asset-', i)) AS hash, CASE WHEN i % 15 = 0 THEN 1 ELSE 0 END AS kind, CASE WHEN i % 15 = 0 THEN 15000000 + i % 10 * 1000000 ELSE 2500000 + i % 20 * 100000 END AS byte_size, CASE WHEN i % 2 = 0 THEN 'Apple' ELSE 'Sony' END AS camera_make FROM range(0, 6000) r(i)")
+@query("SELECT sha256(concat('asset-', i)) AS hash, CASE WHEN i % 15 = 0 THEN 1 ELSE 0 END AS kind, CASE WHEN i % 15 = 0 THEN 15000000 + i % 10 * 1000000 ELSE 2500000 + i % 20 * 100000 END AS byte_size, CASE WHEN i % 2 = 0 THEN 'Apple' ELSE 'Sony' END AS camera_make FROM (SELECT unnest(range(0, (SELECT count(*) FROM orders))) AS i) r")
 def synthetic_library(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files.synthetic_library(spark, 6000).select("hash", "kind", "byte_size", "camera_make")
+    """A library as large as the table of orders."""
+    return files.synthetic_library(spark, table(spark, sf_dir, "orders").count()).select("hash", "kind", "byte_size", "camera_make")
 
 
 @query("WITH q AS (SELECT vec_id % 7 AS query, vec_id AS item, row_number() OVER (PARTITION BY vec_id % 7 ORDER BY label DESC, vec_id) AS rank FROM embeddings) SELECT query, count(*) FILTER (rank <= 20 AND item % 3 = 0) / count(*) FILTER (item % 3 = 0) AS recall, count(*) FILTER (rank = 1 AND item % 3 = 0) AS top1, count(*) FILTER (rank <= 20 AND item % 3 = 1) AS forbidden FROM q GROUP BY 1")

@@ -108,12 +108,12 @@ def album_metadata(text: Column) -> Column:
 
 
 def exif(files: DataFrame, content: str = "content") -> DataFrame:
-    """Files with (captured_ms, offset_minutes) of their EXIF. The head of a file is enough for most; the first 16 MiB of the others are
-    read again, and only their bytes go to the function a second time."""
+    """Files with (captured_ms, offset_minutes) of their EXIF. The head of a file is enough for most; the first 16 MiB of those whose EXIF the head cuts
+    are read again, and only their bytes go to the function a second time."""
     head = files.withColumn("_x", exif_fields(F.substring(F.col(content), 1, HEAD_BYTES)))
-    more = F.when(F.col("_x.date_time_original").isNull() & (F.length(content) > HEAD_BYTES), F.substring(F.col(content), 1, MOST_BYTES))
-    again = head.withColumn("_y", exif_fields(more))
-    rows = again.withColumn("_x", F.when(F.col("_x.date_time_original").isNull(), F.col("_y")).otherwise(F.col("_x"))).drop("_y")
+    more = F.when(F.col("_x.cut") & (F.length(content) > HEAD_BYTES), F.substring(F.col(content), 1, MOST_BYTES))
+    again = head.withColumn("_y", exif_fields(more)).withColumn("_again", more.isNotNull())
+    rows = again.withColumn("_x", F.when(F.col("_again"), F.col("_y")).otherwise(F.col("_x"))).drop("_y", "_again")
     offset = expr.exif_offset_minutes(F.col("_x.offset_time_original"))
     return rows.withColumn("offset_minutes", offset).withColumn("captured_ms", expr.exif_millis(F.col("_x.date_time_original"), F.col("offset_minutes"))).drop("_x")
 

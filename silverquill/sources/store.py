@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .vec1 import opened
+
 
 class StoreError(OSError):
     """An object that isn't there, or bytes that don't have the digest promised."""
@@ -22,6 +27,7 @@ class ObjectStore:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.root, self._jvm, self._conf = root.rstrip("/"), spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        self._gateway = spark.sparkContext._gateway
 
     def _path(self, key: str, folder: str = "objects"):
         if not 1 <= len(key) <= 1024 or any(s in ("", ".", "..") for s in key.split("/")):
@@ -52,13 +58,18 @@ class ObjectStore:
         self._write(fs, temporary, content)
         head = {"size": len(content), "etag": digest[:32], "storage_class": storage_class, "checksum_sha256": digest, "part_count": part_count}
         _, meta = self._path(key, ".meta")
-        self._write(fs, meta, json.dumps(head).encode())
         fs.mkdirs(path.getParent())
-        fs.delete(path, False)
-        if not fs.rename(temporary, path):
-            raise StoreError(f"{key}: not renamed")
+        self._replace(temporary, path)  # the object first: a head never tells of bytes that aren't there
+        self._write(fs, meta, json.dumps(head).encode())
         return head
 
+    def _replace(self, old, new) -> None:
+        """Rename over what is there: a reader sees the object before or the one after."""
+        option = self._jvm.org.apache.hadoop.fs.Options.Rename
+        options = self._gateway.new_array(option, 1)
+        options[0] = option.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self._conf).rename(old, new, options)
+
     def head(self, key: str) -> dict | None:
         fs, path = self._path(key)
         if not fs.exists(path):
@@ -83,6 +94,59 @@ class ObjectStore:
         return bool(fs.delete(path, False))
 
 
+KEY = re.compile(r"(?!.*(?:^|/)\.{0,2}(?:/|$)).{1,1024}", re.S)
+STORED = "key string, size long, sha256 string, problem string"
+
+
+def put_all(objects: DataFrame, root: str) -> DataFrame:
+    """(key, size, sha256, problem) after the objects (key, content, sha256: what the digest must be, or null) are stored under ``root``, each by the task that has
+    it: written under another name, compared with its digest, then renamed over what was there. No bytes go through the driver. A bad key, null
+    content or another digest is a ``problem``, and leaves what was there; of rows with one key one wins. Tasks that run again store the same bytes. Store
+    the result: each reading of it stores the objects anew."""
+
+    def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = opened(root)
+        for b in batches:
+            out = []
+            for key, content, promised in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                body = content.as_py()
+                digest = None if body is None else hashlib.sha256(body).hexdigest()
+                problem = "bad key" if key is None or not KEY.fullmatch(key) else "no content" if body is None else "another digest" if promised is not None and promised.lower() != digest else None
+                if problem is None:
+                    target = f"{where}/objects/{key}"
+                    hidden = f"{where}/.tmp/{uuid.uuid4().hex}"
+                    for folder in (f"{where}/.tmp", target.rsplit("/", 1)[0]):
+                        files.create_dir(folder, recursive=True)
+                    with files.open_output_stream(hidden) as f:
+                        f.write(body)
+                    files.move(hidden, target)
+                out.append((key, None if body is None else len(body), digest, problem))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["key", "size", "sha256", "problem"])
+
+    return objects.select("key", "content", "sha256").mapInArrow(store, STORED)
+
+
+def verify_all(heads: DataFrame, root: str) -> DataFrame:
+    """(key, status) of stored objects (key, sha256), read and hashed by the tasks: ok, missing or corrupt."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, where = opened(root)
+        for b in batches:
+            found = []
+            for key, digest in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sum_ = hashlib.sha256()
+                try:
+                    with files.open_input_stream(f"{where}/objects/{key}") as f:
+                        while part := f.read(1 << 20):
+                            sum_.update(part)
+                    found.append("ok" if sum_.hexdigest() == digest else "corrupt")
+                except FileNotFoundError:
+                    found.append("missing")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.string())], ["key", "status"])
+
+    return heads.select("key", "sha256").mapInArrow(check, "key string, status string")
+
+
 def save_records(records: DataFrame, path: str) -> None:
     """Nested records as JSON lines."""
     records.write.mode("overwrite").json(path)

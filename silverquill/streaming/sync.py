@@ -72,15 +72,17 @@ def latest(spark: SparkSession, table: str, before: int | None = None) -> dict[i
 
 
 def compact(spark: SparkSession, table: str, before: int) -> None:
-    """Delete bucket folders of generations before ``before`` that a later one of them replaced; a batch run again still finds what it read."""
+    """Delete bucket folders of generations before ``before`` that a later one of them replaced, and generations of which none is left, so that what is listed
+    stays as long as the buckets are many; a batch run again still finds what it read."""
     keep = set(latest(spark, table, before).values())
     path_of, conf = spark.sparkContext._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
     for number, where in _children(spark, table, "generation=").items():
         if number < before:
-            for folder in _children(spark, where, "bucket=").values():
-                if folder not in keep:
-                    path = path_of(folder)
-                    path.getFileSystem(conf).delete(path, True)
+            folders = list(_children(spark, where, "bucket=").values())
+            gone = [f for f in folders if f not in keep]
+            for folder in gone if len(gone) < len(folders) else [where]:
+                path = path_of(folder)
+                path.getFileSystem(conf).delete(path, True)
 
 
 def current(spark: SparkSession, table: str) -> DataFrame:

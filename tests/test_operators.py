@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silverquill.functions import expr
-from silverquill.functions.udf import decode_vector, encode_float16, project, random_matrix, read_exif, tokens
+from silverquill.functions.udf import decode_vector, encode_float16, project, random_matrix, read_exif, scan_exif, tokens
 from silverquill.operators import catalog, fusion, jobs, lifecycle, relational, resolve, sync, text, vector
 from silverquill.plans import catalogue, fixtures as fx
 from silverquill.schemas import ALL, assert_foreign, assert_unique, schema
@@ -37,28 +37,36 @@ STEPS = {
 }
 
 
+def export(spark):
+    """(media, sidecars) of the one archive that the cases come from."""
+    rows = lambda cases, names: spark.sql(f"SELECT * FROM {fx.values(cases, names)}")
+    return rows(fx.MEDIA, "part, dir, name, archived, trashed"), rows(fx.SIDECARS, "dir, name")
+
+
 def test_pairing_of_the_export(spark):
-    got = {r["name"]: r for r in catalogue.sidecar_pairing(spark, "").collect() if r["dir"] != "Edge cases"}
+    got = {r["name"]: r for r in resolve.pair_sidecars(*export(spark)).collect() if r["dir"] != "Edge cases"}
     assert {n: r["step"] for n, r in got.items()} == STEPS
     assert got["IMG_2001.MOV"]["shared"] and not got["IMG_2001.HEIC"]["shared"]
 
 
 def test_pairing_edge_cases(spark):
-    got = {r["name"]: r for r in catalogue.sidecar_pairing(spark, "").collect() if r["dir"] == "Edge cases"}
+    got = {r["name"]: r for r in resolve.pair_sidecars(*export(spark)).collect() if r["dir"] == "Edge cases"}
     assert got["A.png"]["reason"] == got["A.mov"]["reason"] == "contested-sidecar"
     assert got["C.gif"]["reason"] == "ambiguous-basename" and got["D.jpg"]["reason"] == "no-candidate"
 
 
 def test_variants_and_live_pairs(spark):
-    links = {r["name"]: (r["base"], r["matched_by"]) for r in catalogue.variant_links(spark, "").collect()}
+    links = {r["name"]: (r["base"], r["matched_by"]) for r in resolve.link_variants(export(spark)[0]).collect()}
     assert links["IMG_3002-modifié.jpg"] == ("IMG_3002.jpg", "same-name") and links["D-edited.webp"] == (None, "ambiguous-base")
-    pairs = {r["stem"]: (r["still"], r["motion"], r["status"]) for r in catalogue.live_pairs(spark, "").collect()}
+    pairs = {r["stem"]: (r["still"], r["motion"], r["status"]) for r in resolve.live_pairs(export(spark)[0], resolve.pair_sidecars(*export(spark))).collect()}
     assert pairs["IMG_2001"] == ("IMG_2001.HEIC", "IMG_2001.MOV", "paired")
     assert pairs["B"] == ("B.heic", "B.MOV", "paired") and pairs["E"][2] == "ambiguous"
 
 
 def test_dispositions(spark):
-    rows = {r["name"]: r for r in catalogue.dispositions(spark, "").collect()}
+    media = export(spark)[0]
+    folders = media.select("dir").distinct().select("dir", F.col("dir").alias("folder"), F.col("dir").isin("Iceland 2019", "Familienurlaub 2020").alias("has_metadata"))
+    rows = {r["name"]: r for r in resolve.dispositions(media, folders).withColumn("archived_by", F.array_join("archived_by", ",")).collect()}
     assert not rows["IMG_8001.jpg"]["imported"] and rows["IMG_5001.jpg"]["archived_by"] == "folder,sidecar"
     assert len(fx.MEDIA) == len({(m[1], m[2]) for m in fx.MEDIA})
 
@@ -225,8 +233,15 @@ def test_exif_of_a_tiff():
     text_at = 8 + 18 + 30
     data = b"II*\0" + struct.pack("<I", 8) + ifd([(0x8769, 4, 1, 26)]) + ifd([(0x9003, 2, 20, text_at), (0x9011, 2, 7, text_at + 20)]) + b"2019:06:01 08:00:00\0+02:00\0"
     assert read_exif(data) == ("2019:06:01 08:00:00", "+02:00")
-    assert read_exif(b"") == (None, None) and read_exif(b"\xff\xd8\xff\xe1") == (None, None)
     jpeg = b"\xff\xd8\xff\xe1" + struct.pack(">H", len(data) + 8) + b"Exif\0\0" + data
+    assert scan_exif(b"\xff\xd8\xff\x01\xff\xff" + jpeg[2:])[0] == "2019:06:01 08:00:00"
+    for cut in range(len(jpeg)):  # a value is whole or not given, and the bytes say that they end too early
+        got = scan_exif(jpeg[:cut])
+        assert got[:2] == (None, None) and (got[2] or cut < 2)
+    for cut in range(9, len(data)):
+        date, offset, short = scan_exif(data[:cut])
+        assert date in (None, "2019:06:01 08:00:00") and offset in (None, "+02:00") and (short or (date and offset))
+    assert read_exif(b"") == (None, None) and read_exif(b"\xff\xd8\xff\xe1") == (None, None)
     assert read_exif(jpeg)[0] == "2019:06:01 08:00:00"
     for cut in range(len(jpeg)):
         read_exif(jpeg[:cut])
