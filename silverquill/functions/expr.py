@@ -287,9 +287,16 @@ def monthly_cost(stored: Column, egress: Column, per_gb: float = 0.004, free_gb:
 
 
 def format_bytes(n: Column) -> Column:
+    """Whole bytes in units of 1024, to two places without closing zeros. Places are whole numbers: halves go to the even hundredth, and what is near a half isn't one."""
+    n = n.cast("long")
     power = F.when(n > 0, F.least(F.floor(F.log(1024.0, n.cast("double")) + 1e-12), F.lit(4))).otherwise(0).cast("int")
-    number = F.regexp_replace(F.format_string("%.2f", n / F.pow(F.lit(1024.0), power)), r"\.?0+$", "")
-    return F.concat(number, F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power + 1))
+    unit = F.element_at(F.array(*(F.lit(1 << 10 * p) for p in range(5))).cast("array<long>"), power + 1)
+    div = lambda a, b: F.call_function("div", a, b)
+    part = n % unit * 100
+    cut, rest = div(part, unit), part % unit * 2
+    places = cut + F.when((rest > unit) | ((rest == unit) & (cut % 2 == 1)), 1).otherwise(0)
+    number = F.concat((div(n, unit) + div(places, F.lit(100))).cast("string"), F.lit("."), F.lpad((places % 100).cast("string"), 2, "0"))
+    return F.concat(F.regexp_replace(number, r"\.?0+$", ""), F.lit(" "), F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB", "TB"))), power + 1))
 
 
 def fit_long_edge(width: Column, height: Column, most: int) -> Column:

@@ -3,7 +3,9 @@
 import base64
 import hashlib
 import json
+import math
 import os
+import re
 
 import numpy as np
 import pytest
@@ -181,3 +183,14 @@ def test_decomposed_suffix(spark):
     names = ["a-modifié.jpg", "a-modifié.jpg", "a-EDITED.jpg", "-edited.jpg", "plain.jpg"]
     got = [r["b"] for r in spark.createDataFrame([(n,) for n in names], "n string").select(expr.edited_base(F.col("n")).alias("b")).collect()]
     assert got == ["a", "a", "a", None, None]
+
+
+def test_byte_labels_round_as_c(spark):
+    sizes = [1152, 1408, 1664, 1029, 1 << 20, (1 << 20) - 1, (1 << 40) + (1 << 37), (1 << 40) * 5 + (3 << 37), 102400, -5, 0, 10, (1 << 53) - 1]
+    got = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", expr.format_bytes(F.col("n")).alias("s")).collect()
+
+    def want(n):
+        power = min(4, int(math.log(n) / math.log(1024) + 1e-12)) if n > 0 else 0
+        return re.sub(r"\.?0+$", "", f"{n / 1024**power:.2f}") + " " + ["B", "KB", "MB", "GB", "TB"][power]
+
+    assert [r["s"] for r in got] == [want(n) for n in sizes]
