@@ -5,22 +5,45 @@ from __future__ import annotations
 import math
 import struct
 import unicodedata
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CJK = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
 
 
-@F.pandas_udf(T.StringType())
-def _fold(texts: pd.Series) -> pd.Series:
-    apart = pc.utf8_normalize(pa.array(texts, pa.string(), from_pandas=True), form="NFD")
-    return pc.replace_substring_regex(apart, r"\p{M}+", "").to_pandas()
+PIECE_BYTES = 1 << 20
+"""Bytes of text that a function cuts or folds at a time: what it holds beside a batch doesn't grow with the batch."""
+
+
+def _pieces(texts: pa.Array) -> Iterator[pa.Array]:
+    """Slices of about ``PIECE_BYTES``, each of one text at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + PIECE_BYTES, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _by_pieces(work: Callable[[pa.Array], pa.Array], texts: pa.Array) -> pa.Array:
+    """``work`` of every piece, put together; what the pieces took goes back to the system, as workers outlive their tasks."""
+    done = [work(piece) for piece in _pieces(texts)]
+    out = pa.concat_arrays(done) if done else work(texts)
+    pa.default_memory_pool().release_unused()
+    return out
+
+
+@F.arrow_udf(T.StringType())
+def _fold(texts: pa.Array) -> pa.Array:
+    return _by_pieces(lambda t: pc.replace_substring_regex(pc.utf8_normalize(t, form="NFD"), r"\p{M}+", ""), texts)
 
 
 @F.pandas_udf(T.StringType())
@@ -52,37 +75,73 @@ def _folded(texts: pa.Array) -> pa.Array:
     return pc.utf8_lower(texts)
 
 
+def _cut(texts: pa.Array, cjk_split: bool) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(place of its text, code) of every token of a batch, and the tokens that the codes stand for."""
+    folded = _folded(texts)
+    if cjk_split:
+        folded = pc.replace_substring_regex(folded, f"([{CJK}])", r" \1 ")
+    words = pc.split_pattern_regex(folded, r"[^\p{L}\p{N}]+")
+    coded = pc.dictionary_encode(words.flatten())
+    codes = coded.indices.to_numpy()
+    keep = codes != coded.dictionary.index("").as_py()
+    return np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))[keep], codes[keep], coded.dictionary
+
+
+def _lists(values: pa.Array, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
 def term_counts(text: Column, atoms: list[tuple[str, bool]], cjk_split: bool = False) -> Column:
     """(length, tf): the number of tokens of each text, and how often each atom (a token, or a prefix if true) stands in
     it. Tokens are cut and counted in Arrow; only numbers come back."""
 
+    def piece(texts: pa.Array) -> pa.Array:
+        place, codes, names = _cut(texts, cjk_split)
+        of = lambda chosen: np.bincount(place[chosen.to_numpy(zero_copy_only=False)[codes]], minlength=len(texts)).astype(np.int32)
+        tf = [of(pc.starts_with(names, a) if prefix else pc.equal(names, a)) for a, prefix in atoms]
+        lists = _lists(pa.array(np.stack(tf, 1).ravel() if len(texts) and tf else [], pa.int32()), np.full(len(texts), len(tf)))
+        return pa.StructArray.from_arrays([pa.array(np.bincount(place, minlength=len(texts)).astype(np.int32)), lists], ["length", "tf"])
+
     @F.arrow_udf("length int, tf array<int>")
     def count(texts: pa.Array) -> pa.Array:
-        folded = _folded(texts)
-        if cjk_split:
-            folded = pc.replace_substring_regex(folded, f"([{CJK}])", r" \1 ")
-        words = pc.split_pattern_regex(folded, r"[^\p{L}\p{N}]+")
-        flat, offsets = words.flatten(), words.offsets.to_numpy() - words.offsets[0].as_py()
-        of = lambda chosen: np.diff(np.concatenate([[0], np.cumsum(chosen.to_numpy(zero_copy_only=False))])[offsets]).astype(np.int32)
-        tf = [of(pc.starts_with(flat, a) if prefix else pc.equal(flat, a)) for a, prefix in atoms]
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1, dtype=np.int32) * len(tf)), pa.array(np.stack(tf, 1).ravel() if tf else [], pa.int32()))
-        return pa.StructArray.from_arrays([pa.array(of(pc.not_equal(flat, ""))), lists], ["length", "tf"])
+        return _by_pieces(piece, texts)
 
     return count(text)
 
 
-@F.arrow_udf(T.StructType().add("tokens", T.LongType()).add("distinct_tokens", T.LongType()))
-def token_totals(texts: pa.Array) -> pa.Array:
-    """How many tokens a text has, and how many different ones; cut and counted in Arrow, only numbers come back."""
-    words = pc.split_pattern_regex(_folded(texts), r"[^\p{L}\p{N}]+")
-    coded = pc.dictionary_encode(words.flatten())
-    codes, kinds = coded.indices.to_numpy(), max(1, len(coded.dictionary))
-    text = np.repeat(np.arange(len(texts)), np.diff(words.offsets.to_numpy()))
-    full = coded.dictionary.index("").as_py()
-    keep = codes != full
-    total = np.bincount(text[keep], minlength=len(texts))
-    distinct = np.bincount(np.unique(text[keep] * kinds + codes[keep]) // kinds, minlength=len(texts))
-    return pa.StructArray.from_arrays([pa.array(total, pa.int64()), pa.array(distinct, pa.int64())], ["tokens", "distinct_tokens"])
+def token_totals(text: Column | str, cjk_split: bool = False) -> Column:
+    """(tokens, distinct_tokens): how many tokens a text has, and how many different ones; cut and counted in Arrow, only numbers come back."""
+
+    def piece(texts: pa.Array) -> pa.Array:
+        place, codes, names = _cut(texts, cjk_split)
+        kinds, n = max(1, len(names)), len(texts)
+        return pa.StructArray.from_arrays([pa.array(np.bincount(of, minlength=n), pa.int64()) for of in (place, np.unique(place * kinds + codes) // kinds)], ["tokens", "distinct_tokens"])
+
+    @F.arrow_udf("tokens long, distinct_tokens long")
+    def count(texts: pa.Array) -> pa.Array:
+        return _by_pieces(piece, texts)
+
+    return count(text)
+
+
+def counted_tokens(docs: DataFrame, key: str, text: str, cjk_split: bool = False) -> DataFrame:
+    """(key, token_count, tokens, tf): the different tokens of each row of ``docs`` and how often each stands there; rows without tokens are left out."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = 0
+            for texts in _pieces(b.column(1)):
+                place, codes, names = _cut(texts, cjk_split)
+                kinds, n = max(1, len(names)), len(texts)
+                pairs, tf = np.unique(place * kinds + codes, return_counts=True)
+                sizes = np.bincount(pairs // kinds, minlength=n)
+                columns = [b.column(0).slice(at, n), pa.array(np.bincount(place, minlength=n), pa.int32()), _lists(names.take(pa.array(pairs % kinds)), sizes), _lists(pa.array(tf, pa.int32()), sizes)]
+                yield pa.RecordBatch.from_arrays(columns, [key, "token_count", "tokens", "tf"]).filter(pa.array(sizes > 0))
+                at += n
+            pa.default_memory_pool().release_unused()
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(count, f"`{key}` {kind}, token_count int, tokens array<string>, tf array<int>")
 
 
 @F.pandas_udf(T.ArrayType(T.FloatType()))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.udf import decode_vector, encode_float16_floor, tokens
+from ..functions.udf import decode_vector, encode_float16_floor, token_totals
 from ..operators import catalog, fusion, ingest, lifecycle, relational, resolve, sync, vector
 from ..sources import files, manifest
 from ..session import table
@@ -151,8 +151,8 @@ def manifest_months(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT doc_id, lower(strip_accents(concat(text, ' 漢字x語 ', doc_id))) AS t FROM documents), l AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(t, '([一-鿿])', ' \1 ', 'g'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS l FROM t)
 SELECT doc_id, len(l) AS tokens, len(list_distinct(l)) AS distinct_tokens FROM l""")
 def cjk_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tokens(F.concat("text", F.lit(" 漢字x語 "), F.col("doc_id").cast("string")), cjk_split=True)
-    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", F.size("t").cast("long").alias("tokens"), F.size(F.array_distinct("t")).cast("long").alias("distinct_tokens"))
+    t = token_totals(F.concat(F.coalesce("text", F.lit("")), F.lit(" 漢字x語 "), F.col("doc_id").cast("string")), cjk_split=True)
+    return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", "t.*")
 
 
 # Export folders --------------------------------------------------------------------------------------
