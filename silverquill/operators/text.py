@@ -10,7 +10,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.udf import CJK, term_counts, tokens
+from ..functions.udf import CJK, counted_tokens, term_counts, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
@@ -46,12 +46,31 @@ def token_rows(docs: DataFrame, key: str, text: str, cjk_split: bool = False) ->
 def postings(docs: DataFrame, key: str, text: str, cjk_split: bool = False) -> DataFrame:
     """(token, key, tf). Counted before it moves: a document's tokens are in one task, so the exchange holds
     a row for each distinct token of a document."""
-    return token_rows(docs, key, text, cjk_split).groupBy("token", key).agg(F.count("*").cast("int").alias("tf"))
+    return summed_postings(each_posting(counted_tokens(docs, key, text, cjk_split), key), key)
+
+
+def each_posting(counted: DataFrame, key: str) -> DataFrame:
+    """(token, key, tf) of the rows of ``counted_tokens``; rows of one key are not yet one."""
+    return counted.select(key, F.explode(F.arrays_zip("tokens", "tf")).alias("_p")).select(F.col("_p.tokens").alias("token"), key, F.col("_p.tf").alias("tf"))
+
+
+def summed_postings(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy("token", key).agg(F.sum("tf").cast("int").alias("tf"))
+
+
+def sorted_postings(rows: DataFrame, key: str) -> DataFrame:
+    """Postings dealt by ranges of token and key and sorted in them; those of one token and key meet there, so nothing else moves."""
+    return summed_postings(rows.repartitionByRange("token", key), key).sortWithinPartitions("token", key)
+
+
+def summed_lengths(counted: DataFrame, key: str) -> DataFrame:
+    """(key, token_count) of the rows of ``counted_tokens``."""
+    return counted.groupBy(key).agg(F.sum("token_count").cast("int").alias("token_count"))
 
 
 def document_lengths(docs: DataFrame, key: str, text: str, cjk_split: bool = False) -> DataFrame:
     """(key, token_count), blank documents left out."""
-    return docs.select(key, F.size(tokens(F.col(text), cjk_split)).alias("token_count")).where("token_count > 0")
+    return docs.select(key, term_counts(F.col(text), [], cjk_split)["length"].alias("token_count")).where("token_count > 0")
 
 
 def document_frequency(index: DataFrame, key: str) -> DataFrame:
@@ -115,10 +134,17 @@ def search(docs: DataFrame, key: str, text: str, query: str, limit: int | None =
 
 
 def write_index(docs: DataFrame, key: str, text: str, folder: str, cjk_split: bool = False) -> None:
-    """Postings sorted by token and document lengths, as Parquet under ``folder``: a search reads the row groups of its tokens only."""
-    postings(docs, key, text, cjk_split).repartitionByRange("token", key).sortWithinPartitions("token", key).write.mode("overwrite").parquet(f"{folder}/postings")
-    stored = docs.sparkSession.read.parquet(f"{folder}/postings")
-    stored.groupBy(key).agg(F.sum("tf").cast("int").alias("token_count")).write.mode("overwrite").parquet(f"{folder}/lengths")
+    """Postings sorted by token and document lengths, as Parquet under ``folder``: a search reads the row groups of its tokens only.
+
+    Texts are read and cut once: what a document holds is stored under ``counted``, which the lengths, the ranges of tokens and the postings read.
+    """
+    spark = docs.sparkSession
+    counted_tokens(docs, key, text, cjk_split).write.mode("overwrite").parquet(f"{folder}/counted")
+    counted = spark.read.parquet(f"{folder}/counted")
+    summed_lengths(counted, key).write.mode("overwrite").parquet(f"{folder}/lengths")
+    sorted_postings(each_posting(counted, key), key).write.mode("overwrite").parquet(f"{folder}/postings")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/counted")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def search_index(spark: SparkSession, folder: str, key: str, query: str, limit: int | None = 100, prefixes: bool = False, cjk_split: bool = False, allowed: DataFrame | None = None) -> DataFrame:
