@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.text import bm25, document_lengths, parse_query, postings
+from ..functions.udf import counted_tokens
+from ..operators.text import bm25, each_posting, parse_query, sorted_postings, summed_lengths
 from .commits import Log
 
 FAN = 4
@@ -35,7 +36,7 @@ class SegmentedIndex:
 
     def _write(self, number: int, parts: dict[str, DataFrame]) -> int:
         """Write a segment's tables; returns its documents."""
-        parts["postings"].repartitionByRange("token", self.key).sortWithinPartitions("token", self.key).write.parquet(f"{self.folder}/postings/segment={number}")
+        sorted_postings(parts["postings"], self.key).select("token", self.key, "tf").write.parquet(f"{self.folder}/postings/segment={number}")
         for name in ("lengths", "gone"):
             parts[name].write.parquet(f"{self.folder}/{name}/segment={number}")
         return self.spark.read.schema(self.kinds["lengths"]).parquet(f"{self.folder}/lengths/segment={number}").count()
@@ -44,14 +45,17 @@ class SegmentedIndex:
         """Index ``docs`` (key, text; one row per key) anew. Blank and null texts are left out, so a document keeps its old postings; a text without tokens
         takes the old ones away. What is written grows with ``docs`` only."""
         fresh = docs.where(F.length(F.trim(F.coalesce(text, F.lit("")))) > 0)
-        self._add({"postings": postings(fresh, self.key, text).select("token", self.key, "tf"), "lengths": document_lengths(fresh, self.key, text), "gone": fresh.select(self.key)})
+        number = self._number()
+        counted_tokens(fresh, self.key, text).write.parquet(f"{self.folder}/counted/segment={number}")  # texts are cut once
+        counted = self.spark.read.parquet(f"{self.folder}/counted/segment={number}")
+        self._add({"postings": each_posting(counted, self.key), "lengths": summed_lengths(counted, self.key), "gone": fresh.select(self.key)}, number)
+        self.log.drop(f"counted/segment={number}")
 
     def delete(self, keys: DataFrame) -> None:
         none = self.spark.createDataFrame([], self.kinds["postings"])
-        self._add({"postings": none, "lengths": none.select(self.key, F.lit(0).alias("token_count")), "gone": keys.select(self.key).distinct()})
+        self._add({"postings": none, "lengths": none.select(self.key, F.lit(0).alias("token_count")), "gone": keys.select(self.key).distinct()}, self._number())
 
-    def _add(self, parts: dict[str, DataFrame]) -> None:
-        number = self._number()
+    def _add(self, parts: dict[str, DataFrame], number: int) -> None:
         docs = self._write(number, parts)
         self.log.commit(lambda s: {**s, "segments": [*s.get("segments", []), {"id": number, "docs": docs}]})
 

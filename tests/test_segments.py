@@ -3,9 +3,11 @@
 import random
 import threading
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from silverquill.functions import udf
 from silverquill.operators import text
 from silverquill.sources import commits, manifest
 from silverquill.sources.segments import SegmentedIndex
@@ -79,3 +81,22 @@ def test_writers_of_a_month_lose_no_line(spark, tmp_path):
     assert sorted(r["bytes"] for r in manifest.read_commits(spark, path).collect()) == list(range(40))
     assert {r["month"] for r in manifest.read_commits(spark, path, ["2024-02"]).collect()} == {"2024-02"}
     assert manifest.read_commits(spark, f"file://{tmp_path}/none").collect() == []
+
+
+def test_tokens_are_counted_in_pieces(spark, monkeypatch):
+    """A batch of any size is cut a piece at a time, and no piece is lost."""
+    texts = pa.array(["a b a", None, "é" * 700, "", "x" * 3000, "b"])
+    monkeypatch.setattr(udf, "PIECE_BYTES", 1000)
+    parts = list(udf._pieces(texts.slice(1)))
+    assert [len(p) for p in parts] == [1, 1, 1, 1, 1] and pa.concat_arrays(parts).equals(texts.slice(1)) and [len(p) for p in udf._pieces(texts[:1])] == [1]
+    assert udf._by_pieces(lambda t: pa.array([len(t.to_pylist())] * len(t)), texts[:0]).to_pylist() == []
+
+
+def test_index_rows_of_one_key_are_one(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a b a"), (1, "b c"), (2, None), (3, "  "), (4, "É e")], "id long, t string")
+    text.write_index(docs, "id", "t", f"file://{tmp_path}/index")
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/index/postings").select("token", "id", "tf").collect())) == [("a", 1, 2), ("b", 1, 2), ("c", 1, 1), ("e", 4, 2)]
+    assert sorted(map(tuple, spark.read.parquet(f"file://{tmp_path}/index/lengths").collect())) == [(1, 5), (4, 2)] and not (tmp_path / "index/counted").exists()
+    rows = spark.read.parquet(f"file://{tmp_path}/index/postings")
+    plan = text.sorted_postings(rows, "id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "rangepartitioning" in plan
