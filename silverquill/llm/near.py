@@ -3,7 +3,7 @@
 Texts with the same words are one node. A node's signatures each take two labelled five-word shingles,
 the least by one hash, in text order. Nodes that share a signature form a group. Candidates are verified by aligning their words in a
 band. Each group is compared with its first member; the members of groups that this leaves in more than one component are joined
-by the rare shingles that texts with most shingles in common must share, so no such candidate is lost and no large group is paired out.
+by the rare words that similar texts must share, so no link is lost there and no large group is paired out.
 """
 
 from __future__ import annotations
@@ -21,8 +21,6 @@ from .common import FEW, components, hot_keys, materialize, pieces_of, scratch_s
 
 BANDS, SAMPLE, THRESHOLD = 24, 2, 0.8
 """Texts with 38 % of their shingles in common, the least that one edit in nine words usually leaves, share one of 24 signatures of two with 0.98."""
-SHARE = 0.7
-"""Members of a group with so many shingles in common are found whatever its first member is."""
 
 
 def signatures(documents: DataFrame, bands: int = BANDS, sample: int = SAMPLE) -> DataFrame:
@@ -88,15 +86,15 @@ def verify(pairs: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
 
 
 def prefix_keys(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFrame:
-    """(key, node, n, place): each node by its rarest shingles, of its n; two similar ones share a key.
+    """(key, node, n, place): each node by its rarest words (repeats told apart), of its n; two similar ones share a key.
 
-    Shingles are ordered by the number of ``nodes`` that hold them. Of n shingles a text with ``threshold``
-    in common with another shares one of its first n - ceil(threshold n) + 1.
+    Words are ordered by the number of ``nodes`` that hold them. A text whose words align with another's to ``threshold`` has so many
+    in common with it: of its n words they share one of the first n - ceil(threshold n) + 1.
     """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (piece for whole in batches for piece in pieces_of(whole, most_bytes=1 << 20)):
-            parts = [(n, sh.labelled(sh.shingles(np.frombuffer(w.as_py(), np.uint32)))) for n, w in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            parts = [(n, sh.labelled(np.frombuffer(w.as_py(), np.uint32).astype(np.uint64))) for n, w in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array([n for n, _ in parts], np.int64), [len(g) for _, g in parts])), pa.array(np.concatenate([np.zeros(0, np.int64), *(g.view(np.int64) for _, g in parts)]))], ["node", "key"])
 
     grams = materialize(words.join(nodes.hint("merge"), "node").select("node", "words").mapInArrow(tidied(spread), "node long, key long"), "grams")
@@ -107,19 +105,18 @@ def prefix_keys(nodes: DataFrame, words: DataFrame, threshold: float) -> DataFra
     return rows.where("s._n > 1").select(F.col("s.key").alias("key"), "node", "n", "place")
 
 
-def _reachable(share: float, threshold: float) -> Column:
-    """Whether two key rows (n, place and m, place2) can be similar: shingles before the key are not shared, and the shorter text has most of the longer one's words."""
-    most = 1 + F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2")) - 1
-    lengths = F.least("n", "m") + sh.WIDTH - 1 >= threshold * (F.greatest("n", "m") + sh.WIDTH - 1) - 1
-    return lengths & (most >= share * (F.col("n") + F.col("m") - most) - 1e-9)
+def _reachable(threshold: float) -> Column:
+    """Whether two key rows (n, place and m, place2) can be similar: words before the first key they share are not shared."""
+    most = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("place2"))
+    return most >= threshold * (F.col("n") + F.col("m") - most) - 1e-9
 
 
 def similar(groups: DataFrame, words: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(node, component) over the links of at least ``threshold`` between members of a group in ``groups`` (key, node).
 
     First every group is compared with its first member only. Members of groups that stay in more than one component
-    are then joined by the rare shingles that two texts with ``SHARE`` of them in common must share, with what follows
-    these as a bound (positional filter), first with the key's most promising member, then across components.
+    are then joined by the rare words that two similar texts must share, with what follows
+    these as a bound (positional filter), first with the key's most promising member, then across components. No link inside a group is lost.
     """
     with scratch_scope() as keep:
         part = _similar(groups, words, threshold)
@@ -162,19 +159,19 @@ def _similar(groups: DataFrame, words: DataFrame, threshold: float) -> DataFrame
     if pool.isEmpty():
         return part
 
-    keys = materialize(prefix_keys(pool, words, SHARE), "prefix")
+    keys = materialize(prefix_keys(pool, words, threshold), "prefix")
     common = hot_keys(keys.groupBy("key").agg(F.count("*").alias("_rows")), ["key"])
     best = keys.groupBy("key").agg(F.min_by(F.struct("node", "n", "place"), F.struct(F.col("place") / F.col("n"), "node")).alias("_h"), F.count("*").alias("_c")).where("_c > 1")
     best = best.select("key", F.col("_h.node").alias("head"), F.col("_h.n").alias("m"), F.col("_h.place").alias("place2"))
     led = place(spread_join(keys, best, ["key"], ["node"], hot=common)).join(part.select(F.col("node").alias("head"), F.col("component").alias("_hp")).hint("merge"), "head", "left")
-    add(led.where((F.col("node") != F.col("head")) & (F.col("part") != F.coalesce("_hp", "head")) & _reachable(SHARE, threshold)).select(*pair("node", "head")).distinct(), "lead")
+    add(led.where((F.col("node") != F.col("head")) & (F.col("part") != F.coalesce("_hp", "head")) & _reachable(threshold)).select(*pair("node", "head")).distinct(), "lead")
 
     left = place(keys)
     parts = left.groupBy("key", "part").agg(F.count("*").alias("_c")).groupBy("key").agg(F.count("*").alias("_p"), F.max_by("part", F.struct("_c", "part")).alias("main")).where("_p > 1").select("key", "main")
     left = materialize(spread_join(left, parts, ["key"], ["node"], hot=common), "left")
     x = left.where("part <> main").drop("main")
     y = left.select("key", F.col("node").alias("other"), F.col("n").alias("m"), F.col("place").alias("place2"), F.col("part").alias("part2"))
-    cross = spread_join(x, y, ["key"], ["node"], hot=common).where((F.col("part") != F.col("part2")) & _reachable(SHARE, threshold)).select(*pair("node", "other")).distinct()
+    cross = spread_join(x, y, ["key"], ["node"], hot=common).where((F.col("part") != F.col("part2")) & _reachable(threshold)).select(*pair("node", "other")).distinct()
     add(cross, "cross")
     return part
 

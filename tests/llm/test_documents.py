@@ -315,6 +315,20 @@ def test_near_dedup_equals_brute_force(spark):
     assert all(r["kept"] == (r["doc_id"] == r["class_id"]) for r in got)
 
 
+def test_links_far_from_a_groups_first_member_are_found(spark):
+    """Edits all over a text leave few of its shingles, but most of its words."""
+    words = lambda prefix, n: [f"{prefix}{k}" for k in range(n)]
+    x = words("x", 100)
+    texts = {-9: words("h", 100), 1: x, 2: [f"y{k}" if k % 10 == 5 else w for k, w in enumerate(x)], 3: [w for k, w in enumerate(x) for w in ([w, f"z{k}"] if k % 5 == 0 else [w])], 4: words("o", 100)}
+    hashes = {n: shingles.word_hashes(pa.array([" ".join(t)]))[0] for n, t in texts.items()}
+    a, b = shingles.shingles(hashes[1]), shingles.shingles(hashes[2])
+    assert len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.7
+    groups = spark.createDataFrame([(7, n) for n in texts], "key long, node long")
+    stored = spark.createDataFrame([(n, bytearray(h.tobytes())) for n, h in hashes.items()], "node long, words binary")
+    got = {r["node"]: r["component"] for r in near.similar(groups, stored).collect()}
+    assert got[1] == got[2] == got[3] and got.get(4, 4) != got[1] and got.get(-9, -9) != got[1]
+
+
 def test_near_dedup_on_the_table(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").orderBy("doc_id").collect()
     want = [docs[i]["doc_id"] for i in _brute([d["text"] for d in docs])]
