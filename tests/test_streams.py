@@ -3,6 +3,7 @@
 import random
 import shutil
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,3 +151,11 @@ def test_merge_in_order_gathers_no_records(spark):
     one = spark.range(1000).selectExpr("1L key", "id % 7 updated_at", "if(id = 500, id, null) deleted_at", "id version", "'x' payload")
     plan = sync.lww_merge(one.limit(0), one, "key", mode="reference")._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_events_of_a_job_in_order_and_rows_out():
+    frames = [pd.DataFrame({"at": [5, 3], "seq": [1, 9], "event": ["a", "b"], "attempt": [1, None], "draw": [None, 0.5]}), pd.DataFrame({"at": [3], "seq": [2], "event": ["c"], "attempt": [2], "draw": [0.1]})]
+    assert [e[2] for e in leases._in_order(iter(frames))] == ["c", "b", "a"] and leases._in_order(iter([])) == []
+    out = leases._rows([(1, 5, "claim", True, None, 0, None, 0), (1, 6, "fail", False, 3, 1, 9, 2)])
+    assert dict(out.dtypes.astype(str)) == leases.KINDS == dict(leases._rows([]).dtypes.astype(str))
+    assert out["state"].isna().tolist() == [True, False] and out["next_attempt_at"].tolist()[1] == 9
