@@ -46,11 +46,6 @@ def _fold(texts: pa.Array) -> pa.Array:
     return _by_pieces(lambda t: pc.replace_substring_regex(pc.utf8_normalize(t, form="NFD"), r"\p{M}+", ""), texts)
 
 
-@F.pandas_udf(T.StringType())
-def nfc(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFC", t))
-
-
 def fold(text: Column) -> Column:
     """NFD without combining marks, lower-cased. ASCII texts, which folding can't change, don't leave the JVM: they are nulls in
     the function's argument."""

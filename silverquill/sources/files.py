@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
-from collections.abc import Sequence
+import stat
+import unicodedata
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr
-from ..functions.udf import exif_fields, nfc
+from ..functions.udf import exif_fields
 
 HEAD_BYTES, MOST_BYTES = 128 * 1024, 16 << 20
+FOLDERS = 256
+ENTRIES = "part_index int, place binary"
+SIZES = pa.schema([("part", pa.string()), ("part_index", pa.int32()), ("path", pa.string()), ("regular", pa.bool_()), ("byte_size", pa.int64()), ("mtime_ms", pa.float64())])
 
 
 class ExportError(ValueError):
@@ -70,19 +77,66 @@ def traverse(spark: SparkSession, parts: Sequence[str], product: str) -> DataFra
 
 
 def scan(spark: SparkSession, roots: Sequence[str]) -> DataFrame:
-    """(part, part_index, path, dir, name, kind, media_kind, byte_size, mtime_ms): files under the parts' roots.
+    """(part, part_index, path, dir, name, kind, media_kind, byte_size, mtime_ms): whatever under the parts' roots is no folder, hidden and empty files too.
 
-    Paths are in NFC. Only names and sizes are read: the content column is pruned.
+    Paths are in NFC. Folders and sizes are read by the tasks: some list the folders, then the names are dealt anew and their sizes taken by
+    many, so that a large folder is many tasks. Links aren't followed: they and what else is no file are of unknown kind, without size and time.
     """
-    out = None
-    for i, root in enumerate(roots):
-        base = os.path.abspath(root)
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base).select("path", "length", "modificationTime")
-        rel = nfc(F.expr(f"url_decode(replace(substring_index(path, '{base}/', -1), '+', '%2B'))"))
-        rows = found.select(F.lit(os.path.basename(base)).alias("part"), F.lit(i).alias("part_index"), rel.alias("path"), F.col("length").alias("byte_size"), F.unix_millis("modificationTime").cast("double").alias("mtime_ms"))
-        out = rows if out is None else out.unionByName(rows)
-    named = out.withColumn("name", F.substring_index("path", "/", -1)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
-    return named.select("part", "part_index", "path", "dir", "name", expr.classify_file(F.col("name")).alias("kind"), expr.media_kind(F.col("name")).alias("media_kind"), "byte_size", "mtime_ms")
+    bases = [os.path.abspath(r) for r in roots]
+    names = [os.path.basename(b) for b in bases]
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for i, place in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = os.lstat(os.path.join(os.fsencode(bases[i]), place))
+                regular = stat.S_ISREG(s.st_mode)
+                out.append((names[i], i, unicodedata.normalize("NFC", place.decode("utf-8", "replace")), regular, s.st_size if regular else 0, float(s.st_mtime_ns // 1_000_000) if regular else 0.0))
+            yield pa.RecordBatch.from_pylist([dict(zip(SIZES.names, o, strict=True)) for o in out], SIZES)
+
+    found = _entries(spark, bases).repartition("place").mapInArrow(sizes, "part string, part_index int, path string, regular boolean, byte_size long, mtime_ms double")
+    named = found.withColumn("name", F.substring_index("path", "/", -1)).withColumn("dir", F.regexp_replace("path", "/?[^/]*$", ""))
+    kind, media = expr.classify_file(F.col("name")), expr.media_kind(F.col("name"))
+    return named.select("part", "part_index", "path", "dir", "name", F.when(F.col("regular"), kind).otherwise("unknown").alias("kind"), F.when(F.col("regular"), media).alias("media_kind"), "byte_size", "mtime_ms")
+
+
+def _entries(spark: SparkSession, bases: list[str]) -> DataFrame:
+    """(part_index, place): bytes of the paths, from the part's root on, of all that is no folder. The top folders are found level by level until there
+    are ``FOLDERS`` of them, each of which one task walks with what lies below: the driver holds these only, no files."""
+    above, level = [], [(i, b"") for i in range(len(bases))]
+    while level and len(level) < FOLDERS:
+        deeper = _walk(spark, bases, level, "folders").take(FOLDERS * 10 + 1)
+        if len(deeper) > FOLDERS * 10:
+            break
+        above, level = above + level, [(r.part_index, bytes(r.place)) for r in deeper]
+    shallow, deep = (_walk(spark, bases, folders, how) if folders else None for folders, how in ((above, "files"), (level, "tree")))
+    return shallow.unionByName(deep) if shallow and deep else shallow or deep
+
+
+def _walk(spark: SparkSession, bases: list[str], folders: list[tuple[int, bytes]], how: str) -> DataFrame:
+    """(part_index, place) of what these folders hold: their ``folders``, their ``files``, or the files of their whole ``tree``."""
+
+    def listed(i: int, place: bytes) -> Iterator[bytes]:
+        below = [place]
+        while below:
+            at = below.pop()
+            with os.scandir(os.path.join(os.fsencode(bases[i]), at)) as entries:
+                for e in entries:
+                    inner = e.is_dir(follow_symlinks=False)
+                    if inner and how == "tree":
+                        below.append(os.path.join(at, e.name))
+                    if inner == (how == "folders"):
+                        yield os.path.join(at, e.name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, place in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                places = listed(i, place)
+                while some := list(itertools.islice(places, 10_000)):
+                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(some), pa.int32()), pa.array(some, pa.binary())], ["part_index", "place"])
+
+    rows = spark.createDataFrame(spark.sparkContext.parallelize(folders, min(len(folders), FOLDERS)), ENTRIES)
+    return rows.mapInArrow(run, ENTRIES)
 
 
 def sidecar_fields(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -9,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,22 +108,28 @@ def put_all(objects: DataFrame, root: str) -> DataFrame:
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, where = opened(root)
-        for b in batches:
-            out = []
-            for key, content, promised in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
-                body = content.as_py()
-                digest = None if body is None else hashlib.sha256(body).hexdigest()
-                problem = "bad key" if key is None or not KEY.fullmatch(key) else "no content" if body is None else "another digest" if promised is not None and promised.lower() != digest else None
-                if problem is None:
-                    target = f"{where}/objects/{key}"
-                    hidden = f"{where}/.tmp/{uuid.uuid4().hex}"
-                    for folder in (f"{where}/.tmp", target.rsplit("/", 1)[0]):
-                        files.create_dir(folder, recursive=True)
-                    with files.open_output_stream(hidden) as f:
-                        f.write(body)
-                    files.move(hidden, target)
-                out.append((key, None if body is None else len(body), digest, problem))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["key", "size", "sha256", "problem"])
+        made = functools.lru_cache(4096)(lambda folder: files.create_dir(folder, recursive=True))
+        own = f"{where}/.tmp/{uuid.uuid4().hex}"  # tasks that share one folder of unfinished objects wait for each other
+        try:
+            for b in batches:
+                out = []
+                for n, (key, content, promised) in enumerate(zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True)):
+                    body = content.as_py()
+                    digest = None if body is None else hashlib.sha256(body).hexdigest()
+                    problem = "bad key" if key is None or not KEY.fullmatch(key) else "no content" if body is None else "another digest" if promised is not None and promised.lower() != digest else None
+                    if problem is None:
+                        target = f"{where}/objects/{key}"
+                        hidden = f"{own}/{n}"
+                        for folder in (own, target.rsplit("/", 1)[0]):
+                            made(folder)
+                        with files.open_output_stream(hidden) as f:
+                            f.write(body)
+                        files.move(hidden, target)
+                    out.append((key, None if body is None else len(body), digest, problem))
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int64(), pa.string(), pa.string()))], ["key", "size", "sha256", "problem"])
+        finally:
+            if files.get_file_info(own).type is FileType.Directory:
+                files.delete_dir(own)
 
     return objects.select("key", "content", "sha256").mapInArrow(store, STORED)
 

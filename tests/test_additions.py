@@ -75,6 +75,26 @@ def test_traverse(spark, tmp_path):
         files.traverse(spark, [], "x")
 
 
+def test_traverse_takes_all_files_in_few_tasks(spark, tmp_path, monkeypatch):
+    """Hidden and empty files, links, names with signs, and folders deeper than the driver looks are found; a file isn't a 32nd of a task."""
+    photos = tmp_path / "takeout-1" / "Takeout" / "Google Photos"
+    names = ["_a.jpg", ".DS_Store", "empty.jpg", "modifie\u0301 100%+a.jpg", "x/y/z/deep.mp4", *(f"many/{n}.jpg" for n in range(700))]
+    for name in names:
+        (photos / name).parent.mkdir(parents=True, exist_ok=True)
+        (photos / name).write_text("" if name == "empty.jpg" else "text")
+    (photos / "nothing here").mkdir()
+    (photos / "loop.jpg").symlink_to(photos)
+    want = {(n.replace("e\u0301", "\u00e9"), 0 if n == "empty.jpg" else 4) for n in names} | {("loop.jpg", 0)}
+    for folders in (256, 2):
+        monkeypatch.setattr(files, "FOLDERS", folders, raising=False)
+        df = files.traverse(spark, [str(tmp_path / "takeout-1")], "Google Photos")
+        rows = {r["path"]: r for r in df.collect()}
+        assert {(r["path"], r["byte_size"]) for r in rows.values()} == want and df.count() == len(want) and not any(r["outside_export"] for r in rows.values())
+        assert rows["loop.jpg"]["kind"] == rows[".DS_Store"]["kind"] == "unknown" and rows["loop.jpg"]["media_kind"] is None and rows["_a.jpg"]["kind"] == "media"
+        assert rows["x/y/z/deep.mp4"]["dir"] == "x/y/z" and abs(rows["_a.jpg"]["mtime_ms"] - (photos / "_a.jpg").stat().st_mtime * 1000) <= 1
+        assert df.rdd.getNumPartitions() <= 8
+
+
 def test_headers_and_scans(spark):
     good = {"modelId": "m", "coarseDim": 256, "slotCount": 3, "freeSlots": [1]}
     assert vectors.open_header(json.dumps(good), 768, model="m") == good and vectors.open_header(None, 0, model="m")["slotCount"] == 0
