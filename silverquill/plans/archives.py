@@ -68,7 +68,7 @@ def pull_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = _folder(spark, "pull")
     log = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr(_TURNED).alias("updated_at"), F.expr("CASE WHEN event_type = 'error' AND event_id % 5 = 0 THEN event_id END").alias("deleted_at"), F.col("event_id").alias("version"), F.col("value").alias("payload"))
     for k in range(4):
-        log.where(f"version % 4 = {k}").coalesce(1).write.mode("append").parquet(f"{root}/log")
+        log.where(f"coalesce(pmod(version, 4), 0) = {k}").coalesce(1).write.mode("append").parquet(f"{root}/log")
     streams.apply_to_table(streams.pull(spark, f"{root}/log", files_per_trigger=1), f"{root}/table", f"{root}/checkpoint", buckets=8, compact_every=2).awaitTermination()
     return streams.current(spark, f"{root}/table").select("key", "updated_at", "deleted_at", "version", "payload")
 

@@ -85,9 +85,10 @@ def compact(spark: SparkSession, table: str, before: int) -> None:
                 path.getFileSystem(conf).delete(path, True)
 
 
-def current(spark: SparkSession, table: str) -> DataFrame:
-    """The table after the last whole batch."""
-    return spark.read.parquet(*latest(spark, table).values())
+def current(spark: SparkSession, table: str, schema: str = LOG) -> DataFrame:
+    """The table after the last whole batch; without rows so far, an empty one of this schema."""
+    folders = latest(spark, table).values()
+    return spark.read.parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
 def merged_stream(stream: DataFrame) -> DataFrame:

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from silverquill.functions import expr
 from silverquill.functions.udf import fold, term_counts
 from silverquill.operators import lifecycle, relational, resolve, sync, text, vector
+from silverquill.plans import archives, catalogue
 from silverquill.schemas import schema
 from silverquill.sources import files, recovery, store, vectors
 from silverquill.streaming import sync as streams
 
+from .oracle import DATA, duck, rows_of
+
 
 def test_object_store(spark, tmp_path):
     s = store.ObjectStore(spark, f"file://{tmp_path}/objects")
@@ -214,3 +217,13 @@ def test_byte_labels_round_as_c(spark):
         return re.sub(r"\.?0+$", "", f"{n / 1024**power:.2f}") + " " + ["B", "KB", "MB", "GB", "TB"][power]
 
     assert [r["s"] for r in got] == [want(n) for n in sizes]
+
+
+@pytest.mark.parametrize("ids", ["event_id - 2000", "if(event_id % 3 = 1, null, event_id - 500)", None])
+def test_pull_loop_takes_every_event(spark, tmp_path, ids):
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    events = events.where("false") if ids is None else events.withColumn("event_id", F.expr(ids))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    columns, rows = duck(catalogue.oracle_sql()["pull_loop"], {"events": events.toArrow()})
+    got = archives.pull_loop(spark, str(tmp_path)).select(columns)
+    assert rows_of(columns, [tuple(r) for r in got.collect()]) == rows_of(columns, rows)
